@@ -8,7 +8,7 @@ from importlib.util import find_spec
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factflow.llm import bpe, chat, langid, licenses, minhash, quality, tokenfiles
+from factflow.llm import bpe, chat, langid, licenses, minhash, quality, rlz, suffix, tokenfiles
 
 
 def vocabulary_file(name: str) -> str:
@@ -32,6 +32,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_back(chat.formatted(chat.segments(turns.unionByName(planted)))))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(suffix.remove_repeats(_table(spark, sf_dir, "documents")))
+
+
 def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary_file("byte_bpe_50k.json")
     ids = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
@@ -58,14 +62,20 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op10_relative_lz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rlz.digests(rlz.remove_repeats(_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_chat_format": op3_chat_format,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_bpe_encode_decode": op5_bpe_encode_decode,
     "op6_token_files": op6_token_files,
     "op7_language_id": op7_language_id,
     "op8_license_scan": op8_license_scan,
     "op9_quality_rules": op9_quality_rules,
+    "op10_relative_lz_dedup": op10_relative_lz_dedup,
 }
 
 _CONTROLS = ", ".join("'" + c + "'" for c in chat.INSTRUCT.controls)
