@@ -181,6 +181,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train([(np.frombuffer(r.features, np.float32).reshape(-1, FEATURES), of[r.id]) for r in rows])
 
 
+def verdict(texts: pa.Array, field: Field | None, share: float) -> list[np.ndarray]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, content_share, kept of each text."""
+    m, n = measure(texts), len(texts)
+    if field is None:
+        content = np.where(m.n_words > 0, 1.0, 0.0)
+    else:
+        label = field.labels(m.features, V.runs(n, m.line_text))
+        content = _per(m.line_text, n, m.line_chars * label) / np.maximum(_per(m.line_text, n, m.line_chars), 1)
+    failed = (m.n_words < LEAST_WORDS) | (100 * m.n_repeat_words > MOST_REPEATED * m.n_words)
+    return [m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words, failed, content, ~failed & (content >= share)]
+
+
 def judge(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE) -> DataFrame:
     """id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, content_share, kept; one row per row.
 
@@ -191,19 +203,21 @@ def judge(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in V.slices(whole, "text"):
-                m = measure(b.column("text"))
-                n = b.num_rows
-                if field is None:
-                    content = np.where(m.n_words > 0, 1.0, 0.0)
-                else:
-                    label = field.labels(m.features, V.runs(n, m.line_text))
-                    good, every = _per(m.line_text, n, m.line_chars * label), _per(m.line_text, n, m.line_chars)
-                    content = good / np.maximum(every, 1)
-                failed = (m.n_words < LEAST_WORDS) | (100 * m.n_repeat_words > MOST_REPEATED * m.n_words)
-                cols = [m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words, failed, content, ~failed & (content >= share)]
+                cols = verdict(b.column("text"), field, share)
                 yield pa.RecordBatch.from_arrays([b.column("id"), *map(pa.array, cols)], names=["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "content_share", "kept"])
 
     own = renamed(docs, id=id_col, text=text_col)
     kind = own.schema["id"].dataType.simpleString()
     out = own.mapInArrow(run, f"id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean")
     return out.withColumnRenamed("id", id_col)
+
+
+def kept_rows(docs: DataFrame, field: Field | None, text_col: str = "text", share: float = SHARE) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text is kept; nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in V.slices(whole, text_col):
+                yield b.filter(pa.array(verdict(b.column(text_col), field, share)[-1]))
+
+    return docs.mapInArrow(run, docs.schema)

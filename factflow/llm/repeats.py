@@ -227,23 +227,25 @@ def _spread_out(scheme: Scheme):
     return run
 
 
-def covered(docs: DataFrame, scheme: Scheme, method: Callable, id_col: str, text_col: str, hot: int) -> DataFrame:
-    """(id, text, spans): every input row with the sorted spans of units that a repeated window covers.
+def covered(docs: DataFrame, scheme: Scheme, method: Callable, id_col: str, text_col: str, hot: int, carry: str | None = None) -> DataFrame:
+    """(id, text, spans[, carried]): every input row with the sorted spans of units that a repeated window covers.
 
     Spans may overlap; the last one of a text with copies reaches past its end. Rows are
     told apart by id and text, so ids may be null or repeat; a null text has no units.
     """
-    own = renamed(docs, id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("fp", F.xxhash64("text"))
+    own = renamed(docs, id=id_col, text=text_col, **({"carried": carry} if carry else {}))
+    own = own.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("fp", F.xxhash64("text"))
     kind = own.schema["id"].dataType.simpleString()
     key = f"id {kind}, fp long"
-    rows = own.mapInArrow(_anchored(scheme), f"{key}, core long, spot long")
+    rows = own.select("id", "text", "fp").mapInArrow(_anchored(scheme), f"{key}, core long, spot long")
     rows = rows.groupBy("core", "spot", "fp").agg(F.min(F.struct("id")).alias("who"), F.count("*").alias("copies"))
     often = rows.groupBy("core").agg(F.sum("copies").alias("times"), F.count("*").alias("rows")).where("times > 1")
     found = rows.join(often.hint("merge"), "core").select(F.col("who.id").alias("id"), "fp", F.struct("core", "spot", "copies", "rows").alias("w"))
     wanted = found.groupBy("id", "fp").agg(F.collect_list("w").alias("wanted"))
 
     same = own["id"].eqNullSafe(wanted["id"]) & (own["fp"] == wanted["fp"])
-    near = own.join(wanted.hint("merge"), same).select(own["id"], own["fp"], "text", "wanted")
+    # What is carried is not pruned here, or the two shuffles of the texts would differ.
+    near = own.join(wanted.hint("merge"), same).select(own["id"], own["fp"], "text", "wanted", *(["carried"] if carry else []))
     schema = f"{key}, core long, spot long, copies long, around binary"
 
     def around(rule) -> DataFrame:
@@ -261,7 +263,7 @@ def covered(docs: DataFrame, scheme: Scheme, method: Callable, id_col: str, text
     spans = spans.unionByName(copied.join(again, ["fp", "size"], "left_semi").select("id", "fp", F.lit(0).cast("long").alias("a"), F.lit(1 << 60).alias("b")))
     listed = spans.groupBy("id", "fp").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))
     same = own["id"].eqNullSafe(listed["id"]) & (own["fp"] == listed["fp"])
-    return own.join(listed.hint("merge"), same, "left").select(own["id"], "text", F.coalesce("spans", F.array().cast("array<struct<a:bigint,b:bigint>>")).alias("spans"))
+    return own.join(listed.hint("merge"), same, "left").select(own["id"], "text", *(["carried"] if carry else []), F.coalesce("spans", F.array().cast("array<struct<a:bigint,b:bigint>>")).alias("spans"))
 
 
 def removal_mask(spans: pa.ListArray, bounds: np.ndarray, window: int) -> np.ndarray:

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factflow.llm import repeats as R
 from factflow.llm import vectext as V
@@ -185,3 +186,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def digests(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return rows.select(id_col, "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """``docs`` with all columns and repeated passages gone from the text; a character that lost a byte goes whole."""
+    whole = docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]))
+    out = R.covered(whole, SCHEME, repeated_windows, id_col, text_col, hot, carry="_row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cut, b in zip(_cut(iter([batch])), V.slices(batch, "text", R.PIECE), strict=True):
+                text = pa.array([x.decode("utf-8", "ignore") for x in cut.column("kept").to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([b.column("carried"), text], names=["carried", "text"])
+
+    done = out.mapInArrow(run, T.StructType([T.StructField("carried", out.schema["carried"].dataType), T.StructField("text", T.StringType())]))
+    return done.select(*[F.col("text").alias(c) if c == text_col else F.col(f"carried.`{c}`").alias(c) for c in docs.columns])
