@@ -1,24 +1,60 @@
-"""The corpus pipeline: five training-data stages, each written and read again."""
+"""The corpus pipeline: five training-data stages, each written and read again.
+
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All
+but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factflow.llm import minhash
+from factflow.llm import bpe, decontam, minhash, quality, suffix
+from factflow.llm.queries import vocabulary_file
 from factflow.llm.shared import written
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    field = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.kept_rows(docs, field)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """Of each group of near copies the document with the smallest id stays."""
     kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(docs.columns)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages go; characters cut in half go with them."""
+    return suffix.without_repeats(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    found = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(found.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, and digests of them and of the text decoded from them."""
+    path = vocabulary_file("byte_bpe_50k.json")
+    return bpe.digests(bpe.decode(bpe.encode(docs.select("doc_id", "text"), path).drop("text"), path))
 
 
-STAGES = [("MinHash near-dedup", near_dedup)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("MinHash near-dedup", near_dedup),
+    ("suffix-array dedup", suffix_dedup),
+    ("benchmark decontamination", decontamination),
+    ("BPE encoding and decoding", encoding),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
