@@ -12,8 +12,9 @@ meet with a probability below 3e-5.
 
 Equal sets are one class from the start. Inside a key, rows are first linked to
 their neighbour in signature order and to the key's first row; only rows that are
-then still in different components are compared with each other, in blocks of at
-most ``BLOCK`` rows, and a pair comes out once, at the first key it shares.
+then still in different components are compared with each other, in pairs of blocks
+of about ``BLOCK`` rows, each pair at the first key it shares; what is linked there
+counts as one component at once, so no group gives more links than rows.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from factflow.llm import vectext as V
 from factflow.llm.components import components
 from factflow.llm.shared import renamed, written
 
-SHINGLE, CHUNKS, WIDTH, LONG, BLOCK = 5, 7, 6, 128, 4096
+SHINGLE, CHUNKS, WIDTH, LONG, BLOCK = 5, 7, 6, 128, 1024
 KEYED = CHUNKS * WIDTH
 _RNG = np.random.default_rng(7)
 _TURN = _RNG.integers(1, 1 << 63, LONG, dtype=np.uint64) | np.uint64(1)
@@ -168,21 +169,37 @@ def _chained(percent: int):
 
 
 def _crossed(percent: int):
-    """Near pairs of rows in different components, each at the first key it shares."""
+    """Links between rows in different components, each pair tried at the first key it shares.
+
+    Near pairs are confirmed on their full sets at once, and rows linked here count as one
+    component from then on, so a group gives fewer links than it has rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, ["key", "x", "y"]):
-            key, x, y, block, no, i, n, c = (t.column(k).to_numpy() for k in ("key", "x", "y", "block", "no", "id", "n", "root"))
-            s, places = _matrix(t.column("sig")), t.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, KEYED)
+            key, x, y, block, no, i, n = (t.column(k).to_numpy() for k in ("key", "x", "y", "block", "no", "id", "n"))
+            c, s = t.column("root").to_numpy().copy(), _matrix(t.column("sig"))
+            places = t.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, KEYED)
+            values, at = t.column("s").combine_chunks().flatten().to_numpy().view(np.uint64), np.concatenate(([0], np.cumsum(n)))
             cut = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]), [True])))
+            a, b = [], []
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
                 for k in range(lo, hi):
                     j = np.arange(k + 1, hi)
                     j = j[(c[j] != c[k]) & ((block[j] != block[k]) | (x[k] == y[k]))]
                     j = j[_near(n[j], n[k], s[j], s[k][None], percent)] if len(j) else j
                     j = j[(places[j] == places[k]).argmax(axis=1) == no[k]] if len(j) else j
-                    if len(j):
-                        yield _pairs(np.full(len(j), i[k]), i[j])
+                    if not len(j):
+                        continue
+                    own, theirs = values[at[k] : at[k + 1]], np.concatenate([values[at[m] : at[m + 1]] for m in j])
+                    met = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+                    both = np.add.reduceat(met.astype(np.int64), np.cumsum(n[j]) - n[j])
+                    for m in j[100 * both >= percent * (n[k] + n[j] - both)].tolist():
+                        if c[m] != c[k]:
+                            a.append(i[k])
+                            b.append(i[m])
+                            c[lo:hi][c[lo:hi] == c[m]] = c[k]
+            yield _pairs(np.array(a, np.int64), np.array(b, np.int64))
 
     return run
 
@@ -233,11 +250,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_keys = placed.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key")
     wide = F.ceil(F.col("rows") / BLOCK).cast("int")
     left = placed.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("id"), wide).cast("int"))
-    left = left.join(rows, "id")
+    left = left.join(rows, "id").join(sets, "id").where("size(s) = n")
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), wide - 1))).select("*", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    crossed = left.select("key", "x", "y", "block", "no", "id", "n", "root", "sig", "keys").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_crossed(percent), "a long, b long").distinct()
-    more = _confirmed(crossed, sets, percent)
-    roots = components(links.unionByName(more))
+    crossed = left.select("key", "x", "y", "block", "no", "id", "n", "root", "sig", "keys", "s").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_crossed(percent), "a long, b long").distinct()
+    roots = components(links.unionByName(crossed))
 
     by_class = classes.select("f1", "f2", "c").join(roots.withColumnRenamed("node", "c"), "c", "left").select("f1", "f2", F.coalesce("root", "c").alias("root"))
     out = sig.join(by_class, ["f1", "f2"], "left")
