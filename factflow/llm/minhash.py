@@ -241,7 +241,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     chained = met.repartition("key").sortWithinPartitions("key", "sig", "id").mapInArrow(_chained(percent), "a long, b long").distinct()
     seen = met.select("id").distinct()
-    needed = own.join(seen, "id", "left_semi").where("text IS NOT NULL")
+    needed = own.join(seen.hint("merge"), "id", "left_semi").where("text IS NOT NULL")
     sets = written(needed.mapInArrow(_sets, "id long, s array<long>").where("size(s) > 0"))
     links = written(_confirmed(chained, sets, percent))
 
