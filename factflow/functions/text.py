@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space as Unicode has it, with the four separators below it.
@@ -75,35 +75,43 @@ def sentence_ends(text: Column) -> Column:
     return F.transform(real, lambda m: m["end"])
 
 
-def sentence_evidence(text: Column, start: Column, end: Column, most: int = 300, ends: Column | None = None) -> Column:
-    """The sentences around a match: one more if they are under 40 characters, a window of 120 around it if over ``most``."""
-    ends = sentence_ends(text) if ends is None else ends
-    n = F.char_length(text)
-    start = F.greatest(F.lit(0), F.least(start, n))
-    end = F.greatest(start, F.least(end, n))
-    lo = F.coalesce(F.array_max(F.filter(ends, lambda x: x <= start)), F.lit(0))
-    hi = F.coalesce(F.array_min(F.filter(ends, lambda x: x >= end)), n)
-    after = F.coalesce(F.array_min(F.filter(ends, lambda x: x > hi)), n)
-    sent, wide = _strip(cut(text, lo, hi)), _strip(cut(text, lo, after))
-    matched = cut(text, start, end)
-    lost = (matched != "") & ~F.contains(sent, matched)
-    best = F.when((F.char_length(sent) < 40) & (hi < n) & (F.char_length(wide) <= most), wide).otherwise(sent)
-    return F.when(n == 0, "").when(lost | (F.char_length(best) > most), context_snippet(text, start, end, 120)).otherwise(normalize(best))
+def with_evidence(df: DataFrame, text: str, start: Column, end: Column, out: str = "evidence", most: int = 300) -> DataFrame:
+    """Adds the sentences around the match [start, end) of a text column.
+
+    One more sentence if they are under 40 characters, a window of 120 around the match if
+    over ``most``. Steps are columns of their own, so that nothing is computed twice.
+    """
+    c, n = F.col(f"`{text}`"), F.char_length(f"`{text}`")
+    ends, lo, hi = F.col("_ends"), F.col("_lo"), F.col("_hi")
+    first = F.greatest(F.lit(0), F.least(start, n)).cast("int")
+    df = _staged(df, _ends=sentence_ends(c), _s=first, _e=F.greatest(first, F.least(end, n)).cast("int"))
+    df = _staged(df, _lo=F.coalesce(F.array_max(F.filter(ends, lambda x: x <= F.col("_s"))), F.lit(0)), _hi=F.coalesce(F.array_min(F.filter(ends, lambda x: x >= F.col("_e"))), n))
+    df = _staged(df, _sent=_strip(cut(c, lo, hi)), _wide=_strip(cut(c, lo, F.coalesce(F.array_min(F.filter(ends, lambda x: x > hi)), n))))
+    short = (F.char_length("_sent") < 40) & (hi < n) & (F.char_length("_wide") <= most)
+    best = F.when(short, F.col("_wide")).otherwise(F.col("_sent"))
+    lost = ~F.contains(F.col("_sent"), cut(c, F.col("_s"), F.col("_e"))) | (F.char_length(best) > most)
+    shown = F.when(n == 0, "").when(lost, context_snippet(c, F.col("_s"), F.col("_e"), 120)).otherwise(normalize(best))
+    return _staged(df, **{out: shown}).drop("_ends", "_s", "_e", "_lo", "_hi", "_sent", "_wide")
+
+
+def _staged(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns behind a generator of one row, which keeps later uses from copying their expressions."""
+    return df.withColumn("_stage", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))).select("*", *[F.col(f"_stage.{n}").alias(n) for n in columns]).drop("_stage")
 
 
 def _strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
 
 
-def trim_evidence(text: Column, matched: Column, most: int = 300) -> Column:
-    """Evidence stored too long, cut to the sentence of ``matched``, or to its middle one."""
-    core = _strip(F.regexp_replace(_strip(F.coalesce(text, F.lit(""))), "^…+|…+$", ""))
-    at = F.when(F.coalesce(matched, F.lit("")) != "", F.position(matched, core)).otherwise(0)
-    middle = F.floor(F.char_length(core) / 2).cast("int")
-    start = F.when(at > 0, at - 1).otherwise(middle)
-    end = F.when(at > 0, at - 1 + F.char_length(matched)).otherwise(middle + 1)
-    short = (F.char_length(core) <= most) & (F.size(sentence_ends(core)) <= 1)
-    return F.when(core == "", "").when(short, normalize(core)).otherwise(sentence_evidence(core, start, end, most))
+def with_trimmed_evidence(df: DataFrame, text: str, matched: Column, out: str = "trimmed", most: int = 300) -> DataFrame:
+    """Adds stored evidence cut to the sentence of ``matched``, or to its middle one; a short single sentence stays."""
+    core, middle = F.col("_core"), F.floor(F.char_length("_core") / 2).cast("int")
+    df = _staged(df, _core=_strip(F.regexp_replace(_strip(F.coalesce(F.col(f"`{text}`"), F.lit(""))), "^…+|…+$", "")))
+    df = _staged(df, _at=F.when(F.coalesce(matched, F.lit("")) != "", F.position(matched, core)).otherwise(0))
+    found = F.col("_at") > 0
+    df = _staged(df, _short=(F.char_length(core) <= most) & (F.size(sentence_ends(core)) <= 1))
+    df = with_evidence(df, "_core", F.when(found, F.col("_at") - 1).otherwise(middle), F.when(found, F.col("_at") - 1 + F.char_length(matched)).otherwise(middle + 1), "_cut", most)
+    return df.withColumn(out, F.when(F.col("_short"), normalize(core)).otherwise(F.col("_cut"))).drop("_core", "_at", "_short", "_cut")
 
 
 def evidence_core(evidence: Column, length: int = 80) -> Column:
@@ -112,16 +120,16 @@ def evidence_core(evidence: Column, length: int = 80) -> Column:
     return F.left(normalize(F.regexp_replace(bare, "^[… ]+|[… ]+$", "")), F.lit(length))
 
 
-def term_context(text: Column, terms: Sequence[str], most: int = 300) -> Column:
-    """Evidence around the earliest of the terms (the first listed of equals), the term marked; null without one."""
-    low = F.lower(text)
+def with_term_context(df: DataFrame, text: str, terms: Sequence[str], out: str = "snippet", most: int = 300) -> DataFrame:
+    """Adds evidence around the earliest of the terms (the first listed of equals), the term marked; null without one."""
+    low = F.lower(f"`{text}`")
     places = F.array(*[F.struct(F.instr(low, t.lower()).alias("at"), F.lit(k).alias("k"), F.lit(len(t)).alias("n")) for k, t in enumerate(terms)])
-    first = F.array_min(F.filter(places, lambda p: p["at"] > 0))
-    found = sentence_evidence(text, first["at"] - 1, first["at"] - 1 + first["n"], most)
-    term = F.element_at(F.array(*map(F.lit, terms)), first["k"] + 1)
-    at = F.position(F.lower(term), F.lower(found))
-    marked = F.concat(F.left(found, at - 1), F.lit("<mark>"), F.substring(found, at, F.char_length(term)), F.lit("</mark>"), F.substring(found, at + F.char_length(term), F.char_length(found)))
-    return F.when(first.isNotNull(), F.when(at > 0, marked).otherwise(found))
+    df = _staged(df, _f=F.array_min(F.filter(places, lambda p: p["at"] > 0)))
+    df = with_evidence(df, text, F.coalesce(F.col("_f.at") - 1, F.lit(0)), F.coalesce(F.col("_f.at") - 1 + F.col("_f.n"), F.lit(0)), "_ev", most)
+    term = F.element_at(F.array(*map(F.lit, terms)), F.col("_f.k") + 1)
+    at, ev, n = F.position(F.lower(term), F.lower("_ev")), F.col("_ev"), F.col("_f.n")
+    marked = F.concat(F.left(ev, at - 1), F.lit("<mark>"), F.substring(ev, at, n), F.lit("</mark>"), F.substring(ev, at + n, F.char_length(ev)))
+    return df.withColumn(out, F.when(F.col("_f").isNotNull(), F.when(at > 0, marked).otherwise(ev))).drop("_f", "_ev")
 
 
 def fact_rule_of(title: Column) -> Column:

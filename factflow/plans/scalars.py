@@ -76,14 +76,14 @@ def regex_matches_offsets(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.explode(X.regex_matches(F.col("text"), "[A-Za-z]+tion")).alias("m")).select("doc_id", "m.value", "m.start")
 
 
-@query("context_window", "SELECT doc_id, substr(text, greatest(position(' the ' IN text) - 81, 0) + 1, position(' the ' IN text) + 84 - greatest(position(' the ' IN text) - 81, 0)) AS seg FROM documents WHERE contains(text, ' the ')")
+@query("context_window", "SELECT doc_id, substr(text, greatest(instr(text, ' the ') - 81, 0) + 1, instr(text, ' the ') + 84 - greatest(instr(text, ' the ') - 81, 0)) AS seg FROM documents WHERE contains(text, ' the ')")
 def context_window(t: Tables) -> DataFrame:
     at = F.instr("text", " the ") - 1
     return t.documents.where(F.col("text").contains(" the ")).select("doc_id", X.context_window(F.col("text"), at, at + 5, 80).alias("seg"))
 
 
-_AROUND = f"""(SELECT doc_id, lo, hi, n, text, substr(text, lo + 1, hi - lo) AS s FROM (SELECT *, greatest(at - 150, 0) AS lo, least(at + 155, n) AS hi FROM
-(SELECT doc_id, text, position(' the ' IN text) - 1 AS at, length(text) AS n FROM (SELECT doc_id, {_norm('text')} AS text FROM documents) d0 WHERE contains(text, ' the ')) d1) d2)"""
+_AROUND = f"""(SELECT doc_id, lo, hi, n, text, substr(text, lo + 1, hi - lo) AS s FROM (SELECT *, greatest(at_ - 150, 0) AS lo, least(at_ + 155, n) AS hi FROM
+(SELECT doc_id, text, instr(text, ' the ') - 1 AS at_, length(text) AS n FROM (SELECT doc_id, {_norm('text')} AS text FROM documents) d0 WHERE contains(text, ' the ')) d1) d2)"""
 
 
 @query("context_snippet", f"""SELECT doc_id, trim((CASE WHEN lo > 0 THEN '…' ELSE '' END) || regexp_replace(CASE WHEN lo > 0 THEN regexp_replace(s, '^[^ ]* ', '') ELSE s END, CASE WHEN hi < n THEN ' [^ ]*$' ELSE '$' END, '') || (CASE WHEN hi < n THEN '…' ELSE '' END)) AS snippet FROM {_AROUND}""")
@@ -116,27 +116,27 @@ def evidence_sql(source: str, keep: str) -> str:
   || regexp_replace(CASE WHEN wl > 0 THEN regexp_replace(ws, '^[^ ]* ', '') ELSE ws END, CASE WHEN wh < n THEN ' [^ ]*$' ELSE '$' END, '') || (CASE WHEN wh < n THEN '…' ELSE '' END))
   ELSE best END AS evidence FROM (
 SELECT *, NOT contains(sent, m) AS lost, CASE WHEN length(sent) < 40 AND hi < n AND length(wide) <= 300 THEN wide ELSE sent END AS best, substr(b, wl + 1, wh - wl) AS ws FROM (
-SELECT *, trim(substr(b, lo + 1, hi - lo)) AS sent, trim(substr(b, lo + 1, coalesce(list_min(list_filter(ends, lambda x: x > hi)), n) - lo)) AS wide, substr(b, at + 1, w) AS m,
-  greatest(at - 120, 0) AS wl, least(at + w + 120, n) AS wh FROM (
-SELECT *, coalesce(list_max(list_filter(ends, lambda x: x <= at)), 0) AS lo, coalesce(list_min(list_filter(ends, lambda x: x >= at + w)), n) AS hi FROM {source}) e1) e2) e3"""
+SELECT *, trim(substr(b, lo + 1, hi - lo)) AS sent, trim(substr(b, lo + 1, coalesce(list_min(list_filter(ends, lambda x: x > hi)), n) - lo)) AS wide, substr(b, at_ + 1, w) AS m,
+  greatest(at_ - 120, 0) AS wl, least(at_ + w + 120, n) AS wh FROM (
+SELECT *, coalesce(list_max(list_filter(ends, lambda x: x <= at_)), 0) AS lo, coalesce(list_min(list_filter(ends, lambda x: x >= at_ + w)), n) AS hi FROM {source}) e1) e2) e3"""
 
 
-_AT = f"(SELECT *, position('the' IN b) - 1 AS at, 3 AS w FROM {_ENDS} WHERE contains(b, 'the'))"
+_AT = f"(SELECT *, instr(b, 'the') - 1 AS at_, 3 AS w FROM {_ENDS} WHERE contains(b, 'the'))"
 
 
 @query("sentence_evidence", evidence_sql(_AT, "doc_id"))
 def sentence_evidence(t: Tables) -> DataFrame:
     at = F.instr("b", "the") - 1
-    return _bodies(t).where(F.col("b").contains("the")).select("doc_id", X.sentence_evidence(F.col("b"), at, at + 3).alias("evidence"))
+    return X.with_evidence(_bodies(t).where(F.col("b").contains("the")), "b", at, at + 3).select("doc_id", "evidence")
 
 
-_TRIM_AT = f"(SELECT *, CASE WHEN doc_id % 2 = 0 AND contains(b, 'the') THEN position('the' IN b) - 1 ELSE n // 2 END AS at, CASE WHEN doc_id % 2 = 0 AND contains(b, 'the') THEN 3 ELSE 1 END AS w FROM {_ENDS})"
+_TRIM_AT = f"(SELECT *, CASE WHEN doc_id % 2 = 0 AND contains(b, 'the') THEN instr(b, 'the') - 1 ELSE n // 2 END AS at_, CASE WHEN doc_id % 2 = 0 AND contains(b, 'the') THEN 3 ELSE 1 END AS w FROM {_ENDS})"
 
 
 @query("evidence_trim", f"SELECT doc_id, CASE WHEN n <= 300 AND len(ends) <= 1 THEN b ELSE evidence END AS trimmed FROM ({evidence_sql(_TRIM_AT, 'doc_id, n, ends, b')})")
 def evidence_trim(t: Tables) -> DataFrame:
-    stored = F.concat(F.lit("…"), F.col("b"), F.lit(" …"))
-    return _bodies(t).select("doc_id", X.trim_evidence(stored, F.when(F.col("doc_id") % 2 == 0, "the")).alias("trimmed"))
+    stored = _bodies(t).select("doc_id", F.concat(F.lit("…"), F.col("b"), F.lit(" …")).alias("s"))
+    return X.with_trimmed_evidence(stored, "s", F.when(F.col("doc_id") % 2 == 0, "the")).select("doc_id", "trimmed")
 
 
 @query("evidence_core", f"SELECT doc_id, left(trim({_norm('text')}), 80) AS core FROM documents")
@@ -146,13 +146,13 @@ def evidence_core(t: Tables) -> DataFrame:
 
 
 _TERMS = ["rights reserved", "license", "of the"]
-_FIRST = "(SELECT *, list_min(list_filter([{p: position('rights reserved' IN lower(b)), k: 0, w: 15}, {p: position('license' IN lower(b)), k: 1, w: 7}, {p: position('of the' IN lower(b)), k: 2, w: 6}], lambda z: z.p > 0)) AS f FROM " + _ENDS + ")"
-_TERM_EV = evidence_sql(f"(SELECT *, f.p - 1 AS at, f.w AS w FROM {_FIRST} WHERE f IS NOT NULL)", "doc_id, w, ['rights reserved', 'license', 'of the'][f.k + 1] AS term")
+_FIRST = "(SELECT *, list_min(list_filter([{p: instr(lower(b), 'rights reserved'), k: 0, w: 15}, {p: instr(lower(b), 'license'), k: 1, w: 7}, {p: instr(lower(b), 'of the'), k: 2, w: 6}], lambda z: z.p > 0)) AS f FROM " + _ENDS + ")"
+_TERM_EV = evidence_sql(f"(SELECT *, f.p - 1 AS at_, f.w AS w FROM {_FIRST} WHERE f IS NOT NULL)", "doc_id, w, ['rights reserved', 'license', 'of the'][f.k + 1] AS term")
 
 
-@query("search_term_context", f"SELECT doc_id, CASE WHEN p > 0 THEN left(evidence, p - 1) || '<mark>' || substr(evidence, p, w) || '</mark>' || substr(evidence, p + w) ELSE evidence END AS snippet FROM (SELECT *, position(term IN lower(evidence)) AS p FROM ({_TERM_EV}))")
+@query("search_term_context", f"SELECT doc_id, CASE WHEN p > 0 THEN left(evidence, p - 1) || '<mark>' || substr(evidence, p, w) || '</mark>' || substr(evidence, p + w) ELSE evidence END AS snippet FROM (SELECT *, instr(lower(evidence), term) AS p FROM ({_TERM_EV}))")
 def search_term_context(t: Tables) -> DataFrame:
-    return _bodies(t).select("doc_id", X.term_context(F.col("b"), _TERMS).alias("snippet")).where("snippet IS NOT NULL")
+    return X.with_term_context(_bodies(t), "b", _TERMS).select("doc_id", "snippet").where("snippet IS NOT NULL")
 
 
 @query("fact_rule_of", f"SELECT issue_id, CASE WHEN starts_with(title, 'llm:') OR starts_with(title, 'lang_ctx:') OR starts_with(title, 'reg_ctx:') THEN array_to_string(string_split(title, ':')[1:2], ':') ELSE string_split(title, ':')[1] END AS fact_rule FROM {o('issues')}")
