@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factflow.llm import vectext as V
-from factflow.llm.shared import renamed
+from factflow.llm.shared import renamed, written
 
 _PLACE = np.uint64((1 << 21) - 1)
-PIECE = 1 << 20
-CHUNK_ROWS = 4096
+PIECE = 1 << 19
+CHUNK_ROWS = 2048
 
 
 def byte_units(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -238,8 +238,9 @@ def covered(docs: DataFrame, scheme: Scheme, method: Callable, id_col: str, text
     kind = own.schema["id"].dataType.simpleString()
     key = f"id {kind}, fp long"
     rows = own.select("id", "text", "fp").mapInArrow(_anchored(scheme), f"{key}, core long, spot long")
-    rows = rows.groupBy("core", "spot", "fp").agg(F.min(F.struct("id")).alias("who"), F.count("*").alias("copies"))
-    often = rows.groupBy("core").agg(F.sum("copies").alias("times"), F.count("*").alias("rows")).where("times > 1")
+    rows = written(rows.groupBy("core", "spot", "fp").agg(F.min(F.struct("id")).alias("who"), F.count("*").alias("copies")))
+    often = written(rows.groupBy("core").agg(F.sum("copies").alias("times"), F.count("*").alias("rows")).where("times > 1"))
+    any_hot = not often.where(F.col("rows") > hot).isEmpty()
     found = rows.join(often.hint("merge"), "core").select(F.col("who.id").alias("id"), "fp", F.struct("core", "spot", "copies", "rows").alias("w"))
     wanted = found.groupBy("id", "fp").agg(F.collect_list("w").alias("wanted"))
 
@@ -255,9 +256,10 @@ def covered(docs: DataFrame, scheme: Scheme, method: Callable, id_col: str, text
 
     small = around(lambda w: w["rows"] <= hot).repartition("core").sortWithinPartitions("core")
     spans = small.mapInArrow(_resolved(scheme, method), f"{key}, a long, b long")
-    large = around(lambda w: w["rows"] > hot).mapInArrow(_spread_out(scheme), f"{key}, core long, w long, copies long, a long")
-    twice = large.groupBy("core", "w").agg(F.sum("copies").alias("n")).where("n > 1")
-    spans = spans.unionByName(large.join(twice, ["core", "w"], "left_semi").select("id", "fp", "a", (F.col("a") + scheme.window).alias("b")))
+    if any_hot:
+        large = around(lambda w: w["rows"] > hot).mapInArrow(_spread_out(scheme), f"{key}, core long, w long, copies long, a long")
+        twice = large.groupBy("core", "w").agg(F.sum("copies").alias("n")).where("n > 1")
+        spans = spans.unionByName(large.join(twice, ["core", "w"], "left_semi").select("id", "fp", "a", (F.col("a") + scheme.window).alias("b")))
     copied = own.select("id", "fp", F.octet_length("text").alias("size")).where(F.col("size") >= scheme.window)
     again = copied.groupBy("fp", "size").agg(F.count("*").alias("n")).where("n > 1")
     spans = spans.unionByName(copied.join(again, ["fp", "size"], "left_semi").select("id", "fp", F.lit(0).cast("long").alias("a"), F.lit(1 << 60).alias("b")))

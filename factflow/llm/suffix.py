@@ -33,7 +33,7 @@ from factflow.llm import vectext as V
 
 WINDOW, CORE, BLOCK, HOT = 400, 64, 32, 20_000
 SCHEME = R.Scheme(R.byte_units, WINDOW, CORE)
-CELLS = 1 << 20
+CELLS = 1 << 18
 
 
 def suffix_array(symbols: list[int]) -> list[int]:
