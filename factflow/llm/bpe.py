@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from factflow.llm import vectext as V
 
-CACHE = 250_000
+CACHE = 400_000
 _SPACE = "\t-\r \x85\xa0  -     　"
 _CHUNK = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
@@ -161,7 +161,7 @@ class Cache:
 
     def values(self, keys: Iterable) -> Callable:
         """A getter that knows ``keys``."""
-        lacking = (keys := set(keys)) - self.now.keys()
+        lacking = (keys := keys if isinstance(keys, set) else set(keys)) - self.now.keys()
         if len(self.now) + len(lacking) > CACHE:
             self.now, self.old = {}, self.now
             lacking = keys
@@ -173,7 +173,7 @@ class Cache:
 
 def packed(texts: list[list[str]], cache: Cache) -> list[np.ndarray]:
     """The ids of each text, given as its chunks; the cache has each chunk's ids as uint32 bytes."""
-    get = cache.values(c for t in texts for c in t)
+    get = cache.values(set().union(*texts))
     return [np.frombuffer(b"".join(map(get, t)), np.uint32) for t in texts]
 
 

@@ -38,6 +38,7 @@ NO_ID = -(1 << 63)
 # The code points that the vocabulary file's \s matches.
 _SPACE = "\t-\r \x85\xa0  -     　"
 _CHUNK = re.compile(f"[^{_SPACE}]+")
+_PLAIN = re.compile("([a-z\xdf-\xf6\xf8-\xff]+)([.,;:!?#$%&*]*)")
 
 
 @lru_cache(maxsize=2)
@@ -52,11 +53,37 @@ def _tokenizer(path: str):
 
 
 def chunk_cache(vocab_path: str) -> Cache:
-    """White space is dropped before the merges and never joins its neighbours, so chunks between it encode alone."""
+    """White space is dropped before the merges and never joins its neighbours, so chunks between it encode alone.
+
+    Most new chunks are a plain word with punctuation behind it. Words and punctuation are
+    separate pieces for the library too, so new words are encoded as one text, a piece
+    each, and told apart by the library's piece numbers.
+    """
+    t = _tokenizer(vocab_path)
+
+    def alone(chunks: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint32).tobytes() for e in t.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def together(words: list[str]) -> list[bytes]:
+        out = []
+        for lo in range(0, len(words), 4096):
+            part = words[lo : lo + 4096]
+            e = t.encode(" ".join(part), add_special_tokens=False)
+            ids, piece = np.array(e.ids, np.uint32), np.array(e.word_ids, np.int64)
+            cut = np.searchsorted(piece, np.arange(len(part) + 1))
+            data, ends = ids.tobytes(), (4 * cut).tolist()
+            if not len(piece) or piece[-1] != len(part) - 1:
+                raise ValueError("pieces differ from words")
+            out += [data[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+        return out
+
+    words, others = Cache(together), Cache(alone)
 
     def fill(chunks: list[str]) -> list[bytes]:
-        done = _tokenizer(vocab_path).encode_batch_fast(chunks, add_special_tokens=False)
-        return [np.array(e.ids, np.uint32).tobytes() for e in done]
+        split = [_PLAIN.fullmatch(c.lower()) for c in chunks]
+        word = words.values({m[1] for m in split if m})
+        other = others.values({m[2] for m in split if m} | {c for c, m in zip(chunks, split, strict=True) if not m})
+        return [word(m[1]) + other(m[2]) if m else other(c) for c, m in zip(chunks, split, strict=True)]
 
     return Cache(fill)
 
