@@ -214,9 +214,9 @@ def interpret_normalize(t: Tables) -> DataFrame:
     return parsed.select("doc_id", F.when(F.col("f.category").isin(*K.REVIEW_CATEGORIES), F.col("f.category")).otherwise("other_mismatch").alias("category"), correct.alias("correct_value"), F.array_join(F.when(F.size(terms) > 0, terms).otherwise(F.array("f.text")), "|").alias("terms"), correct.isNull().alias("vague"))
 
 
-@query("rule_from_fact", f"SELECT rule_id, CASE WHEN stale_patterns <> '[]' THEN 'stale' ELSE 'query' END AS rule_type FROM {o('rules')}")
+@query("rule_from_fact", f"SELECT rule_id, CASE WHEN stale_patterns <> '[]' THEN 'stale' ELSE 'query' END AS rule_type FROM {o('registry')}")
 def rule_from_fact(t: Tables) -> DataFrame:
-    return t.fx("rules").select("rule_id", F.when(F.size(F.from_json("stale_patterns", "array<string>")) > 0, "stale").otherwise("query").alias("rule_type"))
+    return t.fx("registry").select("rule_id", F.when(F.size(F.from_json("stale_patterns", "array<string>")) > 0, "stale").otherwise("query").alias("rule_type"))
 
 
 # L: search

@@ -79,6 +79,22 @@ def products(d) -> str:
     return " UNION ALL ".join(f"SELECT CAST({a} AS INT) AS product_id, CAST({b} AS INT) AS source_id, '{n}' AS name, CAST({f} AS INT) AS is_default, '{al}' AS aliases" for a, b, n, f, al in rows)
 
 
+def registry(d) -> str:
+    """A rule for every page, of the stored forms in turn."""
+    return f"""
+SELECT CAST(p.page_id AS INT) AS rule_id, r.slug || '_' || p.page_id AS slug, r.rule_type, r.category, r.correct_value, r.stale_patterns, r.current_patterns, r.allowed_patterns, r.required_context,
+  r.context_window, r.severity, r.english_only, r.enabled, CASE WHEN r.product_id IS NULL THEN NULL ELSE CAST(p.page_id % 50 AS INT) END AS product_id
+FROM {d.t('pages')} p JOIN ({rules(d)}) r ON r.rule_id = p.page_id % 8 + 1"""
+
+
+def catalog(d) -> str:
+    """A product for every page; names and aliases repeat in other cases."""
+    return f"""
+SELECT CAST(page_id AS INT) AS product_id, CAST(page_id % 3 + 1 AS INT) AS source_id, CASE page_id % 2 WHEN 0 THEN 'Atlas ' || (page_id % 40) ELSE 'Beacon ' || page_id END AS name,
+  CAST(CASE WHEN page_id % 7 = 0 THEN 1 ELSE 0 END AS INT) AS is_default, CASE WHEN page_id % 5 = 0 THEN '' ELSE 'atlas ' || (page_id % 40) || ',al' || page_id || ',' || regexp_extract(url, '://([^/?#]+)', 1) END AS aliases
+FROM {d.t('pages')}"""
+
+
 def matches(d) -> str:
     return f"""
 SELECT CAST(doc_id % 8 + 1 AS INT) AS rule_id, doc_id AS url_id, CAST(0 AS BIGINT) AS external_page_id,

@@ -180,10 +180,10 @@ def run_duration(t: Tables) -> DataFrame:
     return t.fx("jobs").select("job_id", (F.unix_timestamp(F.to_timestamp("finished_at")) - F.unix_timestamp(F.to_timestamp("started_at"))).alias("seconds"))
 
 
-@query("json_array_safe", f"SELECT rule_id, CAST(coalesce(len(TRY_CAST(CASE WHEN json_valid(current_patterns) THEN current_patterns END AS VARCHAR[])), 0) AS INT) AS n, coalesce(array_to_string(TRY_CAST(CASE WHEN json_valid(current_patterns) THEN json(current_patterns) END AS VARCHAR[]), '|'), '') AS patterns FROM {o('rules')}")
+@query("json_array_safe", f"SELECT rule_id, CAST(coalesce(len(TRY_CAST(CASE WHEN json_valid(current_patterns) THEN current_patterns END AS VARCHAR[])), 0) AS INT) AS n, coalesce(array_to_string(TRY_CAST(CASE WHEN json_valid(current_patterns) THEN json(current_patterns) END AS VARCHAR[]), '|'), '') AS patterns FROM {o('registry')}")
 def json_array_safe(t: Tables) -> DataFrame:
     a = X.json_strings(F.col("current_patterns"))
-    return t.fx("rules").select("rule_id", F.size(a).alias("n"), F.array_join(a, "|").alias("patterns"))
+    return t.fx("registry").select("rule_id", F.size(a).alias("n"), F.array_join(a, "|").alias("patterns"))
 
 
 @query("severity_floor", f"SELECT issue_id, CASE WHEN severity IN ('critical', 'high') THEN severity ELSE 'medium' END AS floored, CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS rank FROM {o('issues')}")

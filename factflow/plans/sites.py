@@ -17,6 +17,7 @@ from factflow.plans.tables import _JOINED, _LATEST, findings
 from factflow.sources import landed as A
 from factflow.streaming import sync as P
 
+_RG, _CT = o("registry"), o("catalog")
 _I, _U, _M, _R, _P, _C, _X, _J, _F = (o(n) for n in ("issues", "urls", "matches", "rules", "products", "crawls", "external", "jobs", "faqs"))
 
 # M: state
@@ -67,10 +68,10 @@ def merge_urls(t: Tables) -> DataFrame:
     return M.merge(u.where("url_id % 2 = 0").select("url_id", "first_seen", "lastmod"), new, ["url_id"], new_first=["lastmod"])
 
 
-@query("rules_import_merge", f"SELECT slug, severity, coalesce(correct_value, '-') AS correct_value FROM (SELECT slug, CASE WHEN rule_id % 2 = 0 THEN 'low' ELSE severity END AS severity, CASE WHEN rule_id % 2 = 0 THEN 'imported' ELSE correct_value END AS correct_value FROM {_R} UNION ALL SELECT 'brand_new', 'low', 'imported')")
+@query("rules_import_merge", f"SELECT slug, severity, coalesce(correct_value, '-') AS correct_value FROM (SELECT slug, CASE WHEN rule_id % 2 = 0 THEN 'low' ELSE severity END AS severity, CASE WHEN rule_id % 2 = 0 THEN 'imported' ELSE correct_value END AS correct_value FROM {_RG} UNION ALL SELECT 'brand_new', 'low', 'imported')")
 def rules_import_merge(t: Tables) -> DataFrame:
-    r = t.fx("rules").select("slug", "severity", "correct_value")
-    new = t.fx("rules").where("rule_id % 2 = 0").select("slug").unionByName(t.spark.createDataFrame([("brand_new",)], "slug string")).select("slug", F.lit("low").alias("severity"), F.lit("imported").alias("correct_value"))
+    r = t.fx("registry").select("slug", "severity", "correct_value")
+    new = t.fx("registry").where("rule_id % 2 = 0").select("slug").unionByName(t.spark.createDataFrame([("brand_new",)], "slug string")).select("slug", F.lit("low").alias("severity"), F.lit("imported").alias("correct_value"))
     return M.merge(r, new, ["slug"], new_first=["severity", "correct_value"]).select("slug", "severity", F.coalesce("correct_value", F.lit("-")).alias("correct_value"))
 
 
@@ -229,23 +230,23 @@ def robots_sitemaps(t: Tables) -> DataFrame:
     return A.robots_sitemaps(t.pages.select("page_id", text.alias("txt")), "txt")
 
 
-_LOADED = f"SELECT slug, rule_type, coalesce(context_window, 120) AS context_window, coalesce(severity, 'medium') AS severity, CASE WHEN rule_type = 'inventory' THEN correct_value END AS canonical_value, p.name AS product_name FROM {_R} r LEFT JOIN {_P} p USING (product_id) WHERE enabled = 1"
+_LOADED = f"SELECT slug, rule_type, coalesce(context_window, 120) AS context_window, coalesce(severity, 'medium') AS severity, CASE WHEN rule_type = 'inventory' THEN correct_value END AS canonical_value, p.name AS product_name FROM {_RG} r LEFT JOIN {_CT} p USING (product_id) WHERE enabled = 1"
 _COLS = ["slug", "rule_type", "context_window", "severity", "canonical_value", "product_name"]
 
 
 @query("rules_load", _LOADED)
 def rules_load(t: Tables) -> DataFrame:
-    return A.load_rules(t.fx("rules"), t.fx("products")).select(_COLS)
+    return A.load_rules(t.fx("registry"), t.fx("catalog")).select(_COLS)
 
 
 @query("rules_for_product", _LOADED + " AND (r.product_id IS NULL OR r.product_id = 1)")
 def rules_for_product(t: Tables) -> DataFrame:
-    return A.load_rules(t.fx("rules"), t.fx("products"), product_id=1).select(_COLS)
+    return A.load_rules(t.fx("registry"), t.fx("catalog"), product_id=1).select(_COLS)
 
 
-@query("features_load", f"SELECT name, len(list_filter(string_split(aliases, ','), lambda x: x <> ''))::INT AS n FROM {_P}")
+@query("features_load", f"SELECT name, len(list_filter(string_split(aliases, ','), lambda x: x <> ''))::INT AS n FROM {_CT}")
 def features_load(t: Tables) -> DataFrame:
-    stored = t.fx("products").select("name", F.to_json(F.filter(F.split("aliases", ","), lambda x: x != "")).alias("j"))
+    stored = t.fx("catalog").select("name", F.to_json(F.filter(F.split("aliases", ","), lambda x: x != "")).alias("j"))
     return stored.select("name", F.size(X.json_strings(F.col("j"))).alias("n"))
 
 

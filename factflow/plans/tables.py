@@ -12,6 +12,7 @@ from factflow.plans.registry import Tables, o, query
 
 _RANK = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END"
 _IN = ", ".join(f"'{c}'" for c in INTERNAL)
+_CT = o("catalog")
 _I, _U, _P, _C, _M, _R, _X, _J = (o(n) for n in ("issues", "urls", "products", "crawls", "matches", "rules", "external", "jobs"))
 _JOINED = f"(SELECT i.*, u.url, u.locale, u.section, r.url AS related_url, p.name AS product_name FROM {_I} i JOIN {_U} u USING (url_id) LEFT JOIN {_U} r ON r.url_id = i.related_url_id AND i.related_url_id <> 0 LEFT JOIN {_P} p ON p.product_id = i.product_id)"
 _LATEST = f"(SELECT * FROM {_C} QUALIFY row_number() OVER (PARTITION BY url_id ORDER BY crawl_id DESC) = 1)"
@@ -364,9 +365,9 @@ def usage_cost(t: Tables) -> DataFrame:
     return log.join(prices, "model").groupBy("model").agg(F.count("*").alias("calls"), F.sum("n_chars").alias("tokens"), F.round(F.sum(F.col("n_chars") * F.col("price")), 6).alias("spend"))
 
 
-@query("rules_context", f"SELECT source_id, coalesce(string_agg('- ' || name || ': ' || aliases, chr(10) ORDER BY product_id), '(none)') AS context FROM {_P} GROUP BY source_id")
+@query("rules_context", f"SELECT source_id, coalesce(string_agg('- ' || name || ': ' || aliases, chr(10) ORDER BY product_id), '(none)') AS context FROM {_CT} GROUP BY source_id")
 def rules_context(t: Tables) -> DataFrame:
-    g = t.fx("products").groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("product_id", "name", "aliases"))).alias("p"))
+    g = t.fx("catalog").groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("product_id", "name", "aliases"))).alias("p"))
     line = F.array_join(F.transform("p", lambda x: F.concat(F.lit("- "), x["name"], F.lit(": "), x["aliases"])), "\n")
     return g.select("source_id", F.when(F.size("p") == 0, "(none)").otherwise(line).alias("context"))
 
@@ -421,9 +422,9 @@ def locale_intersect(t: Tables) -> DataFrame:
     return t.fx("urls").select("locale").intersect(t.spark.createDataFrame([("en",), ("fr",), ("xx",)], "locale string"))
 
 
-@query("brand_aliases", f"SELECT source_id, arg_min(a, k) AS alias, min(k) AS place FROM (SELECT source_id, a, product_id * 100 + row_number() OVER (PARTITION BY product_id ORDER BY pos) AS k FROM (SELECT source_id, product_id, unnest(x) AS a, generate_subscripts(x, 1) AS pos FROM (SELECT *, string_split(name || ',' || aliases, ',') AS x FROM {_P})) WHERE a <> '') GROUP BY source_id, lower(a)")
+@query("brand_aliases", f"SELECT source_id, arg_min(a, k) AS alias, min(k) AS place FROM (SELECT source_id, a, product_id * 100 + row_number() OVER (PARTITION BY product_id ORDER BY pos) AS k FROM (SELECT source_id, product_id, unnest(x) AS a, generate_subscripts(x, 1) AS pos FROM (SELECT *, string_split(name || ',' || aliases, ',') AS x FROM {_CT})) WHERE a <> '') GROUP BY source_id, lower(a)")
 def brand_aliases(t: Tables) -> DataFrame:
-    names = t.fx("products").select("source_id", "product_id", F.posexplode(F.filter(F.split(F.concat_ws(",", "name", "aliases"), ","), lambda x: x != "")).alias("pos", "a")).withColumn("k", F.col("product_id") * 100 + F.col("pos") + 1)
+    names = t.fx("catalog").select("source_id", "product_id", F.posexplode(F.filter(F.split(F.concat_ws(",", "name", "aliases"), ","), lambda x: x != "")).alias("pos", "a")).withColumn("k", F.col("product_id") * 100 + F.col("pos") + 1)
     return names.groupBy("source_id", F.lower("a").alias("low")).agg(F.min_by("a", "k").alias("alias"), F.min("k").cast("long").alias("place")).drop("low")
 
 
