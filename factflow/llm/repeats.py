@@ -158,30 +158,30 @@ def _stretched(scheme: Scheme):
 
 @dataclass
 class Groups:
-    """Rows of whole anchor groups: the units around each anchor, one row after another."""
+    """Different stretches of whole anchor groups; ``copies`` counts the texts and places that a stretch stands for."""
 
     core: np.ndarray
-    place: np.ndarray
     before: np.ndarray  # units before the anchor, the largest offset of a window's start
     least: np.ndarray  # the smallest such offset
     copies: np.ndarray
     raw: np.ndarray
-    units: np.ndarray
-    bounds: np.ndarray
+    offsets: np.ndarray
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[tuple[pa.Table, Groups]]:
+def _gathered(t: pa.Table) -> tuple[Groups, np.ndarray, np.ndarray]:
+    """Groups of a table's rows, and for each row its stretch and its anchor's place."""
+    core, spot, copies = (t.column(c).to_numpy() for c in ("core", "spot", "copies"))
+    coded = t.column("around").combine_chunks().dictionary_encode()
+    number, before, least = coded.indices.to_numpy(), (spot >> 10) & 1023, spot & 1023
+    _, first, of = np.unique(number.astype(np.int64) << 20 | before << 10 | least, return_index=True, return_inverse=True)
+    raw, offsets = V.buffer_of(coded.dictionary.take(pa.array(number[first])))
+    return Groups(core[first], before[first], least[first], np.bincount(of, copies).astype(np.int64), raw, offsets), of, spot >> 20
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Whole groups, about ``CHUNK_ROWS`` rows at a time, from batches sorted by core."""
     held: list[pa.RecordBatch] = []
     count = 0
-
-    def joined(parts: list[pa.RecordBatch]) -> tuple[pa.Table, Groups]:
-        t = pa.Table.from_batches(parts).combine_chunks()
-        raw, offsets = V.buffer_of(t.column("around"))
-        units, bounds, _, _ = scheme.units(raw, offsets)
-        core, spot, copies = (t.column(c).to_numpy() for c in ("core", "spot", "copies"))
-        return t, Groups(core, spot >> 20, (spot >> 10) & 1023, spot & 1023, copies, raw, units, bounds)
-
     for whole in batches:
         for lo in range(0, whole.num_rows, CHUNK_ROWS):
             b = whole.slice(lo, CHUNK_ROWS)
@@ -193,20 +193,28 @@ def _chunks(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[tuple
                 count += cut
                 if cut == len(core):
                     continue
-                yield joined(held)
+                yield pa.Table.from_batches(held)
                 held, count, b = [], 0, b.slice(cut)
             held.append(b)
             count += b.num_rows
     if count:
-        yield joined(held)
+        yield pa.Table.from_batches(held)
 
 
 def _resolved(scheme: Scheme, method: Callable[[Groups, Scheme], tuple[np.ndarray, np.ndarray, np.ndarray]]):
+    """Spans of repeated windows; the method gives them by stretch and relative to the anchor, each row takes them over."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, g in _chunks(batches, scheme):
-            row, a, b = method(g, scheme)
+        for t in _chunks(batches):
+            g, of, place = _gathered(t)
+            stretch, lo, hi = method(g, scheme)
+            rows, n = np.argsort(of, kind="stable"), np.bincount(of, minlength=len(g.core))
+            start, times = np.cumsum(n) - n, n[stretch]
+            row = rows[np.repeat(start[stretch] - (np.cumsum(times) - times), times) + np.arange(times.sum())]
             at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([t.column("id").combine_chunks().take(at), t.column("fp").combine_chunks().take(at), pa.array(a), pa.array(b)], names=["id", "fp", "a", "b"])
+            yield pa.RecordBatch.from_arrays([t.column("id").combine_chunks().take(at), t.column("fp").combine_chunks().take(at), pa.array(place[row] + np.repeat(lo, times)), pa.array(place[row] + np.repeat(hi, times))], names=["id", "fp", "a", "b"])
+            del t, g
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -215,14 +223,19 @@ def _spread_out(scheme: Scheme):
     """Every window of hot groups by its hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, g in _chunks(batches, scheme):
-            n = g.before - g.least + 1
-            row = np.repeat(np.arange(len(n)), n)
-            inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            w = hashed_runs(g.units, scheme.window)[g.bounds[row] + inside]
-            at = pa.array(row)
-            start = g.place[row] - g.before[row] + inside
-            yield pa.RecordBatch.from_arrays([t.column("id").combine_chunks().take(at), t.column("fp").combine_chunks().take(at), pa.array(g.core[row]), pa.array(w.view(np.int64)), pa.array(g.copies[row]), pa.array(start)], names=["id", "fp", "core", "w", "copies", "a"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, CHUNK_ROWS):
+                t = whole.slice(lo, CHUNK_ROWS)
+                core, spot = t.column("core").to_numpy(), t.column("spot").to_numpy()
+                u, bounds, _, _ = scheme.units(*V.buffer_of(t.column("around")))
+                before = (spot >> 10) & 1023
+                n = before - (spot & 1023) + 1
+                row = np.repeat(np.arange(len(n)), n)
+                inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                w = hashed_runs(u, scheme.window)[bounds[row] + inside]
+                at = pa.array(row)
+                start = (spot >> 20)[row] - before[row] + inside
+                yield pa.RecordBatch.from_arrays([t.column("id").take(at), t.column("fp").take(at), pa.array(core[row]), pa.array(w.view(np.int64)), t.column("copies").take(at), pa.array(start)], names=["id", "fp", "core", "w", "copies", "a"])
 
     return run
 

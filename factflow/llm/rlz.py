@@ -60,19 +60,19 @@ def parsed(seeds: list[int], other: list[int], stop: list[int], lo: int) -> list
 
 
 def repeated_windows(g: R.Groups, scheme: R.Scheme) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, span start, span end) of all windows in these groups that occur more than once."""
+    """(stretch, start, end) of the spans, relative to the anchor, of all windows that occur more than once."""
+    units, bounds, _, _ = scheme.units(g.raw, g.offsets)
     n = g.before - g.least + 1
     row = np.repeat(np.arange(len(n)), n)
     base = np.cumsum(n) - n
     inside = np.arange(len(row)) - base[row]
-    seeds = R.hashed_runs(g.units, scheme.window)[g.bounds[row] + inside]
+    seeds = R.hashed_runs(units, scheme.window)[bounds[row] + inside]
     other = partners(seeds, g.core[row], g.copies[row])
     has = np.flatnonzero(np.add.reduceat((other >= 0).astype(np.int64), base)) if len(base) else np.zeros(0, np.int64)
     s, o, stop = seeds.tolist(), other.tolist(), (base + n)[row].tolist()
     spans = [(k, x - int(base[k]), y - int(base[k])) for k in has.tolist() for x, y in parsed(s, o, stop, int(base[k]))]
     k, x, y = np.array(spans, np.int64).reshape(-1, 3).T
-    start = g.place[k] - g.before[k]
-    return k, start + x, start + y - 1 + scheme.window
+    return k, x - g.before[k], y - 1 + scheme.window - g.before[k]
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

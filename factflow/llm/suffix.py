@@ -34,6 +34,7 @@ from factflow.llm import vectext as V
 WINDOW, CORE, BLOCK, HOT = 400, 64, 32, 20_000
 SCHEME = R.Scheme(R.byte_units, WINDOW, CORE)
 CELLS = 1 << 18
+_MIXED = V.mix(V._CODES[False])
 
 
 def suffix_array(symbols: list[int]) -> list[int]:
@@ -103,14 +104,14 @@ def suffix_array(symbols: list[int]) -> list[int]:
 
 
 def repeated_windows(g: R.Groups, scheme: R.Scheme) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, span start, span end) of all windows in these groups that occur more than once."""
+    """(stretch, start, end) of the spans, relative to the anchor, of all windows that occur more than once."""
     n, window = len(g.core), scheme.window
-    right = np.diff(g.bounds) - g.before
+    right = np.diff(g.offsets) - g.before
     wide = window + (-(window - CORE) % BLOCK)
     text = np.zeros((n, wide), np.uint8)
     row = np.repeat(np.arange(n), right)
     inside = np.arange(len(row)) - np.repeat(np.cumsum(right) - right, right)
-    text[row, inside] = g.raw[np.repeat(g.bounds[:-1] + g.before, right) + inside]
+    text[row, inside] = g.raw[np.repeat(g.offsets[:-1] + g.before, right) + inside]
     _, rank = np.unique(np.ascontiguousarray(text[:, CORE:]).view(f"S{BLOCK}"), return_inverse=True)
     rank = rank.reshape(n, -1)
     _, name = np.unique(g.core, return_inverse=True)
@@ -130,12 +131,16 @@ def repeated_windows(g: R.Groups, scheme: R.Scheme) -> tuple[np.ndarray, np.ndar
     lcp = np.minimum(lcp, np.minimum(right[rows[:-1]], right[rows[1:]]))
     lcp = np.concatenate(([0], np.where(g.core[rows[:-1]] == g.core[rows[1:]], lcp, 0)))
 
-    up, down = V._power_tables(len(g.units) + 1)
-    anchor = (g.bounds[:-1] + g.before)[rows]
+    # Hashes of what stands to the left: only that part of each stretch is taken.
+    left_row = np.repeat(np.arange(n), g.before)
+    left_end = np.cumsum(g.before)
+    codes = _MIXED[g.raw[g.offsets[left_row] + np.arange(len(left_row)) - np.repeat(left_end - g.before, g.before)]]
+    up, down = V._power_tables(len(codes) + 1)
+    anchor = left_end[rows]
     least, most, copies = g.least[rows], g.before[rows], g.copies[rows]
     out_row, out_e = [], []
     with np.errstate(over="ignore"):
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(V.mix(g.units) * up[: len(g.units)])))
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes * up[: len(codes)])))
         step = max(1, CELLS // max(1, n))
         for lo in range(0, int(most.max(initial=-1)) + 1, step):
             e = np.arange(lo, min(lo + step, int(most.max()) + 1))
@@ -154,7 +159,7 @@ def repeated_windows(g: R.Groups, scheme: R.Scheme) -> tuple[np.ndarray, np.ndar
     first = np.concatenate(([True], (k[1:] != k[:-1]) | (e[1:] != e[:-1] + 1)))[: len(k)]
     last = np.concatenate((first[1:], [True]))[: len(k)]
     at = rows[k[first]]
-    return at, g.place[at] - e[last], g.place[at] - e[first] + window
+    return at, -e[last], window - e[first]
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
