@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factflow.llm import vectext as V
-from factflow.llm.shared import renamed
+from factflow.llm.shared import renamed, small_batches
 
 SAMPLE, LINES, SHARE = 600, 200, 0.5
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -220,4 +220,5 @@ def kept_rows(docs: DataFrame, field: Field | None, text_col: str = "text", shar
             for b in V.slices(whole, text_col):
                 yield b.filter(pa.array(verdict(b.column(text_col), field, share)[-1]))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -25,6 +25,17 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows travel to Python in batches of at most ``BATCH_BYTES``, for long texts would else fill two workers' memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, "67108864b").rstrip("b")) not in range(1, BATCH_BYTES + 1):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def renamed(docs: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under internal names, so extra columns cannot clash."""
+    small_batches(docs.sparkSession)
     return docs.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SEGMENT = 1 << 21
+SEGMENT = 1 << 20
 _PRIME = np.uint64(0x9E3779B97F4A7C15 | 1)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -72,6 +72,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SEGMENT) -> Iterator[
         base = ends[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(ends, base + most, "right")))
         yield batch.slice(start, stop - start)
+        pa.default_memory_pool().release_unused()
         start = stop
 
 
