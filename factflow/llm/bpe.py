@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factflow.llm import vectext as V
+from factflow.llm.shared import small_batches
 
 CACHE = 400_000
 _SPACE = "\t-\r \x85\xa0  -     　"
@@ -215,6 +216,7 @@ def encode(docs: DataFrame, vocab_path: str, text_col: str = "text", ids_col: st
                 texts = [_chunks(vocab, t) if t else [] for t in b.column(text_col).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*b.columns, ids_batch(packed(texts, cache))], names=[*b.schema.names, ids_col])
 
+    small_batches(docs.sparkSession)
     docs = docs.drop(ids_col)
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
 
@@ -230,6 +232,7 @@ def decode(rows: DataFrame, vocab_path: str, ids_col: str = "ids", text_col: str
             texts = [vocab.text(values[lo:hi].astype(np.int64)).decode("utf-8", "replace") for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, text_col])
 
+    small_batches(rows.sparkSession)
     rows = rows.drop(text_col)
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(text_col, T.StringType())]))
 
