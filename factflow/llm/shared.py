@@ -31,7 +31,7 @@ BATCH_BYTES = 4 << 20
 def small_batches(spark: SparkSession) -> None:
     """Rows travel to Python in batches of at most ``BATCH_BYTES``, for long texts would else fill two workers' memory."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key, "67108864b").rstrip("b")) not in range(1, BATCH_BYTES + 1):
+    if spark.conf.get(key, "") != str(BATCH_BYTES):
         spark.conf.set(key, str(BATCH_BYTES))
 
 
