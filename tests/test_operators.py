@@ -15,9 +15,9 @@ def finding(i, **more):
 
 
 def test_rule_names_of_titles(spark):
-    titles = ["sds_database_size:stale", "llm:language_count:abc", "lang_ctx:SDS documents:29", "plain"]
+    titles = ["database_size:stale", "llm:language_count:abc", "lang_ctx:all documents:29", "plain"]
     got = spark.createDataFrame([(t,) for t in titles], "t string").select(X.fact_rule_of(F.col("t")).alias("r")).collect()
-    assert [r.r for r in got] == ["sds_database_size", "llm:language_count", "lang_ctx:SDS documents", "plain"]
+    assert [r.r for r in got] == ["database_size", "llm:language_count", "lang_ctx:all documents", "plain"]
 
 
 def test_sentence_ends_skip_decimals_and_take_cjk(spark):
