@@ -30,9 +30,7 @@ BATCH_BYTES = 4 << 20
 
 def small_batches(spark: SparkSession) -> None:
     """Rows travel to Python in batches of at most ``BATCH_BYTES``, for long texts would else fill two workers' memory."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "") != str(BATCH_BYTES):
-        spark.conf.set(key, str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def renamed(docs: DataFrame, **columns: str) -> DataFrame:
