@@ -6,7 +6,7 @@ but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factflow.llm import bpe, decontam, minhash, quality, suffix
@@ -20,10 +20,27 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.kept_rows(docs, field)
 
 
+ROW = "__row"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a hash of id and text, never null: rows that share an id but not a text, or have no id, stay apart."""
+    return docs.withColumn(ROW, F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(docs.columns)
+    """Of each group of near copies the document with the smallest id stays.
+
+    Every row is judged on its own text. Rows without an id are linked with nothing and
+    stay; of rows equal in id and text one stays.
+    """
+    keyed = _keyed(docs)
+    named = keyed.where("doc_id IS NOT NULL").select(ROW, "doc_id").distinct()
+    placed = minhash.near_duplicates(keyed.where("doc_id IS NOT NULL"), id_col=ROW).select(ROW, "component_id").distinct()
+    kept = placed.join(named, ROW).groupBy("component_id").agg(F.min(F.struct("doc_id", ROW))[ROW].alias(ROW)).select(ROW)
+    kept = kept.unionByName(keyed.where("doc_id IS NULL").select(ROW).distinct())
+    first = F.row_number().over(Window.partitionBy(ROW).orderBy(ROW))
+    return keyed.join(kept.hint("merge"), ROW, "left_semi").withColumn("__first", first).where("__first = 1").select(docs.columns)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +49,10 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    found = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(found.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    """Documents that hold a benchmark item go, each row judged on its own text."""
+    keyed = _keyed(docs)
+    found = decontam.contaminated(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=ROW).select(ROW).distinct()
+    return keyed.join(found.hint("merge"), ROW, "left_anti").select(docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -199,3 +199,20 @@ def test_pipeline_stages(spark):
     clean = p.decontamination(spark, unique, DIR)
     assert clean.columns == docs.columns and 0 < clean.count() < unique.count()
     assert p.run(spark, DIR).count() > 0
+
+
+def test_pipeline_judges_rows_not_ids(spark):
+    import corpus_pipeline as p
+
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(None, a), (None, b), (5, a), (3, a), (3, a), (3, b), (3, c), (7, c), (8, None), (8, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    got = p.near_dedup(spark, docs, DIR)
+    assert got.columns == docs.columns
+    assert sorted(map(str, got.select("doc_id", "text").collect())) == sorted(map(str, spark.createDataFrame([(None, a), (None, b), (3, a), (3, b), (3, c), (8, None), (None, None)], "doc_id long, text string").collect()))
+
+    item = pq.read_table(f"{DIR}/benchmark.parquet", columns=["text"])["text"][0].as_py()
+    rows = [(None, f"before {item} after"), (None, b), (1, item), (1, a), (2, a), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    got = p.decontamination(spark, docs, DIR).select("doc_id", "text").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(None, b), (1, a), (2, a), (None, None)]))
