@@ -2,12 +2,14 @@
 
 Texts are cut into tokens. Numbers, names (capitalised inside a sentence) and units become
 typed placeholders, everything else is lower-cased; punctuation and spacing do not count.
-Windows of ``WIDTH`` template tokens of the benchmark are hash-joined with those of the
-documents. Matches of one document, one item and one shift form an instance. An instance is
-consistent if equal slot values of the item stand for equal values in the document, so a
-question asked with other numbers or names is found, and a chance mixture is not. A
-document is contaminated by an item if consistent instances cover at least ``COVER`` of
-the item's tokens.
+Windows of ``WIDTH`` tokens of the benchmark are hash-joined with those of the documents
+under two keys: the lower-cased words themselves, so that a verbatim copy is found whatever
+its case, its place in a sentence and its number of slots, and the template, for windows of
+1 to ``MOST_SLOTS`` slots. Matches of one document, one item and one shift form an
+instance. An instance is consistent if equal slot values of the item stand for equal values
+in the document, so a question asked with other numbers or names is found, and a chance
+mixture is not; of an inconsistent one only the verbatim windows count. A document is
+contaminated by an item if its instances cover at least ``COVER`` of the item's tokens.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factflow.llm import vectext as V
@@ -36,7 +38,7 @@ _DIGIT, _UPPER, _LOWER, _STOP = (np.zeros(256, bool) for _ in range(4))
 _DIGIT[48:58] = _UPPER[65:91] = _LOWER[97:123] = True
 _LOWER[128:] = True
 _STOP[list(b".!?\n:;\"|")] = True
-NUMBER, NAME, UNIT = np.uint64(101), np.uint64(102), np.uint64(103)
+NUMBER, NAME, UNIT, VERBATIM = np.uint64(101), np.uint64(102), np.uint64(103), np.uint64(104)
 _UNIT_HASHES = np.sort(V.words_of(*V.buffer_of(pa.array(UNITS)), space=_BETWEEN, fold=True)[3])
 
 
@@ -76,11 +78,9 @@ def _joined_numbers(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _windows(width: int, texts: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
-    bounds, template, plain, slot = tokens(texts)
-    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    first, w = V.windows(template, text, width)
-    return bounds, template, plain, slot, text[first], first, w
+def _windows(width: int, keys: np.ndarray, text: np.ndarray, verbatim: bool) -> tuple[np.ndarray, np.ndarray]:
+    first, w = V.windows(keys, text, width)
+    return first, V.mix(w ^ VERBATIM) if verbatim else w
 
 
 def _rows(ids: pa.Array, of: np.ndarray, at: np.ndarray, w: np.ndarray, first: np.ndarray, width: int, plain: np.ndarray, slot: np.ndarray) -> pa.RecordBatch:
@@ -93,30 +93,41 @@ def _rows(ids: pa.Array, of: np.ndarray, at: np.ndarray, w: np.ndarray, first: n
 
 
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of items: of ``WIDTH`` tokens, or the whole of a shorter item; mostly placeholders are left out."""
+    """Windows of items: of ``WIDTH`` tokens, or the whole of a shorter item; by template only with 1 to ``MOST_SLOTS`` slots."""
     for b in batches:
-        bounds, *_ = tokens(b.column("text"))
+        bounds, template, plain, slot = tokens(b.column("text"))
         size = np.diff(bounds)
+        text = np.repeat(np.arange(len(size)), size)
+        many = np.concatenate(([0], np.cumsum(slot)))
+        worded = many[bounds[1:]] - many[bounds[:-1]] < size
         for width in range(SHORTEST, WIDTH + 1):
-            _, _, plain, slot, of, first, w = _windows(width, b.column("text"))
-            ok = (size[of] >= WIDTH) if width == WIDTH else (size[of] == width)
-            many = np.concatenate(([0], np.cumsum(slot)))
-            ok &= many[first + width] - many[first] <= MOST_SLOTS
-            of, first, w = of[ok], first[ok], w[ok]
-            rows = _rows(b.column("id"), of, first - bounds[of], w, first, width, plain, slot)
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(len(of), width)), pa.array(size[of])], names=[*rows.schema.names, "width", "size"])
+            for verbatim in (True, False):
+                first, w = _windows(width, plain if verbatim else template, text, verbatim)
+                of = text[first]
+                ok = worded[of] & ((size[of] >= WIDTH) if width == WIDTH else (size[of] == width))
+                if not verbatim:
+                    held = many[first + width] - many[first]
+                    ok &= (held > 0) & (held <= MOST_SLOTS)
+                of, first, w = of[ok], first[ok], w[ok]
+                rows = _rows(b.column("id"), of, first - bounds[of], w, first, width, plain, slot)
+                more = [pa.array(np.full(len(of), width)), pa.array(size[of]), pa.array(np.full(len(of), verbatim))]
+                yield pa.RecordBatch.from_arrays([*rows.columns, *more], names=[*rows.schema.names, "width", "size", "verbatim"])
 
 
 def _document_windows(widths: list[int], known: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in V.slices(whole, "text"):
+                bounds, template, plain, slot = tokens(b.column("text"))
+                text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
                 for width in widths:
-                    bounds, _, plain, slot, of, first, w = _windows(width, b.column("text"))
-                    if known is not None:
-                        hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, w), len(known) - 1)] == w)
-                        of, first, w = of[hit], first[hit], w[hit]
-                    yield _rows(b.column("id"), of, first - bounds[of], w, first, width, plain, slot)
+                    for verbatim in (True, False):
+                        first, w = _windows(width, plain if verbatim else template, text, verbatim)
+                        if known is not None:
+                            hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, w), len(known) - 1)] == w)
+                            first, w = first[hit], w[hit]
+                        of = text[first]
+                        yield _rows(b.column("id"), of, first - bounds[of], w, first, width, plain, slot)
 
     return run
 
@@ -124,14 +135,15 @@ def _document_windows(widths: list[int], known: np.ndarray | None):
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", cover: float = COVER, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per contaminated pair: id, item_id, n_tokens (of the item), n_covered, changed (slot values differ somewhere).
 
-    Items of fewer than ``SHORTEST`` tokens are not looked for. Null texts hold nothing; rows
+    Items of fewer than ``SHORTEST`` tokens, and items of nothing but slots (such as a row of
+    numbers), are not looked for. Null texts hold nothing; rows
     that repeat a document id are one document, and rows without an id give pairs without
     one. Item windows are counted first: up to ``broadcast_rows`` they travel to the tasks
     and documents send only windows that hit; beyond it all windows meet in a shuffle.
     """
     items = renamed(benchmark, id=item_col, text=item_text_col).where("text IS NOT NULL")
     kind = items.schema["id"].dataType.simpleString()
-    indexed = items.mapInArrow(_item_windows, f"id {kind}, w long, at long, slots array<long>, width long, size long").distinct().cache()
+    indexed = items.mapInArrow(_item_windows, f"id {kind}, w long, at long, slots array<long>, width long, size long, verbatim boolean").distinct().cache()
     widths = sorted(r.width for r in indexed.select("width").distinct().collect())
     few = indexed.count() <= broadcast_rows
     known = np.unique(np.array([r.w for r in indexed.select("w").distinct().collect()], np.int64).view(np.uint64)) if few and widths else None
@@ -139,15 +151,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     own = renamed(docs, id=id_col, text=text_col).where("text IS NOT NULL")
     dkind = own.schema["id"].dataType.simpleString()
     hits = own.mapInArrow(_document_windows(widths, known), f"id {dkind}, w long, at long, slots array<long>")
-    wanted = indexed.select(F.col("id").alias("item"), "w", F.col("at").alias("place"), F.col("slots").alias("asked"), "width", "size")
+    wanted = indexed.select(F.col("id").alias("item"), "w", F.col("at").alias("place"), F.col("slots").alias("asked"), "width", "size", "verbatim")
     met = hits.join(F.broadcast(wanted) if few else wanted, "w")
 
-    pairs = F.zip_with("asked", "slots", lambda a, s: F.struct(a.alias("a"), s.alias("s")))
+    # The words of a verbatim match are equal, also where the document's case makes other slots of them.
+    pairs = F.zip_with("asked", F.when(F.col("verbatim"), F.col("asked")).otherwise(F.col("slots")), lambda a, s: F.struct(a.alias("a"), s.alias("s")))
     places = F.sequence(F.col("place"), F.col("place") + F.col("width") - 1)
+
+    def united(column: Column) -> Column:
+        return F.array_distinct(F.flatten(F.collect_set(column)))
+
     shifted = met.groupBy("id", "item", "size", (F.col("at") - F.col("place")).alias("shift")).agg(
-        F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"), F.array_distinct(F.flatten(F.collect_set(places))).alias("places")
+        united(pairs).alias("pairs"), united(places).alias("every"), united(F.when(F.col("verbatim"), places)).alias("equal")
     )
     consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"])))
-    changed = F.exists("pairs", lambda p: p["a"] != p["s"])
-    found = shifted.where(consistent).groupBy("id", "item", "size").agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("n_covered"), F.min(changed).alias("changed"))
+    changed = consistent & F.exists("pairs", lambda p: p["a"] != p["s"])
+    shifted = shifted.select("id", "item", "size", F.when(consistent, F.col("every")).otherwise(F.col("equal")).alias("places"), changed.alias("changed"))
+    found = shifted.where("size(places) > 0").groupBy("id", "item", "size").agg(F.size(united(F.col("places"))).cast("long").alias("n_covered"), F.min("changed").alias("changed"))
     return found.where(F.col("n_covered") >= cover * F.col("size")).select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("size").alias("n_tokens"), "n_covered", "changed")

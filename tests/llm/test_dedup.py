@@ -198,3 +198,12 @@ def test_given_leaks_match_verbatim_search(spark):
     docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "benchmark"))
     got = {r.doc_id for r in decontam.contaminated(docs, bench).collect()}
     assert want <= got and len(got) <= len(want) + 2
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_items_full_of_slots_are_found_verbatim_only(spark, most):
+    item, longer = "Compute 12 + 34 * 5 - 6 for x = 7", "Add the numbers 3 5 7 11 13 17 19 23 29 31 37 41 and name their sum"
+    docs = [(1, f"see: {item}."), (2, f"see: {item.replace('34', '35')}"), (3, f"well, {longer} now"), (4, "3 5 7 11 13 17 19 23 29"), (5, None)]
+    bench = spark.createDataFrame([(1, item), (2, longer)], "item_id long, text string")
+    got = decontam.contaminated(table(spark, docs), bench, broadcast_rows=most).collect()
+    assert sorted((r.doc_id, r.item_id, r.n_covered == r.n_tokens, r.changed) for r in got) == [(1, 1, True, False), (3, 2, True, False)]
