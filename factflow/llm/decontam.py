@@ -42,10 +42,49 @@ NUMBER, NAME, UNIT, VERBATIM = np.uint64(101), np.uint64(102), np.uint64(103), n
 _UNIT_HASHES = np.sort(V.words_of(*V.buffer_of(pa.array(UNITS)), space=_BETWEEN, fold=True)[3])
 
 
+def _lower_tables() -> dict[int, np.ndarray]:
+    """Of all characters of 2 and of 3 bytes the lower-case one of the same length, else the character itself."""
+    out = {}
+    for size, stop in ((2, 0x800), (3, 0x10000)):
+        table = np.arange(stop, dtype=np.int64)
+        for c in range(0x80 if size == 2 else 0x800, stop):
+            low = chr(c).lower()
+            if len(low) == 1 and low != chr(c) and len(low.encode()) == size:
+                table[c] = ord(low)
+        out[size] = table
+    return out
+
+
+_LOWERS = _lower_tables()
+
+
+def _lowered(raw: np.ndarray) -> np.ndarray:
+    """The bytes with letters beyond ASCII lower-cased where that keeps their length; A-Z are folded by the hash."""
+    out = raw
+    for size, lead in ((2, (raw >= 0xC2) & (raw <= 0xDF)), (3, (raw >= 0xE0) & (raw <= 0xEF))):
+        at = np.flatnonzero(lead[: max(0, len(raw) - size + 1)])
+        parts = [raw[at + k].astype(np.int64) for k in range(size)]
+        code = parts[0] & (0x1F if size == 2 else 0x0F)
+        for part in parts[1:]:
+            code = code << 6 | part & 0x3F
+        low = _LOWERS[size][code]
+        change = low != code
+        for part in parts[1:]:
+            change &= part >> 6 == 2
+        if change.any():
+            out = raw.copy() if out is raw else out
+            at, low = at[change], low[change]
+            for k in range(size - 1, 0, -1):
+                out[at + k] = 0x80 | low & 0x3F
+                low = low >> 6
+            out[at] = (0xC0 if size == 2 else 0xE0) | low
+    return out
+
+
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(bounds of each text's tokens, template hash, plain hash, is a slot)."""
     raw, offsets = V.buffer_of(texts)
-    start, end, text, plain = V.words_of(_joined_numbers(raw, offsets), offsets, space=_BETWEEN, fold=True)
+    start, end, text, plain = V.words_of(_joined_numbers(_lowered(raw), offsets), offsets, space=_BETWEEN, fold=True)
     template = plain.copy()
     if len(start):
         head = raw[start]

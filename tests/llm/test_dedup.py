@@ -207,3 +207,16 @@ def test_items_full_of_slots_are_found_verbatim_only(spark, most):
     bench = spark.createDataFrame([(1, item), (2, longer)], "item_id long, text string")
     got = decontam.contaminated(table(spark, docs), bench, broadcast_rows=most).collect()
     assert sorted((r.doc_id, r.item_id, r.n_covered == r.n_tokens, r.changed) for r in got) == [(1, 1, True, False), (3, 2, True, False)]
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_verbatim_copies_are_found_in_any_case_and_place(spark, most):
+    item = "A train leaves Paris at 9 km from the old station and meets Anna after 45 minutes of slow travel north"
+    short, accents = "What is the boiling point there", "Où est né le poète Élie Ñandú de Бабель selon Ạnh"
+    docs = [
+        (1, item.upper()), (2, item.lower()), (3, "They asked What is the boiling point there and left"), (4, accents.upper()), (5, accents.lower()),
+        (6, "A train leaves Paris on time and meets nobody at all"), (7, item.title()),
+    ]
+    bench = spark.createDataFrame([(7, item), (8, short), (9, accents)], "item_id long, text string")
+    got = decontam.contaminated(table(spark, docs), bench, broadcast_rows=most).collect()
+    assert sorted((r.doc_id, r.item_id, r.n_covered == r.n_tokens) for r in got) == [(1, 7, True), (2, 7, True), (3, 8, True), (4, 9, True), (5, 9, True), (7, 7, True)]
