@@ -1,13 +1,13 @@
 """Licence scans with a positional index of rare tokens.
 
 Templates are word sequences with mandatory key phrases. Document frequencies of all
-template words are counted over the whole corpus; each template then indexes its
-``RARE`` words of highest IDF with their positions. For a file the rarest indexed words
-it holds are looked up, and each occurrence votes for the place where its template would
-start; votes of different words for one place are intersected. Where enough of them
-agree, the template's words are compared in place and its key phrases must all stand
-there. Phrases that must be found everywhere are templates of their own whose words are
-all mandatory.
+template words are counted over the whole corpus; each template is then indexed under the
+word of highest IDF of its key phrases, with its position. A match must have that word in
+place, so each occurrence of it in a file gives a place where the template may start, and
+no other place can hold it. At every such start the template's words are compared in
+place and its key phrases must all stand there. Phrases that must be found everywhere are
+templates of their own whose words are all mandatory. No file's words are left out, so a
+file's labels depend neither on what else it holds nor on the rest of the corpus.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from factflow.llm import vectext as V
 from factflow.llm.shared import renamed
 
-RARE, PER_FILE, AGREE, LEAST_SHARE = 6, 12, 0.5, 0.7
+LEAST_SHARE, BLOCK = 0.7, 1 << 16
 #: Everything but 0-9, letters and non-ASCII separates words.
 BETWEEN = np.zeros(256, bool)
 BETWEEN[:128] = True
@@ -91,44 +91,30 @@ def document_frequencies(docs: DataFrame, words: list[str], text_col: str = "tex
 
 
 class Index:
-    """word hash -> (template, position) of each template's rarest words."""
+    """Each template under the rarest word of its key phrases and that word's position."""
 
     def __init__(self, found: list[Template], df: dict[str, int]) -> None:
-        self.templates, n = found, max(1, df.get("", 1))
+        self.templates, self.df, n = found, df, max(1, df.get("", 1))
         self.hashes = [hash_of(list(t.words)) for t in found]
-        self.postings, self.idf, self.needed = defaultdict(list), {}, []
-        for k, t in enumerate(found):
+        self.anchors = []
+        for t in found:
             idf = {w: float(np.log((n + 1) / (df.get(w, 0) + 1))) for w in t.words}
-            rare = sorted(set(t.words), key=lambda w: (-idf[w], w))[:RARE]
-            self.needed.append(max(1, int(np.ceil(AGREE * len(rare)))))
-            for at, (w, h) in enumerate(zip(t.words, self.hashes[k].tolist(), strict=True)):
-                if w in rare:
-                    self.postings[h].append((k, at))
-                    self.idf[h] = idf[w]
-        self.words = np.sort(np.array(list(self.postings), np.uint64))
-
-    def matches(self, words: np.ndarray, at: np.ndarray) -> list[tuple[str, int, float]]:
-        """(label, first word, share of the template's words in place); ``at`` are the places of indexed words."""
-        held = words[at].tolist()
-        chosen = set(sorted(set(held), key=lambda h: (-self.idf[h], h))[:PER_FILE])
-        votes = defaultdict(set)
-        for place, h in zip(at.tolist(), held, strict=True):
-            if h in chosen:
-                for k, position in self.postings[h]:
-                    votes[k, place - position].add(h)
-        out = []
-        for (k, start), who in sorted(votes.items()):
-            t, h = self.templates[k], self.hashes[k]
-            # Of a template's words the file's cut may have left some out, so they are not asked for.
-            asked = sum(1 for x in chosen if any(q == k for q, _ in self.postings[x]))
-            if len(who) < min(self.needed[k], asked):
-                continue
-            lo, hi = max(0, -start), min(len(h), len(words) - start)
-            same = np.zeros(len(h), bool)
-            same[lo:hi] = words[start + lo : start + hi] == h[lo:hi]
-            if same.mean() >= LEAST_SHARE and all(same[a:b].all() for a, b in t.keys):
-                out.append((t.label, start, float(same.mean())))
-        return out
+            self.anchors.append(min((p for a, b in t.keys for p in range(a, b)), key=lambda p: (-idf[t.words[p]], t.words[p], p)))
+
+    def matches(self, words: np.ndarray, text: np.ndarray) -> Iterator[tuple[Template, np.ndarray, np.ndarray, np.ndarray]]:
+        """(template, text numbers, starts, shares of the template's words in place) over the words of many texts."""
+        for t, h, anchor in zip(self.templates, self.hashes, self.anchors, strict=True):
+            found = np.flatnonzero(words == h[anchor])
+            for lo in range(0, len(found), BLOCK):
+                at = found[lo : lo + BLOCK]
+                place = at[:, None] - anchor + np.arange(len(h))[None]
+                inside = np.clip(place, 0, len(words) - 1)
+                same = (place == inside) & (words[inside] == h[None]) & (text[inside] == text[at][:, None])
+                share = same.mean(axis=1)
+                ok = share >= LEAST_SHARE
+                for a, b in t.keys:
+                    ok &= same[:, a:b].all(axis=1)
+                yield t, text[at[ok]], at[ok] - anchor, share[ok]
 
 
 def scan(docs: DataFrame, index: Index, base: dict[str, str] = BASE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,7 +125,7 @@ def scan(docs: DataFrame, index: Index, base: dict[str, str] = BASE, id_col: str
     commas. score is the largest share of a template found in place, 1 for a base phrase.
     Null and empty texts have no words.
     """
-    phrases = [(hash_of(p.split()), label) for p, label in base.items()]
+    phrases = Index(templates([(label, p, (p,)) for p, label in base.items()]), index.df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -149,28 +135,20 @@ def scan(docs: DataFrame, index: Index, base: dict[str, str] = BASE, id_col: str
                 _, _, text, h = V.words_of(raw, offsets, space=BETWEEN, fold=True)
                 cut = V.runs(n, text)
                 found: dict[int, list[tuple[int, str]]] = defaultdict(list)
-                for p, label in phrases:
-                    at = np.flatnonzero(h[: max(0, len(h) - len(p) + 1)] == p[0])
-                    for k in range(1, len(p)):
-                        at = at[h[at + k] == p[k]]
-                    at = at[text[at] == text[at + len(p) - 1]] if len(at) else at
-                    for place in at.tolist():
-                        found[int(text[place])].append((place - int(cut[text[place]]), label))
-                hit = np.zeros(0, np.int64)
-                if len(h):
-                    hit = np.flatnonzero(index.words[np.minimum(np.searchsorted(index.words, h), len(index.words) - 1)] == h)
-                more: dict[int, list[tuple[str, int, float]]] = {}
-                for d in np.unique(text[hit]).tolist():
-                    own = h[cut[d] : cut[d + 1]]
-                    if got := index.matches(own, hit[text[hit] == d] - cut[d]):
-                        more[d] = got
+                for t, where, start, _ in phrases.matches(h, text):
+                    for d, place in zip(where.tolist(), start.tolist(), strict=True):
+                        found[d].append((place - int(cut[d]), t.label))
+                more: dict[int, list[tuple[str, float]]] = defaultdict(list)
+                for t, where, _, share in index.matches(h, text):
+                    for d, x in zip(where.tolist(), share.tolist(), strict=True):
+                        more[d].append((t.label, x))
                 rows = []
                 for d in range(n):
                     places = [p for p, _ in found.get(d, ())]
                     labels = {x for _, x in found.get(d, ())}
                     rest = more.get(d, ())
-                    score = 1.0 if places else max((s for *_, s in rest), default=0.0)
-                    rows.append((int(cut[d + 1] - cut[d]), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | {x for x, *_ in rest})), score))
+                    score = 1.0 if places else max((s for _, s in rest), default=0.0)
+                    rows.append((int(cut[d + 1] - cut[d]), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | {x for x, _ in rest})), score))
                 cols = list(zip(*rows, strict=True))
                 kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
                 yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
@@ -183,5 +161,5 @@ def scan(docs: DataFrame, index: Index, base: dict[str, str] = BASE, id_col: str
 def scan_corpus(docs: DataFrame, found: list[Template] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``scan`` with an index weighted by this corpus's own document frequencies."""
     found = templates() if found is None else found
-    words = sorted({w for t in found for w in t.words})
+    words = sorted({w for t in found for w in t.words} | {w for p in BASE for w in p.split()})
     return scan(docs, Index(found, document_frequencies(docs, words, text_col)), id_col=id_col, text_col=text_col)

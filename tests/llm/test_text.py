@@ -216,3 +216,26 @@ def test_pipeline_judges_rows_not_ids(spark):
     docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
     got = p.decontamination(spark, docs, DIR).select("doc_id", "text").collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(None, b), (1, a), (2, a), (None, None)]))
+
+
+def test_a_file_keeps_all_its_licences(spark):
+    notices = [f"{text}." for _, text, _ in licenses.TEMPLATES]
+    whole = " Notice follows: ".join(notices)
+    texts = [
+        whole, whole.upper(), " ".join(reversed(notices)), f"{notices[3]} {notices[4]} Licensed under CC BY-NC 4.0", "Licensed under CC BY-NC 4.0",
+        "hereby granted " * 40 + notices[0], notices[0] * 3, "the mit license", "gnu general public license version 3",
+    ]
+    common = ["licensed under cc by the nc 4 0 version of apache mit license"] * 200
+    found = licenses.templates()
+    for rest in ([], common):
+        got = {r.doc_id: r for r in licenses.scan_corpus(table(spark, texts + rest)).collect()}
+        for k, t in enumerate(texts):
+            w = re.findall("[0-9a-z]+", t.lower())
+            want = {label for phrase, label in licenses.BASE.items() if f" {phrase} " in f" {' '.join(w)} "}
+            for x in found:
+                for start in range(-len(x.words), len(w)):
+                    same = [0 <= start + j < len(w) and w[start + j] == y for j, y in enumerate(x.words)]
+                    if sum(same) >= licenses.LEAST_SHARE * len(same) and all(all(same[a:b]) for a, b in x.keys):
+                        want.add(x.label)
+            assert got[k].labels == ",".join(sorted(want)), (k, len(rest))
+    assert {x.label for x in found} <= set(got[0].labels.split(",")) and "cc-by-nc-4.0" in got[3].labels
