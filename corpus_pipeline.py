@@ -20,7 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.kept_rows(docs, field)
 
 
-ROW = "__row"
+ROW, NEAR_PERCENT = "__row", 80
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -29,14 +29,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays.
+    """Of each group of near copies (similarity 0.80 or more) the document with the smallest id stays.
 
     Every row is judged on its own text. Rows without an id are linked with nothing and
     stay; of rows equal in id and text one stays.
     """
     keyed = _keyed(docs)
     named = keyed.where("doc_id IS NOT NULL").select(ROW, "doc_id").distinct()
-    placed = minhash.near_duplicates(keyed.where("doc_id IS NOT NULL"), id_col=ROW).select(ROW, "component_id").distinct()
+    placed = minhash.near_duplicates(keyed.where("doc_id IS NOT NULL"), id_col=ROW, percent=NEAR_PERCENT).select(ROW, "component_id").distinct()
     kept = placed.join(named, ROW).groupBy("component_id").agg(F.min(F.struct("doc_id", ROW))[ROW].alias(ROW)).select(ROW)
     kept = kept.unionByName(keyed.where("doc_id IS NULL").select(ROW).distinct())
     first = F.row_number().over(Window.partitionBy(ROW).orderBy(ROW))

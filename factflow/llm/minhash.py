@@ -7,8 +7,8 @@ signatures is the number of places that differ. The places are split into
 chunk differs in at most one place (pigeonhole), so each chunk is indexed once for
 every place left out: ``CHUNKS * WIDTH`` keys, and every pair up to that distance
 meets in one. Pairs that meet are compared on a longer 8-bit signature and their
-sizes, and links are confirmed on the full sets. A pair at similarity 0.85 fails to
-meet with a probability below 3e-5.
+sizes, and links are confirmed on the full sets. A pair at similarity 0.80 fails to
+meet with a probability below 3e-5, one at 0.85 below 1e-6.
 
 Equal sets are one class from the start. Inside a key, rows are first linked to
 their neighbour in signature order and to the key's first row; only rows that are
@@ -30,7 +30,7 @@ from factflow.llm import vectext as V
 from factflow.llm.components import components
 from factflow.llm.shared import renamed, written
 
-SHINGLE, CHUNKS, WIDTH, LONG, BLOCK = 5, 7, 6, 128, 1024
+SHINGLE, CHUNKS, WIDTH, LONG, BLOCK = 5, 8, 5, 128, 1024
 KEYED = CHUNKS * WIDTH
 _RNG = np.random.default_rng(7)
 _TURN = _RNG.integers(1, 1 << 63, LONG, dtype=np.uint64) | np.uint64(1)

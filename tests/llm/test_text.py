@@ -239,3 +239,20 @@ def test_a_file_keeps_all_its_licences(spark):
                         want.add(x.label)
             assert got[k].labels == ",".join(sorted(want)), (k, len(rest))
     assert {x.label for x in found} <= set(got[0].labels.split(",")) and "cc-by-nc-4.0" in got[3].labels
+
+
+def test_pipeline_links_near_copies_from_080(spark):
+    import random
+
+    import corpus_pipeline as p
+
+    rng, rows = random.Random(8), []
+    for k in range(48):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(49 + k % 16)]
+        copy = [*words[:20], "edited", *words[21:]]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+        a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (words, copy))
+        assert 0.8 <= len(a & b) / len(a | b) < 0.85
+    rows += [(200, rows[0][1] + " one two three four five six seven eight nine ten eleven twelve thirteen")]
+    got = p.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), DIR).collect()
+    assert sorted(r.doc_id for r in got) == [*range(0, 96, 2), 200]
