@@ -14,6 +14,7 @@ that would have come before the two tokens were absorbed by their parents.
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from collections.abc import Callable, Iterable, Iterator
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 from factflow.llm import vectext as V
 from factflow.llm.shared import small_batches
 
-CACHE = 400_000
+CACHE, LONG_PIECE = 400_000, 128
 _SPACE = "\t-\r \x85\xa0  -     　"
 _CHUNK = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
@@ -82,6 +83,8 @@ class Vocabulary:
 
     def merged(self, piece: bytes) -> list[int]:
         """Exact merging: the pair of lowest rank first, the leftmost of equals."""
+        if len(piece) > LONG_PIECE:
+            return self._merged_by_heap(piece)
         ids, get, none = [self.ids[piece[k : k + 1]] for k in range(len(piece))], self.merges.get, (1 << 60, -1)
         near = [get(p, none) for p in zip(ids, ids[1:], strict=False)]
         while near and (best := min(near)) is not none:
@@ -94,6 +97,26 @@ class Vocabulary:
                 near[k - 1] = get((ids[k - 1], ids[k]), none)
         return ids
 
+    def _merged_by_heap(self, piece: bytes) -> list[int]:
+        """The same in O(n log n): a heap of (rank, place) and links to the neighbours; entries that have gone stale are skipped."""
+        ids, get, n = [self.ids[piece[k : k + 1]] for k in range(len(piece))], self.merges.get, len(piece)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [m[0] << 32 | k for k in range(n - 1) if (m := get((ids[k], ids[k + 1])))]
+        heapq.heapify(heap)
+        while heap:
+            rank, k = divmod(heapq.heappop(heap), 1 << 32)
+            if ids[k] < 0 or (j := after[k]) >= n or not (m := get((ids[k], ids[j]))) or m[0] != rank:
+                continue
+            ids[k], ids[j] = m[1], -1
+            behind = after[k] = after[j]
+            if behind < n:
+                before[behind] = k
+                if m := get((ids[k], ids[behind])):
+                    heapq.heappush(heap, m[0] << 32 | k)
+            if (b := before[k]) >= 0 and (m := get((ids[b], ids[k]))):
+                heapq.heappush(heap, m[0] << 32 | b)
+        return [x for x in ids if x >= 0]
+
     def proposed(self, piece: bytes) -> list[int]:
         """Greedy longest match; every byte is a token, so matches leave no gap."""
         return [t for _, t in self.longest.iter_long(piece.decode("latin-1"))]
@@ -205,7 +228,8 @@ def encode(docs: DataFrame, vocab_path: str, text_col: str = "text", ids_col: st
 
     Equals the reference encoding of the vocabulary file without added special tokens
     at the ends; special strings inside a text are their ids. Repeated rows are encoded
-    each. Nothing is shuffled, and an empty table stays empty.
+    each. Nothing is shuffled, and an empty table stays empty. A column of ``docs`` that is
+    already named ``ids_col`` is replaced; pass another name to keep it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +246,10 @@ def encode(docs: DataFrame, vocab_path: str, text_col: str = "text", ids_col: st
 
 
 def decode(rows: DataFrame, vocab_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """``rows`` with the text of their ids. Null ids give an empty text, unknown ids nothing, broken UTF-8 U+FFFD."""
+    """``rows`` with the text of their ids. Null ids give an empty text, unknown ids nothing, broken UTF-8 U+FFFD.
+
+    A column of ``rows`` that is already named ``text_col`` is replaced.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(vocab_path)
