@@ -24,6 +24,7 @@ from factflow.llm import vectext as V
 from factflow.llm.shared import renamed
 
 BUCKETS, DIM, PER_LANG, GRAMS, UNKNOWN = 1 << 15, 16, 250, (1, 2, 3, 4), "und"
+SEGMENT = 1 << 18
 _FOLD = np.arange(256, dtype=np.uint64)
 _FOLD[65:91] += 32
 _FOLD[:65] = _FOLD[91:97] = _FOLD[123:128] = 32  # anything of ASCII that is no letter ends a word
@@ -48,6 +49,17 @@ def buckets_of(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarra
         yield inner, hashed[inner].astype(np.int64)
 
 
+def _segments(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each n-gram size of each stretch of ``SEGMENT`` bytes, (cuts of the texts, place, bucket): memory does not grow with a text."""
+    for lo in range(0, len(raw), SEGMENT):
+        part = raw[lo : lo + SEGMENT + max(GRAMS) - 1]
+        bounds = np.clip(offsets - lo, 0, len(part))
+        for at, bucket in buckets_of(part, bounds):
+            own = at < SEGMENT
+            at, bucket = at[own], bucket[own]
+            yield np.searchsorted(at, bounds), at + lo, bucket
+
+
 def has_letter(texts: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
 
@@ -55,10 +67,13 @@ def has_letter(texts: pa.Array) -> np.ndarray:
 def counts(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """(buckets, counts) of each text."""
     raw, offsets = V.buffer_of(texts)
-    key = [np.zeros(0, np.int64)]
-    for at, bucket in buckets_of(raw, offsets):
-        key.append((np.searchsorted(offsets, at, "right") - 1) * BUCKETS + bucket)
-    key, n = np.unique(np.concatenate(key), return_counts=True)
+    keys, sums = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for _, at, bucket in _segments(raw, offsets):
+        key, n = np.unique((np.searchsorted(offsets, at, "right") - 1) * BUCKETS + bucket, return_counts=True)
+        keys.append(key)
+        sums.append(n)
+    key, where = np.unique(np.concatenate(keys), return_inverse=True)
+    n = np.bincount(where, np.concatenate(sums), len(key)).astype(np.int64)
     cut = np.searchsorted(key, np.arange(len(offsets)) * BUCKETS)
     return [(key[lo:hi] % BUCKETS, n[lo:hi]) for lo, hi in zip(cut[:-1], cut[1:], strict=True)]
 
@@ -76,8 +91,7 @@ class Model:
         raw, offsets = V.buffer_of(texts)
         n, k = len(offsets) - 1, len(self.langs)
         total, size = np.zeros((n, k)), np.zeros(n)
-        for at, bucket in buckets_of(raw, offsets):
-            cut = np.searchsorted(at, offsets)
+        for cut, _, bucket in _segments(raw, offsets):
             run = np.concatenate((np.zeros((1, k)), np.cumsum(self.table[bucket], axis=0, dtype=np.float64)))
             total += run[cut[1:]] - run[cut[:-1]]
             size += np.diff(cut)
@@ -133,7 +147,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> Model | None:
-    """A model from about ``per_lang`` documents of each language, drawn by a hash of id and text.
+    """A model from about ``per_lang`` documents of each language, drawn by a hash of the id.
 
     Rows with a null language or text are not learned from. What reaches the driver is the
     sample's hashed counts, at most ``BUCKETS`` numbers a document.
@@ -153,7 +167,8 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     """id, lang_pred, score, rejected; one row per row, from the text alone.
 
     A null text, or one without a letter, is ``und`` with score 0 and rejected; so is every
-    text if there was nothing to learn from.
+    text if there was nothing to learn from. Of equal scores the language first in the
+    alphabet wins. Equal texts get equal answers, whatever stands beside them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
