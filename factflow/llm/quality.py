@@ -33,7 +33,7 @@ _UPPER, _LOWER, _DIGIT, _PUNCT = (np.zeros(256, bool) for _ in range(4))
 _UPPER[65:91] = _LOWER[97:123] = _DIGIT[48:58] = True
 _PUNCT[list(b"!?.,;:-_/\\=+~^@()[]{}'\"`")] = True
 _LOWER[128:] = True
-FEATURES, REPEATED = 11, 8
+FEATURES, REPEATED, IN_STEP = 11, 8, 2000
 
 
 @dataclass
@@ -105,10 +105,54 @@ class Field:
     transition: np.ndarray
 
     def labels(self, features: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Viterbi labels of all sequences [bounds[k], bounds[k + 1]) in step with each other."""
+        """Viterbi labels of all sequences [bounds[k], bounds[k + 1]): short ones in step with each other, long ones in blocks."""
         score, n = features @ self.emission, np.diff(bounds)
+        far = np.flatnonzero(n > IN_STEP)
+        out = self._in_step(score, bounds[:-1], np.where(n > IN_STEP, 0, n))
+        for k in far.tolist():
+            out[bounds[k] : bounds[k + 1]] = self._in_blocks(score[bounds[k] : bounds[k + 1]])
+        return out
+
+    def _in_blocks(self, score: np.ndarray) -> np.ndarray:
+        """Labels of one long sequence of n lines in about 3 * sqrt(n) steps.
+
+        All blocks are decoded side by side for both labels that may stand before them; a
+        walk over the blocks then picks the label at each border, and all trace back.
+        """
+        n = len(score)
+        width = int(np.ceil(np.sqrt(n)))
+        count = -(-n // width)
+        s = np.zeros((count * width, 2))
+        s[:n] = score
+        s = s.reshape(count, width, 2)
+        inside = (np.arange(count * width) < n).reshape(count, width)
+        best = self.transition[None] + s[:, 0, None, :]
+        best[0] = s[0, 0]
+        back = np.zeros((width, count, 2, 2), np.int8)
+        for t in range(1, width):
+            step = best[:, :, :, None] + self.transition[None, None]
+            live = inside[:, t, None, None]
+            back[t] = np.where(live, step.argmax(axis=2), np.arange(2))
+            best = np.where(live, step.max(axis=2) + s[:, t, None, :], best)
+        total, enter = best[0, 0], np.zeros((count, 2), np.int8)
+        for k in range(1, count):
+            step = total[:, None] + best[k]
+            enter[k], total = step.argmax(axis=0), step.max(axis=0)
+        leave, before = np.zeros(count, np.int8), np.zeros(count, np.int8)
+        now = int(total.argmax())
+        for k in range(count - 1, -1, -1):
+            leave[k], before[k] = now, enter[k, now]
+            now = before[k]
+        out, block = np.zeros((count, width), np.int8), np.arange(count)
+        for t in range(width - 1, -1, -1):
+            out[:, t] = leave
+            if t:
+                leave = back[t, block, before, leave]
+        return out.reshape(-1)[:n]
+
+    def _in_step(self, score: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
         order = np.argsort(-n, kind="stable")
-        length, first = n[order], bounds[:-1][order]
+        length, first = n[order], begin[order]
         best, back = np.zeros((len(n), 2)), np.zeros((len(score), 2), np.int8)
         live = int(np.count_nonzero(length))
         best[:live] = score[first[:live]]
