@@ -12,7 +12,12 @@ anchor hash, at one offset from the anchor, and each window belongs to one ancho
    of up to ``hot`` rows are resolved in memory, a bounded chunk of groups at a time, by
    the operator's own method. In larger groups every window is hashed and counted in
    Spark instead, which spreads one group over all tasks.
-4. Spans go back to their texts. Copies of a whole text are covered from end to end.
+4. Spans go back to their texts. Copies of a whole text (equal SHA-256) are covered from
+   end to end.
+
+Keys that many rows share (a window, a text) are counted first, with partial sums before
+the shuffle, and written; the join back then has two plain shuffles as its sides, so
+adaptive execution can split the rows of one key over many tasks.
 
 The shuffle of the texts by id is planned twice and, being equal, done once.
 """
@@ -271,11 +276,11 @@ def covered(docs: DataFrame, scheme: Scheme, method: Callable, id_col: str, text
     spans = small.mapInArrow(_resolved(scheme, method), f"{key}, a long, b long")
     if any_hot:
         large = around(lambda w: w["rows"] > hot).mapInArrow(_spread_out(scheme), f"{key}, core long, w long, copies long, a long")
-        twice = large.groupBy("core", "w").agg(F.sum("copies").alias("n")).where("n > 1")
-        spans = spans.unionByName(large.join(twice, ["core", "w"], "left_semi").select("id", "fp", "a", (F.col("a") + scheme.window).alias("b")))
-    copied = own.select("id", "fp", F.octet_length("text").alias("size")).where(F.col("size") >= scheme.window)
-    again = copied.groupBy("fp", "size").agg(F.count("*").alias("n")).where("n > 1")
-    spans = spans.unionByName(copied.join(again, ["fp", "size"], "left_semi").select("id", "fp", F.lit(0).cast("long").alias("a"), F.lit(1 << 60).alias("b")))
+        twice = written(large.groupBy("core", "w").agg(F.sum("copies").alias("n")).where("n > 1").select("core", "w"))
+        spans = spans.unionByName(large.join(twice.hint("merge"), ["core", "w"], "left_semi").select("id", "fp", "a", (F.col("a") + scheme.window).alias("b")))
+    copied = own.where(F.octet_length("text") >= scheme.window).select("id", "fp", F.unhex(F.sha2("text", 256)).alias("digest"))
+    again = written(copied.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"))
+    spans = spans.unionByName(copied.join(again.hint("merge"), "digest", "left_semi").select("id", "fp", F.lit(0).cast("long").alias("a"), F.lit(1 << 60).alias("b")))
     listed = spans.groupBy("id", "fp").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))
     same = own["id"].eqNullSafe(listed["id"]) & (own["fp"] == listed["fp"])
     return own.join(listed.hint("merge"), same, "left").select(own["id"], "text", *(["carried"] if carry else []), F.coalesce("spans", F.array().cast("array<struct<a:bigint,b:bigint>>")).alias("spans"))
