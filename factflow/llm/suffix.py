@@ -13,14 +13,16 @@ a chunk built over the ranks:
   previous-smaller pointers, takes the next free place of its group. No names are renewed
   and nothing recurses.
 
-With the byte LCPs of neighbours, the suffixes that agree for at least ``WINDOW - e`` bytes
-are intervals of the array; of those, the ones that also agree in the ``e`` bytes to the
-left of the anchor hold equal windows.
+The bytes to the left of the anchors, read backwards, stand in the same array. With the byte
+LCPs of neighbours, the stretches that agree for at least ``window - e`` bytes to the right
+are intervals of the array, and so are those that agree for ``e`` bytes to the left; what
+lies in both the same right and the same left interval holds equal windows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -33,26 +35,29 @@ from factflow.llm import vectext as V
 
 WINDOW, CORE, BLOCK, HOT = 400, 64, 32, 20_000
 SCHEME = R.Scheme(R.byte_units, WINDOW, CORE)
-CELLS = 1 << 18
-_MIXED = V.mix(V._CODES[False])
+CELLS, STEP = 1 << 18, 1 << 10
 
 
-def suffix_array(symbols: list[int]) -> list[int]:
+def _ints(values: np.ndarray) -> array:
+    """Four bytes a number, where a list takes about forty."""
+    return array("i", values.astype(np.int32).tobytes())
+
+
+def suffix_array(symbols: Sequence[int]) -> list[int]:
     """Start places of all suffixes in order; ``symbols`` are non-negative ints.
 
     An end mark below all symbols is understood, so a suffix stands before those it begins.
     """
     n = len(symbols)
-    order = np.argsort(np.array(symbols, np.int64), kind="stable").tolist()
-    group, end = [0] * n, [0] * (n + 1)
-    spot = [0] * n
-    start = 0
+    order = _ints(np.argsort(np.array(symbols, np.int64), kind="stable"))
+    group, end, spot = _ints(np.zeros(n)), _ints(np.zeros(n + 1)), _ints(np.zeros(n))
+    start, last = 0, None
     for k, s in enumerate(order):
-        if k and symbols[s] != symbols[order[k - 1]]:
-            start = k
+        if symbols[s] != last:
+            start, last = k, symbols[s]
         group[s], spot[s] = start, k
         end[start] = k + 1
-    before, jump = [-1] * n, [-1] * n
+    before, jump = _ints(np.full(n, -1)), _ints(np.full(n, -1))
     stop = n
     while stop:
         start = group[order[stop - 1]]
@@ -90,7 +95,7 @@ def suffix_array(symbols: list[int]) -> list[int]:
                 end[g], end[new] = new, top
         stop = start
 
-    out, free, placed = [-1] * n, list(range(n)), [False] * n
+    out, free, placed = _ints(np.full(n, -1)), _ints(np.arange(n)), bytearray(n)
     last = n - 1
     for k in range(-1, n):
         s = last if k < 0 else out[k] - 1
@@ -98,75 +103,110 @@ def suffix_array(symbols: list[int]) -> list[int]:
             g = group[s]
             out[free[g]] = s
             free[g] += 1
-            placed[s] = True
+            placed[s] = 1
             s = before[s]
+    return out.tolist()
+
+
+def _sides(g: R.Groups, scheme: R.Scheme) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes from each anchor on, and those before it in reverse, one row a stretch; and how many there are."""
+    size, before = np.diff(g.offsets), g.before
+    right = size - before
+    wide = scheme.window + (-(scheme.window - scheme.core) % BLOCK)
+    deep = scheme.spread - 1 + (-(scheme.spread - 1) % BLOCK)
+    ahead, behind = np.zeros((len(size), wide), np.uint8), np.zeros((len(size), deep), np.uint8)
+    for lo in range(0, len(size), STEP):
+        row = lo + np.repeat(np.arange(len(size[lo : lo + STEP])), size[lo : lo + STEP])
+        raw = g.raw[g.offsets[lo] : g.offsets[lo] + len(row)]
+        place = np.arange(len(row)) + (g.offsets[lo] - g.offsets[row] - before[row])
+        after = place >= 0
+        ahead[row[after], place[after]] = raw[after]
+        behind[row[~after], -1 - place[~after]] = raw[~after]
+    return ahead, right, behind, before
+
+
+def _blocks(text: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Rows cut into blocks, each with the number of bytes in use behind it: a text stands before those it begins."""
+    n, wide = text.shape
+    out = np.zeros((n, wide // BLOCK, BLOCK + 1), np.uint8)
+    out[:, :, :BLOCK] = text.reshape(n, -1, BLOCK)
+    out[:, :, BLOCK] = np.clip(size[:, None] - BLOCK * np.arange(wide // BLOCK)[None], 0, BLOCK)
     return out
 
 
+def _common(text: np.ndarray, size: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """For rows in order, how many bytes each has in common with the one before it; 0 for the first."""
+    lcp = np.zeros(len(rows), np.int64)
+    for lo in range(1, len(rows), STEP):
+        a, b = rows[lo - 1 : lo + STEP - 1], rows[lo : lo + STEP]
+        a = a[: len(b)]
+        differ = text[a] != text[b]
+        lcp[lo : lo + STEP] = np.minimum(np.where(differ.any(axis=1), differ.argmax(axis=1), text.shape[1]), np.minimum(size[a], size[b]))
+    return lcp
+
+
 def repeated_windows(g: R.Groups, scheme: R.Scheme) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(stretch, start, end) of the spans, relative to the anchor, of all windows that occur more than once."""
-    n, window = len(g.core), scheme.window
-    right = np.diff(g.offsets) - g.before
-    wide = window + (-(window - CORE) % BLOCK)
-    text = np.zeros((n, wide), np.uint8)
-    row = np.repeat(np.arange(n), right)
-    inside = np.arange(len(row)) - np.repeat(np.cumsum(right) - right, right)
-    text[row, inside] = g.raw[np.repeat(g.offsets[:-1] + g.before, right) + inside]
-    _, rank = np.unique(np.ascontiguousarray(text[:, CORE:]).view(f"S{BLOCK}"), return_inverse=True)
-    rank = rank.reshape(n, -1)
+    """(stretch, start, end) of the spans, relative to the anchor, that the windows found more than once cover.
+
+    All windows of a stretch hold its anchor, so what they cover is one span. Memory is a
+    few hundred bytes a stretch beside the texts.
+    """
+    n, window, core = len(g.core), scheme.window, scheme.core
+    ahead, right, behind, before = _sides(g, scheme)
+    blocks = [_blocks(ahead[:, core:], right - core), _blocks(behind, before)]
+    shape = [b.shape[:2] for b in blocks]
+    used = [b[:, :, BLOCK] > 0 for b in blocks]
+    _, rank = np.unique(np.concatenate([b.reshape(-1, BLOCK + 1) for b in blocks]).view(f"S{BLOCK + 1}"), return_inverse=True)
+    del blocks
+    rank = rank.reshape(-1) + 2
+    top = int(rank.max(initial=1)) + 2
     _, name = np.unique(g.core, return_inverse=True)
-    used = np.arange(rank.shape[1])[None] < -(-(right - CORE) // BLOCK)[:, None]
-    line = np.concatenate((rank.max(initial=0) + 3 + name[:, None], np.where(used, rank + 2, -1), np.ones((n, 1), np.int64)), axis=1)
-    keep = line.reshape(-1) >= 0
-    head = np.cumsum(keep)[:: line.shape[1]] - 1
-    found = np.array(suffix_array([*line.reshape(-1)[keep].tolist(), 0]))
+    lines, cut = [], shape[0][0] * shape[0][1]
+    # A line is its head, its blocks and an end mark; heads of right sides are the groups, those of left sides stand above.
+    for part, (rows, width), use, head in ((rank[:cut], shape[0], used[0], top + name), (rank[cut:], shape[1], used[1], np.full(n, top + n))):
+        line = np.concatenate((head[:, None], np.where(use, part.reshape(rows, width), -1), np.ones((rows, 1), np.int64)), axis=1)
+        lines.append((line.reshape(-1), line.shape[1]))
+    symbols = np.concatenate([x for x, _ in lines])
+    keep = symbols >= 0
+    at = np.cumsum(keep) - 1
+    heads = np.concatenate((at[: len(lines[0][0]) : lines[0][1]], at[len(lines[0][0]) :: lines[1][1]]))
+    found = np.array(suffix_array(_ints(np.append(symbols[keep], 0))), np.int32)
     owner = np.full(len(found), -1)
-    owner[head] = np.arange(n)
+    owner[heads] = np.arange(2 * n)
     rows = owner[found]
+    del symbols, keep, at, heads, found, owner
     rows = rows[rows >= 0]
+    by_right, by_left = rows[rows < n], rows[rows >= n] - n
+
+    lcp = _common(ahead, right, by_right)
+    lcp[1:] *= g.core[by_right[1:]] == g.core[by_right[:-1]]
+    lcs = _common(behind, before, by_left)
+    del ahead, behind
+    spot = np.empty(n, np.int64)
+    spot[by_left] = np.arange(n)
+    spot = spot[by_right]
+    least, most, copies = g.least[by_right], before[by_right], g.copies[by_right]
+    low, high = np.full(n, window), np.full(n, -1)
+    step = max(1, CELLS // max(1, n))
+    for lo in range(int(least.min(initial=window)), int(most.max(initial=-1)) + 1, step):
+        e = np.arange(lo, min(lo + step, int(most.max()) + 1))
+        same_right = np.cumsum(lcp[:, None] < (window - e)[None], axis=0)
+        same_left = np.cumsum(lcs[:, None] < e[None], axis=0)[spot]
+        k, c = np.nonzero((least[:, None] <= e[None]) & (e[None] <= most[:, None]))
+        key = (c * (n + 1) + same_right[k, c]) * (n + 1) + same_left[k, c]
+        _, which = np.unique(key, return_inverse=True)
+        many = np.bincount(which, copies[k])[which] > 1
+        np.minimum.at(low, k[many], e[c[many]])
+        np.maximum.at(high, k[many], e[c[many]])
+    hit = np.flatnonzero(high >= 0)
+    return by_right[hit], -high[hit], window - low[hit]
+
 
-    a, b = text[rows[:-1]], text[rows[1:]]
-    differ = a != b
-    lcp = np.where(differ.any(axis=1), differ.argmax(axis=1), wide)
-    lcp = np.minimum(lcp, np.minimum(right[rows[:-1]], right[rows[1:]]))
-    lcp = np.concatenate(([0], np.where(g.core[rows[:-1]] == g.core[rows[1:]], lcp, 0)))
-
-    # Hashes of what stands to the left: only that part of each stretch is taken.
-    left_row = np.repeat(np.arange(n), g.before)
-    left_end = np.cumsum(g.before)
-    codes = _MIXED[g.raw[g.offsets[left_row] + np.arange(len(left_row)) - np.repeat(left_end - g.before, g.before)]]
-    up, down = V._power_tables(len(codes) + 1)
-    anchor = left_end[rows]
-    least, most, copies = g.least[rows], g.before[rows], g.copies[rows]
-    out_row, out_e = [], []
-    with np.errstate(over="ignore"):
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes * up[: len(codes)])))
-        step = max(1, CELLS // max(1, n))
-        for lo in range(0, int(most.max(initial=-1)) + 1, step):
-            e = np.arange(lo, min(lo + step, int(most.max()) + 1))
-            interval = np.cumsum(lcp[:, None] < (window - e)[None], axis=0)
-            k, c = np.nonzero((least[:, None] <= e[None]) & (e[None] <= most[:, None]))
-            begin = anchor[k] - e[c]
-            left = V.mix((total[anchor[k]] - total[begin]) * down[begin])
-            key = V.mix(left + V.mix((interval[k, c] * 1024 + e[c]).astype(np.uint64)))
-            _, which = np.unique(key, return_inverse=True)
-            many = np.bincount(which, copies[k])[which] > 1
-            out_row.append(k[many])
-            out_e.append(e[c[many]])
-    k, e = np.concatenate([*out_row, np.zeros(0, np.int64)]), np.concatenate([*out_e, np.zeros(0, np.int64)])
-    by = np.lexsort((e, k))
-    k, e = k[by], e[by]
-    first = np.concatenate(([True], (k[1:] != k[:-1]) | (e[1:] != e[:-1] + 1)))[: len(k)]
-    last = np.concatenate((first[1:], [True]))[: len(k)]
-    at = rows[k[first]]
-    return at, -e[last], window - e[first]
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in V.slices(whole, "text", R.PIECE):
             raw, offsets = V.buffer_of(b.column("text"))
-            gone = R.removal_mask(b.column("spans"), offsets, WINDOW)
+            gone = R.removal_mask(b.column("spans"), offsets, window)
             total = np.concatenate(([0], np.cumsum(gone)))
             starts = gone.copy()
             starts[1:] &= ~gone[:-1]
@@ -177,30 +217,39 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.diff(offsets)), pa.array(np.diff(total[offsets])), pa.array(np.diff(runs[offsets])), pa.array(kept, pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+def scheme_of(window: int) -> R.Scheme:
+    """Windows of ``window`` bytes, ``2 * CORE`` at least, with anchors of ``CORE``."""
+    return R.Scheme(R.byte_units, window, CORE)
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, window: int = WINDOW) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept (the remaining bytes), one row per input row.
 
-    A byte goes if a ``WINDOW``-byte string that covers it starts anywhere else too, in
+    A byte goes if a ``window``-byte string that covers it starts anywhere else too, in
     the same text or another; strings are judged on the input and never cross texts. All
     places lose it, the first one too. Null texts are empty; ids may be null or repeat.
+    Equal rows each lose the same bytes. Other columns are ignored, whatever their names.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    out = R.covered(docs, SCHEME, repeated_windows, id_col, text_col, hot)
-    return out.mapInArrow(_cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("id", id_col)
+    out = R.covered(docs, scheme_of(window), repeated_windows, id_col, text_col, hot)
+    return out.mapInArrow(lambda batches: _cut(batches, window), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("id", id_col)
 
 
 def digests(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return rows.select(id_col, "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """``docs`` with all columns and repeated passages gone from the text; a character that lost a byte goes whole."""
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, window: int = WINDOW) -> DataFrame:
+    """``docs`` with all columns and repeated passages gone from the text; a character that lost a byte goes whole.
+
+    Rows stay, also those whose text is null (it becomes empty) or repeated from end to end.
+    """
     whole = docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]))
-    out = R.covered(whole, SCHEME, repeated_windows, id_col, text_col, hot, carry="_row")
+    out = R.covered(whole, scheme_of(window), repeated_windows, id_col, text_col, hot, carry="_row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cut, b in zip(_cut(iter([batch])), V.slices(batch, "text", R.PIECE), strict=True):
+            for cut, b in zip(_cut(iter([batch]), window), V.slices(batch, "text", R.PIECE), strict=True):
                 text = pa.array([x.decode("utf-8", "ignore") for x in cut.column("kept").to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([b.column("carried"), text], names=["carried", "text"])
 

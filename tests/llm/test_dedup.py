@@ -147,6 +147,41 @@ def test_repeated_bytes_match_brute_force(spark, hot):
     assert suffix.remove_repeats(table(spark, []).where("false"), hot=hot).count() == 0
 
 
+@pytest.mark.parametrize(("window", "hot"), [(400, 10**6), (400, 1), (254, 10**6), (254, 1), (130, 20)])
+def test_spans_of_any_window_match_brute_force(spark, window, hot):
+    rng = random.Random(window)
+    zeros = "".join(rng.choice("\x00\x01") for _ in range(700))
+    rows = [*passages(), (60, zeros), (61, zeros[3:650]), (62, zeros[:500] + "\x00"), (63, zeros[:500]), (64, "\x00" * 900), (65, "é" * 450), (66, "a" * 20 + "é" * 300)]
+    gone = brute_repeats(rows, lambda t: list((t or "").encode()), window)
+    want = []
+    for (i, t), g in zip(rows, gone, strict=True):
+        kept = bytes(b for b, x in zip((t or "").encode(), g, strict=True) if not x)
+        want.append((str(i), len(g), sum(g), sum(x and not y for x, y in zip(g, [False, *g], strict=False)), hashlib.sha256(kept).hexdigest()))
+    got = suffix.digests(suffix.remove_repeats(table(spark, rows), hot=hot, window=window)).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(want)
+
+
+def test_a_large_group_takes_little_memory():
+    """Thousands of stretches of one group, each with its own surroundings."""
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    n, s = 3000, suffix.SCHEME
+    core = rng.integers(97, 123, s.core, dtype=np.uint8)
+    around = rng.integers(97, 123, (n, s.spread - 1 + s.window), dtype=np.uint8)
+    around[:, s.spread - 1 : s.spread - 1 + s.core] = core
+    around[: n // 2, 100:700] = around[0, 100:700]
+    g = repeats.Groups(np.zeros(n, np.int64), np.full(n, s.spread - 1), np.zeros(n, np.int64), np.ones(n, np.int64), around.reshape(-1), np.arange(n + 1) * around.shape[1])
+    tracemalloc.start()
+    rows, lo, hi = suffix.repeated_windows(g, s)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(rows.tolist()) == list(range(n // 2))
+    for got, first in ((-lo, s.spread - 1 - 100), (hi, 700 - s.spread + 1)):  # by chance, some neighbours of the shared part agree too
+        assert first <= got.min() and got.max() < first + 9
+    assert peak < 50 << 20
+
+
 @pytest.mark.parametrize("hot", [1, 10**6])
 def test_repeated_words_match_brute_force(spark, hot):
     rows = passages()

@@ -256,3 +256,96 @@ def test_pipeline_links_near_copies_from_080(spark):
     rows += [(200, rows[0][1] + " one two three four five six seven eight nine ten eleven twelve thirteen")]
     got = p.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), DIR).collect()
     assert sorted(r.doc_id for r in got) == [*range(0, 96, 2), 200]
+
+
+def test_pipeline_cuts_repeated_passages_of_51_words(spark):
+    import random
+
+    import corpus_pipeline as p
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.choice([3, 4, 5, 6, 7])))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passages, rows = [text(51) for _ in range(6)], []
+    for k in range(24):
+        rows.append((k, f"{text(40)} {passages[k % 6]} {text(60)}", len(rows)))
+    rows += [(100 + k, text(120), 0) for k in range(10)] + [(None, None, None), (None, "", 0), (None, passages[0], 0), (200, "short", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    got = p.suffix_dedup(spark, docs, DIR)
+    assert got.columns == docs.columns and got.count() == len(rows)
+    left = got.collect()
+    assert not any(x in (r.text or "") for r in left for x in passages)
+    before = dict((i, t) for i, t, _ in rows if i is not None)
+    for r in left:
+        if r.doc_id is not None and r.doc_id >= 100:
+            assert r.text == before[r.doc_id]
+        elif r.doc_id is not None:
+            head, tail = before[r.doc_id].split(passages[r.doc_id % 6])
+            assert r.text.startswith(head[:-5]) and r.text.endswith(tail[5:])  # neighbours may agree by chance
+        assert r.n_chars == len(r.text)
+
+
+def test_pipeline_of_odd_tables(spark):
+    """Every stage takes an empty table, and columns that are named like its own."""
+    import corpus_pipeline as p
+
+    names = "doc_id long, text string, lang string, id long, fp long, core long, spans string, ids string, decoded string, component_id long, key string, item_id long"
+    long = "word and line " * 20000
+    rows = [(1, " ".join(f"w{k}" for k in range(80)), "en", 1, 1, 1, "s", "i", "d", 1, "k", 1), (None, None, None, None, None, None, None, None, None, None, None, None), (2, long, "en", 2, 2, 2, "", "", "", 2, "", 2)]
+    docs = spark.createDataFrame(rows, names)
+    for name, stage in p.STAGES[:-1]:
+        for d in (docs, docs.where("false")):
+            got = stage(spark, d, DIR)
+            if name != "suffix-array dedup":
+                assert got.columns == d.columns, name
+            assert got.count() <= d.count(), name
+    got = p.encoding(spark, docs, DIR)
+    assert got.count() == 3 and p.encoding(spark, docs.where("false"), DIR).count() == 0
+
+
+def test_very_long_texts(spark):
+    """Runs of letters without a space, and many short lines, take a moment each."""
+    import random
+    import time
+
+    rng = random.Random(3)
+    letters = "".join(rng.choices("abcdefgh", k=1_000_000))
+    v, start = bpe.vocabulary(BYTES), time.time()
+    small = letters[:5000].encode()
+    assert v._merged_by_heap(small) == Tokenizer.from_file(BYTES).encode(letters[:5000], add_special_tokens=False).ids
+    got = bpe.encode(table(spark, [letters]), BYTES).first().ids
+    assert got == Tokenizer.from_file(BYTES).encode(letters, add_special_tokens=False).ids
+    docs = table(spark, ["\n".join(rng.choices(["one", "two", "#", "x9"], k=1_000_000)), "der hund und die katze " * 500_000])
+    model = langid.fit(spark.read.parquet(f"{DIR}/documents.parquet"))
+    assert langid.predict(docs, model).where("score > 0").count() == 2
+    assert quality.judge(docs, quality.Field(*_random_field())).count() == 2
+    assert time.time() - start < 120
+
+
+def _random_field():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    return rng.normal(size=(quality.FEATURES, 2)), rng.normal(size=(2, 2))
+
+
+def test_viterbi_in_blocks_equals_viterbi_in_step(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    f = quality.Field(*_random_field())
+    bounds = np.cumsum([0, 5, 0, 1, 2, 3, 77, 400, 401, 1000])
+    x = rng.normal(size=(bounds[-1], quality.FEATURES))
+    one = f.labels(x, bounds)
+    monkeypatch.setattr(quality, "IN_STEP", 0)
+    assert (f.labels(x, bounds) == one).all()
+
+
+def test_language_counts_do_not_depend_on_segments(monkeypatch):
+    import pyarrow as pa
+
+    texts = pa.array(["ein Satz über Bäume", None, "", "a", "the quick brown fox " * 30])
+    whole = langid.counts(texts)
+    monkeypatch.setattr(langid, "SEGMENT", 7)
+    cut = langid.counts(texts)
+    assert all((a[0] == b[0]).all() and (a[1] == b[1]).all() for a, b in zip(whole, cut, strict=True))
