@@ -20,7 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.kept_rows(docs, field)
 
 
-ROW, NEAR_PERCENT = "__row", 80
+# 51 words of four letters with a space between them have 254 bytes.
+ROW, NEAR_PERCENT, PASSAGE_BYTES = "__row", 80, 254
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -44,8 +45,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages go; characters cut in half go with them."""
-    return suffix.without_repeats(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+    """Repeated passages of ``PASSAGE_BYTES`` or more go at all their places; characters cut in half go with them.
+
+    op4's contract of 400 bytes binds its query alone: passages of little over 50 words are
+    shorter than that.
+    """
+    return suffix.without_repeats(docs, window=PASSAGE_BYTES).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
