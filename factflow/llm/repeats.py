@@ -10,8 +10,8 @@ anchor hash, at one offset from the anchor, and each window belongs to one ancho
 2. Anchors that occur once are dropped: their windows are unique.
 3. The others take the surrounding stretch of their text along and meet by hash. Groups
    of up to ``hot`` rows are resolved in memory, a bounded chunk of groups at a time, by
-   the operator's own method. In larger groups every window is hashed and counted in
-   Spark instead, which spreads one group over all tasks.
+   the operator's own method. Larger groups are cut at finer anchors and their pieces
+   counted in Spark, which spreads one group over all tasks.
 4. Spans go back to their texts. Copies of a whole text (equal SHA-256) are covered from
    end to end.
 
@@ -70,7 +70,15 @@ def hashed_runs(u: np.ndarray, width: int) -> np.ndarray:
     up, down = V._power_tables(len(u) + 1)
     with np.errstate(over="ignore"):
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(V.mix(u) * up[: len(u)])))
-        return V.mix((total[width:] - total[:-width]) * down[: max(0, len(u) - width + 1)])
+        return V.mix((total[width:] - total[: max(0, len(u) + 1 - width)]) * down[: max(0, len(u) - width + 1)])
+
+
+def _runs(u: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each run [start, end) of units."""
+    up, down = V._power_tables(len(u) + 1)
+    with np.errstate(over="ignore"):
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(V.mix(u) * up[: len(u)])))
+        return V.mix((total[end] - total[start]) * down[start])
 
 
 def _sliding_least(v: np.ndarray, width: int) -> np.ndarray:
@@ -224,27 +232,60 @@ def _resolved(scheme: Scheme, method: Callable[[Groups, Scheme], tuple[np.ndarra
     return run
 
 
-def _spread_out(scheme: Scheme):
-    """Every window of hot groups by its hash."""
+def _finer(scheme: Scheme):
+    """Stretches of hot groups cut at finer anchors, whose core is nearly a window long.
+
+    Each piece stands for the few windows that select its anchor: ``a`` is the start of the
+    first, ``ws`` their hashes, ``piece`` a hash of all their text, ``shape`` where the
+    anchor lies in it. Like the first anchors, the finer ones depend on windows alone.
+    """
+    fine = Scheme(scheme.units, scheme.window, scheme.window - max(1, scheme.spread // 20))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, CHUNK_ROWS):
-                t = whole.slice(lo, CHUNK_ROWS)
-                core, spot = t.column("core").to_numpy(), t.column("spot").to_numpy()
+            for lo in range(0, whole.num_rows, CHUNK_ROWS // 4):
+                t = whole.slice(lo, CHUNK_ROWS // 4)
+                spot = t.column("spot").to_numpy()
                 u, bounds, _, _ = scheme.units(*V.buffer_of(t.column("around")))
                 before = (spot >> 10) & 1023
-                n = before - (spot & 1023) + 1
-                row = np.repeat(np.arange(len(n)), n)
-                inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                w = hashed_runs(u, scheme.window)[bounds[row] + inside]
-                at = pa.array(row)
-                start = (spot >> 20)[row] - before[row] + inside
-                yield pa.RecordBatch.from_arrays([t.column("id").take(at), t.column("fp").take(at), pa.array(core[row]), pa.array(w.view(np.int64)), t.column("copies").take(at), pa.array(start)], names=["id", "fp", "core", "w", "copies", "a"])
+                row, place, first, last, core = anchors(u, bounds, fine)
+                last = np.minimum(last, (before - (spot & 1023))[row])  # windows behind it belong to the next stretch
+                own = first <= last
+                row, place, first, last, core = (x[own] for x in (row, place, first, last, core))
+                n = last - first + 1
+                w = hashed_runs(u, scheme.window)
+                at = np.repeat(bounds[row] + first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+                piece = V.mix(_runs(u, bounds[row] + first, bounds[row] + last + scheme.window) + n.astype(np.uint64))
+                shape = (place - first) << 10 | n
+                take = pa.array(row)
+                columns = [t.column("id").take(take), t.column("fp").take(take), pa.array(core.view(np.int64)), pa.array(piece.view(np.int64)), pa.array(shape), t.column("copies").take(take)]
+                columns += [pa.array((spot >> 20)[row] - before[row] + first), pa.ListArray.from_arrays(pa.array(ends), pa.array(w[at].view(np.int64)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "core", "piece", "shape", "copies", "a", "ws"])
 
     return run
 
 
+def _hot_spans(near: DataFrame, scheme: Scheme, key: str) -> DataFrame:
+    """(id, fp, a, b) of hot groups: pieces are counted, and only windows of pieces that occur once are looked at one by one.
+
+    What thousands of texts share is the same piece in all of them and counts as one row
+    from the first aggregate on; most of what surrounds it has a core of its own and is
+    dropped. No group is held in one place.
+    """
+    fine = written(near.mapInArrow(_finer(scheme), f"{key}, core long, piece long, shape long, copies long, a long, ws array<long>"))
+    often = written(fine.groupBy("core").agg(F.sum("copies").alias("times")).where("times > 1").select("core"))
+    met = fine.join(often.hint("merge"), "core", "left_semi")
+    same = ["core", "piece", "shape"]
+    pieces = written(met.groupBy(*same).agg(F.sum("copies").alias("n"), F.min(F.struct("id", "fp", "a")).alias("who"), F.first("ws").alias("ws")))
+    twice = written(pieces.select(F.explode("ws").alias("w"), "n").groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").select("w"))
+    several = written(pieces.where("n > 1").select(*same))
+    end = F.col("a") + F.col("shape").bitwiseAND(1023) - 1 + scheme.window
+    out = fine.join(several.hint("merge"), same, "left_semi").select("id", "fp", "a", end.alias("b"))
+    single = pieces.where("n = 1").select("who.*", F.posexplode("ws").alias("k", "w")).join(twice.hint("merge"), "w", "left_semi")
+    return out.unionByName(single.select("id", "fp", (F.col("a") + F.col("k")).alias("a"), (F.col("a") + F.col("k") + scheme.window).alias("b")))
+
+
 def covered(docs: DataFrame, scheme: Scheme, method: Callable, id_col: str, text_col: str, hot: int, carry: str | None = None) -> DataFrame:
     """(id, text, spans[, carried]): every input row with the sorted spans of units that a repeated window covers.
 
@@ -275,9 +316,7 @@ def covered(docs: DataFrame, scheme: Scheme, method: Callable, id_col: str, text
     small = around(lambda w: w["rows"] <= hot).repartition("core").sortWithinPartitions("core")
     spans = small.mapInArrow(_resolved(scheme, method), f"{key}, a long, b long")
     if any_hot:
-        large = around(lambda w: w["rows"] > hot).mapInArrow(_spread_out(scheme), f"{key}, core long, w long, copies long, a long")
-        twice = written(large.groupBy("core", "w").agg(F.sum("copies").alias("n")).where("n > 1").select("core", "w"))
-        spans = spans.unionByName(large.join(twice.hint("merge"), ["core", "w"], "left_semi").select("id", "fp", "a", (F.col("a") + scheme.window).alias("b")))
+        spans = spans.unionByName(_hot_spans(around(lambda w: w["rows"] > hot), scheme, key))
     copied = own.where(F.octet_length("text") >= scheme.window).select("id", "fp", F.unhex(F.sha2("text", 256)).alias("digest"))
     again = written(copied.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"))
     spans = spans.unionByName(copied.join(again.hint("merge"), "digest", "left_semi").select("id", "fp", F.lit(0).cast("long").alias("a"), F.lit(1 << 60).alias("b")))
