@@ -13,11 +13,13 @@ lost attempts leave nothing behind that is read.
 
 from __future__ import annotations
 
+import io
 import os
-import re
 import struct
 import uuid
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -30,15 +32,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factflow.llm import vectext as V
-from factflow.llm.bpe import Cache, packed
 from factflow.llm.shared import renamed, shared_folder, written
 
 SKIPPABLE_IDS, SKIPPABLE_TABLE, SEEKABLE_MAGIC, CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 NO_ID = -(1 << 63)
-# The code points that the vocabulary file's \s matches.
-_SPACE = "\t-\r \x85\xa0  -     　"
-_CHUNK = re.compile(f"[^{_SPACE}]+")
-_PLAIN = re.compile("([a-z\xdf-\xf6\xf8-\xff]+)([.,;:!?#$%&*]*)")
+CACHE = 600_000
+_MARKS = b".,;:!?#$%&*"
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[97:123] = _MARK[list(_MARKS)] = True
 
 
 @lru_cache(maxsize=2)
@@ -52,51 +55,193 @@ def _tokenizer(path: str):
     return t
 
 
-def chunk_cache(vocab_path: str) -> Cache:
-    """White space is dropped before the merges and never joins its neighbours, so chunks between it encode alone.
+def _library(vocab_path: str) -> tuple[Callable, Callable]:
+    """Encoders of plain segments, many as one text, and of any other chunk on its own.
 
-    Most new chunks are a plain word with punctuation behind it. Words and punctuation are
-    separate pieces for the library too, so new words are encoded as one text, a piece
-    each, and told apart by the library's piece numbers.
+    A plain segment is one piece for the library, so segments with a space between them
+    are told apart by the library's piece numbers.
     """
     t = _tokenizer(vocab_path)
 
-    def alone(chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in t.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def together(words: list[str]) -> list[bytes]:
-        out = []
-        for lo in range(0, len(words), 4096):
-            part = words[lo : lo + 4096]
-            e = t.encode(" ".join(part), add_special_tokens=False)
-            ids, piece = np.array(e.ids, np.uint32), np.array(e.word_ids, np.int64)
-            cut = np.searchsorted(piece, np.arange(len(part) + 1))
-            data, ends = ids.tobytes(), (4 * cut).tolist()
-            if not len(piece) or piece[-1] != len(part) - 1:
-                raise ValueError("pieces differ from words")
-            out += [data[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
-        return out
+    def together(text: bytes, count: int) -> tuple[np.ndarray, np.ndarray]:
+        e = t.encode(text.decode(), add_special_tokens=False)
+        n = np.bincount(np.array(e.word_ids, np.int64), minlength=count)
+        if len(n) != count or not n.all():
+            raise ValueError("pieces differ from words")
+        return np.array(e.ids, np.uint32), n
+
+    def alone(chunks: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in t.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
+
+    return together, alone
+
 
-    words, others = Cache(together), Cache(alone)
+@dataclass
+class Segments:
+    """Places of segments in ``low``: runs of letters, of marks behind them, and whole chunks that hold anything else."""
 
-    def fill(chunks: list[str]) -> list[bytes]:
-        split = [_PLAIN.fullmatch(c.lower()) for c in chunks]
-        word = words.values({m[1] for m in split if m})
-        other = others.values({m[2] for m in split if m} | {c for c, m in zip(chunks, split, strict=True) if not m})
-        return [word(m[1]) + other(m[2]) if m else other(c) for c, m in zip(chunks, split, strict=True)]
+    low: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    plain: np.ndarray
+    text: np.ndarray
 
-    return Cache(fill)
+
+def segments(raw: np.ndarray, offsets: np.ndarray) -> Segments:
+    """Chunks between white space, cut where the library cuts them whatever their letters are.
+
+    Letters are those of ASCII and Latin-1, lower-cased here as the library does; marks are
+    ``_MARKS``. A chunk that is not letters and then marks stays whole, as it is written.
+    """
+    n = len(raw)
+    first = np.zeros(n + 1, bool)
+    first[offsets[:-1]] = True
+    low, space = _LOWER[raw], V.SPACE[raw]
+    trail = np.zeros(n, bool)
+    trail[1:] = (raw[:-1] == 0xC3) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
+    low[trail & (raw <= 0x9E)] += 0x20
+    letter = _LETTER[low] | trail
+    letter[:-1] |= trail[1:]
+    mark = _MARK[low]
+    odd = ~(letter | mark | space)
+    odd[1:] |= letter[1:] & mark[:-1] & ~first[1:n]
+    head, tail = ~space, ~space
+    head[1:] &= space[:-1] | first[1:n]
+    tail[:-1] &= space[1:] | first[1:n]
+    start, end = np.flatnonzero(head), np.flatnonzero(tail) + 1
+    odds, letters = (np.concatenate(([0], np.cumsum(x, dtype=np.int32))) for x in (odd, letter))
+    plain = odds[end] == odds[start]
+    middle = np.where(plain, start + letters[end] - letters[start], end)
+    if not plain.all():
+        whole = np.zeros(n + 1, np.int32)
+        whole[start[~plain]] += 1
+        np.subtract.at(whole, end[~plain], 1)
+        low = np.where(np.cumsum(whole[:n]) > 0, raw, low)
+    lo, hi = np.stack((start, middle), axis=1).reshape(-1), np.stack((middle, end), axis=1).reshape(-1)
+    some = lo < hi
+    lo, hi = lo[some], hi[some]
+    return Segments(low, lo, hi, np.repeat(plain, 2)[some], np.searchsorted(offsets, lo, "right") - 1)
+
+
+def _taken(values: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``values`` of all runs [start, start + n), one after the other."""
+    return values[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+
+class TokenTable:
+    """Ids of all segments met, found by hash and then compared byte by byte; begun anew beyond ``CACHE`` segments."""
+
+    def __init__(self, vocab_path: str) -> None:
+        self.together, self.alone = _library(vocab_path)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.bytes, self.at, self.size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.ids_at, self.n_ids = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _added(self, g: Segments, which: np.ndarray) -> np.ndarray:
+        """Encode the segments; returns their new rows."""
+        start, size = g.start[which], (g.end - g.start)[which]
+        ids, n = [self.ids], np.zeros(len(which), np.int64)
+        order = np.concatenate((np.flatnonzero(g.plain[which]), np.flatnonzero(~g.plain[which])))
+        start, size, n_plain = start[order], size[order], int(g.plain[which].sum())
+        for lo in range(0, n_plain, 4096):
+            part = size[lo : min(lo + 4096, n_plain)]
+            text = np.full(int(part.sum()) + len(part) - 1, 32, np.uint8)
+            at = np.cumsum(part + 1) - part - 1
+            text[np.repeat(at - (np.cumsum(part) - part), part) + np.arange(int(part.sum()))] = _taken(g.low, start[lo : lo + len(part)], part)
+            got, n[lo : lo + len(part)] = self.together(text.tobytes(), len(part))
+            ids.append(got)
+        others = self.alone([g.low[x : x + k].tobytes() for x, k in zip(start[n_plain:].tolist(), size[n_plain:].tolist(), strict=True)])
+        n[n_plain:] = [len(x) for x in others]
+        ids.append(np.array([t for x in others for t in x], np.uint32))
+        rows = np.empty(len(which), np.int64)
+        rows[order] = len(self.size) + np.arange(len(which))
+        self.at = np.concatenate((self.at, len(self.bytes) + np.cumsum(size) - size))
+        self.ids_at = np.concatenate((self.ids_at, len(self.ids) + np.cumsum(n) - n))
+        self.bytes, self.size = np.concatenate((self.bytes, _taken(g.low, start, size))), np.concatenate((self.size, size))
+        self.ids, self.n_ids = np.concatenate(ids), np.concatenate((self.n_ids, n))
+        return rows
+
+    def _rows(self, g: Segments) -> np.ndarray:
+        up, down = V._power_tables(len(g.low) + 1)
+        with np.errstate(over="ignore"):
+            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(V._CODES[False][g.low] * up[: len(g.low)])))
+            h, one, of = np.unique((total[g.end] - total[g.start]) * down[g.start], return_index=True, return_inverse=True)
+        if len(self.size) + len(h) > CACHE:
+            self._clear()
+        at = np.minimum(np.searchsorted(self.keys, h), max(0, len(self.keys) - 1))
+        known = self.keys[at] == h if len(self.keys) else np.zeros(len(h), bool)
+        row = np.empty(len(h), np.int64)
+        row[known] = self.rows[at[known]]
+        if not known.all():
+            row[~known] = self._added(g, one[~known])
+            keys = np.concatenate((self.keys, h[~known]))
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.rows = keys[order], np.concatenate((self.rows, row[~known]))[order]
+        row, size = row[of], g.end - g.start
+        same = self.size[row] == size
+        here, there = _taken(g.low, g.start[same], size[same]), _taken(self.bytes, self.at[row[same]], size[same])
+        if not np.array_equal(here, there):
+            begin = np.cumsum(size[same]) - size[same]
+            same[np.flatnonzero(same)[np.add.reduceat(here != there, begin) > 0]] = False
+        if not same.all():  # another segment has this hash
+            row[~same] = self._added(g, np.flatnonzero(~same))
+        return row
+
+    def encoded(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(number of ids of each text, all their ids); a text longer than two ``SEGMENT`` gives several, each with all texts counted."""
+        raw, offsets = V.buffer_of(texts)
+        for lo, hi in _parts(raw):
+            bounds = np.clip(offsets - lo, 0, hi - lo)
+            g = segments(raw[lo:hi], bounds)
+            row = self._rows(g)
+            n = self.n_ids[row]
+            yield np.bincount(g.text, n, len(texts)).astype(np.int64), _taken(self.ids, self.ids_at[row], n)
+
+
+def _parts(raw: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches of about ``SEGMENT`` bytes, cut at white space only."""
+    lo = 0
+    while len(raw) - lo > 2 * V.SEGMENT:
+        hi = lo + V.SEGMENT
+        while hi < len(raw) and not V.SPACE[raw[hi]]:
+            ahead = V.SPACE[raw[hi : hi + V.SEGMENT]]
+            hi += int(np.argmax(ahead)) if ahead.any() else len(ahead)
+        yield lo, hi
+        lo = hi
+    yield lo, len(raw)
+
+
+class ShardWriter:
+    """Frames go to the file as they come; ids, sizes and checksums are kept for its end."""
+
+    def __init__(self, out, level: int = 1) -> None:
+        self.out, self.press = out, zstandard.ZstdCompressor(level=level, write_checksum=False)
+        self.ids, self.table, self.tokens = array("q"), array("I"), 0
+
+    def add(self, doc_id: int, tokens: bytes) -> None:
+        frame = self.press.compress(tokens)
+        self.out.write(frame)
+        self.ids.append(doc_id)
+        self.table.extend((len(frame), len(tokens), xxhash.xxh64_intdigest(tokens) & 0xFFFFFFFF))
+        self.tokens += len(tokens) // 4
+
+    def close(self) -> None:
+        names = struct.pack("<II", SKIPPABLE_IDS, 8 * len(self.ids)) + np.array(self.ids, "<i8").tobytes()
+        self.table.extend((len(names), 0, xxhash.xxh64_intdigest(b"") & 0xFFFFFFFF))
+        body = np.array(self.table, "<u4").tobytes() + struct.pack("<IBI", len(self.table) // 3, CHECKSUMS, SEEKABLE_MAGIC)
+        self.out.write(names + struct.pack("<II", SKIPPABLE_TABLE, len(body)) + body)
 
 
 def shard_bytes(ids: list[int], tokens: list[bytes], level: int = 1) -> bytes:
     """A whole shard file."""
-    press = zstandard.ZstdCompressor(level=level, write_checksum=False)
-    frames = [press.compress(t) for t in tokens]
-    table = [(len(f), len(t), xxhash.xxh64_intdigest(t) & 0xFFFFFFFF) for f, t in zip(frames, tokens, strict=True)]
-    names = struct.pack("<II", SKIPPABLE_IDS, 8 * len(ids)) + np.array(ids, np.int64).tobytes()
-    table.append((len(names), 0, xxhash.xxh64_intdigest(b"") & 0xFFFFFFFF))
-    body = b"".join(struct.pack("<III", *row) for row in table) + struct.pack("<IBI", len(table), CHECKSUMS, SEEKABLE_MAGIC)
-    return b"".join(frames) + names + struct.pack("<II", SKIPPABLE_TABLE, len(body)) + body
+    writer = ShardWriter(out := io.BytesIO(), level)
+    for i, t in zip(ids, tokens, strict=True):
+        writer.add(i, t)
+    writer.close()
+    return out.getvalue()
 
 
 class Shard:
@@ -134,27 +279,33 @@ def write(docs: DataFrame, folder: str, vocab_path: str, end_id: int = 2, id_col
     """Encode every text, append ``end_id`` and write shards; returns (shard, path, docs, tokens), one row a shard.
 
     A null text holds the end id alone, rows without an id come first, rows that repeat
-    an id are all kept, in text order. Empty tables make no shard.
+    an id are all kept, in the order of a hash of their texts. Empty tables make no shard;
+    other columns are ignored. Frames are written as they are made, so a task holds one
+    slice of texts and its shard's table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, ids, tokens, end = chunk_cache(vocab_path), [], [], np.uint32(end_id).tobytes()
+        table, end, writer = TokenTable(vocab_path), np.uint32(end_id).tobytes(), None
+        fs, root = _open(folder)
+        path = f"{TaskContext.get().partitionId():08d}.zst"
+        own = f"{root}/_{uuid.uuid4().hex}"
         for whole in batches:
             for b in V.slices(whole, "text"):
-                ids += [NO_ID if i is None else i for i in b.column("id").to_pylist()]
-                tokens += [t.tobytes() + end for t in packed([_CHUNK.findall(t or "") for t in b.column("text").to_pylist()], cache)]
-        if ids:
-            task = TaskContext.get()
-            fs, root = _open(folder)
-            path, own = f"{root}/{task.partitionId():08d}.zst", f"{root}/_{uuid.uuid4().hex}"
-            fs.create_dir(root, recursive=True)
-            with fs.open_output_stream(own) as out:
-                out.write(shard_bytes(ids, tokens))
-            fs.move(own, path)
-            yield pa.RecordBatch.from_pydict({"shard": [task.partitionId()], "path": [f"{folder}/{task.partitionId():08d}.zst"], "docs": [len(ids)], "tokens": [sum(map(len, tokens)) // 4]})
+                if writer is None:
+                    fs.create_dir(root, recursive=True)
+                    writer = ShardWriter(fs.open_output_stream(own))
+                parts = [(np.concatenate(([0], np.cumsum(n))), ids) for n, ids in table.encoded(b.column("text"))]
+                for k, i in enumerate(b.column("id").to_pylist()):
+                    writer.add(NO_ID if i is None else i, b"".join([ids[at[k] : at[k + 1]].tobytes() for at, ids in parts]) + end)
+        if writer is not None:
+            writer.close()
+            writer.out.close()
+            fs.move(own, f"{root}/{path}")
+            yield pa.RecordBatch.from_pydict({"shard": [TaskContext.get().partitionId()], "path": [f"{folder}/{path}"], "docs": [len(writer.ids)], "tokens": [writer.tokens]})
 
     own = renamed(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-    dealt = own.repartitionByRange(F.col("id")).sortWithinPartitions("id", "text")
+    # The hash deals rows that share an id, or have none, over several shards too.
+    dealt = own.withColumn("h", F.xxhash64("text")).repartitionByRange("id", "h").sortWithinPartitions("id", "h", "text").drop("h")
     return written(dealt.mapInArrow(run, "shard long, path string, docs long, tokens long"))
 
 
