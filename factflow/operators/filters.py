@@ -82,3 +82,8 @@ def resolve_locales(mode: str, detected: Sequence[str], preset: Sequence[str], c
     if mode == "english":
         return [*[x for x in preset if x in set(detected)], "(root)"]
     return list(custom) or None
+
+
+def preset_locales(mode: str, preset: Sequence[str], custom: Sequence[str] = ()) -> list[str] | None:
+    """As ``resolve_locales`` without asking the pages: a preset locale that no page has selects nothing anyway."""
+    return resolve_locales(mode, preset, preset, custom)

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factflow.sources.folders import shared_folder
+
 
 def _cut(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Cut from its lineage in the checkpoint folder of the session; a session without one gets a local folder."""
+    """Cut from its lineage in the checkpoint folder of the session."""
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
@@ -33,16 +33,24 @@ def groups(edges: DataFrame) -> DataFrame:
         labels = new.select("a", F.col("n").alias("l"))
         if new.where("moved").isEmpty():
             break
-    ids = labels.select("l").distinct().select("l", F.dense_rank().over(Window.orderBy("l")).cast("long").alias("group"))
-    return labels.join(ids, "l").select(F.col("a").alias("node"), "group")
+    return labels.join(_numbered(labels.select("l").distinct(), "l"), "l").select(F.col("a").alias("node"), "group")
+
+
+def _numbered(values: DataFrame, column: str) -> DataFrame:
+    """Distinct values with ``group``, their place from 1 in ascending order: counted range by range, no sort in one task."""
+    dealt = _cut(values.sparkSession, values.repartitionByRange(column).select(column, F.spark_partition_id().alias("part")))
+    counts = dealt.groupBy("part").agg(F.count("*").alias("n"))  # one row a range
+    before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(column))
+    return dealt.withColumn("k", place).join(before, "part").select(column, (F.col("k") + F.col("before")).cast("long").alias("group"))
 
 
-def discover(links: DataFrame, start: DataFrame, cap: int) -> DataFrame:
-    """(node, depth) reached from ``start`` over (src, dst), breadth first, at most ``cap`` by (depth, node)."""
+def discover(links: DataFrame, start: DataFrame, cap: int | None = 500) -> DataFrame:
+    """(node, depth) reached from ``start`` over (src, dst), breadth first, each node once; with a ``cap``, that many by (depth, node)."""
     spark = links.sparkSession
     seen = _cut(spark, start.select("node", F.lit(0).alias("depth")))
     frontier, depth, count = seen, 0, seen.count()
-    while count < cap:
+    while cap is None or count < cap:
         depth += 1
         step = links.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
         frontier = _cut(spark, step.select("node", F.lit(depth).alias("depth")))
@@ -50,4 +58,4 @@ def discover(links: DataFrame, start: DataFrame, cap: int) -> DataFrame:
         if not more:
             break
         seen, count = _cut(spark, seen.unionByName(frontier)), count + more
-    return seen.orderBy("depth", "node").limit(cap)
+    return seen if cap is None else seen.orderBy("depth", "node").limit(cap)

@@ -46,3 +46,16 @@ def sync_message(urls: DataFrame) -> DataFrame:
     missing = F.col("total") - F.col("crawled")
     said = F.when(F.col("crawled") == 0, "Never synced").when(missing > 0, F.concat(missing, F.lit(" never synced"))).when(F.col("updated") > 0, F.concat("updated", F.lit(" updated"))).otherwise("up to date")
     return n.select("source_id", "total", "crawled", "updated", said.alias("message"))
+
+
+def batches(rows: DataFrame, key: str, order: str, size: int, width: int = 4096) -> DataFrame:
+    """``rows`` with ``batch``, the number of its run of ``size`` rows of the key in the order of an integer column.
+
+    Rows are numbered inside ranges of ``width`` values, to which the counts of the ranges
+    before them are added, so a key with most rows is spread over many tasks.
+    """
+    own = rows.withColumn("_range", F.floor(F.col(order) / width))
+    counts = own.groupBy(key, "_range").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    place = F.row_number().over(Window.partitionBy(key, "_range").orderBy(order)) + F.col("_before") - 1
+    return own.join(before, [key, "_range"]).withColumn("batch", F.floor(place / size)).drop("_range", "_before")

@@ -94,3 +94,27 @@ def recheck(findings: DataFrame, bodies: DataFrame, core: Column) -> DataFrame:
     found = F.contains(F.col("_b"), F.lower(core)) & (core != "")
     checked = F.when(F.col("_b").isNull(), "unverifiable").when(found, "open").otherwise("fixed")
     return findings.join(b, "url_id", "left").withColumn("recheck", checked).drop("_b")
+
+
+def edit(rows: DataFrame, edits: DataFrame, key: str, kept: Sequence[str]) -> DataFrame:
+    """``apply_actions`` for edits by hand: edited rows are marked, and the first edit keeps the old ``kept`` columns as JSON."""
+    before = F.when(F.col("_edit"), F.coalesce("original_snapshot", F.to_json(F.struct(*kept), {"ignoreNullFields": "false"}))).otherwise(F.col("original_snapshot"))
+    marked = rows.join(edits.select(key, F.lit(True).alias("_edit")), key, "left").withColumn("_edit", F.coalesce("_edit", F.lit(False)))
+    marked = marked.withColumns({"original_snapshot": before, "edited": F.col("_edit") | F.coalesce("edited", F.lit(False))}).drop("_edit")
+    return apply_actions(marked, edits, key)
+
+
+def start_runs(runs: DataFrame | None, started: DataFrame) -> DataFrame:
+    """Adds runs (run_id, source_id, kind, started_at) that have not ended."""
+    new = started.withColumn("finished_at", F.lit(None).cast("string"))
+    return new if runs is None else runs.unionByName(new)
+
+
+def finish_runs(runs: DataFrame, ended: DataFrame) -> DataFrame:
+    """Sets finished_at of runs (run_id, finished_at); a run that was told to have ended before keeps the new time."""
+    return apply_actions(runs, ended, "run_id")
+
+
+def last_runs(runs: DataFrame) -> DataFrame:
+    """(source_id, last_run_at): the last start of each source, whether it ended or not."""
+    return runs.groupBy("source_id").agg(F.max("started_at").alias("last_run_at"))

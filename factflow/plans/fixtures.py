@@ -21,7 +21,7 @@ FROM (SELECT doc_id AS url_id, CAST(doc_id % 3 + 1 AS INT) AS source_id, CASE WH
   CASE doc_id % 4 WHEN 0 THEN 'blog' WHEN 1 THEN 'news' WHEN 2 THEN 'docs' END AS section,
   CASE WHEN doc_id % 9 = 0 THEN NULL ELSE '2024-0' || (1 + doc_id % 6) || '-15' END AS lastmod,
   CASE WHEN doc_id % 7 = 0 THEN NULL ELSE '2024-0' || (1 + (doc_id * 5) % 6) || '-20T00:00:00+00:00' END AS last_crawled,
-  '2023-1' || (doc_id % 3) || '-01T00:00:00+00:00' AS first_seen, CASE WHEN doc_id % 11 = 0 THEN 0 ELSE 1 END AS in_source
+  CASE WHEN doc_id % 4 = 1 THEN '2024-0' || (1 + doc_id % 3) || '-28' ELSE '2023-1' || (doc_id % 3) || '-01' END || 'T00:00:00+00:00' AS first_seen, CASE WHEN doc_id % 11 = 0 THEN 0 ELSE 1 END AS in_source
   FROM {d.t('documents')}) u"""
 
 
@@ -99,7 +99,12 @@ def matches(d) -> str:
     return f"""
 SELECT CAST(doc_id % 8 + 1 AS INT) AS rule_id, doc_id AS url_id, CAST(0 AS BIGINT) AS external_page_id,
   CASE WHEN toxic = 1 THEN 'unclear' WHEN quality = 1 THEN 'positive' ELSE 'issue' END AS verdict,
-  'value ' || (doc_id % 23) AS matched_value, 'evidence of ' || doc_id AS evidence, doc_id AS write_seq FROM {d.t('labels')}"""
+  CASE WHEN doc_id % 8 = 4 THEN substr(text, 31, 12) ELSE 'value ' || (doc_id % 23) END AS matched_value, {_evidence(d)} AS evidence, doc_id AS write_seq FROM {d.t('labels')} JOIN {d.t('documents')} USING (doc_id)"""
+
+
+def _evidence(d) -> str:
+    """What a finding quotes: the text's middle up to 400 characters on, so that some need trimming; none for a sixth."""
+    return f"CASE WHEN doc_id % 6 = 0 THEN NULL ELSE trim({d.rx_all(f"substr(text, {d.div('length(text)', 2)} + 1, CASE WHEN doc_id % 5 = 1 THEN 400 ELSE 70 END)", '[ \\t\\n\\r\\f\\x0B]+', ' ')}) END"
 
 
 def issues(d) -> str:
@@ -111,7 +116,7 @@ SELECT doc_id + {{add}} AS issue_id, CAST((doc_id - doc_id % 4) % 3 + 1 AS INT)
   CASE doc_id % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' ELSE 'notice' END AS severity,
   CASE doc_id % 7 WHEN 0 THEN 'llm:a:{{tail}}' || doc_id WHEN 1 THEN 'lang_ctx:m' || (doc_id % 3) || ':' || (doc_id % 40) WHEN 2 THEN 'reg_ctx:m' || (doc_id % 2) || ':9'
     WHEN 3 THEN 'of_the:stale' WHEN 4 THEN 'fact:' || (doc_id % 11) || ' {{tail}}' WHEN 5 THEN 'licence:inconsistent' ELSE 'plain title' END AS title,
-  'detail ' || (doc_id % 31) AS detail, CASE WHEN doc_id % 6 = 0 THEN NULL ELSE trim({d.rx_all('substr(text, 1, 70)', '[ \\t\\n\\r\\f\\x0B]+', ' ')}) END AS evidence,
+  'detail ' || (doc_id % 31) AS detail, {_evidence(d)} AS evidence,
   'expected ' || (doc_id % 3) AS expected, CASE WHEN doc_id % 4 = 1 THEN doc_id - 1 ELSE 0 END AS related_url_id,
   CASE doc_id % 3 WHEN 0 THEN 'regex' WHEN 1 THEN 'inventory' ELSE 'llm_screen' END AS detection_method,
   CASE {{st}} % 6 WHEN 0 THEN 'open' WHEN 1 THEN 'fixed' WHEN 2 THEN 'open' WHEN 3 THEN 'ignored' WHEN 4 THEN 'false_positive' ELSE 'unclear' END AS status,

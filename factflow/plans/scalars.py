@@ -49,9 +49,9 @@ def crawl_domain_gate(t: Tables) -> DataFrame:
     return t.pages.where(U.on_domain(name, "ample.net")).select("page_id", F.lit(True).alias("on_domain"), U.on_domain(name, "ample.net", strict=True).alias("on_domain_strict"))
 
 
-@query("slugify", "SELECT doc_id, coalesce(nullif(left(trim(regexp_replace(lower(left(text, 60)), '[^\\p{L}\\p{N}]', '_', 'g'), '_'), 48), ''), 'rule') AS slug FROM documents")
+@query("slugify", "SELECT doc_id, coalesce(nullif(left(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '_', 'g'), '_'), 48), ''), 'rule') AS slug FROM documents")
 def slugify(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", U.slug(F.left("text", F.lit(60))).alias("slug"))
+    return t.documents.select("doc_id", U.slug(F.col("text")).alias("slug"))
 
 
 # D: text
@@ -160,14 +160,14 @@ def fact_rule_of(t: Tables) -> DataFrame:
     return t.fx("issues").select("issue_id", X.fact_rule_of(F.col("title")).alias("fact_rule"))
 
 
-@query("search_term_clean", "SELECT doc_id, trim(regexp_replace(left(text, 80), '[^\\p{L}\\p{N}\\p{M}_\\s+.,%$-]', ' ', 'g')) AS term FROM documents")
+@query("search_term_clean", "SELECT doc_id, trim(regexp_replace(text, '[^\\p{L}\\p{N}\\p{M}_\\s+.,%$-]', ' ', 'g')) AS term FROM documents")
 def search_term_clean(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", X.clean_term(F.left("text", F.lit(80))).alias("term"))
+    return t.documents.select("doc_id", X.clean_term(F.col("text")).alias("term"))
 
 
-@query("term_list_split", "SELECT doc_id, array_to_string(list_filter(list_transform(CASE WHEN contains(t, chr(10)) THEN string_split(t, chr(10)) ELSE string_split(t, ',') END, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> ''), '|') AS terms FROM (SELECT doc_id, left(text, 200) AS t FROM documents)")
+@query("term_list_split", "SELECT doc_id, array_to_string(list_filter(list_transform(CASE WHEN contains(t, chr(10)) THEN string_split(t, chr(10)) ELSE string_split(t, ',') END, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> ''), '|') AS terms FROM (SELECT doc_id, text AS t FROM documents)")
 def term_list_split(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.array_join(X.split_terms(F.left("text", F.lit(200))), "|").alias("terms"))
+    return t.documents.select("doc_id", F.array_join(X.split_terms(F.col("text")), "|").alias("terms"))
 
 
 @query("first_number", "SELECT doc_id, regexp_extract(text, '[0-9]{1,3}') AS number FROM documents")

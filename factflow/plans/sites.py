@@ -13,8 +13,10 @@ from factflow.operators import snapshots as S
 from factflow.operators import state as M
 from factflow.plans.detection import _SCAN, RULES
 from factflow.plans.registry import Tables, o, query
-from factflow.plans.tables import _JOINED, _LATEST, findings
+from factflow.plans.scalars import _MARKED, evidence_sql
+from factflow.plans.tables import _JOINED, _LATEST, _RANK, _VALUES, findings, findings_by_url, findings_union, recovered
 from factflow.sources import landed as A
+from factflow.sources.folders import scratch
 from factflow.streaming import sync as P
 
 _RG, _CT = o("registry"), o("catalog")
@@ -56,9 +58,18 @@ def dedup_findings(t: Tables) -> DataFrame:
     return M.collapse_duplicates(t.fx("issues")).select("issue_id", "status", "last_checked_at")
 
 
-@query("backfill_evidence", f"SELECT count(*) FILTER (WHERE evidence IS NOT NULL) AS seen, count(*) FILTER (WHERE length(evidence) > 20 AND left(evidence, 20) <> evidence) AS cut FROM {_I}")
+_DIGITS = "regexp_replace({0}, '\\p{{Nd}}', 'n', 'g')"
+_EVID = f"(SELECT issue_id, {_DIGITS.format('evidence')} AS stored, trim({_DIGITS.format('evidence')}) AS b, {_DIGITS.format('mv')} AS mv FROM (SELECT i.issue_id, i.evidence, coalesce(i.matched_value, m.v) AS mv FROM {_I} i LEFT JOIN {_VALUES} m ON m.url_id = i.url_id AND m.e = coalesce(i.evidence, '')) x0 WHERE evidence <> '')"
+_EVENDS = f"(SELECT *, length(b) AS n, list_transform(range(1, len(q)), lambda k: CAST(length(array_to_string(q[1:k], '')) AS INT)) AS ends, CASE WHEN coalesce(mv, '') <> '' AND contains(b, mv) THEN instr(b, mv) - 1 ELSE length(b) // 2 END AS at_, CASE WHEN coalesce(mv, '') <> '' AND contains(b, mv) THEN length(mv) ELSE 1 END AS w FROM (SELECT *, string_split({_MARKED}, '\x01') AS q FROM {_EVID} x1) x2)"
+
+
+@query("backfill_evidence", f"SELECT issue_id, CASE WHEN cut <> '' THEN cut ELSE stored END AS evidence, cut <> '' AND cut <> stored AS trimmed FROM (SELECT issue_id, stored, CASE WHEN n <= 300 AND len(ends) <= 1 THEN b ELSE evidence END AS cut FROM ({evidence_sql(_EVENDS, 'issue_id, stored, n, ends, b')}) x3)")
 def backfill_evidence(t: Tables) -> DataFrame:
-    return t.fx("issues").agg(F.count("evidence").alias("seen"), F.count_if((F.char_length("evidence") > 20) & (F.left("evidence", F.lit(20)) != F.col("evidence"))).alias("cut"))
+    """Stored evidence cut to its sentence, the matched value recovered first; ``trimmed`` marks what changed."""
+    own = recovered(t).where("evidence <> ''").select("issue_id", *[F.regexp_replace(c, r"\p{Nd}", "n").alias(c) for c in ("evidence", "matched_value")])
+    cut = X.with_trimmed_evidence(own, "evidence", F.col("matched_value"), "cut")
+    changed = (F.col("cut") != "") & (F.col("cut") != F.col("evidence"))
+    return cut.select("issue_id", F.when(changed, F.col("cut")).otherwise(F.col("evidence")).alias("evidence"), changed.alias("trimmed"))
 
 
 @query("merge_urls", f"SELECT url_id, CASE WHEN url_id % 2 = 0 THEN first_seen ELSE '2024-12-01' END AS first_seen, CASE WHEN url_id % 3 = 0 THEN '2024-11-11' WHEN url_id % 2 = 0 THEN lastmod END AS lastmod FROM {_U} WHERE url_id % 2 = 0 OR url_id % 3 = 0")
@@ -75,9 +86,29 @@ def rules_import_merge(t: Tables) -> DataFrame:
     return M.merge(r, new, ["slug"], new_first=["severity", "correct_value"]).select("slug", "severity", F.coalesce("correct_value", F.lit("-")).alias("correct_value"))
 
 
-@query("merge_queries", f"SELECT title AS query_text, max(issue_id) AS issue_id FROM {_I} GROUP BY title")
+_QUERIES = f"(SELECT title AS query_text, min(issue_id) AS query_id, 'value ' || min(issue_id) AS correct_value, count(*) AS runs FROM {_I} WHERE issue_id % 3 <> 0 GROUP BY title)"
+_RERUN = f"(SELECT title AS query_text, max(issue_id) AS query_id, CASE WHEN max(issue_id) % 2 = 0 THEN 'new ' || max(issue_id) END AS correct_value, count(*) AS runs FROM {_I} WHERE issue_id % 3 = 0 GROUP BY title)"
+
+
+@query("merge_queries", f"SELECT query_text, coalesce(o.query_id, n.query_id) AS query_id, coalesce(n.correct_value, o.correct_value) AS correct_value, coalesce(o.runs, 0) + coalesce(n.runs, 0) AS runs FROM {_QUERIES} o FULL JOIN {_RERUN} n USING (query_text)")
 def merge_queries(t: Tables) -> DataFrame:
-    return S.latest(t.fx("issues").select(F.col("title").alias("query_text"), "issue_id"), ["query_text"], ["issue_id"])
+    """Saved queries by their text: the first id stays, a new value counts where there is one, runs add up."""
+    own = t.fx("issues").select(F.col("title").alias("query_text"), "issue_id")
+    old = own.where("issue_id % 3 <> 0").groupBy("query_text").agg(F.min("issue_id").alias("query_id"), F.concat(F.lit("value "), F.min("issue_id")).alias("correct_value"), F.count("*").alias("runs"))
+    last = F.max("issue_id")
+    new = own.where("issue_id % 3 = 0").groupBy("query_text").agg(last.alias("query_id"), F.when(last % 2 == 0, F.concat(F.lit("new "), last)).alias("correct_value"), F.count("*").alias("runs"))
+    runs = F.coalesce("o.runs", F.lit(0)) + F.coalesce("n.runs", F.lit(0))
+    return M.merge(old, new, ["query_text"], {"runs": runs}, new_first=["correct_value"])
+
+
+@query("merge_features", f"SELECT name, arg_max(status, k) AS status, arg_max(aliases, k) AS aliases, min(product_id) AS feature_id FROM (SELECT name, product_id, 'available' AS status, aliases, product_id AS k FROM {_CT} WHERE product_id % 3 <> 0 UNION ALL SELECT name, product_id, 'planned', 'x,' || aliases, 1000000000 + product_id FROM {_CT} WHERE product_id % 3 = 0) GROUP BY name")
+def merge_features(t: Tables) -> DataFrame:
+    """Feature entries by name: the last of a file's rows wins, an entry that is there keeps its id."""
+    rows = t.fx("catalog").select("name", "product_id", "aliases")
+    old = S.latest(rows.where("product_id % 3 <> 0"), ["name"], ["product_id"]).select("name", F.lit("available").alias("status"), "aliases")
+    new = S.latest(rows.where("product_id % 3 = 0"), ["name"], ["product_id"]).select("name", F.lit("planned").alias("status"), F.concat(F.lit("x,"), "aliases").alias("aliases"))
+    merged = M.merge(old, new, ["name"], new_first=["status", "aliases"])
+    return merged.join(rows.groupBy("name").agg(F.min("product_id").alias("feature_id")), "name")
 
 
 @query("replace_faqs", f"SELECT faq_id, answer FROM {_F} WHERE url_id % 4 <> 0 UNION ALL SELECT faq_id, 'fresh' FROM {_F} WHERE url_id % 4 = 0 AND faq_id % 2 = 0 UNION ALL SELECT faq_id, answer FROM {_F} f WHERE url_id % 4 = 0 AND NOT EXISTS (SELECT 1 FROM {_F} g WHERE g.url_id = f.url_id AND g.faq_id % 2 = 0)")
@@ -110,11 +141,12 @@ def false_positive_learn(t: Tables) -> DataFrame:
     return rules.join(learned, "slug").select("slug", F.array_join(F.array_sort(F.array_union("allowed", "p")), "|").alias("learned"))
 
 
-@query("edit_findings", f"SELECT issue_id, CASE WHEN issue_id % 5 = 0 THEN 'edited' ELSE note END AS note, CASE WHEN issue_id % 10 = 0 THEN 'low' ELSE severity END AS severity, issue_id % 5 = 0 AS edited FROM {_I}")
+@query("edit_findings", f"SELECT issue_id, CASE WHEN issue_id % 5 = 0 THEN 'edited' ELSE note END AS note, CASE WHEN issue_id % 10 = 0 THEN 'low' ELSE severity END AS severity, CASE WHEN issue_id % 15 = 0 THEN 'faq' ELSE category END AS category, issue_id % 5 = 0 AS edited, CASE WHEN issue_id % 20 = 0 THEN '{{}}' WHEN issue_id % 5 = 0 THEN CAST(json_object('severity', severity, 'category', category, 'expected', expected) AS VARCHAR) END AS original_snapshot FROM {_I}")
 def edit_findings(t: Tables) -> DataFrame:
-    i = t.fx("issues")
-    edits = i.where("issue_id % 5 = 0").select("issue_id", F.lit("edited").alias("note"), F.when(F.col("issue_id") % 10 == 0, "low").alias("severity"))
-    return M.apply_actions(i, edits, "issue_id").join(edits.select("issue_id", F.lit(True).alias("e")), "issue_id", "left").select("issue_id", "note", "severity", F.coalesce("e", F.lit(False)).alias("edited"))
+    k = F.col("issue_id")
+    i = t.fx("issues").withColumns({"edited": F.lit(False), "original_snapshot": F.when(k % 20 == 0, "{}")})
+    edits = i.where(k % 5 == 0).select("issue_id", F.lit("edited").alias("note"), F.when(k % 10 == 0, "low").alias("severity"), F.when(k % 15 == 0, "faq").alias("category"))
+    return M.edit(i, edits, "issue_id", ("severity", "category", "expected")).select("issue_id", "note", "severity", "category", "edited", "original_snapshot")
 
 
 @query("apply_actions", f"SELECT issue_id, CASE issue_id % 7 WHEN 0 THEN 'ignored' WHEN 1 THEN 'fixed' ELSE status END AS status, CASE WHEN issue_id % 7 = 2 THEN '2024-12-24' ELSE deleted_at END AS deleted_at FROM {_I}")
@@ -149,72 +181,111 @@ def link_query_findings(t: Tables) -> DataFrame:
     return t.fx("issues").join(t.fx("urls").select("url_id", "group_id"), "url_id", "left").select("issue_id", F.when(F.col("title").startswith("fact:"), 7).alias("query_id"), "group_id")
 
 
-@query("run_log", f"SELECT source_id, count(*) AS runs, max(finished_at) AS last_run_at FROM {_J} WHERE status = 'done' GROUP BY source_id")
+@query("run_log", f"SELECT job_id AS run_id, source_id, job_type AS kind, started_at, CASE WHEN status = 'done' THEN finished_at END AS finished_at, max(started_at) OVER (PARTITION BY source_id) AS last_run_at FROM {_J}")
 def run_log(t: Tables) -> DataFrame:
-    return t.fx("jobs").where("status = 'done'").groupBy("source_id").agg(F.count("*").alias("runs"), F.max("finished_at").alias("last_run_at"))
-
-
-# N: groups
-_EDGES = "(SELECT a.page_id AS x, b.page_id AS y FROM pages a JOIN pages b ON b.page_id = a.page_id + 1 WHERE a.page_id // 4 = b.page_id // 4)"
-
-
-@query("hreflang_groups", f"WITH RECURSIVE e AS (SELECT x, y FROM {_EDGES} UNION SELECT y, x FROM {_EDGES}), r(a, b) AS (SELECT x, y FROM e UNION SELECT r.a, e.y FROM r JOIN e ON e.x = r.b) SELECT a AS node, dense_rank() OVER (ORDER BY least(a, m)) AS \"group\" FROM (SELECT a, min(b) AS m FROM r GROUP BY a)")
-def hreflang_groups(t: Tables) -> DataFrame:
-    p = t.pages.select(F.col("page_id").alias("a"))
-    edges = p.join(p.select(F.col("a").alias("b")), F.col("b") == F.col("a") + 1).where("a div 4 = b div 4")
-    return N.groups(edges)
-
-
-@query("ingest_stats", "SELECT count(*) AS total, count(*) FILTER (WHERE url LIKE '%example.com%') AS on_domain, count(*) FILTER (WHERE url NOT LIKE '%example.com%') AS external, (SELECT count(*) FROM (SELECT page_id // 4 FROM pages GROUP BY 1 HAVING count(*) > 1)) AS groups FROM pages")
-def ingest_stats(t: Tables) -> DataFrame:
-    on = U.registrable_domain(U.host(F.col("url"))) == "example.com"
-    groups = t.pages.groupBy(F.expr("page_id div 4")).count().where("count > 1").agg(F.count("*").alias("groups"))
-    return t.pages.agg(F.count("*").alias("total"), F.count_if(on).alias("on_domain"), F.count_if(~on).alias("external")).join(groups)
+    """Runs as they start, then as they end; the source takes over the time of its last start."""
+    j = t.fx("jobs")
+    begun = M.start_runs(None, j.select(F.col("job_id").alias("run_id"), "source_id", F.col("job_type").alias("kind"), "started_at"))
+    ended = M.finish_runs(begun, j.where("status = 'done'").select(F.col("job_id").alias("run_id"), "finished_at"))
+    return ended.join(M.last_runs(ended), "source_id").select("run_id", "source_id", "kind", "started_at", "finished_at", "last_run_at")
 
 
 # A: sources
 _XMLP = "(SELECT page_id, regexp_replace(url, '[?#].*$', '') AS loc, CASE WHEN page_id % 3 = 0 THEN NULL ELSE '2024-01-0' || (1 + page_id % 9) END AS lastmod, page_id // 10 AS doc FROM pages)"
+_ALT = f"(SELECT p.page_id, p.doc, p.loc, q.loc AS alt FROM {_XMLP} p JOIN {_XMLP} q ON q.page_id = p.page_id + 1 AND q.page_id // 4 = p.page_id // 4 UNION ALL SELECT page_id, doc, loc, loc || '/alt' FROM {_XMLP} WHERE page_id % 5 = 0)"
 
 
 def _sitemaps(t: Tables) -> DataFrame:
-    loc = F.regexp_replace("url", "[?#].*$", "")
+    """Sitemaps of ten pages each; alternates are the next page of four and, for a fifth of the pages, one more."""
+    own = t.pages.select("page_id", F.regexp_replace("url", "[?#].*$", "").alias("loc"))
+    own = own.join(own.select((F.col("page_id") - 1).alias("page_id"), F.col("loc").alias("next")), "page_id", "left")
     lastmod = F.when(F.col("page_id") % 3 == 0, "").otherwise(F.concat(F.lit("<lastmod> 2024-01-0"), (1 + F.col("page_id") % 9).cast("string"), F.lit(" </lastmod>")))
-    alt = F.concat(F.lit('<xhtml:link rel="Alternate" hreflang="fr" href="'), loc, F.lit('/alt"/>'))
-    entry = F.concat(F.lit("<url><loc> "), loc, F.lit(" </loc>"), lastmod, alt, F.lit("</url>"))
-    docs = t.pages.groupBy(F.expr("page_id div 10").alias("doc")).agg(F.array_join(F.sort_array(F.collect_list(entry)), "").alias("b"))
+    link = lambda c: F.concat(F.lit('<xhtml:link rel="Alternate" hreflang="fr" href="'), c, F.lit('"/>'))
+    alt = F.concat(F.when(F.col("page_id") % 5 == 0, link(F.concat("loc", F.lit("/alt")))).otherwise(""), F.when((F.col("page_id") % 4 != 3) & F.col("next").isNotNull(), link(F.col("next"))).otherwise(""))
+    entry = F.concat(F.lit("<url><loc> "), "loc", F.lit(" </loc>"), lastmod, alt, F.lit("</url>"))
+    docs = own.groupBy(F.expr("page_id div 10").alias("doc")).agg(F.array_join(F.sort_array(F.collect_list(entry)), "").alias("b"))
     return docs.select("doc", F.concat(F.lit("<urlset>"), "b", F.lit("<url><lastmod>x</lastmod></url></urlset>")).alias("xml"))
 
 
-@query("sitemap_entries", f"SELECT doc, loc, lastmod, loc || '/alt' AS alternate FROM {_XMLP}")
+_ENTRIES = f"SELECT x.doc, x.loc, lastmod, coalesce(string_agg(alt, '|' ORDER BY alt <> x.loc || '/alt'), '') AS alternate FROM {_XMLP} x LEFT JOIN {_ALT} a USING (page_id) GROUP BY x.page_id, x.doc, x.loc, lastmod"
+
+
+@query("sitemap_entries", _ENTRIES)
 def sitemap_entries(t: Tables) -> DataFrame:
     return A.sitemap_texts(_sitemaps(t)).select("doc", "loc", "lastmod", F.array_join("alternates", "|").alias("alternate"))
 
 
-@query("sitemap_url_union", f"SELECT loc AS url FROM {_XMLP} UNION SELECT loc || '/alt' FROM {_XMLP}")
+@query("sitemap_gzip", _ENTRIES)
+def sitemap_gzip(t: Tables) -> DataFrame:
+    """Sitemaps as they are fetched: bytes, every other one packed."""
+    fetched = A.packed(_sitemaps(t), "xml", F.col("doc") % 2 == 0)
+    return A.sitemap_texts(A.unpacked(fetched, "xml")).select("doc", "loc", "lastmod", F.array_join("alternates", "|").alias("alternate"))
+
+
+@query("sitemap_url_union", f"SELECT loc AS url FROM {_XMLP} UNION SELECT alt FROM {_ALT}")
 def sitemap_url_union(t: Tables) -> DataFrame:
     e = A.sitemap_texts(_sitemaps(t))
     return e.select(F.col("loc").alias("url")).unionByName(e.select(F.explode("alternates").alias("url"))).distinct()
 
 
-_LINKS = "(SELECT page_id AS src, k AS dst FROM pages, (VALUES (2), (3)) v(m), LATERAL (SELECT page_id * m + 1 AS k) WHERE k < 250 AND page_id % 7 <> 5)"
+_CLOSURE = f"e(x, y) AS (SELECT loc, alt FROM {_ALT} UNION SELECT alt, loc FROM {_ALT}), r(a, b) AS (SELECT x, y FROM e UNION SELECT r.a, e.y FROM r JOIN e ON e.x = r.b), g AS (SELECT a AS node, dense_rank() OVER (ORDER BY least(a, m)) AS k FROM (SELECT a, min(b) AS m FROM r GROUP BY a))"
+
+
+@query("hreflang_groups", f"WITH RECURSIVE {_CLOSURE} SELECT node, k AS \"group\" FROM g")
+def hreflang_groups(t: Tables) -> DataFrame:
+    return N.groups(A.alternate_pairs(A.sitemap_texts(_sitemaps(t))))
+
+
+_DOM = "regexp_extract({0}, '://[^/?#:]*?([^./?#:]+[.][^./?#:]+)(?:[:/?#]|$)', 1)"
+
+
+@query("ingest_stats", f"WITH RECURSIVE {_CLOSURE}, u AS (SELECT loc AS url FROM {_XMLP} UNION SELECT alt FROM {_ALT}) SELECT (SELECT count(*) FROM u) AS total, (SELECT count(*) FROM u WHERE {_DOM.format('url')} = 'example.com') AS on_domain, (SELECT count(*) FROM {_ALT} WHERE {_DOM.format('alt')} <> 'example.com') AS external, (SELECT coalesce(max(k), 0) FROM g) AS groups")
+def ingest_stats(t: Tables) -> DataFrame:
+    return A.ingest_stats(A.sitemap_texts(_sitemaps(t)), "example.com")
 
 
-def _links(t: Tables) -> DataFrame:
-    return t.pages.where("page_id % 7 <> 5").select(F.col("page_id").alias("src"), F.explode(F.array(F.col("page_id") * 2 + 1, F.col("page_id") * 3 + 1)).alias("dst")).where("dst < 250")
+_OUT = f"(SELECT p.page_id AS src, q.page_id AS dst, regexp_replace(q.url, '#.*$', '') AS node FROM pages p JOIN pages q ON q.page_id IN (2 * p.page_id + 1, 3 * p.page_id + 1) WHERE p.page_id % 7 <> 5 AND {_DOM.format('p.url')} = {_DOM.format('q.url')})"
 
 
-_REACH = f"WITH RECURSIVE r(node, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT l.dst, r.depth + 1 FROM r JOIN {_LINKS} l ON l.src = r.node WHERE r.depth < 12) SELECT node, min(depth) AS depth FROM r GROUP BY node ORDER BY depth, node LIMIT "
+def _outlinks(pages: DataFrame) -> DataFrame:
+    """(page_id, url, link): absolute links to pages of the same domain."""
+    links = pages.select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('href="(https?://[^"#]+)'), F.lit(1))).alias("link"))
+    return links.where(U.registrable_domain(U.host(F.col("link"))) == U.registrable_domain(U.host(F.col("url"))))
 
 
-@query("link_bfs", _REACH + "60")
+def _linked(t: Tables) -> DataFrame:
+    """Pages whose text links to others, so that a crawl can go on from each."""
+    p = t.pages.select("page_id", "url")
+    to = p.where("page_id % 7 <> 5").select("page_id", F.explode(F.array(F.col("page_id") * 2 + 1, F.col("page_id") * 3 + 1)).alias("dst"))
+    anchor = to.join(p.select(F.col("page_id").alias("dst"), F.col("url").alias("target")), "dst").select("page_id", F.concat(F.lit('<a href="'), "target", F.lit('">x</a>')).alias("a"))
+    return p.join(anchor.groupBy("page_id").agg(F.array_join(F.collect_list("a"), " ").alias("html")), "page_id", "left").select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+
+
+@query("link_bfs", f"WITH RECURSIVE r(id, node, depth) AS (SELECT page_id, regexp_replace(url, '#.*$', ''), 0 FROM pages WHERE page_id = 0 UNION SELECT l.dst, l.node, r.depth + 1 FROM r JOIN {_OUT} l ON l.src = r.id) SELECT node, min(depth) AS depth FROM r GROUP BY node ORDER BY depth, node LIMIT 500")
 def link_bfs(t: Tables) -> DataFrame:
-    return N.discover(_links(t), t.spark.range(1).select(F.col("id").alias("node")), 60)
+    pages = _linked(t)
+    own = F.regexp_replace("url", "#.*$", "")
+    links = _outlinks(pages).select(own.alias("src"), F.col("link").alias("dst"))
+    return N.discover(links, pages.where("page_id = 0").select(own.alias("node")), 500)
+
+
+_KIDS = "(SELECT p.page_id AS src, q.page_id AS dst FROM pages p JOIN pages q ON q.page_id IN (2 * p.page_id + 1, 3 * p.page_id + 1) WHERE p.page_id % 7 <> 5)"
 
 
-@query("sitemap_index_expand", f"SELECT node FROM ({_REACH}100000) WHERE node NOT IN (SELECT src FROM {_LINKS})")
+def _indexes(t: Tables) -> DataFrame:
+    """A sitemap for every page: an index of others, or, without any, one that lists its page."""
+    p = t.pages.select("page_id", F.regexp_replace("url", "[?#].*$", "").alias("loc"))
+    to = p.where("page_id % 7 <> 5").select("page_id", F.explode(F.array(F.col("page_id") * 2 + 1, F.col("page_id") * 3 + 1)).alias("dst")).join(p.select(F.col("page_id").alias("dst")), "dst", "left_semi")
+    child = F.concat(F.lit("<sitemap><loc> sm"), "dst", F.lit(" </loc></sitemap>"))
+    index = to.groupBy("page_id").agg(F.array_join(F.collect_list(child), "").alias("kids"))
+    xml = F.when(F.col("kids").isNotNull(), F.concat(F.lit("<sitemapindex>"), "kids", F.lit("</sitemapindex>"))).otherwise(F.concat(F.lit("<urlset><url><loc>"), "loc", F.lit("</loc></url></urlset>")))
+    return p.join(index, "page_id", "left").select(F.concat(F.lit("sm"), "page_id").alias("sitemap"), xml.alias("xml"))
+
+
+@query("sitemap_index_expand", f"WITH RECURSIVE r(node) AS (SELECT CAST(0 AS BIGINT) UNION SELECT l.dst FROM r JOIN {_KIDS} l ON l.src = r.node) SELECT 'sm' || node AS sitemap, regexp_replace(url, '[?#].*$', '') AS loc FROM r JOIN pages ON page_id = node WHERE node NOT IN (SELECT src FROM {_KIDS})")
 def sitemap_index_expand(t: Tables) -> DataFrame:
-    links = _links(t)
-    return N.discover(links, t.spark.range(1).select(F.col("id").alias("node")), 100000).select("node").join(links.select(F.col("src").alias("node")), "node", "left_anti")
+    docs = _indexes(t)
+    return A.expanded(docs, docs.where("sitemap = 'sm0'")).select("sitemap", "loc")
 
 
 @query("url_list_scan", "SELECT CASE page_id % 4 WHEN 0 THEN upper(left(url, 4)) || substr(url, 5) ELSE url END AS url FROM pages WHERE page_id % 4 <> 3 AND page_id % 5 <> 0")
@@ -244,6 +315,14 @@ def rules_for_product(t: Tables) -> DataFrame:
     return A.load_rules(t.fx("registry"), t.fx("catalog"), product_id=1).select(_COLS)
 
 
+@query("registry_export", f"SELECT rule_id, slug, rule_type, category, correct_value, product_id, enabled, array_to_string(CAST(coalesce(try_cast(stale_patterns AS JSON), '[]') AS VARCHAR[]), '|') AS stale, array_to_string(CAST(coalesce(try_cast(allowed_patterns AS JSON), '[]') AS VARCHAR[]), '|') AS allowed FROM {_RG}")
+def registry_export(t: Tables) -> DataFrame:
+    """The whole registry, rules out of use too, as JSON lines with real lists, and read back."""
+    rules = A.load_rules(t.fx("registry"), t.fx("catalog"), enabled_only=False).drop("product_name", "canonical_value")
+    back = _round_trip(rules, "json")
+    return back.select("rule_id", "slug", "rule_type", "category", "correct_value", "product_id", "enabled", F.array_join("stale_patterns", "|").alias("stale"), F.array_join("allowed_patterns", "|").alias("allowed"))
+
+
 @query("features_load", f"SELECT name, len(list_filter(string_split(aliases, ','), lambda x: x <> ''))::INT AS n FROM {_CT}")
 def features_load(t: Tables) -> DataFrame:
     stored = t.fx("catalog").select("name", F.to_json(F.filter(F.split("aliases", ","), lambda x: x != "")).alias("j"))
@@ -316,16 +395,14 @@ def author_extract(t: Tables) -> DataFrame:
 _ABS = "regexp_extract_all(html, 'href=\"(https?://[^\"#]+)', 1)"
 
 
-@query("page_links", f"SELECT DISTINCT page_id, h AS link FROM (SELECT page_id, url, unnest({_ABS}) AS h FROM pages) WHERE regexp_extract(h, '://[^/?#:]*?([^./?#:]+[.][^./?#:]+)(?:[:/?#]|$)', 1) = regexp_extract(url, '://[^/?#:]*?([^./?#:]+[.][^./?#:]+)(?:[:/?#]|$)', 1)")
+@query("page_links", f"SELECT DISTINCT page_id, h AS link FROM (SELECT page_id, url, unnest({_ABS}) AS h FROM pages) WHERE {_DOM.format('h')} = {_DOM.format('url')}")
 def page_links(t: Tables) -> DataFrame:
-    links = t.pages.select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('href="(https?://[^"#]+)'), F.lit(1))).alias("link"))
-    same = U.registrable_domain(U.host(F.col("link"))) == U.registrable_domain(U.host(F.col("url")))
-    return links.where(same).select("page_id", "link").distinct()
+    return _outlinks(t.pages).select("page_id", "link").distinct()
 
 
 # O: sinks, each written and read again
 def _round_trip(df: DataFrame, kind: str, **options) -> DataFrame:
-    path = P.scratch(df.sparkSession, kind)
+    path = scratch(df.sparkSession, kind)
     df.write.options(**options).format(kind).save(path)
     return df.sparkSession.read.options(**options).schema(df.schema).format(kind).load(path)
 
@@ -336,7 +413,7 @@ _CSV = {"header": "true", "escape": '"', "nullValue": "", "emptyValue": "", "mul
 @query("export_findings", f"SELECT category, severity, url, title, coalesce(evidence, '') AS evidence, coalesce(product_name, '') AS product_name FROM {_JOINED} WHERE status = 'open' AND deleted_at IS NULL")
 def export_findings(t: Tables) -> DataFrame:
     rows = findings(t).where("status = 'open' AND deleted_at IS NULL").select("severity", "url", "title", "evidence", "product_name", "category")
-    path = P.scratch(t.spark, "findings_csv")
+    path = scratch(t.spark, "findings_csv")
     rows.write.partitionBy("category").options(**_CSV).csv(path)
     back = t.spark.read.options(**_CSV).schema(rows.schema).csv(path)
     return back.select("category", "severity", "url", "title", F.coalesce("evidence", F.lit("")).alias("evidence"), F.coalesce("product_name", F.lit("")).alias("product_name"))
@@ -357,7 +434,7 @@ def report_payload(t: Tables) -> DataFrame:
 
 # P: the stream
 def _landed(t: Tables) -> str:
-    path = P.scratch(t.spark, "landing")
+    path = scratch(t.spark, "landing")
     pages = t.fx("claims").select("url_id", "locale", "body_text", F.lit(1).cast("long").alias("version"))
     old = pages.withColumn("body_text", F.lit("old text of the page")).withColumn("version", F.lit(0).cast("long"))
     old.unionByName(pages).repartition(4).write.parquet(path)
@@ -366,12 +443,12 @@ def _landed(t: Tables) -> str:
 
 @query("sync_stream", f"SELECT rule_id, slug, url_id, verdict FROM ({_SCAN})")
 def sync_stream(t: Tables) -> DataFrame:
-    return P.sync(t.spark, _landed(t), P.scratch(t.spark, "sync"), RULES).select("rule_id", "slug", "url_id", "verdict")
+    return P.sync(t.spark, _landed(t), scratch(t.spark, "sync"), RULES).select("rule_id", "slug", "url_id", "verdict")
 
 
 @query("sync_metrics", "SELECT CAST(2 * count(*) AS BIGINT) AS pages, CAST(0 AS BIGINT) AS errors FROM documents")
 def sync_metrics(t: Tables) -> DataFrame:
-    state = P.scratch(t.spark, "sync")
+    state = scratch(t.spark, "sync")
     P.sync(t.spark, _landed(t), state, RULES[:1])
     return P.metrics(t.spark, state)
 

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factflow.functions.categories import INTERNAL, severity_rank
 from factflow.operators import filters as E
 from factflow.operators import snapshots as S
+from factflow.operators.detect import first_of
 from factflow.plans.registry import Tables, o, query
+from factflow.sources import landed as A
 
 _RANK = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END"
 _IN = ", ".join(f"'{c}'" for c in INTERNAL)
 _CT = o("catalog")
 _I, _U, _P, _C, _M, _R, _X, _J = (o(n) for n in ("issues", "urls", "products", "crawls", "matches", "rules", "external", "jobs"))
-_JOINED = f"(SELECT i.*, u.url, u.locale, u.section, r.url AS related_url, p.name AS product_name FROM {_I} i JOIN {_U} u USING (url_id) LEFT JOIN {_U} r ON r.url_id = i.related_url_id AND i.related_url_id <> 0 LEFT JOIN {_P} p ON p.product_id = i.product_id)"
+_JOINED = f"(SELECT i.*, u.url, u.locale, u.section, u.content_type, u.author, r.url AS related_url, p.name AS product_name FROM {_I} i JOIN {_U} u USING (url_id) LEFT JOIN {_U} r ON r.url_id = i.related_url_id AND i.related_url_id <> 0 LEFT JOIN {_P} p ON p.product_id = i.product_id)"
 _LATEST = f"(SELECT * FROM {_C} QUALIFY row_number() OVER (PARTITION BY url_id ORDER BY crawl_id DESC) = 1)"
 
 
@@ -22,7 +24,7 @@ def findings(t: Tables) -> DataFrame:
     """Findings with their page, the related page and the product; the product dimension is small and checked by size."""
     u = t.fx("urls")
     related = u.select(F.col("url_id").alias("related_url_id"), F.col("url").alias("related_url"))
-    own = t.fx("issues").join(u.select("url_id", "url", "locale", "section"), "url_id").join(related, "related_url_id", "left")
+    own = t.fx("issues").join(u.select("url_id", "url", "locale", "section", "content_type", "author"), "url_id").join(related, "related_url_id", "left")
     return own.join(t.fx("products").select("product_id", F.col("name").alias("product_name")), "product_id", "left").withColumn("related_url", F.when(F.col("related_url_id") != 0, F.col("related_url")))
 
 
@@ -60,9 +62,7 @@ def only_changed(t: Tables) -> DataFrame:
 
 @query("locale_scope", f"SELECT url_id, locale FROM {_U} WHERE locale = 'en' OR locale IS NULL")
 def locale_scope(t: Tables) -> DataFrame:
-    u = t.fx("urls")
-    detected = [r.locale for r in u.select("locale").distinct().collect() if r.locale]
-    return u.where(E.in_locales(E.resolve_locales("english", detected, ["en", "gb", "us"]))).select("url_id", "locale")
+    return t.fx("urls").where(E.in_locales(E.preset_locales("english", ["en", "gb", "us"]))).select("url_id", "locale")
 
 
 @query("english_pages", f"SELECT url_id FROM {o('claims')} WHERE locale IS NULL OR locale IN ('en')")
@@ -168,9 +168,9 @@ def match_matrix(t: Tables) -> DataFrame:
     return t.fx("rules").where("enabled = 1").join(counts, "rule_id", "left").select("slug", *cols).orderBy(F.desc("total"), "slug")
 
 
-@query("match_drilldown", f"SELECT url, matched_value, evidence FROM {_M} m JOIN {_U} u USING (url_id) WHERE rule_id = 3 AND verdict = 'positive' ORDER BY url LIMIT 30")
+@query("match_drilldown", f"SELECT url, matched_value, evidence FROM {_M} m JOIN {_U} u USING (url_id) WHERE rule_id = 3 AND verdict = 'positive' ORDER BY url LIMIT 300")
 def match_drilldown(t: Tables) -> DataFrame:
-    return t.fx("matches").where("rule_id = 3 AND verdict = 'positive'").join(t.fx("urls"), "url_id").orderBy("url").limit(30).select("url", "matched_value", "evidence")
+    return t.fx("matches").where("rule_id = 3 AND verdict = 'positive'").join(t.fx("urls"), "url_id").orderBy("url").limit(300).select("url", "matched_value", "evidence")
 
 
 @query("match_stats", f"SELECT count(*) AS total, count(*) FILTER (WHERE verdict = 'positive') AS positive, count(*) FILTER (WHERE verdict = 'issue') AS issue, count(*) FILTER (WHERE verdict = 'unclear') AS unclear, count(DISTINCT rule_id) AS rules, (SELECT count(*) FROM {_R} WHERE enabled = 1) AS enabled_rules FROM {_M} JOIN {_U} u USING (url_id) WHERE u.source_id = 1")
@@ -180,11 +180,14 @@ def match_stats(t: Tables) -> DataFrame:
     return n.join(t.fx("rules").where("enabled = 1").agg(F.count("*").alias("enabled_rules")))
 
 
-@query("read_stats", f"""SELECT source_id, count(*) FILTER (WHERE NOT bad) AS readable, count(*) FILTER (WHERE bad) AS unreadable FROM (SELECT u.source_id, coalesce(body_text, '') = '' OR error IS NOT NULL OR status_code >= 400 AS bad FROM {_LATEST} l JOIN {_U} u USING (url_id)) GROUP BY source_id""")
+@query("read_stats", f"""SELECT source_id, count(*) FILTER (WHERE NOT bad) AS readable, count(*) FILTER (WHERE bad) AS unreadable, coalesce(any_value(q.faqs), 0) AS faqs
+FROM (SELECT u.source_id, coalesce(body_text, '') = '' OR error IS NOT NULL OR status_code >= 400 AS bad FROM {_LATEST} l JOIN {_U} u USING (url_id)) LEFT JOIN (SELECT source_id, count(*) AS faqs FROM {o('faqs')} f JOIN {_U} v USING (url_id) GROUP BY 1) q USING (source_id) GROUP BY source_id""")
 def read_stats(t: Tables) -> DataFrame:
     bad = (F.coalesce("body_text", F.lit("")) == "") | F.col("error").isNotNull() | (F.col("status_code") >= 400)
-    own = S.latest(t.fx("crawls"), ["url_id"], ["crawl_id"]).join(t.fx("urls").select("url_id", "source_id"), "url_id")
-    return own.groupBy("source_id").agg(F.count_if(~bad).alias("readable"), F.count_if(bad).alias("unreadable"))
+    pages = t.fx("urls").select("url_id", "source_id")
+    faqs = t.fx("faqs").select("url_id").join(pages, "url_id").groupBy("source_id").agg(F.count("*").alias("faqs"))
+    own = S.latest(t.fx("crawls"), ["url_id"], ["crawl_id"]).join(pages, "url_id").groupBy("source_id").agg(F.count_if(~bad).alias("readable"), F.count_if(bad).alias("unreadable"))
+    return own.join(faqs, "source_id", "left").select("source_id", "readable", "unreadable", F.coalesce("faqs", F.lit(0)).alias("faqs"))
 
 
 @query("faq_groups", f"SELECT url_id, count(*) AS n, md5(string_agg(question || '=' || answer, '|' ORDER BY faq_id)) AS h FROM {o('faqs')} f JOIN {_U} u USING (url_id) WHERE u.locale IS NULL OR u.locale = 'en' GROUP BY url_id")
@@ -202,11 +205,18 @@ def finding_context(t: Tables) -> DataFrame:
     return t.fx("issues").where("deleted_at IS NULL").join(b, "url_id", "left").withColumn("p", at).select("issue_id", F.when(F.col("p") > 0, F.concat(F.lit("at "), "p")).otherwise(F.col("evidence")).alias("context"))
 
 
-@query("matched_value_recover", f"SELECT i.issue_id, coalesce(i.matched_value, m.v) AS matched_value FROM {_I} i LEFT JOIN (SELECT url_id, coalesce(evidence, '') AS e, min(matched_value) AS v FROM (SELECT url_id, 'evidence of ' || url_id AS evidence, matched_value FROM {_M}) GROUP BY 1, 2) m ON m.url_id = i.url_id AND m.e = 'evidence of ' || i.url_id")
+_VALUES = f"(SELECT url_id, coalesce(evidence, '') AS e, min(matched_value) AS v FROM {_M} WHERE matched_value <> '' GROUP BY 1, 2)"
+
+
+def recovered(t: Tables) -> DataFrame:
+    """Findings whose missing matched value is taken from the verdict with the same page and evidence, the smallest of several."""
+    m = t.fx("matches").where("matched_value <> ''").groupBy("url_id", F.coalesce("evidence", F.lit("")).alias("e")).agg(F.min("matched_value").alias("v"))
+    return t.fx("issues").withColumn("e", F.coalesce("evidence", F.lit(""))).join(m, ["url_id", "e"], "left").withColumn("matched_value", F.coalesce("matched_value", "v"))
+
+
+@query("matched_value_recover", f"SELECT i.issue_id, coalesce(i.matched_value, m.v) AS matched_value FROM {_I} i LEFT JOIN {_VALUES} m ON m.url_id = i.url_id AND m.e = coalesce(i.evidence, '')")
 def matched_value_recover(t: Tables) -> DataFrame:
-    m = t.fx("matches").groupBy("url_id", F.coalesce("evidence", F.lit("")).alias("e")).agg(F.min("matched_value").alias("v"))
-    i = t.fx("issues").withColumn("e", F.concat(F.lit("evidence of "), "url_id"))
-    return i.join(m, ["url_id", "e"], "left").select("issue_id", F.coalesce("matched_value", "v").alias("matched_value"))
+    return recovered(t).select("issue_id", "matched_value")
 
 
 @query("hits_with_group", f"SELECT m.url_id, u.group_id FROM {_M} m LEFT JOIN {_U} u USING (url_id) WHERE m.verdict = 'issue'")
@@ -302,12 +312,19 @@ def section_counts(t: Tables) -> DataFrame:
     return t.fx("urls").where("section IS NOT NULL").groupBy("section").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "section").limit(40)
 
 
-@query("findings_by_url", f"""SELECT url, count(*) AS n, string_agg(DISTINCT category, '; ' ORDER BY category) AS categories, arg_min(severity, ({_RANK}) * 10000000000 + issue_id) AS top_severity,
-array_to_string(list_transform(list(coalesce(left(evidence, 120), '') ORDER BY {_RANK}, issue_id)[1:10], lambda e: e), ' | ') AS evidences FROM {_JOINED} WHERE status = 'open' AND deleted_at IS NULL GROUP BY url""")
+@query("findings_by_url", f"""SELECT url, any_value(locale) AS locale, any_value(content_type) AS content_type, any_value(author) AS author, coalesce(list(product_name ORDER BY {_RANK}, issue_id)[1], '') AS product, count(*) AS issue_count, string_agg(DISTINCT category, '; ' ORDER BY category) AS categories,
+CASE min({_RANK}) WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE CASE WHEN bool_or(severity = 'low') THEN 'low' ELSE '' END END AS severities,
+array_to_string(list_transform(list_filter(list(evidence ORDER BY {_RANK}, issue_id), lambda e: coalesce(e, '') <> '')[1:10], lambda e: left(e, 120)), ' | ') AS evidences FROM {_JOINED} WHERE status = 'open' AND deleted_at IS NULL GROUP BY url""")
 def findings_by_url(t: Tables) -> DataFrame:
-    row = F.struct(severity_rank(F.col("severity")).alias("r"), "issue_id", "severity", F.coalesce(F.left("evidence", F.lit(120)), F.lit("")).alias("e"))
-    g = findings(t).where("status = 'open' AND deleted_at IS NULL").groupBy("url").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("category")).alias("c"), F.sort_array(F.collect_list(row)).alias("rows"))
-    return g.select("url", "n", F.array_join("c", "; ").alias("categories"), F.element_at("rows", 1)["severity"].alias("top_severity"), F.array_join(F.transform(F.slice("rows", 1, 10), lambda x: x["e"]), " | ").alias("evidences")).orderBy(F.desc("n"), "url")
+    """One row a page: counts over all its findings, the product of the first and the first ten evidences; never more than ten in a list."""
+    rows = findings(t).where("status = 'open' AND deleted_at IS NULL").withColumn("r", severity_rank(F.col("severity")))
+    top = F.min(F.when(F.col("severity").isin("critical", "high", "medium", "low"), F.col("r"))).alias("top")
+    n = rows.groupBy("url").agg(F.first("locale").alias("locale"), F.first("content_type").alias("content_type"), F.first("author").alias("author"), F.min_by("product_name", F.struct("r", "issue_id")).alias("product"), F.count("*").alias("issue_count"), F.sort_array(F.collect_set("category")).alias("c"), top)
+    shown = first_of(rows.where("evidence <> ''"), ["url"], [F.col("r"), F.col("issue_id")], 10)
+    shown = shown.groupBy("url").agg(F.sort_array(F.collect_list(F.struct("r", "issue_id", F.left("evidence", F.lit(120)).alias("e")))).alias("rows"))
+    named = F.when(F.col("top") == 0, "critical").when(F.col("top") == 1, "high").when(F.col("top") == 2, "medium").when(F.col("top") == 3, "low").otherwise("")
+    out = n.join(shown, "url", "left").select("url", "locale", "content_type", "author", F.coalesce("product", F.lit("")).alias("product"), "issue_count", F.array_join("c", "; ").alias("categories"), named.alias("severities"), F.coalesce(F.array_join(F.transform("rows", lambda x: x["e"]), " | "), F.lit("")).alias("evidences"))
+    return out.orderBy(F.desc("issue_count"), "url")
 
 
 @query("content_type_counts", f"SELECT content_type, count(*) AS n, count(author) AS found, count(*) FILTER (WHERE content_type <> 'other' AND author IS NULL) AS not_found FROM {_U} GROUP BY content_type")
@@ -365,11 +382,15 @@ def usage_cost(t: Tables) -> DataFrame:
     return log.join(prices, "model").groupBy("model").agg(F.count("*").alias("calls"), F.sum("n_chars").alias("tokens"), F.round(F.sum(F.col("n_chars") * F.col("price")), 6).alias("spend"))
 
 
-@query("rules_context", f"SELECT source_id, coalesce(string_agg('- ' || name || ': ' || aliases, chr(10) ORDER BY product_id), '(none)') AS context FROM {_CT} GROUP BY source_id")
+_RG = o("registry")
+
+
+@query("rules_context", f"""SELECT product, count(*) AS rules, string_agg(line, chr(10) ORDER BY rule_id) AS context FROM (SELECT rule_id, coalesce(p.name, 'any product') AS product,
+'- [' || slug || ' / ' || coalesce(category, '') || ' / product: ' || coalesce(p.name, 'any product') || ']. Correct value: ' || coalesce(correct_value, 'TBD') || '.' || CASE WHEN len(al) > 0 THEN ' ALLOWED (not an issue): ' || array_to_string(al[1:4], '; ') || '.' ELSE '' END AS line
+FROM (SELECT *, CAST(coalesce(try_cast(allowed_patterns AS JSON), '[]') AS VARCHAR[]) AS al FROM {_RG} WHERE enabled = 1) r LEFT JOIN {_CT} p USING (product_id)) GROUP BY product""")
 def rules_context(t: Tables) -> DataFrame:
-    g = t.fx("catalog").groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("product_id", "name", "aliases"))).alias("p"))
-    line = F.array_join(F.transform("p", lambda x: F.concat(F.lit("- "), x["name"], F.lit(": "), x["aliases"])), "\n")
-    return g.select("source_id", F.when(F.size("p") == 0, "(none)").otherwise(line).alias("context"))
+    """Rules as lines of text with at most four of their allowed patterns, per product, in rule order."""
+    return A.rules_context(A.load_rules(t.fx("registry"), t.fx("catalog")))
 
 
 # H, I: windows, order
@@ -378,10 +399,9 @@ def match_last_write(t: Tables) -> DataFrame:
     return S.latest(t.fx("matches").withColumn("k", F.col("url_id") % 50), ["rule_id", "k"], ["write_seq"]).select("rule_id", "k", "url_id", "verdict")
 
 
-@query("verdict_batches", f"SELECT rule_id, batch, count(*) AS n FROM (SELECT rule_id, (row_number() OVER (PARTITION BY rule_id ORDER BY url_id) - 1) // 10 AS batch FROM {_M}) GROUP BY ALL")
+@query("verdict_batches", f"SELECT rule_id, batch, count(*) AS n, min(url_id) AS first_url_id FROM (SELECT rule_id, url_id, (row_number() OVER (PARTITION BY rule_id ORDER BY url_id) - 1) // 10 AS batch FROM {_M}) GROUP BY ALL")
 def verdict_batches(t: Tables) -> DataFrame:
-    at = F.row_number().over(Window.partitionBy("rule_id").orderBy("url_id"))
-    return t.fx("matches").withColumn("batch", F.floor((at - 1) / 10)).groupBy("rule_id", "batch").agg(F.count("*").alias("n"))
+    return S.batches(t.fx("matches"), "rule_id", "url_id", 10).groupBy("rule_id", "batch").agg(F.count("*").alias("n"), F.min("url_id").alias("first_url_id"))
 
 
 @query("content_changes", f"SELECT url_id, v FROM (SELECT url_id, v, crawl_id, content_hash, lag(content_hash) OVER (PARTITION BY url_id ORDER BY crawl_id) AS p FROM {_C}) WHERE p IS NOT NULL AND content_hash IS NOT NULL AND content_hash <> p")
@@ -433,10 +453,21 @@ def needs_sync(t: Tables) -> DataFrame:
     return S.sync_message(t.fx("urls"))
 
 
-@query("what_changed", f"""SELECT 'changed' AS part, count(*) AS n FROM (SELECT url_id, content_hash, lag(content_hash) OVER (PARTITION BY url_id ORDER BY crawl_id) AS p FROM {_C}) WHERE p IS NOT NULL AND content_hash <> p
-UNION ALL SELECT 'new_findings', count(*) FROM {_I} WHERE status = 'open' AND detected_at >= '2024-05-01' UNION ALL SELECT 'fixed', count(*) FROM {_I} WHERE status = 'fixed' AND last_checked_at >= '2024-05-01'""")
+_LAST = f"(SELECT source_id, max_by(started_at, (started_at, job_id)) AS since FROM {_J} WHERE status = 'done' AND started_at IS NOT NULL GROUP BY source_id)"
+
+
+@query("what_changed", f"""WITH last AS {_LAST}, lags AS (SELECT url_id, crawled_at, content_hash, lag(content_hash) OVER (PARTITION BY url_id ORDER BY crawl_id) AS p FROM {_C})
+SELECT l.source_id, (SELECT count(*) FROM {_U} u WHERE u.source_id = l.source_id AND in_source = 1 AND first_seen >= since) AS new_urls,
+(SELECT count(*) FROM lags JOIN {_U} u USING (url_id) WHERE u.source_id = l.source_id AND p IS NOT NULL AND content_hash <> p) AS changed,
+(SELECT count(*) FROM {_U} u WHERE u.source_id = l.source_id AND in_source = 0) AS removed,
+(SELECT count(*) FROM {_I} i WHERE i.source_id = l.source_id AND status = 'open' AND detected_at >= since) AS new_findings,
+(SELECT count(*) FROM {_I} i WHERE i.source_id = l.source_id AND status = 'fixed' AND last_checked_at >= since) AS fixed FROM last l""")
 def what_changed(t: Tables) -> DataFrame:
-    i = t.fx("issues")
-    parts = {"changed": content_changes(t), "new_findings": i.where("status = 'open' AND detected_at >= '2024-05-01'"), "fixed": i.where("status = 'fixed' AND last_checked_at >= '2024-05-01'")}
-    one = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("part"), "n") for k, df in parts.items()]
-    return one[0].unionByName(one[1]).unionByName(one[2])
+    """Per source with a finished run: pages new since its last one, changed and removed, findings new and fixed since."""
+    last = t.fx("jobs").where("status = 'done' AND started_at IS NOT NULL").groupBy("source_id").agg(F.max("started_at").alias("since"))
+    u, i = t.fx("urls"), t.fx("issues").join(last, "source_id")
+    pages = u.join(last, "source_id").groupBy("source_id").agg(F.count_if((F.col("in_source") == 1) & (F.col("first_seen") >= F.col("since"))).alias("new_urls"), F.count_if(F.col("in_source") == 0).alias("removed"))
+    changed = content_changes(t).join(u.select("url_id", "source_id"), "url_id").groupBy("source_id").agg(F.count("*").alias("changed"))
+    found = i.groupBy("source_id").agg(F.count_if((F.col("status") == "open") & (F.col("detected_at") >= F.col("since"))).alias("new_findings"), F.count_if((F.col("status") == "fixed") & (F.col("last_checked_at") >= F.col("since"))).alias("fixed"))
+    out = last.join(pages, "source_id", "left").join(changed, "source_id", "left").join(found, "source_id", "left")
+    return out.select("source_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("new_urls", "changed", "removed", "new_findings", "fixed")])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,11 +56,3 @@ def metrics(spark: SparkSession, state: str) -> DataFrame:
     """pages and errors of all batches."""
     rows = spark.read.schema("pages long, errors long").parquet(f"{state}/metrics")
     return rows.agg(F.sum("pages").alias("pages"), F.sum("errors").alias("errors"))
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the session's checkpoint folder, or a local one where that is unset."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{name}/{uuid.uuid4().hex}"
