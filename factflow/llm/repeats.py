@@ -38,6 +38,7 @@ from factflow.llm.shared import renamed, written
 _PLACE = np.uint64((1 << 21) - 1)
 PIECE = 1 << 19
 CHUNK_ROWS = 2048
+HOT_CORES = 1 << 20
 
 
 def byte_units(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -232,6 +233,31 @@ def _resolved(scheme: Scheme, method: Callable[[Groups, Scheme], tuple[np.ndarra
     return run
 
 
+def _hot_stretches(scheme: Scheme, cores: np.ndarray):
+    """What ``_stretched`` gives, for the anchors of some cores in texts that were not asked for anything yet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in V.slices(whole, "text", PIECE):
+                raw, offsets = V.buffer_of(b.column("text"))
+                u, bounds, start, end = scheme.units(raw, offsets)
+                text, place, first, last, core = anchors(u, bounds, scheme)
+                hot = cores[np.minimum(np.searchsorted(cores, core), len(cores) - 1)] == core
+                text, place, first, last, core = (x[hot] for x in (text, place, first, last, core))
+                lo = start[bounds[text] + first]
+                hi = end[np.minimum(bounds[text] + place + scheme.window, bounds[text + 1]) - 1]
+                data = raw.tobytes() if len(text) else b""
+                for k in range(0, len(text), CHUNK_ROWS):
+                    part = slice(k, k + CHUNK_ROWS)
+                    at = pa.array(text[part])
+                    around = pa.array([data[x:y] for x, y in zip(lo[part].tolist(), hi[part].tolist(), strict=True)], pa.binary())
+                    spot = (place << 20 | (place - first) << 10 | (place - last))[part]
+                    ones = pa.array(np.ones(len(spot), np.int64))
+                    yield pa.RecordBatch.from_arrays([b.column("id").take(at), b.column("fp").take(at), pa.array(core[part].view(np.int64)), pa.array(spot), ones, around], names=["id", "fp", "core", "spot", "copies", "around"])
+
+    return run
+
+
 def _finer(scheme: Scheme):
     """Stretches of hot groups cut at finer anchors, whose core is nearly a window long.
 
@@ -273,10 +299,12 @@ def _hot_spans(near: DataFrame, scheme: Scheme, key: str) -> DataFrame:
     from the first aggregate on; most of what surrounds it has a core of its own and is
     dropped. No group is held in one place.
     """
-    fine = written(near.mapInArrow(_finer(scheme), f"{key}, core long, piece long, shape long, copies long, a long, ws array<long>"))
+    fine = near.mapInArrow(_finer(scheme), f"{key}, core long, piece long, shape long, copies long, a long, ws array<long>")
+    one = [F.min(F.struct("id"))["id"].alias("id"), F.sum("copies").alias("copies"), F.first("core").alias("core"), F.first("ws").alias("ws")]
+    fine = written(fine.groupBy("fp", "a", "piece", "shape").agg(*one))  # copies of a whole text are one
     often = written(fine.groupBy("core").agg(F.sum("copies").alias("times")).where("times > 1").select("core"))
     met = fine.join(often.hint("merge"), "core", "left_semi")
-    same = ["core", "piece", "shape"]
+    same = ["piece", "shape"]  # they hold the core; without it the join before may be split
     pieces = written(met.groupBy(*same).agg(F.sum("copies").alias("n"), F.min(F.struct("id", "fp", "a")).alias("who"), F.first("ws").alias("ws")))
     twice = written(pieces.select(F.explode("ws").alias("w"), "n").groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").select("w"))
     several = written(pieces.where("n > 1").select(*same))
@@ -299,7 +327,8 @@ def covered(docs: DataFrame, scheme: Scheme, method: Callable, id_col: str, text
     rows = own.select("id", "text", "fp").mapInArrow(_anchored(scheme), f"{key}, core long, spot long")
     rows = written(rows.groupBy("core", "spot", "fp").agg(F.min(F.struct("id")).alias("who"), F.count("*").alias("copies")))
     often = written(rows.groupBy("core").agg(F.sum("copies").alias("times"), F.count("*").alias("rows")).where("times > 1"))
-    any_hot = not often.where(F.col("rows") > hot).isEmpty()
+    hot_cores = often.where(F.col("rows") > hot).select("core")
+    n_hot = hot_cores.count()
     found = rows.join(often.hint("merge"), "core").select(F.col("who.id").alias("id"), "fp", F.struct("core", "spot", "copies", "rows").alias("w"))
     wanted = found.groupBy("id", "fp").agg(F.collect_list("w").alias("wanted"))
 
@@ -315,8 +344,13 @@ def covered(docs: DataFrame, scheme: Scheme, method: Callable, id_col: str, text
 
     small = around(lambda w: w["rows"] <= hot).repartition("core").sortWithinPartitions("core")
     spans = small.mapInArrow(_resolved(scheme, method), f"{key}, a long, b long")
-    if any_hot:
-        spans = spans.unionByName(_hot_spans(around(lambda w: w["rows"] > hot), scheme, key))
+    if n_hot:
+        # Their texts need no shuffle of their own: the few hot cores are looked for in the texts where they are.
+        large = around(lambda w: w["rows"] > hot)
+        if n_hot <= HOT_CORES:
+            cores = np.array([r.core for r in hot_cores.collect()], np.int64).view(np.uint64)
+            large = own.select("id", "text", "fp").mapInArrow(_hot_stretches(scheme, np.sort(cores)), schema)
+        spans = spans.unionByName(_hot_spans(large, scheme, key))
     copied = own.where(F.octet_length("text") >= scheme.window).select("id", "fp", F.unhex(F.sha2("text", 256)).alias("digest"))
     again = written(copied.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"))
     spans = spans.unionByName(copied.join(again.hint("merge"), "digest", "left_semi").select("id", "fp", F.lit(0).cast("long").alias("a"), F.lit(1 << 60).alias("b")))

@@ -161,6 +161,12 @@ def test_spans_of_any_window_match_brute_force(spark, window, hot):
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(want)
 
 
+def test_hot_groups_of_many_cores_match_brute_force(spark, monkeypatch):
+    """More hot cores than are looked for in place: the texts are shuffled for them."""
+    monkeypatch.setattr(repeats, "HOT_CORES", 0)
+    test_spans_of_any_window_match_brute_force(spark, 254, 1)
+
+
 def test_a_large_group_takes_little_memory():
     """Thousands of stretches of one group, each with its own surroundings."""
     import tracemalloc
