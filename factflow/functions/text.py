@@ -23,30 +23,46 @@ def cut(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, start + 1, F.greatest(end - start, F.lit(0)))
 
 
-def regex_matches(text: Column, pattern: str, group: int = 0) -> Column:
-    """Array of (start, end, value) of all matches; value is a group of the match.
+_MATCH = "array<struct<start:int,end:int,value:string>>"
+_RUN = 64
+
+
+def regex_matches(text: Column, pattern: str | Column, group: int = 0) -> Column:
+    """Array of (start, end, value) of all matches; value is a group of the match. The pattern may be a column.
 
     The matches are marked in one replacement and the text cut at the marks, so starts
     come from the lengths of what precedes them. The mark characters are removed first.
+    Matches are added up in runs of ``_RUN``, each from the place where it begins, so long
+    texts with many matches copy little.
     """
     plain = F.translate(text, _OPEN + _CLOSE, "")
-    parts = F.split(F.regexp_replace(plain, f"({pattern})", f"{_OPEN}$1{_CLOSE}"), _OPEN)
-    steps = F.aggregate(
-        F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
-        F.struct(F.char_length(F.element_at(parts, 1)).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("found")),
-        lambda acc, part: F.struct(
-            (acc["at"] + F.char_length(part) - 1).alias("at"),
-            F.array_append(
-                acc["found"],
-                F.struct(acc["at"].alias("start"), (acc["at"] + F.char_length(F.substring_index(part, _CLOSE, 1))).alias("end"), F.substring_index(part, _CLOSE, 1).alias("value")),
-            ).alias("found"),
-        ),
-    )["found"]
-    found = F.when(F.size(parts) > 1, steps).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+    whole = F.lit(f"({pattern})") if isinstance(pattern, str) else F.concat(F.lit("("), pattern, F.lit(")"))
+    parts = F.split(F.regexp_replace(plain, whole, F.lit(f"{_OPEN}$1{_CLOSE}")), _OPEN)
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 2) / _RUN).cast("int")), lambda k: F.slice(parts, k * _RUN + 2, F.lit(_RUN)))
+    begins = F.aggregate(
+        runs,
+        F.struct(F.char_length(F.element_at(parts, 1)).alias("at"), F.array().cast("array<int>").alias("out")),
+        lambda acc, run: F.struct((acc["at"] + F.char_length(F.array_join(run, "")) - F.size(run)).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")),
+    )["out"]
+
+    def added(run: Column, begin: Column) -> Column:
+        return F.aggregate(
+            run,
+            F.struct(begin.alias("at"), F.array().cast(_MATCH).alias("found")),
+            lambda acc, part: F.struct(
+                (acc["at"] + F.char_length(part) - 1).alias("at"),
+                F.array_append(
+                    acc["found"],
+                    F.struct(acc["at"].alias("start"), (acc["at"] + F.char_length(F.substring_index(part, _CLOSE, 1))).alias("end"), F.substring_index(part, _CLOSE, 1).alias("value")),
+                ).alias("found"),
+            ),
+        )["found"]
+
+    found = F.when(F.size(parts) > 1, F.flatten(F.zip_with(runs, begins, added))).otherwise(F.array().cast(_MATCH))
     return found if group == 0 else F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.regexp_extract(m["value"], pattern, group).alias("value")))
 
 
-def context_window(text: Column, start: Column, end: Column, radius: int) -> Column:
+def context_window(text: Column, start: Column, end: Column, radius: int | Column) -> Column:
     """The text from ``radius`` before a match to ``radius`` behind it."""
     return cut(text, F.greatest(start - radius, F.lit(0)), end + radius)
 
@@ -84,17 +100,17 @@ def with_evidence(df: DataFrame, text: str, start: Column, end: Column, out: str
     c, n = F.col(f"`{text}`"), F.char_length(f"`{text}`")
     ends, lo, hi = F.col("_ends"), F.col("_lo"), F.col("_hi")
     first = F.greatest(F.lit(0), F.least(start, n)).cast("int")
-    df = _staged(df, _ends=sentence_ends(c), _s=first, _e=F.greatest(first, F.least(end, n)).cast("int"))
-    df = _staged(df, _lo=F.coalesce(F.array_max(F.filter(ends, lambda x: x <= F.col("_s"))), F.lit(0)), _hi=F.coalesce(F.array_min(F.filter(ends, lambda x: x >= F.col("_e"))), n))
-    df = _staged(df, _sent=_strip(cut(c, lo, hi)), _wide=_strip(cut(c, lo, F.coalesce(F.array_min(F.filter(ends, lambda x: x > hi)), n))))
+    df = staged(df, _ends=sentence_ends(c), _s=first, _e=F.greatest(first, F.least(end, n)).cast("int"))
+    df = staged(df, _lo=F.coalesce(F.array_max(F.filter(ends, lambda x: x <= F.col("_s"))), F.lit(0)), _hi=F.coalesce(F.array_min(F.filter(ends, lambda x: x >= F.col("_e"))), n))
+    df = staged(df, _sent=_strip(cut(c, lo, hi)), _wide=_strip(cut(c, lo, F.coalesce(F.array_min(F.filter(ends, lambda x: x > hi)), n))))
     short = (F.char_length("_sent") < 40) & (hi < n) & (F.char_length("_wide") <= most)
     best = F.when(short, F.col("_wide")).otherwise(F.col("_sent"))
     lost = ~F.contains(F.col("_sent"), cut(c, F.col("_s"), F.col("_e"))) | (F.char_length(best) > most)
     shown = F.when(n == 0, "").when(lost, context_snippet(c, F.col("_s"), F.col("_e"), 120)).otherwise(normalize(best))
-    return _staged(df, **{out: shown}).drop("_ends", "_s", "_e", "_lo", "_hi", "_sent", "_wide")
+    return staged(df, **{out: shown}).drop("_ends", "_s", "_e", "_lo", "_hi", "_sent", "_wide")
 
 
-def _staged(df: DataFrame, **columns: Column) -> DataFrame:
+def staged(df: DataFrame, **columns: Column) -> DataFrame:
     """Adds columns behind a generator of one row, which keeps later uses from copying their expressions."""
     return df.withColumn("_stage", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))).select("*", *[F.col(f"_stage.{n}").alias(n) for n in columns]).drop("_stage")
 
@@ -106,10 +122,10 @@ def _strip(text: Column) -> Column:
 def with_trimmed_evidence(df: DataFrame, text: str, matched: Column, out: str = "trimmed", most: int = 300) -> DataFrame:
     """Adds stored evidence cut to the sentence of ``matched``, or to its middle one; a short single sentence stays."""
     core, middle = F.col("_core"), F.floor(F.char_length("_core") / 2).cast("int")
-    df = _staged(df, _core=_strip(F.regexp_replace(_strip(F.coalesce(F.col(f"`{text}`"), F.lit(""))), "^…+|…+$", "")))
-    df = _staged(df, _at=F.when(F.coalesce(matched, F.lit("")) != "", F.position(matched, core)).otherwise(0))
+    df = staged(df, _core=_strip(F.regexp_replace(_strip(F.coalesce(F.col(f"`{text}`"), F.lit(""))), "^…+|…+$", "")))
+    df = staged(df, _at=F.when(F.coalesce(matched, F.lit("")) != "", F.position(matched, core)).otherwise(0))
     found = F.col("_at") > 0
-    df = _staged(df, _short=(F.char_length(core) <= most) & (F.size(sentence_ends(core)) <= 1))
+    df = staged(df, _short=(F.char_length(core) <= most) & (F.size(sentence_ends(core)) <= 1))
     df = with_evidence(df, "_core", F.when(found, F.col("_at") - 1).otherwise(middle), F.when(found, F.col("_at") - 1 + F.char_length(matched)).otherwise(middle + 1), "_cut", most)
     return df.withColumn(out, F.when(F.col("_short"), normalize(core)).otherwise(F.col("_cut"))).drop("_core", "_at", "_short", "_cut")
 
@@ -124,7 +140,7 @@ def with_term_context(df: DataFrame, text: str, terms: Sequence[str], out: str =
     """Adds evidence around the earliest of the terms (the first listed of equals), the term marked; null without one."""
     low = F.lower(f"`{text}`")
     places = F.array(*[F.struct(F.instr(low, t.lower()).alias("at"), F.lit(k).alias("k"), F.lit(len(t)).alias("n")) for k, t in enumerate(terms)])
-    df = _staged(df, _f=F.array_min(F.filter(places, lambda p: p["at"] > 0)))
+    df = staged(df, _f=F.array_min(F.filter(places, lambda p: p["at"] > 0)))
     df = with_evidence(df, text, F.coalesce(F.col("_f.at") - 1, F.lit(0)), F.coalesce(F.col("_f.at") - 1 + F.col("_f.n"), F.lit(0)), "_ev", most)
     term = F.element_at(F.array(*map(F.lit, terms)), F.col("_f.k") + 1)
     at, ev, n = F.position(F.lower(term), F.lower("_ev")), F.col("_ev"), F.col("_f.n")
@@ -159,13 +175,22 @@ def json_strings(text: Column) -> Column:
     return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
 
 
+# What a byline begins with, and what separates a date or role from its name.
+BYLINE_PREFIX = r"(?i)^\s*(?:by|written by|author|posted by|words by)\b[:\s]*"
+BYLINE_TAIL = r"(?i)\s*(?:[|•·–—]|,|\bon\b).*$"
+
+
 def clean_author(name: Column) -> Column:
     """A byline without its prefix and without date or role behind a separator; null if empty or over 80 characters."""
-    bare = F.regexp_replace(normalize(name), r"(?i)^\s*(?:by|written by|author|posted by|words by)\b[:\s]*", "")
-    bare = F.regexp_replace(F.regexp_replace(bare, r"(?i)\s*(?:[|•·–—]|,|\bon\b).*$", ""), r"^[ \-–—|,·•]+|[ \-–—|,·•]+$", "")
+    bare = F.regexp_replace(normalize(name), BYLINE_PREFIX, "")
+    bare = F.regexp_replace(F.regexp_replace(bare, BYLINE_TAIL, ""), r"^[ \-–—|,·•]+|[ \-–—|,·•]+$", "")
     return F.when((F.char_length(bare) > 0) & (F.char_length(bare) <= 80), bare)
 
 
+# Words of messages, by class.
+DNS, SSL, CONNECTION = ("name or service", "nodename", "getaddrinfo"), ("certificate", "ssl", "tls"), ("connection",)
+
+
 def error_class(name: Column, message: Column) -> Column:
     """timeout, dns, ssl or connection by an exception's name and message, tested in this order; else the name itself."""
     kind, words = F.lower(F.coalesce(name, F.lit(""))), F.lower(F.coalesce(message, F.lit("")))
@@ -175,8 +200,8 @@ def error_class(name: Column, message: Column) -> Column:
 
     return (
         F.when(kind.contains("timeout") | says("timeout"), "timeout")
-        .when(says("name or service", "nodename", "getaddrinfo"), "dns")
-        .when(says("certificate", "ssl", "tls"), "ssl")
-        .when(kind.contains("connect") | says("connection"), "connection")
+        .when(says(*DNS), "dns")
+        .when(says(*SSL), "ssl")
+        .when(kind.contains("connect") | says(*CONNECTION), "connection")
         .otherwise(F.concat(F.lit("network: "), name))
     )

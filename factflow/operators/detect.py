@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factflow.functions.text import context_window, regex_matches, with_evidence
+from factflow.functions.categories import at_least_medium
+from factflow.functions.text import context_window, cut, regex_matches, staged, with_evidence
+from factflow.operators.search import tokens
+from factflow.sources.folders import checkpointed
 
 # Generic numeric claims.
 GENERIC = {
@@ -48,41 +52,86 @@ def passes_context(segment: Column, rule: Rule) -> Column:
     return ok & ~_any(segment, rule.allowed) if rule.allowed else ok
 
 
-def _hits(kind: int, place: int, pattern: str, rule: Rule) -> Column:
-    """Passing hits of one pattern as sortable structs."""
+Rules = DataFrame | Sequence[Rule]
+RULE_COLUMNS = "rule_id int, slug string, category string, severity string, english_only boolean, context_window int, stale_patterns array<string>, current_patterns array<string>, required_context array<string>, allowed_patterns array<string>"
+_REGEX = r"[\\.^$*+?{}\[\]|()]"
+PER_SCAN = 2000
 
-    def named(m: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), F.lit(place).alias("pattern"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"))
 
-    every = F.transform(regex_matches(F.col("body_text"), f"(?iu:{pattern})"), named)
-    return F.filter(every, lambda m: passes_context(context_window(F.col("body_text"), m["start"], m["end"], rule.window), rule))
+def rule_table(spark: SparkSession, rules: Rules) -> DataFrame:
+    """Rules with the columns of ``RULE_COLUMNS``: a loaded registry, or rules written out in a program."""
+    if isinstance(rules, DataFrame):
+        return rules.select(*[F.col(f.split()[0]).cast(f.split()[1]) for f in RULE_COLUMNS.split(", ")])
+    rows = [(r.rule_id, r.slug, r.category, r.severity, r.english_only, r.window, list(r.stale), list(r.current), list(r.required), list(r.allowed)) for r in rules]
+    return spark.createDataFrame(rows, RULE_COLUMNS)
 
 
-def stale_scan(bodies: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """The first passing hit of each rule on each page: (rule_id, slug, url_id, verdict, start, end, value).
+def _folded(text: Column) -> Column:
+    """Letters as a case-insensitive pattern sees them."""
+    return F.lower(F.upper(text))
 
-    Stale patterns come before current ones, patterns in their order, then offsets. All rules
-    are one projection over one scan, cheap ``rlike`` tests guard the offsets, and only
-    hits are exploded.
+
+def pattern_hits(bodies: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``bodies`` with ``pattern``, a row for each of the different patterns that a text holds, in any case.
+
+    The patterns are configuration: they go to the driver and come back as one constant
+    array per scan of ``PER_SCAN`` patterns. Plain words are looked for in the folded text,
+    which costs one pass over its bytes each; only real expressions are run as such. No
+    page meets a rule whose pattern it lacks.
+    """
+    wanted = [r.pattern for r in patterns.select("pattern").where("pattern <> ''").distinct().orderBy("pattern").collect()]
+    low = staged(bodies, _low=_folded(F.col("body_text")))
+    out = None
+    for lo in range(0, max(1, len(wanted)), PER_SCAN):
+        part = wanted[lo : lo + PER_SCAN]
+        plain = F.lit([p for p in part if not re.search(_REGEX, p)]) if any(not re.search(_REGEX, p) for p in part) else F.array().cast("array<string>")
+        other = F.lit([p for p in part if re.search(_REGEX, p)]) if any(re.search(_REGEX, p) for p in part) else F.array().cast("array<string>")
+        held = F.concat(F.filter(plain, lambda p: F.contains(F.col("_low"), _folded(p))), F.filter(other, lambda p: F.rlike(F.col("body_text"), F.concat(F.lit("(?iu)"), p))))
+        one = low.withColumn("pattern", F.explode(held)).drop("_low")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _passes(segment: Column, required: Column, allowed: Column) -> Column:
+    holds = lambda some: F.exists(some, lambda p: F.rlike(segment, F.concat(F.lit("(?iu)"), p)))
+    return ((F.size(required) == 0) | holds(required)) & ~holds(allowed)
+
+
+def stale_scan(bodies: DataFrame, rules: Rules) -> DataFrame:
+    """The first passing hit of each rule on each page: (rule_id, slug, category, severity, url_id, verdict, start, end, value, evidence).
+
+    Stale patterns come before current ones, patterns in their order, then offsets. Pages
+    are scanned once for all patterns; a page then meets only the rules whose pattern it
+    holds, in a join on the pattern that is as small as the rule table. Hits are cut out of
+    their text, with the sentence around them, before they are shuffled.
     """
-    found = []
-    for rule in rules:
-        every = [_hits(kind, k, p, rule) for kind, some in enumerate((rule.stale, rule.current)) for k, p in enumerate(some)]
-        scope = F.col("locale").isNull() | (F.col("locale") == "en") if rule.english_only else F.lit(True)
-        guard = scope & _any(F.col("body_text"), [*rule.stale, *rule.current])
-        found.append(F.when(guard, F.struct(F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.slug).alias("slug"), F.array_min(F.concat(*every)).alias("hit"))))
-    if not found:
-        return bodies.select(F.lit(0).alias("rule_id")).limit(0)
-    rows = bodies.select("url_id", "body_text", F.explode(F.array(*found)).alias("r")).where("r.hit IS NOT NULL")
-    return rows.select("r.rule_id", "r.slug", "url_id", "body_text", F.when(F.col("r.hit.kind") == 0, "issue").otherwise("positive").alias("verdict"), "r.hit.start", "r.hit.end", "r.hit.value")
+    table = rule_table(bodies.sparkSession, rules)
+    kinds = [table.select("*", F.lit(k).alias("kind"), F.posexplode(c).alias("place", "pattern")).drop("stale_patterns", "current_patterns") for k, c in enumerate(("stale_patterns", "current_patterns"))]
+    wanted = kinds[0].unionByName(kinds[1])
+    rows = pattern_hits(bodies.select("url_id", "locale", "body_text"), wanted).join(wanted, "pattern")
+    rows = rows.where(~F.coalesce("english_only", F.lit(False)) | F.col("locale").isNull() | (F.col("locale") == "en"))
+    every = regex_matches(F.col("body_text"), F.concat(F.lit("(?iu:"), "pattern", F.lit(")")))
+    rows = staged(rows, _m=every)
+    passing = F.filter("_m", lambda m: _passes(context_window(F.col("body_text"), m["start"], m["end"], F.col("context_window")), F.coalesce("required_context", F.array().cast("array<string>")), F.coalesce("allowed_patterns", F.array().cast("array<string>"))))
+    rows = staged(rows, _hit=F.get(passing, F.lit(0))).where("_hit IS NOT NULL")
+    shown = with_evidence(rows, "body_text", F.col("_hit.start"), F.col("_hit.end"))
+    hit = F.struct("kind", "place", "_hit.start", "_hit.end", "_hit.value", "evidence")
+    best = shown.groupBy("rule_id", "slug", "category", "severity", "url_id").agg(F.min(hit).alias("h"))
+    verdict = F.when(F.col("h.kind") == 0, "issue").otherwise("positive")
+    return best.select("rule_id", "slug", F.coalesce("category", F.lit("other_mismatch")).alias("category"), "severity", "url_id", verdict.alias("verdict"), "h.start", "h.end", "h.value", "h.evidence")
+
+
+def findings_of(hits: DataFrame) -> DataFrame:
+    """Stale facts as findings."""
+    return hits.withColumn("title", F.concat("slug", F.lit(":stale"))).withColumnRenamed("value", "matched_value")
 
 
 def claims(bodies: DataFrame, patterns: Mapping[str, Sequence[tuple[str, int]]]) -> DataFrame:
-    """Every match of every kind's patterns: (url_id, kind, value, start, end, seq). Two patterns on one text count twice."""
+    """Every match of every kind's patterns: (url_id, kind, pattern, start, end, value, quote). Two patterns on one text count twice."""
     def named(kind: str, place: int, pattern: str, group: int) -> Column:
         def of(m: Column) -> Column:
             value = F.regexp_replace(F.trim(m["value"]), "[.,]$", "")
-            return F.struct(F.lit(kind).alias("kind"), F.lit(place).alias("pattern"), m["start"].alias("start"), m["end"].alias("end"), value.alias("value"))
+            return F.struct(F.lit(kind).alias("kind"), F.lit(place).alias("pattern"), m["start"].alias("start"), m["end"].alias("end"), value.alias("value"), cut(F.col("body_text"), m["start"], m["end"]).alias("quote"))
 
         return F.transform(regex_matches(F.col("body_text"), pattern, group), of)
 
@@ -91,22 +140,48 @@ def claims(bodies: DataFrame, patterns: Mapping[str, Sequence[tuple[str, int]]])
 
 
 def inventory(found: DataFrame) -> DataFrame:
-    """Per kind and value: occurrences, pages, and the first page by id."""
-    return found.groupBy("kind", "value").agg(F.count("*").alias("frequency"), F.count_distinct("url_id").alias("pages"), F.min("url_id").alias("example_url_id"))
+    """Per kind and value: occurrences, pages, and the first page by id with its first quote."""
+    first = F.min(F.struct("url_id", "pattern", "start", "quote"))
+    return found.groupBy("kind", "value").agg(F.count("*").alias("frequency"), F.count_distinct("url_id").alias("pages"), F.min("url_id").alias("example_url_id"), first["quote"].alias("example_quote"))
 
 
 def consistency(found: DataFrame, canonical: DataFrame) -> DataFrame:
     """(kind, url_id, value, verdict) against canonical values, compared as strings.
 
     Each value of a page counts once. Of several, the one that was first seen last on the
-    whole site wins, as the last write.
+    whole site wins, as the last write. The texts are matched once: what is kept of the
+    matches is small and cut from them.
     """
-    seen = found.join(canonical, "kind").groupBy("kind", "value", "url_id", "canonical").agg(F.min(F.struct("pattern", "start")).alias("at"))
+    seen = checkpointed(found.join(canonical, "kind").groupBy("kind", "value", "url_id", "canonical").agg(F.min(F.struct("pattern", "start")).alias("at")))
     rank = seen.groupBy("kind", "value").agg(F.min(F.struct("url_id", "at")).alias("first_seen"))
     last = seen.join(rank, ["kind", "value"]).groupBy("kind", "url_id", "canonical").agg(F.max_by("value", "first_seen").alias("value"))
     return last.select("kind", "url_id", "value", F.when(F.col("value") == F.col("canonical"), "positive").otherwise("issue").alias("verdict"))
 
 
+def consistency_findings(verdicts: DataFrame) -> DataFrame:
+    """(url_id, title, severity, status, matched_value) of values that are not the canonical one."""
+    return verdicts.where("verdict = 'issue'").select("url_id", F.concat("kind", F.lit(":inconsistent")).alias("title"), F.lit("high").alias("severity"), F.lit("open").alias("status"), F.col("value").alias("matched_value"))
+
+
+def count_findings(verdicts: DataFrame, prefix: str) -> DataFrame:
+    """(url_id, title, severity, status, matched_value) of judged numbers: wrong ones by the context that judged them, undecided ones to be looked at."""
+    unclear = F.col("verdict") == "unclear"
+    title = F.when(unclear, F.concat(F.lit(f"{prefix}_unclear:"), "number")).otherwise(F.concat(F.lit(f"{prefix}_ctx:"), "method", F.lit(":"), "number"))
+    rows = verdicts.where("verdict <> 'positive'").select("url_id", title.alias("title"), F.when(unclear, "medium").otherwise("high").alias("severity"), F.when(unclear, "unclear").otherwise("open").alias("status"), F.col("number").alias("matched_value"))
+    return rows.distinct()  # one finding a page and title
+
+
+# Claims that a list which can grow is closed.
+CLOSED = r"(?i)(?:fixed|hard[\s-]?coded|pre[\s-]?defined|cannot (?:add|be added)|no (?:new )?regulations? can be added)\b[^.]{0,40}regulation"
+
+
+def forbidden(bodies: DataFrame, context: str, pattern: str = CLOSED, radius: int = 160) -> DataFrame:
+    """(url_id, start, matched_value) of forbidden claims with the context around them."""
+    m = bodies.where(F.col("body_text").rlike(pattern)).select("url_id", "body_text", F.explode(regex_matches(F.col("body_text"), pattern)).alias("m"))
+    near = context_window(F.col("body_text"), F.col("m.start"), F.col("m.end"), radius).rlike(context)
+    return m.where(near).select("url_id", "m.start", F.col("m.value").alias("matched_value"))
+
+
 def context_counts(bodies: DataFrame, pattern: str, group: int, contexts: Sequence[tuple[str, str, str, str]], radius: int = 160) -> DataFrame:
     """Numbers judged by the words around them: (url_id, start, number, method, verdict).
 
@@ -132,18 +207,54 @@ def response_json(raw: Column) -> Column:
     return F.when(raw.rlike(r"(?is)```(?:json)?\s*(.*?)```"), F.trim(fenced)).otherwise(sliced)
 
 
-ITEMS = "struct<items:array<struct<quote:string,is_real_issue:boolean,category:string,severity:string,confidence:double>>>"
+ITEMS = "struct<items:array<struct<quote:string,is_real_issue:boolean,category:string,severity:string,question:string,underlying_category:string>>>"
+CLAIMS = "struct<claims:array<struct<quote:string,confidence:double,problem:string,severity:string,feature_id:string>>>"
+
+
+def response_rows(responses: DataFrame, field: str, schema: str) -> DataFrame:
+    """(url_id and the fields of each entry) of JSON responses; entries without a quote and broken responses give none."""
+    entries = F.from_json(response_json(F.col("raw")), schema)[field]
+    return responses.select("url_id", F.explode(entries).alias("i")).select("url_id", "i.*").where("coalesce(quote, '') <> ''")
+
+
+def screened(responses: DataFrame) -> DataFrame:
+    """Pages on which the first, cheap review saw a claim with a confidence of 0.4 or more."""
+    return response_rows(responses, "claims", CLAIMS).where("coalesce(confidence, 0) >= 0.4").select("url_id").distinct()
+
+
+def _verbatim(items: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Items whose quote stands word for word on their page, with ``start`` and the page's text."""
+    found = items.join(bodies.select("url_id", "body_text"), "url_id").withColumn("start", F.instr("body_text", F.col("quote")) - 1)
+    return found.where("start >= 0")
 
 
 def reviewed(responses: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Findings of review responses: real, with a quote that stands word for word on the page, in a known category; free trials are no free claim."""
-    items = responses.select("url_id", F.explode(F.from_json(response_json(F.col("raw")), ITEMS)["items"]).alias("i")).select("url_id", "i.*")
-    items = items.where((F.coalesce("confidence", F.lit(0.0)) >= 0.4) & F.col("is_real_issue") & (F.coalesce("quote", F.lit("")) != ""))
+    """Findings of the second review: real, with a quote that stands word for word on the page, in a known category; free trials are no free claim."""
+    items = response_rows(responses, "items", ITEMS).where("is_real_issue")
     category = F.when(F.col("category").isin(*REVIEW_CATEGORIES), F.col("category")).otherwise("other_mismatch")
-    items = items.withColumn("category", category).join(bodies.select("url_id", "body_text"), "url_id").where(F.contains(F.col("body_text"), F.col("quote")))
+    items = _verbatim(items.withColumn("category", category), bodies)
     items = items.where(~((F.col("category") == "free_claim") & F.col("quote").rlike(TRIAL) & ~F.col("quote").rlike(FREE)))
     title = F.concat(F.lit("llm:"), "category", F.lit(":"), F.left(F.sha2(F.col("quote").cast("binary"), 256), F.lit(12)))
-    return items.select("url_id", "category", "severity", title.alias("title"), F.col("quote").alias("matched_value"))
+    return items.select("url_id", "category", F.coalesce("severity", F.lit("medium")).alias("severity"), title.alias("title"), F.col("quote").alias("matched_value"))
+
+
+def feature_findings(responses: DataFrame, bodies: DataFrame, features: DataFrame) -> DataFrame:
+    """Findings about features, named by the feature table; an id that it lacks becomes ``?``."""
+    known = features.select(F.col("feature_id"), F.lit(True).alias("known")).distinct()
+    items = _verbatim(response_rows(responses, "claims", CLAIMS), bodies).join(known, "feature_id", "left")
+    problem = F.coalesce("problem", F.lit("misdescription"))
+    severity = F.when((problem == "not_available") | (F.col("severity") == "high"), "high").otherwise("medium")
+    title = F.concat(F.lit("feature:"), F.when(F.col("known"), F.col("feature_id")).otherwise("?"), F.lit(":"), problem)
+    return items.select("url_id", title.alias("title"), severity.alias("severity"), F.col("quote").alias("matched_value"))
+
+
+def faq_findings(responses: DataFrame, faqs: DataFrame) -> DataFrame:
+    """Findings about answers: the quote stands in the page's answers; severity is medium at least."""
+    answers = faqs.groupBy("url_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("faq_id", F.coalesce("answer", F.lit("")).alias("a")))), lambda x: x["a"]), " ").alias("body_text"))
+    items = _verbatim(response_rows(responses, "items", ITEMS), answers)
+    asked = F.when(F.coalesce("question", F.lit("")) != "", F.col("question")).otherwise(F.col("quote"))
+    title = F.concat(F.lit("faq:"), F.coalesce("underlying_category", F.lit("other_mismatch")), F.lit(":"), F.left(asked, F.lit(32)))
+    return items.select("url_id", title.alias("title"), at_least_medium(F.coalesce("severity", F.lit("medium"))).alias("severity"), F.col("quote").alias("matched_value"))
 
 
 def cheap_classify(text: Column, correct: str, stale: Sequence[str], allowed: Sequence[str]) -> Column:
@@ -161,10 +272,61 @@ def cheap_classify(text: Column, correct: str, stale: Sequence[str], allowed: Se
     return F.when(has_stale & ~has_allowed, "mismatch").when(has_allowed & ~has_stale & (right | F.lit(not correct)), "matches").when(right & ~has_stale, "matches")
 
 
-def stale_findings(bodies: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+def with_answers(rows: DataFrame, answers: DataFrame) -> DataFrame:
+    """``rows`` (url_id, verdict) with a reviewer's answer where words did not decide, and unclear where there is none."""
+    return rows.join(answers, "url_id", "left").withColumn("verdict", F.coalesce("verdict", "answer", F.lit("unclear"))).drop("answer")
+
+
+def fact_findings(rows: DataFrame, name: str, correct: str, category: str, severity: str, prefix: str = "fact") -> DataFrame:
+    """Findings of pages that contradict a fact."""
+    value = F.lit(correct or None).cast("string")
+    title = F.lit(f"{prefix}:{name[:48]}")
+    return rows.where("verdict = 'mismatch'").select("url_id", title.alias("title"), F.lit(category).alias("category"), F.lit(severity).alias("severity"), value.alias("expected"), value.alias("matched_value"))
+
+
+def query_rules(bodies: DataFrame, rules: DataFrame, answers: DataFrame) -> DataFrame:
+    """Verdicts of saved query rules (rule_id, slug, category, severity, correct_value, search_terms), all in one scan.
+
+    A page is asked about if it holds one of the rule's terms as a phrase, or its name where
+    it has none. ``answers`` are a reviewer's by rule and page: mismatch becomes issue,
+    matches positive, none unclear, and unrelated pages are dropped.
+    """
+    terms = F.when(F.size("search_terms") > 0, F.col("search_terms")).otherwise(F.array("slug"))
+    wanted = rules.select("rule_id", "slug", F.coalesce("category", F.lit("other_mismatch")).alias("category"), "severity", "correct_value", F.explode(terms).alias("term"))
+    wanted = wanted.withColumn("pattern", F.concat(F.lit(" "), F.array_join(tokens(F.col("term")), " "), F.lit(" ")))
+    lines = bodies.select("url_id", F.concat(F.lit(" "), F.array_join(tokens(F.col("body_text")), " "), F.lit(" ")).alias("body_text"))
+    met = pattern_hits(lines, wanted).join(wanted, "pattern").select("rule_id", "slug", "category", "severity", "correct_value", "url_id").distinct()
+    judged = met.join(answers, ["rule_id", "url_id"], "left").where("coalesce(answer, '') <> 'unrelated'")
+    verdict = F.when(F.col("answer") == "mismatch", "issue").when(F.col("answer") == "matches", "positive").otherwise("unclear")
+    return judged.select("rule_id", "slug", "category", "severity", "url_id", verdict.alias("verdict"), F.when(F.col("answer").isNotNull() & (F.col("answer") != "unclear"), F.col("correct_value")).alias("matched_value"))
+
+
+# What a reviewer writes for no value.
+NO_VALUE = ("", "null", "none", "n/a", "unknown")
+
+
+def interpreted(facts: DataFrame, column: str, products: DataFrame) -> DataFrame:
+    """A read fact, cleaned: category, correct_value, terms (the text where there are none), vague, product_id.
+
+    The product is one whose name or alias the text holds, a special one before the
+    default, longer aliases first. The product table is small and becomes one constant row.
+    """
+    f = lambda c: F.col(f"{column}.{c}")
+    value = F.trim(f("correct_value"))
+    correct = F.when(~F.lower(value).isin(*NO_VALUE), value)
+    terms = F.filter(F.transform(f("terms"), lambda x: F.trim(x)), lambda x: x != "")
+    names = products.select("product_id", "is_default", F.explode(F.split(F.lower(F.concat_ws(",", "name", "aliases")), ",")).alias("a")).where("a <> ''")
+    ranked = names.agg(F.sort_array(F.collect_list(F.struct("is_default", (-F.char_length("a")).alias("n"), "product_id", "a"))).alias("_names"))
+    out = staged(facts, _text=F.lower(f("text"))).join(F.broadcast(ranked))
+    product = F.get(F.filter("_names", lambda p: F.contains(F.col("_text"), p["a"])), F.lit(0))["product_id"]
+    category = F.when(f("category").isin(*REVIEW_CATEGORIES), f("category")).otherwise("other_mismatch")
+    out = out.withColumns({"category": category, "correct_value": correct, "terms": F.when(F.size(terms) > 0, terms).otherwise(F.array(f("text"))), "vague": correct.isNull(), "product_id": product})
+    return out.drop("_text", "_names")
+
+
+def stale_findings(bodies: DataFrame, rules: Rules) -> DataFrame:
     """Findings of stale facts with the sentence that proves them."""
-    hits = with_evidence(stale_scan(bodies, rules).where("verdict = 'issue'"), "body_text", F.col("start"), F.col("end"))
-    return hits.select("url_id", F.concat("slug", F.lit(":stale")).alias("title"), F.col("value").alias("matched_value"), "evidence")
+    return findings_of(stale_scan(bodies, rules).where("verdict = 'issue'")).select("url_id", "title", "category", "severity", "matched_value", "evidence")
 
 
 def first_of(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:

@@ -1,4 +1,8 @@
-"""What a raw HTML page holds: one pass with the standard parser, one struct a page."""
+"""What a raw HTML page holds: one pass with the standard parser gives its parts, one row a page.
+
+Parsing is Python; what is chosen among the parts (meta fields, question-answer pairs, the
+author) is DataFrame work on the arrays that come back.
+"""
 
 from __future__ import annotations
 
@@ -8,14 +12,29 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factflow.functions.text import clean_author, normalize
+
+# Elements without main text, elements without an end tag.
 DROPPED = {"script", "style", "noscript", "nav", "header", "footer", "form", "svg", "iframe", "aside"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
-SCHEMA = "page_id long, title string, h1s array<string>, h2s array<string>, meta_description string, canonical string, meta_robots string, body string, author string, faqs array<struct<question:string,answer:string,source:string>>"
-_SPACES = re.compile(r"\s+")
+# Schema.org types and properties that are read.
 ARTICLES = {"Article", "NewsArticle", "BlogPosting", "Report", "TechArticle"}
+CONTAINERS = ("mainEntity", "@graph", "itemListElement", "hasPart")
+QUESTION, ANSWER = ("name", "question"), ("acceptedAnswer", "suggestedAnswer")
+# Where an author is named, in order of trust.
+AUTHOR_META = (("property", "article:author"), ("property", "og:article:author"), ("name", "author"), ("property", "author"))
+BYLINE_CLASSES = {"author", "byline", "post-author", "article-author", "entry-author", "author-name", "writer"}
+LEAD = re.compile(r"\b(?:By|Written by|Author)\b[:\s]+([A-Z][\w.'-]+(?:\s+[A-Z][\w.'-]+){0,3})")
+
+SCHEMA = (
+    "page_id long, title string, h1s array<string>, h2s array<string>, meta array<struct<attr:string,key:string,content:string>>, canonical string, lead string, "
+    "body string, names struct<data:array<array<string>>,bylines:array<string>>, pairs array<struct<question:string,answer:string,source:string>>"
+)
+COLUMNS = ["page_id", "title", "h1s", "h2s", "meta", "canonical", "lead", "body", "names", "pairs"]
+_SPACES = re.compile(r"\s+")
 
 
 def squeeze(text: str) -> str:
@@ -73,97 +92,135 @@ class _Tree(HTMLParser):
         self.open[-1].parts.append(data)
 
 
-def _questions(data: object) -> Iterator[tuple[str, str]]:
+def _things(data: object) -> Iterator[dict]:
+    """The objects of a JSON-LD document, containers before what they hold."""
     todo = [data]
     while todo:
-        x = todo.pop(0)
+        x = todo.pop()
         if isinstance(x, list):
-            todo[:0] = x
+            todo += x[::-1]
         elif isinstance(x, dict):
-            kinds = x.get("@type")
-            if "Question" in (kinds if isinstance(kinds, list) else [kinds]):
-                answer = x.get("acceptedAnswer") or x.get("suggestedAnswer")
-                answer = answer[0] if isinstance(answer, list) and answer else answer
-                text = answer.get("text", "") if isinstance(answer, dict) else ""
-                yield squeeze(re.sub(r"<[^>]+>", " ", str(x.get("name") or x.get("question") or ""))), squeeze(re.sub(r"<[^>]+>", " ", str(text)))
-            todo[:0] = [x[k] for k in ("mainEntity", "@graph", "itemListElement", "hasPart") if k in x]
+            yield x
+            todo += [x[k] for k in CONTAINERS[::-1] if k in x]
 
 
-def _authors(data: object) -> list[str]:
-    found: list[str] = []
-    todo = [data]
-    while todo:
-        x = todo.pop(0)
-        if isinstance(x, list):
-            todo[:0] = x
-        elif isinstance(x, dict):
-            kinds = x.get("@type")
-            if ARTICLES & set(kinds if isinstance(kinds, list) else [kinds]):
-                who = x.get("author")
-                for a in who if isinstance(who, list) else [who]:
-                    name = a.get("name") if isinstance(a, dict) else a
-                    if isinstance(name, str) and name.strip() and name.strip().lower() not in {f.lower() for f in found}:
-                        found.append(name.strip())
-            todo[:0] = [x["@graph"]] if "@graph" in x else []
-    return found
+def _is(thing: dict, kinds: set[str]) -> bool:
+    own = thing.get("@type")
+    return any(k in kinds for k in (own if isinstance(own, list) else [own]) if isinstance(k, str))
+
+
+def _read(thing: dict, names: tuple[str, ...]) -> object:
+    return next((thing[n] for n in names if thing.get(n)), "")
+
+
+def _texts(value: object, prop: str) -> Iterator[str]:
+    """Texts of a value: itself, an object's property, or those of a list's members."""
+    if isinstance(value, list):
+        for v in value:
+            yield from _texts(v, prop)
+    elif isinstance(value, dict):
+        yield str(value.get(prop) or "")
+    elif value is not None:
+        yield str(value)
+
+
+def _bare(text: str) -> str:
+    return squeeze(re.sub(r"<[^>]+>", " ", text))
+
+
+def _question(thing: dict) -> tuple[str, str, str]:
+    answer = _read(thing, ANSWER)
+    answer = answer[:1] if isinstance(answer, list) else answer
+    return _bare(str(_read(thing, QUESTION))), _bare(next(_texts(answer, "text"), "")), "jsonld"
+
+
+def _is_byline(node: _Node) -> bool:
+    kind = node.attrs.get("class", "")
+    return node.attrs.get("rel") == "author" or node.attrs.get("itemprop") == "author" or bool(BYLINE_CLASSES & set(kind.split())) or "author" in kind or "byline" in kind
 
 
 def page(html: str) -> tuple:
-    """title, h1s, h2s, description, canonical, robots, main text, raw author, question-answer pairs."""
+    """The parts of a page, in the order of ``SCHEMA``."""
     tree = _Tree()
     tree.feed(html or "")
     tree.close()
+    every = list(tree.root.walk())
     by: dict[str, list[_Node]] = {}
-    for node in tree.root.walk():
+    for node in every:
         by.setdefault(node.tag, []).append(node)
 
-    def meta(name: str) -> str | None:
-        return next((squeeze(m.attrs.get("content", "")) or None for m in by.get("meta", ()) if m.attrs.get("name", "").lower() == name or m.attrs.get("property", "").lower() == name), None)
-
     main = next((by[t][0] for t in ("main", "article") if by.get(t)), None)
     if main is None:
-        blocks = [(n, n.text(DROPPED)) for n in tree.root.walk() if n.tag in ("div", "section")]
-        main = max(blocks, key=lambda b: len(b[1]))[0] if blocks and max(len(b[1]) for b in blocks) else by.get("body", [tree.root])[0]
-    faqs, raw_json = [], []
-    for s in by.get("script", ()):
-        if s.attrs.get("type", "").lower() == "application/ld+json":
+        blocks = [(len(n.text(DROPPED)), -k, n) for k, n in enumerate(every) if n.tag in ("div", "section")]
+        size, _, block = max(blocks, default=(0, 0, None), key=lambda b: b[:2])
+        main = block if size else by.get("body", [tree.root])[0]
+    documents = []
+    for script in by.get("script", ()):
+        if script.attrs.get("type", "").lower() == "application/ld+json":
             try:
-                raw_json.append(json.loads("".join(p for p in s.parts if isinstance(p, str))))
+                documents.append(json.loads("".join(p for p in script.parts if isinstance(p, str))))
             except ValueError:
                 continue
-    for data in raw_json:
-        faqs += [(q, a, "jsonld") for q, a in _questions(data)]
+    pairs = [_question(x) for d in documents for x in _things(d) if _is(x, {"Question"})]
     for d in by.get("details", ()):
-        summary = next((p for p in d.parts if isinstance(p, _Node) and p.tag == "summary"), None)
+        summary = next((n for n in d.walk() if n.tag == "summary"), None)
         if summary is not None:
-            rest = _Node("", {})
-            rest.parts = [p for p in d.parts if p is not summary]
-            faqs.append((summary.text(), rest.text(), "visible"))
+            pairs.append((summary.text(), d.text({"summary"}), "visible"))
     for d in by.get("dl", ()):
-        pairs = [[n.text() for n in d.walk() if n.tag == t] for t in ("dt", "dd")]
-        faqs += [(q, a, "visible") for q, a in zip(*pairs, strict=False)]
-    kept, seen = [], set()
-    for q, a, source in faqs:
-        if q and a and (q.lower(), source) not in seen:
-            seen.add((q.lower(), source))
-            kept.append((q, a, source))
-    names = [n for data in raw_json for n in _authors(data)]
-    author = "; ".join(names) or next((v for k in ("author", "article:author", "parsely-author", "sailthru.author") if (v := meta(k)) and not v.startswith("http")), None)
-    if not author:
-        mark = next((n for n in tree.root.walk() if n.attrs.get("rel") == "author" or re.search("author|byline", n.attrs.get("class", "")) or n.attrs.get("itemprop") == "author"), None)
-        author = mark.text() if mark is not None else None
+        terms, meanings = ([n.text() for n in d.walk() if n.tag == t] for t in ("dt", "dd"))
+        pairs += [(q, a, "visible") for q, a in zip(terms, meanings, strict=False)]
+    written = [[n for x in _things(d) if _is(x, ARTICLES) for n in _texts(x.get("author"), "name")] for d in documents]
+    meta = [(a, m.attrs[a].lower(), m.attrs.get("content", "")) for m in by.get("meta", ()) for a in ("name", "property") if a in m.attrs]
+    said = next((by[t][0] for t in ("article", "main") if by.get(t)), None)
+    lead = LEAD.search(said.text()) if said is not None else None
     title = by["title"][0].text() if by.get("title") else None
     heads = [[x for n in by.get(t, ()) if (x := n.text())] for t in ("h1", "h2")]
     canonical = next((n.attrs.get("href") or None for n in by.get("link", ()) if n.attrs.get("rel", "").lower() == "canonical"), None)
-    return title or None, heads[0], heads[1], meta("description"), canonical, meta("robots"), main.text(DROPPED), author, kept
+    names = {"data": written, "bylines": [n.text() for n in every if _is_byline(n)]}
+    return title or None, *heads, meta, canonical, lead[1] if lead else None, main.text(DROPPED), names, pairs
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """One row a page with all fields; a null page has none of them."""
+def parts(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """One row a page with what the parser found; a null page has no parts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, *page(h)) for i, h in zip(b["page_id"], b["html"], strict=True)]
-            yield pd.DataFrame(rows, columns=["page_id", "title", "h1s", "h2s", "meta_description", "canonical", "meta_robots", "body", "author", "faqs"])
+            yield pd.DataFrame([(i, *page(h)) for i, h in zip(b["page_id"], b["html"], strict=True)], columns=COLUMNS)
 
     return pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).mapInPandas(run, SCHEMA)
+
+
+def _content(attr: str | None, key: str) -> Column:
+    """The content of the first meta element of that name or property."""
+    found = F.filter("meta", lambda m: (m["key"] == key) & (m["attr"] == attr if attr else F.lit(True)))
+    return F.when(F.size(found) > 0, F.get(found, F.lit(0))["content"])
+
+
+def _unique(names: Column) -> Column:
+    """Without later repeats in any case."""
+    return F.filter(names, lambda x, k: ~F.exists(F.slice(names, F.lit(1), k), lambda y: F.lower(y) == F.lower(x)))
+
+
+def _clean(names: Column) -> Column:
+    return F.filter(F.transform(names, clean_author), lambda x: x.isNotNull())
+
+
+def author() -> Column:
+    """The author by the first source that yields a name: article data, meta elements (links skipped), bylines, a line that begins with By."""
+    written = F.filter(F.transform("names.data", _clean), lambda a: F.size(a) > 0)
+    named = F.array(*[clean_author(_content(a, k)) for a, k in AUTHOR_META])
+    named = F.filter(named, lambda x: x.isNotNull() & ~F.lower(x).rlike("^(?:https?:/)?/"))
+    return F.coalesce(F.array_join(_unique(F.get(written, F.lit(0))), "; "), F.get(named, F.lit(0)), F.get(_clean(F.col("names.bylines")), F.lit(0)), clean_author(F.col("lead")))
+
+
+def faqs() -> Column:
+    """Question-answer pairs with both sides; of those of one source that ask the same, in any case, the first."""
+    whole = F.filter("pairs", lambda p: (p["question"] != "") & (p["answer"] != ""))
+    return F.filter(whole, lambda p, k: ~F.exists(F.slice(whole, F.lit(1), k), lambda q: (q["source"] == p["source"]) & (F.lower(q["question"]) == F.lower(p["question"]))))
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """One row a page with all fields; a null page has none of them."""
+    found = parts(pages, id_col, html_col)
+    field = {n: F.nullif(normalize(_content(None, k)), F.lit("")).alias(n) for n, k in (("meta_description", "description"), ("meta_robots", "robots"))}
+    return found.select("page_id", "title", "h1s", "h2s", field["meta_description"], "canonical", field["meta_robots"], "body", author().alias("author"), faqs().alias("faqs"))

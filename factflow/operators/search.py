@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factflow.functions.text import staged
+from factflow.sources.folders import checkpointed
+
 K1, B = 1.2, 0.75
 # Accented letters and what they fold to.
 ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
@@ -18,24 +21,32 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+FIELDS = ("title", "meta", "h1", "faqs", "body")
+
+
+def documents(pages: DataFrame, faqs: DataFrame) -> DataFrame:
+    """(url_id and ``FIELDS``) of pages (url_id, title, meta, h1s, body) with a body; heads, and questions with answers, are one text each."""
+    pair = F.concat_ws(" ", "question", "answer")
+    asked = faqs.groupBy("url_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("faq_id", pair.alias("t")))), lambda x: x["t"]), " ").alias("faqs"))
+    own = pages.where("coalesce(body, '') <> ''").join(asked, "url_id", "left")
+    return own.select("url_id", "title", "meta", F.array_join("h1s", " ").alias("h1"), "faqs", "body")
+
+
 def index(pages: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """(url_id, field, pos, token) of pages with a body; written by its caller, bucketed by token."""
-    parts = [pages.select("url_id", F.lit(f).alias("field"), F.posexplode(tokens(F.col(f))).alias("pos", "token")) for f in fields]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """(url_id, field, pos, token) of pages in one scan; written by its caller, bucketed by token."""
+    listed = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("ts")) for f in fields]))
+    return pages.select("url_id", listed.alias("f")).select("url_id", "f.field", F.posexplode("f.ts").alias("pos", "token"))
 
 
 def phrase_counts(pages: DataFrame, column: str, phrases: Sequence[str]) -> DataFrame:
-    """(url_id, size, tf_0, tf_1, ...): tokens of a field, and places of each phrase in it; one scan, no join."""
-    line = F.concat(F.lit(" "), F.array_join(tokens(F.col(column)), "  "), F.lit(" "))
-    rows = pages.select("url_id", F.size(tokens(F.col(column))).alias("size"), line.alias("line"))
+    """(url_id, size, tf_0, tf_1, ...): tokens of a field, and places of each phrase in it; each text is cut into tokens once, no join."""
+    rows = staged(pages.select("url_id", column), _ts=tokens(F.col(column)))
+    rows = staged(rows, _line=F.concat(F.lit(" "), F.array_join("_ts", "  "), F.lit(" ")))
     counts = []
     for k, p in enumerate(phrases):
         needle = " " + "  ".join(fold(p)) + " "
-        counts.append(((F.char_length("line") - F.char_length(F.replace(F.col("line"), F.lit(needle), F.lit("")))) / len(needle)).cast("int").alias(f"tf_{k}"))
-    return rows.select("url_id", "size", *counts)
+        counts.append(((F.char_length("_line") - F.char_length(F.replace(F.col("_line"), F.lit(needle), F.lit("")))) / len(needle)).cast("int").alias(f"tf_{k}"))
+    return rows.select("url_id", F.size("_ts").alias("size"), *counts)
 
 
 def fold(phrase: str) -> list[str]:
@@ -46,7 +57,7 @@ def fold(phrase: str) -> list[str]:
 
 def bm25(pages: DataFrame, column: str, phrases: Sequence[str], limit: int | None = 200) -> DataFrame:
     """Pages with any of the phrases by BM25, best first, ties by url_id: (url_id, score)."""
-    counts = phrase_counts(pages, column, phrases)
+    counts = checkpointed(phrase_counts(pages, column, phrases))  # a few numbers a page, used for the frequencies and for the scores
     stats = counts.agg(F.count("*").alias("n"), F.avg("size").alias("mean"), *[F.count_if(F.col(f"tf_{k}") > 0).alias(f"df_{k}") for k in range(len(phrases))])
     score = F.lit(0.0)
     for k in range(len(phrases)):

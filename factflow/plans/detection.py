@@ -10,82 +10,98 @@ from factflow.operators import detect as K
 from factflow.operators import search as L
 from factflow.operators import state as M
 from factflow.plans.registry import Tables, o, query
+from factflow.sources import landed as A
 
-_B = o("claims")
-RULES = [
-    K.Rule(1, "of_the", ["of the"], ["and the"], ["in of"], window=60, english_only=True),
-    K.Rule(2, "licence", ["apache license", "general public license"], ["mit license"]),
-    K.Rule(3, "de_la", ["de la"], required=["en"], window=80),
-]
+_B, _RULES = o("claims"), o("rules")
 
 
-def _hit(rule: int, slug: str, patterns: list[tuple[int, str]], window: int, scope: str, context: str) -> str:
-    """The checking engine's way: pieces between matches give starts."""
-    parts = " UNION ALL ".join(
-        f"SELECT url_id, body_text, {kind} AS kind, {k} AS pattern, k AS nth, length(array_to_string(p[1:k], '')) + (k - 1) * {len(p)} AS s, {len(p)} AS w FROM (SELECT url_id, body_text, unnest(range(1, len(p))) AS k, p FROM (SELECT *, string_split(lower(body_text), '{p}') AS p FROM {_B} WHERE {scope})) z{n}"
-        for n, (kind, k, p) in enumerate([(kd, i, p) for i, (kd, p) in enumerate(patterns)])
-    )
-    return f"SELECT {rule} AS rule_id, '{slug}' AS slug, url_id, CASE kind WHEN 0 THEN 'issue' ELSE 'positive' END AS verdict, CAST(s AS INT) AS start FROM (SELECT *, lower(substr(body_text, greatest(s - {window}, 0) + 1, s + w + {window} - greatest(s - {window}, 0))) AS seg FROM ({parts})) WHERE {context} QUALIFY row_number() OVER (PARTITION BY url_id ORDER BY kind, pattern, s) = 1"
+def stale_rules(t: Tables) -> DataFrame:
+    """The stale-fact rules of the stored registry."""
+    return A.load_rules(t.fx("rules"), t.fx("products")).where("rule_type = 'stale'")
 
 
-_SCAN = " UNION ALL ".join([
-    "(" + _hit(1, "of_the", [(0, "of the"), (1, "and the")], 60, "locale IS NULL OR locale = 'en'", "NOT contains(seg, 'in of')") + ")",
-    "(" + _hit(2, "licence", [(0, "apache license"), (0, "general public license"), (1, "mit license")], 120, "true", "true") + ")",
-    "(" + _hit(3, "de_la", [(0, "de la")], 80, "true", "contains(seg, 'en')") + ")",
-])
+# The checking engine's way: rules from the same table, pieces between matches give starts.
+_LISTS = ", ".join(f"CAST(coalesce(try_cast({c} AS JSON), '[]') AS VARCHAR[]) AS {n}" for c, n in (("stale_patterns", "st"), ("current_patterns", "cu"), ("allowed_patterns", "al"), ("required_context", "re")))
+_PATTERNS = f"""(SELECT *, kind || '.' || place AS rank FROM (
+SELECT rule_id, slug, category, severity, english_only, win, al, re, 0 AS kind, unnest(st) AS pattern, generate_subscripts(st, 1) AS place FROM (SELECT *, coalesce(context_window, 120) AS win, {_LISTS} FROM {_RULES} WHERE enabled = 1 AND rule_type = 'stale') a
+UNION ALL SELECT rule_id, slug, category, severity, english_only, win, al, re, 1, unnest(cu), generate_subscripts(cu, 1) FROM (SELECT *, coalesce(context_window, 120) AS win, {_LISTS} FROM {_RULES} WHERE enabled = 1 AND rule_type = 'stale') b))"""
+_SCAN = f"""SELECT rule_id, slug, url_id, CASE kind WHEN 0 THEN 'issue' ELSE 'positive' END AS verdict, CAST(s AS INT) AS start, coalesce(category, 'other_mismatch') AS category, coalesce(severity, 'medium') AS severity, substr(body_text, s + 1, length(pattern)) AS matched
+FROM (SELECT *, lower(substr(body_text, greatest(s - win, 0) + 1, s + length(pattern) + win - greatest(s - win, 0))) AS seg FROM (
+SELECT * EXCLUDE (p), length(array_to_string(p[1:k], '')) + (k - 1) * length(pattern) AS s FROM (SELECT *, unnest(range(1, len(p))) AS k FROM (
+SELECT b.url_id, b.body_text, r.*, string_split(lower(body_text), pattern) AS p FROM {_B} b JOIN {_PATTERNS} r ON contains(lower(body_text), pattern) AND (coalesce(english_only, 0) = 0 OR locale IS NULL OR locale = 'en')) z0) z1) z2) z3
+WHERE (len(re) = 0 OR len(list_filter(re, lambda x: contains(seg, x))) > 0) AND len(list_filter(al, lambda x: contains(seg, x))) = 0
+QUALIFY row_number() OVER (PARTITION BY rule_id, url_id ORDER BY kind, place, s) = 1"""
 
 
-@query("stale_scan", _SCAN)
+@query("stale_scan", f"SELECT rule_id, slug, url_id, verdict, start, category, severity, lower(matched) AS value FROM ({_SCAN})")
 def stale_scan(t: Tables) -> DataFrame:
-    return K.stale_scan(t.fx("claims"), RULES).select("rule_id", "slug", "url_id", "verdict", "start")
+    return K.stale_scan(t.fx("claims"), stale_rules(t)).select("rule_id", "slug", "url_id", "verdict", "start", "category", "severity", F.lower("value").alias("value"))
 
 
-@query("stale_findings", f"SELECT slug || ':stale' AS title, url_id, lower(substr(body_text, start + 1, 5)) AS head FROM ({_SCAN}) h JOIN {_B} b USING (url_id) WHERE verdict = 'issue'")
+@query("stale_findings", f"SELECT slug || ':stale' AS title, url_id, category, severity, lower(matched) AS matched_value FROM ({_SCAN}) WHERE verdict = 'issue'")
 def stale_findings(t: Tables) -> DataFrame:
-    found = K.stale_findings(t.fx("claims"), RULES)
+    found = K.stale_findings(t.fx("claims"), stale_rules(t))
     proven = F.contains(F.lower("evidence"), F.lower("matched_value"))
-    return found.where(proven).select("title", "url_id", F.lower(F.left("matched_value", F.lit(5))).alias("head"))
+    return found.where(proven).select("title", "url_id", "category", "severity", F.lower("matched_value").alias("matched_value"))
 
 
+# Counts of languages, regulations and countries as they are claimed.
 _LANG, _REG, _COUNTRY = r"(\d{1,3})\s*(?:\+\s*)?(?:different\s+)?languages\b", r"(\d{1,3})\s*(?:\+\s*)?regulations\b", r"(\d{1,3})\s*countries\b"
+_WORDS = (("languages", "languages"), ("countries", "countries"), ("regulations", "regulations"))
 _FOUND = " UNION ALL ".join(
-    f"SELECT url_id, '{kind}' AS kind, source_id, unnest(regexp_extract_all(body_text, '([0-9]{{1,3}}) {word}', 1)) AS value, generate_subscripts(regexp_extract_all(body_text, '([0-9]{{1,3}}) {word}', 1), 1) AS nth FROM {_B}"
-    for kind, word in (("languages", "languages"), ("countries", "countries"), ("regulations", "regulations"))
+    f"SELECT url_id, '{kind}' AS kind, source_id, unnest(regexp_extract_all(body_text, '([0-9]{{1,3}}) {word}', 1)) AS value, unnest(regexp_extract_all(body_text, '[0-9]{{1,3}} {word}')) AS quote, generate_subscripts(regexp_extract_all(body_text, '([0-9]{{1,3}}) {word}', 1), 1) AS nth FROM {_B}"
+    for kind, word in _WORDS
 )
 
 
-def _claims(t: Tables) -> DataFrame:
+def claims_found(t: Tables) -> DataFrame:
     return K.claims(t.fx("claims"), {"languages": [(_LANG, 1)], "countries": [(_COUNTRY, 1)], "regulations": [(_REG, 1)]})
 
 
-@query("claim_inventory", f"SELECT kind, value, count(*) AS frequency, count(DISTINCT url_id) AS pages, min(url_id) AS example_url_id FROM ({_FOUND}) GROUP BY kind, value")
+@query("claim_inventory", f"SELECT kind, value, count(*) AS frequency, count(DISTINCT url_id) AS pages, min(url_id) AS example_url_id, arg_min(quote, url_id * 1000 + nth) AS example_quote FROM ({_FOUND}) GROUP BY kind, value")
 def claim_inventory(t: Tables) -> DataFrame:
-    return K.inventory(_claims(t))
+    return K.inventory(claims_found(t))
 
 
 @query("claim_inventory_report", f"SELECT kind, value, count(*) AS frequency FROM ({_FOUND}) GROUP BY kind, value ORDER BY kind = 'regulations', kind, frequency DESC, value")
 def claim_inventory_report(t: Tables) -> DataFrame:
-    return K.inventory(_claims(t)).orderBy(F.col("kind") == "regulations", "kind", F.desc("frequency"), "value").select("kind", "value", "frequency")
+    return K.inventory(claims_found(t)).orderBy(F.col("kind") == "regulations", "kind", F.desc("frequency"), "value").select("kind", "value", "frequency")
 
 
 @query("claim_top_values", f"SELECT kind, value, frequency FROM (SELECT kind, value, count(*) AS frequency FROM ({_FOUND}) GROUP BY kind, value) QUALIFY row_number() OVER (PARTITION BY kind ORDER BY frequency DESC, value) <= 12")
 def claim_top_values(t: Tables) -> DataFrame:
-    return K.first_of(K.inventory(_claims(t)), ["kind"], [F.desc("frequency"), F.col("value")], 12).select("kind", "value", "frequency")
+    return K.first_of(K.inventory(claims_found(t)), ["kind"], [F.desc("frequency"), F.col("value")], 12).select("kind", "value", "frequency")
 
 
-@query("generic_claims", f"SELECT kind, value, count(*) AS n FROM (SELECT 'price' AS kind, regexp_replace(unnest(regexp_extract_all(body_text, '[$€£]\\s?[0-9][0-9.,]*')), '[.,]$', '') AS value FROM {_B} UNION ALL SELECT 'percent', unnest(regexp_extract_all(body_text, '\\b[0-9][0-9.,]*\\s*%')) FROM {_B}) GROUP BY ALL")
+_GENERIC = {"million/M": "(?i)\\b[0-9][0-9.,]*\\+?\\s*(?:million|billion|M|B)\\b", "count": "(?i)\\b[0-9][0-9.,]*\\+?\\s*(?:companies|customers|users|organi[sz]ations|clients)\\b", "percent": "\\b[0-9][0-9.,]*\\s*%", "price": "[$€£]\\s?[0-9][0-9.,]*"}
+
+
+@query("generic_claims", "SELECT kind, value, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, regexp_replace(trim(unnest(regexp_extract_all(body_text, '{p}'))), '[.,]$', '') AS value FROM {_B}" for k, p in _GENERIC.items()) + ") GROUP BY ALL")
 def generic_claims(t: Tables) -> DataFrame:
     found = K.claims(t.fx("claims"), {k: [(p if k in ("percent", "price") else f"(?i:{p})", 0)] for k, p in K.GENERIC.items()})
-    return found.where("kind IN ('price', 'percent')").groupBy("kind", "value").agg(F.count("*").alias("n"))
+    return found.groupBy("kind", "value").agg(F.count("*").alias("n"))
 
 
 _FIRST = f"(SELECT kind, value, url_id, min(nth) AS nth FROM ({_FOUND}) WHERE kind <> 'regulations' GROUP BY ALL)"
 
 
-@query("consistency_check", f"SELECT kind, url_id, value, CASE WHEN value = CASE kind WHEN 'languages' THEN '29' ELSE '51' END THEN 'positive' ELSE 'issue' END AS verdict FROM {_FIRST} f JOIN (SELECT kind, value, min(url_id * 1000 + nth) AS rank FROM {_FIRST} GROUP BY ALL) r USING (kind, value) QUALIFY row_number() OVER (PARTITION BY kind, url_id ORDER BY rank DESC) = 1")
+_CONSISTENT = f"SELECT kind, url_id, value, CASE WHEN value = CASE kind WHEN 'languages' THEN '29' ELSE '51' END THEN 'positive' ELSE 'issue' END AS verdict FROM {_FIRST} f JOIN (SELECT kind, value, min(url_id * 1000 + nth) AS rank FROM {_FIRST} GROUP BY ALL) r USING (kind, value) QUALIFY row_number() OVER (PARTITION BY kind, url_id ORDER BY rank DESC) = 1"
+
+
+def _consistency(t: Tables) -> DataFrame:
+    """Verdicts on the kinds that have a canonical value among the rules."""
+    rules = A.load_rules(t.fx("rules"), t.fx("products")).where("canonical_value IS NOT NULL")
+    return K.consistency(claims_found(t), rules.select(F.col("slug").alias("kind"), F.col("canonical_value").alias("canonical")))
+
+
+@query("consistency_check", _CONSISTENT)
 def consistency_check(t: Tables) -> DataFrame:
-    canonical = t.spark.createDataFrame([("languages", "29"), ("countries", "51")], "kind string, canonical string")
-    return K.consistency(_claims(t), canonical)
+    return _consistency(t)
+
+
+@query("consistency_findings", f"SELECT url_id, kind || ':inconsistent' AS title, 'high' AS severity, 'open' AS status, value AS matched_value FROM ({_CONSISTENT}) WHERE verdict = 'issue'")
+def consistency_findings(t: Tables) -> DataFrame:
+    return K.consistency_findings(_consistency(t))
 
 
 _DOC, _PLAT = r"(?i)\bdocument", r"(?i)\bplatform\b"
@@ -102,19 +118,35 @@ _HASDOC, _HASPLAT = "regexp_matches(seg, '\\bdocument')", "regexp_matches(seg, '
 _LCASE = f"CASE WHEN contains(seg, 'atlas') THEN 'product' WHEN {_HASDOC} AND NOT {_HASPLAT} THEN 'documents' WHEN {_HASPLAT} AND NOT {_HASDOC} THEN 'platform' END"
 
 
-@query("context_counts", _judged(" languages", 160, _LCASE).format(expected="CASE method WHEN 'product' THEN '12' WHEN 'documents' THEN '31' ELSE '29' END"))
+_LSQL = _judged(" languages", 160, _LCASE).format(expected="CASE method WHEN 'product' THEN '12' WHEN 'documents' THEN '31' ELSE '29' END")
+_RSQL = _judged(" regulations", 160, f"CASE WHEN {_HASPLAT} THEN 'platform' ELSE 'any' END").format(expected="CASE method WHEN 'platform' THEN '102' ELSE '91' END")
+
+
+@query("context_counts", _LSQL)
 def context_counts(t: Tables) -> DataFrame:
     return K.context_counts(t.fx("claims"), _LANG, 1, [("product", "(?i)atlas", "", "12"), ("documents", _DOC, _PLAT, "31"), ("platform", _PLAT, _DOC, "29")])
 
 
-@query("context_counts_2", _judged(" regulations", 160, f"CASE WHEN {_HASPLAT} THEN 'platform' ELSE 'any' END").format(expected="CASE method WHEN 'platform' THEN '102' ELSE '91' END"))
+@query("context_counts_2", _RSQL)
 def context_counts_2(t: Tables) -> DataFrame:
     return K.context_counts(t.fx("claims"), _REG, 1, [("platform", _PLAT, "", "102"), ("any", "", "", "91")])
 
 
-@query("forbidden_claims", f"SELECT url_id FROM {_B} WHERE regexp_matches(body_text, '(?i)fixed[^.]{{0,40}}regulation')")
+def _count_findings(sql: str, prefix: str) -> str:
+    return f"SELECT DISTINCT url_id, CASE verdict WHEN 'unclear' THEN '{prefix}_unclear:' || number ELSE '{prefix}_ctx:' || method || ':' || number END AS title, CASE verdict WHEN 'unclear' THEN 'medium' ELSE 'high' END AS severity, CASE verdict WHEN 'unclear' THEN 'unclear' ELSE 'open' END AS status, number AS matched_value FROM ({sql}) WHERE verdict <> 'positive'"
+
+
+@query("context_findings", _count_findings(_LSQL, "lang") + " UNION ALL " + _count_findings(_RSQL, "reg"))
+def context_findings(t: Tables) -> DataFrame:
+    return K.count_findings(context_counts(t), "lang").unionByName(K.count_findings(context_counts_2(t), "reg"))
+
+
+_CLOSED = "(?i)(?:fixed|hard[\\s-]?coded|pre[\\s-]?defined|cannot (?:add|be added)|no (?:new )?regulations? can be added)\\b[^.]{0,40}regulation"
+
+
+@query("forbidden_claims", f"SELECT url_id, value AS matched_value, instr(body_text, value)::INT - 1 AS start FROM (SELECT url_id, body_text, unnest(regexp_extract_all(body_text, '{_CLOSED}')) AS value FROM {_B}) WHERE contains(lower(substr(body_text, greatest(instr(body_text, value) - 161, 0) + 1, instr(body_text, value) - 1 + length(value) + 160 - greatest(instr(body_text, value) - 161, 0))), 'atlas')")
 def forbidden_claims(t: Tables) -> DataFrame:
-    return t.fx("claims").where(F.col("body_text").rlike(r"(?i)\bfixed\b[^.]{0,40}regulation") & F.col("body_text").rlike(_PLAT)).select("url_id")
+    return K.forbidden(t.fx("claims"), "(?i)atlas").select("url_id", "matched_value", "start")
 
 
 @query("context_pass", f"SELECT url_id FROM (SELECT url_id, lower(substr(body_text, greatest(s - 60, 0) + 1, s + 66 - greatest(s - 60, 0))) AS seg FROM (SELECT url_id, body_text, instr(lower(body_text), 'of the') - 1 AS s FROM {_B}) WHERE s >= 0) WHERE contains(seg, 'in') AND NOT contains(seg, 'was')")
@@ -133,29 +165,40 @@ def response_parse(t: Tables) -> DataFrame:
     return t.fx("responses").select("url_id", i["quote"].alias("quote"), i["category"].alias("category"))
 
 
-_REV = f"(SELECT url_id, body, json_extract_string(plain, '$.items[0].quote') AS q, json_extract_string(plain, '$.items[0].category') AS c, json_extract_string(plain, '$.items[0].severity') AS severity FROM {_RESP} WHERE CAST(coalesce(json_extract_string(plain, '$.items[0].confidence'), '0') AS DOUBLE) >= 0.4 AND json_extract_string(plain, '$.items[0].is_real_issue') = 'true')"
+_SCREENED = f"(SELECT url_id FROM {_RESP} WHERE json_extract_string(first, '$.claims[0].quote') <> '' AND CAST(coalesce(json_extract_string(first, '$.claims[0].confidence'), '0') AS DOUBLE) >= 0.4)"
+_REV = f"(SELECT url_id, body, json_extract_string(plain, '$.items[0].quote') AS q, json_extract_string(plain, '$.items[0].category') AS c, json_extract_string(plain, '$.items[0].severity') AS severity FROM {_RESP} JOIN {_SCREENED} USING (url_id) WHERE json_extract_string(plain, '$.items[0].is_real_issue') = 'true')"
 
 
-@query("screen_verify", f"SELECT url_id, category, severity, 'llm:' || category || ':' || left(sha256(q), 12) AS title, q AS matched_value FROM (SELECT *, CASE WHEN c = 'nonsense' THEN 'other_mismatch' ELSE c END AS category FROM {_REV}) WHERE q <> '' AND contains(body, q)")
+@query("screen_candidates", _SCREENED[1:-1])
+def screen_candidates(t: Tables) -> DataFrame:
+    return K.screened(t.fx("responses").select("url_id", F.col("first").alias("raw")))
+
+
+@query("screen_verify", f"SELECT url_id, category, coalesce(severity, 'medium') AS severity, 'llm:' || category || ':' || left(sha256(q), 12) AS title, q AS matched_value FROM (SELECT *, CASE WHEN c = 'nonsense' THEN 'other_mismatch' ELSE c END AS category FROM {_REV}) WHERE q <> '' AND contains(body, q) AND NOT (category = 'free_claim' AND regexp_matches(q, '(?i)free trial|\\btrial\\b') AND NOT regexp_matches(q, '(?i)for free'))")
 def screen_verify(t: Tables) -> DataFrame:
+    """The second review's findings on the pages that the first one picked."""
     r = t.fx("responses")
-    return K.reviewed(r.select("url_id", "raw"), r.select("url_id", F.col("body").alias("body_text")))
+    second = r.join(screen_candidates(t), "url_id", "left_semi").select("url_id", "raw")
+    return K.reviewed(second, r.select("url_id", F.col("body").alias("body_text")))
+
 
+_FRESP = f"(SELECT url_id, body, json_extract_string(features, '$.claims[0].quote') AS q, coalesce(json_extract_string(features, '$.claims[0].problem'), 'misdescription') AS problem, json_extract_string(features, '$.claims[0].severity') AS severity, json_extract_string(features, '$.claims[0].feature_id') AS fid FROM {_RESP})"
 
-@query("feature_claims", f"SELECT url_id, CASE WHEN severity = 'high' OR url_id % 5 = 1 THEN 'high' ELSE 'medium' END AS severity, coalesce(CASE url_id % 4 WHEN 0 THEN 'search' WHEN 1 THEN 'export' END, '?') AS feature FROM {_REV} WHERE q <> '' AND contains(body, q)")
+
+@query("feature_claims", f"SELECT url_id, 'feature:' || CASE WHEN fid IN (SELECT 'f' || product_id FROM {o('catalog')}) THEN fid ELSE '?' END || ':' || problem AS title, CASE WHEN problem = 'not_available' OR severity = 'high' THEN 'high' ELSE 'medium' END AS severity, q AS matched_value FROM {_FRESP} WHERE q <> '' AND contains(body, q)")
 def feature_claims(t: Tables) -> DataFrame:
     r = t.fx("responses")
-    found = K.reviewed(r.select("url_id", "raw"), r.select("url_id", F.col("body").alias("body_text")))
-    features = t.spark.createDataFrame([(0, "search"), (1, "export")], "fid long, feature string")
-    named = found.withColumn("fid", F.col("url_id") % 4).join(features, "fid", "left")
-    return named.select("url_id", F.when((F.col("severity") == "high") | (F.col("url_id") % 5 == 1), "high").otherwise("medium").alias("severity"), F.coalesce("feature", F.lit("?")).alias("feature"))
+    features = t.fx("catalog").select(F.concat(F.lit("f"), "product_id").alias("feature_id"))
+    return K.feature_findings(r.select("url_id", F.col("features").alias("raw")), r.select("url_id", F.col("body").alias("body_text")), features)
+
+
+_FAQR = o("faq_responses")
 
 
-@query("faq_findings", f"SELECT faq_id, 'faq:' || left(question, 32) AS title, 'medium' AS severity FROM {o('faqs')} f WHERE contains((SELECT string_agg(answer, ' ') FROM {o('faqs')} g WHERE g.url_id = f.url_id), substr(answer, 3, 25)) AND answer <> ''")
+@query("faq_findings", f"""SELECT url_id, 'faq:' || coalesce(json_extract_string(raw, '$.items[0].underlying_category'), 'other_mismatch') || ':' || left(coalesce(nullif(json_extract_string(raw, '$.items[0].question'), ''), quote), 32) AS title,
+CASE json_extract_string(raw, '$.items[0].severity') WHEN 'high' THEN 'high' WHEN 'critical' THEN 'critical' ELSE 'medium' END AS severity, quote AS matched_value FROM (SELECT *, json_extract_string(raw, '$.items[0].quote') AS quote FROM {_FAQR}) r JOIN (SELECT url_id, string_agg(coalesce(answer, ''), ' ' ORDER BY faq_id) AS every FROM {o('faqs')} GROUP BY 1) a USING (url_id) WHERE quote <> '' AND contains(every, quote)""")
 def faq_findings(t: Tables) -> DataFrame:
-    f = t.fx("faqs")
-    answers = f.groupBy("url_id").agg(F.array_join(F.sort_array(F.collect_list("answer")), " ").alias("every"))
-    return f.join(answers, "url_id").where((F.col("answer") != "") & F.contains(F.col("every"), F.substring("answer", 3, 25))).select("faq_id", F.concat(F.lit("faq:"), F.left("question", F.lit(32))).alias("title"), F.lit("medium").alias("severity"))
+    return K.faq_findings(t.fx("faq_responses"), t.fx("faqs"))
 
 
 _CHEAP = "CASE WHEN stale AND NOT allowed THEN 'mismatch' WHEN allowed AND NOT stale AND ok THEN 'matches' WHEN ok AND NOT stale THEN 'matches' END"
@@ -171,47 +214,49 @@ def cheap_classify(t: Tables) -> DataFrame:
     return _classified(t).select("url_id", "verdict")
 
 
-_ANSWERS = "(SELECT doc_id AS url_id, CASE doc_id % 3 WHEN 0 THEN 'mismatch' ELSE 'unrelated' END AS answer FROM documents WHERE doc_id % 2 = 0)"
+_ANSWERS = "(SELECT doc_id AS url_id, CASE doc_id % 3 WHEN 0 THEN 'mismatch' WHEN 1 THEN 'matches' ELSE 'unrelated' END AS answer FROM documents WHERE doc_id % 2 = 0)"
 _RUN = f"(SELECT c.url_id, coalesce(c.verdict, a.answer, 'unclear') AS verdict FROM {_CLASS} c LEFT JOIN {_ANSWERS} a USING (url_id))"
 
 
-def _answered(t: Tables) -> DataFrame:
-    answers = t.documents.where("doc_id % 2 = 0").select(F.col("doc_id").alias("url_id"), F.when(F.col("doc_id") % 3 == 0, "mismatch").otherwise("unrelated").alias("answer"))
-    return _classified(t).join(answers, "url_id", "left").select("url_id", F.coalesce("verdict", "answer", F.lit("unclear")).alias("verdict"))
+def _answers(t: Tables) -> DataFrame:
+    """What a reviewer said about half of the pages."""
+    k = F.col("doc_id")
+    return t.documents.where("doc_id % 2 = 0").select(k.alias("url_id"), F.when(k % 3 == 0, "mismatch").when(k % 3 == 1, "matches").otherwise("unrelated").alias("answer"))
 
 
 @query("verdict_merge", f"SELECT url_id, verdict FROM {_RUN}")
 def verdict_merge(t: Tables) -> DataFrame:
-    return _answered(t)
+    return K.with_answers(_classified(t), _answers(t)).select("url_id", "verdict")
 
 
-@query("run_fact", f"SELECT url_id, 'fact:of the' AS title FROM {_RUN} WHERE verdict = 'mismatch'")
-def run_fact(t: Tables) -> DataFrame:
-    return _answered(t).where("verdict = 'mismatch'").select("url_id", F.lit("fact:of the").alias("title"))
+_FACT = {"name": "of the licence", "terms": ["of the", "license", "la"], "correct": "with", "stale": ["of the"], "allowed": ["license", "rights"], "category": "positioning", "severity": "high"}
+_TOP = "(SELECT url_id FROM {bm} ORDER BY score DESC, url_id LIMIT 300)"
+_MISS = "(SELECT url_id FROM {run} r JOIN {top} s USING (url_id) JOIN {urls} u USING (url_id) WHERE verdict = 'mismatch')"
 
 
-@query("query_rules", f"SELECT url_id, CASE verdict WHEN 'mismatch' THEN 'issue' WHEN 'matches' THEN 'positive' ELSE 'unclear' END AS verdict FROM {_RUN} WHERE verdict <> 'unrelated'")
-def query_rules(t: Tables) -> DataFrame:
-    return _answered(t).where("verdict <> 'unrelated'").select("url_id", F.when(F.col("verdict") == "mismatch", "issue").when(F.col("verdict") == "matches", "positive").otherwise("unclear").alias("verdict"))
+def _run_fact(t: Tables) -> DataFrame:
+    """Search, classify by words, ask where words do not decide: verdicts on the 300 best pages."""
+    best = L.bm25(t.fx("claims"), "body_text", _FACT["terms"], 300).select("url_id")
+    rows = t.fx("claims").join(best, "url_id", "left_semi")
+    own = rows.select("url_id", "body_text", K.cheap_classify(F.col("body_text"), _FACT["correct"], _FACT["stale"], _FACT["allowed"]).alias("verdict"))
+    return K.with_answers(own, _answers(t))
 
 
-@query("query_findings", f"SELECT url_id, 7 AS query_id, left('query:of the', 54) AS title FROM {_RUN} WHERE verdict = 'mismatch'")
-def query_findings(t: Tables) -> DataFrame:
-    return _answered(t).where("verdict = 'mismatch'").select("url_id", F.lit(7).alias("query_id"), F.lit("query:of the").alias("title"))
+_TEXT = "left(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 2000) || CASE WHEN doc_id % 3 = 1 THEN ' for the Atlas Suite' WHEN doc_id % 7 = 2 THEN ' see the bcn' ELSE '' END"
 
 
-@query("interpret_normalize", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'language_count' ELSE 'other_mismatch' END AS category, CASE doc_id % 4 WHEN 1 THEN '29' END AS correct_value, CASE doc_id % 2 WHEN 0 THEN 'a|b' ELSE left(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 20) END AS terms, doc_id % 4 <> 1 AS vague FROM documents")
+@query("interpret_normalize", f"""SELECT d.doc_id, CASE d.doc_id % 3 WHEN 0 THEN 'language_count' ELSE 'other_mismatch' END AS category, CASE d.doc_id % 4 WHEN 1 THEN '29' END AS correct_value, CASE d.doc_id % 2 WHEN 0 THEN 'a|b' ELSE t END AS terms, d.doc_id % 4 <> 1 AS vague,
+(SELECT arg_min(product_id, (is_default, -length(a), product_id)) FROM (SELECT product_id, is_default, unnest(string_split(lower(name) || ',' || lower(aliases), ',')) AS a FROM {o('products')}) p WHERE a <> '' AND contains(lower(t), a)) AS product_id FROM (SELECT doc_id, {_TEXT} AS t FROM documents) d""")
 def interpret_normalize(t: Tables) -> DataFrame:
+    """A reviewer's reading of a fact, cleaned, and the product that its text names."""
     k = F.col("doc_id")
+    text = F.concat(F.left(F.regexp_replace("text", "[^A-Za-z ]", ""), F.lit(2000)), F.when(k % 3 == 1, " for the Atlas Suite").when(k % 7 == 2, " see the bcn").otherwise(""))
     fact = F.struct(
         F.when(k % 3 == 0, "language_count").otherwise("made up").alias("category"), F.when(k % 4 == 0, " null ").when(k % 4 == 1, "29").when(k % 4 == 2, "N/A").otherwise("").alias("correct_value"),
-        F.when(k % 2 == 0, F.array(F.lit(" a "), F.lit(""), F.lit("b"))).otherwise(F.array().cast("array<string>")).alias("terms"), F.left(F.regexp_replace("text", "[^A-Za-z ]", ""), F.lit(20)).alias("text"),
+        F.when(k % 2 == 0, F.array(F.lit(" a "), F.lit(""), F.lit("b"))).otherwise(F.array().cast("array<string>")).alias("terms"), text.alias("text"),
     )
     parsed = t.documents.select("doc_id", F.from_json(F.to_json(fact), "struct<category:string,correct_value:string,terms:array<string>,text:string>").alias("f"))
-    value = F.trim("f.correct_value")
-    correct = F.when(~F.lower(value).isin("", "null", "none", "n/a", "unknown"), value)
-    terms = F.filter(F.transform("f.terms", lambda x: F.trim(x)), lambda x: x != "")
-    return parsed.select("doc_id", F.when(F.col("f.category").isin(*K.REVIEW_CATEGORIES), F.col("f.category")).otherwise("other_mismatch").alias("category"), correct.alias("correct_value"), F.array_join(F.when(F.size(terms) > 0, terms).otherwise(F.array("f.text")), "|").alias("terms"), correct.isNull().alias("vague"))
+    return K.interpreted(parsed, "f", t.fx("products")).select("doc_id", "category", "correct_value", F.array_join("terms", "|").alias("terms"), "vague", "product_id")
 
 
 @query("rule_from_fact", f"SELECT rule_id, CASE WHEN stale_patterns <> '[]' THEN 'stale' ELSE 'query' END AS rule_type FROM {o('registry')}")
@@ -230,9 +275,20 @@ def fts_tokens(t: Tables) -> DataFrame:
     return t.fx("claims").select("url_id", F.size(ts).alias("n"), F.md5(F.array_join(ts, " ").cast("binary")).alias("h"))
 
 
-@query("fts_index", f"SELECT token, count(*) AS n, count(DISTINCT url_id) AS df FROM (SELECT url_id, unnest(ts) AS token FROM {_TOK}) GROUP BY token")
+_FIELDS = f"(SELECT b.url_id, 'Page ' || b.url_id AS title, CASE WHEN b.url_id % 3 = 0 THEN 'About ' || b.url_id END AS meta, CASE WHEN b.url_id % 4 = 1 THEN 'Head One' ELSE '' END AS h1, coalesce(q.faqs, '') AS faqs, body_text AS body FROM {_B} b LEFT JOIN (SELECT url_id, string_agg(question || ' ' || answer, ' ' ORDER BY faq_id) AS faqs FROM {o('faqs')} GROUP BY 1) q USING (url_id) WHERE coalesce(body_text, '') <> '')"
+_FOLDED = f"regexp_replace(translate(lower(coalesce({{0}}, '')), '{L.ACCENTED}', '{L.PLAIN}'), '[^\\p{{{{L}}}}\\p{{{{N}}}}]+', ' ', 'g')"
+
+
+def _indexed(t: Tables) -> DataFrame:
+    """Pages as they are indexed: title, description, heads joined, questions and answers joined, body."""
+    k = F.col("url_id")
+    own = t.fx("claims").select("url_id", F.col("body_text").alias("body"), F.concat(F.lit("Page "), k).alias("title"), F.when(k % 3 == 0, F.concat(F.lit("About "), k)).alias("meta"), F.when(k % 4 == 1, F.array(F.lit("Head"), F.lit("One"))).otherwise(F.array().cast("array<string>")).alias("h1s"))
+    return L.documents(own, t.fx("faqs"))
+
+
+@query("fts_index", "SELECT field, token, count(*) AS n, count(DISTINCT url_id) AS df FROM (" + " UNION ALL ".join(f"SELECT url_id, '{f}' AS field, unnest(list_filter(string_split({_FOLDED.format(f)}, ' '), lambda x: x <> '')) AS token FROM {_FIELDS}" for f in ("title", "meta", "h1", "faqs", "body")) + ") GROUP BY field, token")
 def fts_index(t: Tables) -> DataFrame:
-    return L.index(t.fx("claims").withColumnRenamed("body_text", "body"), ["body"]).groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("url_id").alias("df"))
+    return L.index(_indexed(t), L.FIELDS).groupBy("field", "token").agg(F.count("*").alias("n"), F.count_distinct("url_id").alias("df"))
 
 
 def _places(phrase: str) -> str:
@@ -250,9 +306,11 @@ _SC = " + ".join(f"greatest(ln((n - d{k} + 0.5) / (d{k} + 0.5)), 1e-6) * t{k} *
 _BM = f"(WITH c AS (SELECT url_id, len(ts) AS size, {_TF} FROM {_TOK}), s AS (SELECT count(*) AS n, avg(size) AS mean, {', '.join(f'count(*) FILTER (WHERE t{k} > 0) AS d{k}' for k in range(3))} FROM c) SELECT url_id, round({_SC}, 6) AS score FROM c, s WHERE t0 > 0 OR t1 > 0 OR t2 > 0)"
 
 
-@query("search_bm25", f"SELECT url_id, score FROM {_BM} ORDER BY score DESC, url_id LIMIT 200")
+@query("search_bm25", f"SELECT s.url_id, u.url, u.locale, s.score FROM {_BM} s JOIN {o('urls')} u USING (url_id) WHERE u.source_id = 1 ORDER BY score DESC, url_id LIMIT 200")
 def search_bm25(t: Tables) -> DataFrame:
-    return L.bm25(t.fx("claims"), "body_text", _PH, 200)
+    """The best pages of one source; frequencies are those of all pages."""
+    hits = L.bm25(t.fx("claims"), "body_text", _PH, None).join(t.fx("urls").where("source_id = 1").select("url_id", "url", "locale"), "url_id")
+    return hits.select("url_id", "url", "locale", "score").orderBy(F.desc("score"), "url_id").limit(200)
 
 
 @query("search_like", f"SELECT url_id, left(body_text, 240) AS snippet FROM {_B} WHERE body_text ILIKE '%rights%'")
@@ -267,9 +325,56 @@ def expand_terms(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.array_join(F.transform(got, lambda x: F.when(F.lower(x) == "x1", "x1").otherwise(x)), "|").alias("terms"))
 
 
+@query("run_fact", f"SELECT url_id, group_id, 'fact:of the licence' AS title, 'positioning' AS category, 'high' AS severity, 'with' AS expected, 'with' AS matched_value FROM {_RUN} r JOIN {_TOP.format(bm=_BM)} s USING (url_id) JOIN {o('urls')} u USING (url_id) WHERE verdict = 'mismatch'")
+def run_fact(t: Tables) -> DataFrame:
+    """Findings of one fact, each with its page's group of alternates."""
+    found = K.fact_findings(_run_fact(t), _FACT["name"], _FACT["correct"], _FACT["category"], _FACT["severity"])
+    return found.join(t.fx("urls").select("url_id", "group_id"), "url_id").select("url_id", "group_id", "title", "category", "severity", "expected", "matched_value")
+
+
+@query("run_fact_counts", f"SELECT verdict, count(*) AS n FROM {_RUN} r JOIN {_TOP.format(bm=_BM)} s USING (url_id) GROUP BY 1")
+def run_fact_counts(t: Tables) -> DataFrame:
+    return _run_fact(t).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+_SAVED = f"(SELECT min(issue_id) AS query_id FROM {o('issues')} WHERE title LIKE 'fact:%')"
+
+
+@query("query_findings", f"SELECT url_id, (SELECT query_id FROM {_SAVED}) AS query_id, 'query:' || left('of the licence, license or la, whatever the case may be here', 48) AS title, 'other_mismatch' AS category, 'high' AS severity, 'with' AS expected FROM {_RUN} r JOIN {_TOP.format(bm=_BM)} s USING (url_id) WHERE verdict = 'mismatch'")
+def query_findings(t: Tables) -> DataFrame:
+    """Findings of a query asked by hand, linked to the saved query."""
+    text = "of the licence, license or la, whatever the case may be here"
+    saved = t.fx("issues").where("title LIKE 'fact:%'").agg(F.min("issue_id").alias("query_id"))
+    found = K.fact_findings(_run_fact(t), text, _FACT["correct"], "other_mismatch", "high", prefix="query")
+    return found.join(saved).select("url_id", "query_id", "title", "category", "severity", "expected")  # saved is one row
+
+
+# Saved query rules, all at once: pages by phrase, verdicts by rule and page.
+_QRULES = f"(SELECT rule_id, slug, coalesce(category, 'other_mismatch') AS category, coalesce(severity, 'medium') AS severity, correct_value, unnest(CASE WHEN len(tm) > 0 THEN tm ELSE [slug] END) AS term FROM (SELECT *, CAST(coalesce(try_cast(search_terms AS JSON), '[]') AS VARCHAR[]) AS tm FROM {_RULES} WHERE enabled = 1 AND rule_type = 'query' AND coalesce(correct_value, '') <> ''))"
+_QANS = "(SELECT doc_id AS url_id, 6 + 3 * (doc_id % 2) AS rule_id, CASE doc_id % 5 WHEN 0 THEN 'mismatch' WHEN 1 THEN 'matches' ELSE 'unrelated' END AS answer FROM documents WHERE doc_id % 5 < 3)"
+_QRUN = f"(SELECT q.rule_id, q.slug, q.category, q.severity, q.correct_value, q.url_id, coalesce(a.answer, 'unclear') AS answer FROM (SELECT DISTINCT r.* EXCLUDE (term), url_id FROM {_QRULES} r, (SELECT url_id, ' ' || array_to_string(ts, ' ') || ' ' AS line FROM {_TOK}) l WHERE contains(line, ' ' || lower(term) || ' ')) q LEFT JOIN {_QANS} a USING (rule_id, url_id))"
+
+
+def _query_run(t: Tables) -> DataFrame:
+    rules = A.load_rules(t.fx("rules"), t.fx("products")).where("rule_type = 'query' AND coalesce(correct_value, '') <> ''")
+    k = F.col("doc_id")
+    answers = t.documents.where("doc_id % 5 < 3").select(k.alias("url_id"), (6 + 3 * (k % 2)).cast("int").alias("rule_id"), F.when(k % 5 == 0, "mismatch").when(k % 5 == 1, "matches").otherwise("unrelated").alias("answer"))
+    return K.query_rules(t.fx("claims"), rules, answers)
+
+
+@query("query_rules", f"SELECT rule_id, slug, url_id, CASE answer WHEN 'mismatch' THEN 'issue' WHEN 'matches' THEN 'positive' ELSE 'unclear' END AS verdict, CASE WHEN answer <> 'unclear' THEN correct_value END AS matched_value FROM {_QRUN} WHERE answer <> 'unrelated'")
+def query_rules(t: Tables) -> DataFrame:
+    return _query_run(t).select("rule_id", "slug", "url_id", "verdict", "matched_value")
+
+
+@query("query_rule_findings", f"SELECT url_id, 'rule:' || slug AS title, category, severity, correct_value AS expected FROM {_QRUN} WHERE answer = 'mismatch'")
+def query_rule_findings(t: Tables) -> DataFrame:
+    return _query_run(t).where("verdict = 'issue'").select("url_id", F.concat(F.lit("rule:"), "slug").alias("title"), "category", "severity", F.col("matched_value").alias("expected"))
+
+
 # F5-F8: state of verdicts by detectors
 @query("merge_matches", f"SELECT rule_id, url_id, verdict FROM (SELECT rule_id, url_id, verdict, 0 AS w FROM {o('matches')} UNION ALL SELECT rule_id, url_id, verdict, 1 FROM ({_SCAN})) QUALIFY row_number() OVER (PARTITION BY rule_id, url_id ORDER BY w DESC) = 1")
 def merge_matches(t: Tables) -> DataFrame:
     old = t.fx("matches").select("rule_id", "url_id", "verdict", F.lit(0).alias("w"))
-    new = K.stale_scan(t.fx("claims"), RULES).select("rule_id", "url_id", "verdict", F.lit(1).alias("w"))
+    new = K.stale_scan(t.fx("claims"), stale_rules(t)).select("rule_id", "url_id", "verdict", F.lit(1).alias("w"))
     return M.latest(old.unionByName(new), ["rule_id", "url_id"], ["w"]).select("rule_id", "url_id", "verdict")

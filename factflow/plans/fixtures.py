@@ -48,7 +48,8 @@ SELECT doc_id AS url_id, CAST(doc_id % 3 + 1 AS INT) AS source_id, CASE WHEN doc
   || CASE WHEN doc_id % 6 = 3 THEN ' The platform covers ' || (100 + doc_id % 5) || ' regulations worldwide.' ELSE '' END
   || CASE WHEN doc_id % 7 = 4 THEN ' A list names ' || (90 + doc_id % 3) || ' regulations in total.' ELSE '' END
   || CASE WHEN doc_id % 8 = 5 THEN ' Sold in ' || (50 + doc_id % 2) || ' countries and later in ' || (52 + doc_id % 2) || ' countries.' ELSE '' END
-  || CASE WHEN doc_id % 9 = 6 THEN ' The platform has a fixed set of regulations only.' ELSE '' END
+  || CASE WHEN doc_id % 9 = 6 THEN ' ' || CASE doc_id % 2 WHEN 0 THEN 'Atlas' ELSE 'Somebody' END || CASE doc_id % 5 WHEN 0 THEN ' has a fixed set of regulations only.' WHEN 1 THEN ' keeps a hard-coded list of regulations.' WHEN 2 THEN ' has a predefined regulation set.'
+       WHEN 3 THEN ' says that users cannot add any regulation.' ELSE ' says that no new regulations can be added to a regulation list.' END ELSE '' END
   || CASE WHEN doc_id % 10 = 7 THEN ' Prices start at $' || (10 + doc_id % 90) || ' and save ' || (5 + doc_id % 40) || '% for 2 million users.' ELSE '' END AS body_text
 FROM {d.t('documents')}"""
 
@@ -56,20 +57,21 @@ FROM {d.t('documents')}"""
 def rules(d) -> str:
     """Rules as stored: pattern lists are JSON text, one of them broken."""
     rows = [
-        (1, "of_the", "stale", "other_mismatch", None, '["of the"]', '["and the"]', '["in of"]', None, 60, "high", 1, 1, None),
-        (2, "licence", "stale", "other_mismatch", "MIT", '["apache license","general public license"]', '["mit license"]', "[]", None, None, None, 0, 1, 1),
-        (3, "de_la", "stale", "other_mismatch", None, '["de la"]', "not json", '["de las"]', '["en"]', 80, "low", 0, 1, 2),
-        (4, "languages", "inventory", "language_count", "29", "[]", "[]", "[]", None, None, "high", 0, 1, None),
-        (5, "countries", "inventory", None, "51", "[]", "[]", "[]", None, None, None, 0, 1, 3),
-        (6, "rights", "query", "positioning", "All rights reserved", '["rights reserved"]', "[]", "[]", None, None, "medium", 0, 1, 1),
-        (7, "off", "stale", "other_mismatch", None, '["the"]', "[]", "[]", None, None, "medium", 0, 0, 2),
-        (8, "version", "query", None, None, "[]", "[]", "[]", None, 200, "critical", 1, 1, None),
+        (1, "of_the", "stale", "other_mismatch", None, '["of the"]', '["and the"]', '["in of"]', None, 60, "high", 1, 1, None, None),
+        (2, "licence", "stale", "other_mismatch", "MIT", '["apache license","general public license"]', '["mit license"]', "[]", None, None, None, 0, 1, 1, None),
+        (3, "de_la", "stale", "other_mismatch", None, '["de la"]', "not json", '["de las"]', '["en"]', 80, "low", 0, 1, 2, None),
+        (4, "languages", "inventory", "language_count", "29", "[]", "[]", "[]", None, None, "high", 0, 1, None, None),
+        (5, "countries", "inventory", None, "51", "[]", "[]", "[]", None, None, None, 0, 1, 3, None),
+        (6, "rights", "query", "positioning", "All rights reserved", '["rights reserved"]', "[]", "[]", None, None, "medium", 0, 1, 1, '["rights reserved","of the"]'),
+        (7, "off", "stale", "other_mismatch", None, '["the"]', "[]", "[]", None, None, "medium", 0, 0, 2, None),
+        (8, "version", "query", None, None, "[]", "[]", "[]", None, 200, "critical", 1, 1, None, '["version"]'),
+        (9, "license", "query", None, "MIT", "[]", "[]", "[]", None, None, None, 0, 1, 2, "broken"),
     ]
 
     def lit(x) -> str:
         return "NULL" if x is None else str(x) if isinstance(x, int) else f"'{x}'"
 
-    names = "rule_id slug rule_type category correct_value stale_patterns current_patterns allowed_patterns required_context context_window severity english_only enabled product_id".split()
+    names = "rule_id slug rule_type category correct_value stale_patterns current_patterns allowed_patterns required_context context_window severity english_only enabled product_id search_terms".split()
     selects = [", ".join(f"CAST({lit(v)} AS {'INT' if n in ('rule_id', 'context_window', 'english_only', 'enabled', 'product_id') else 'STRING'}) AS {n}" for n, v in zip(names, r, strict=True)) for r in rows]
     return " UNION ALL ".join(f"SELECT {s}" for s in selects)
 
@@ -133,7 +135,8 @@ SELECT page_id AS finding_id, CAST(page_id % 3 + 1 AS INT) AS source_id, CASE pa
   url AS external_url, CASE WHEN page_id % 10 = 9 THEN NULL ELSE regexp_extract(url, '://([^/?#]+)', 1) END AS domain, 'snippet ' || page_id AS snippet,
   CASE page_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'mismatch' WHEN 2 THEN 'matches' ELSE 'unclear' END AS verdict, 'expected' AS expected,
   CASE page_id % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'fixed' ELSE 'open' END AS status, CASE page_id % 2 WHEN 0 THEN 'high' ELSE 'low' END AS severity,
-  CASE WHEN page_id % 12 = 0 THEN '2024-10-01' END AS deleted_at FROM {d.t('pages')}"""
+  CASE WHEN page_id % 12 = 0 THEN '2024-10-01' END AS deleted_at, CASE page_id % 5 WHEN 0 THEN 'stale_fact' WHEN 1 THEN 'misquote' END AS finding_type,
+  CASE WHEN page_id % 6 <> 1 THEN 'reason, "' || page_id || '"' END AS reason, '2024-0' || (1 + page_id % 9) || '-11T00:00:00+00:00' AS created_at FROM {d.t('pages')}"""
 
 
 def faqs(d) -> str:
@@ -152,12 +155,25 @@ FROM (SELECT user_id, CAST(extract(day FROM ts) AS INT) AS day, count(*) AS n, c
 
 
 def responses(d) -> str:
-    """One review response per document: quotes verbatim or altered, some fenced, confidences low or missing."""
-    quote = f"trim({d.rx_all(d.rx_all('substr(text, 1, 40)', '[^A-Za-z0-9 ,.]', ' '), '[ ]+', ' ')})"
+    """Review responses to each document, of the first and second review and about features: quotes verbatim or altered, some fenced, confidences low or missing."""
+    plain = d.rx_all(d.rx_all("text", "[^A-Za-z0-9 ,.]", " "), "[ ]+", " ")
+    quote = f"trim(substr(trim({plain}), {d.div('length(text)', 3)} + 1, 40 + doc_id % 200))"
+    said = f"CASE WHEN doc_id % 4 = 3 THEN 'never said ' ELSE '' END || CASE WHEN doc_id % 10 = 1 THEN {quote} || ' free trial' ELSE {quote} END"
+    level = "CASE doc_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'medium' END"
     return f"""
-SELECT doc_id AS url_id, CASE WHEN doc_id % 3 = 0 THEN '```json' || chr(10) || j || chr(10) || '```' WHEN doc_id % 3 = 1 THEN 'Here: ' || j || ' done' ELSE j END AS raw, j AS plain, body, quote FROM (
-SELECT doc_id, trim({d.rx_all(d.rx_all('text', '[^A-Za-z0-9 ,.]', ' '), '[ ]+', ' ')}) AS body, {quote} AS quote,
-  '{{"items":[{{"quote":"' || CASE WHEN doc_id % 4 = 3 THEN 'never said ' ELSE '' END || {quote} || '","is_real_issue":' || CASE WHEN doc_id % 6 = 5 THEN 'false' ELSE 'true' END
-  || ',"category":"' || CASE doc_id % 5 WHEN 0 THEN 'language_count' WHEN 1 THEN 'free_claim' WHEN 2 THEN 'nonsense' ELSE 'positioning' END
-  || '","severity":"' || CASE doc_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'medium' END || '"' || CASE WHEN doc_id % 7 = 0 THEN '' ELSE ',"confidence":' || CAST(CAST((doc_id % 100) / 100.0 AS DECIMAL(4, 2)) AS STRING) END || '}}]}}' AS j
+SELECT doc_id AS url_id, CASE WHEN doc_id % 3 = 0 THEN '```json' || chr(10) || j || chr(10) || '```' WHEN doc_id % 3 = 1 THEN 'Here: ' || j || ' done' ELSE j END AS raw, j AS plain, first, features, body FROM (
+SELECT doc_id, trim({plain}) || CASE WHEN doc_id % 10 = 1 THEN ' ' || {quote} || ' free trial' ELSE '' END AS body,
+  '{{"claims":[{{"quote":"' || CASE WHEN doc_id % 8 = 6 THEN '' ELSE 'x' END || '"' || CASE WHEN doc_id % 7 = 0 THEN '' ELSE ',"confidence":' || CAST(CAST((doc_id % 100) / 100.0 AS DECIMAL(4, 2)) AS STRING) END || '}}]}}' AS first,
+  '{{"claims":[{{"quote":"' || {said} || '"' || CASE doc_id % 6 WHEN 5 THEN '' WHEN 4 THEN ',"problem":"not_available"' ELSE ',"problem":"overstated"' END || ',"severity":"' || {level} || '","feature_id":"f' || (doc_id % 400) || '"}}]}}' AS features,
+  '{{"items":[{{"quote":"' || {said} || '","is_real_issue":' || CASE WHEN doc_id % 6 = 5 THEN 'false' ELSE 'true' END
+  || ',"category":"' || CASE doc_id % 5 WHEN 0 THEN 'language_count' WHEN 1 THEN 'free_claim' WHEN 2 THEN 'nonsense' ELSE 'positioning' END || '"' || CASE WHEN doc_id % 11 = 4 THEN '' ELSE ',"severity":"' || {level} || '"' END || '}}]}}' AS j
 FROM {d.t('documents')}) r"""
+
+
+def faq_responses(d) -> str:
+    """A review response to each question and answer; the quote is the answer's inside, altered for a quarter."""
+    quote = f"trim({d.rx_all('substr(answer, 3, 60)', '[^A-Za-z0-9 ,.]', '')})"
+    return f"""
+SELECT url_id, '{{"items":[{{"quote":"' || CASE WHEN faq_id % 4 = 3 THEN 'never ' ELSE '' END || {quote} || '"' || CASE faq_id % 3 WHEN 0 THEN ',"severity":"low"' WHEN 1 THEN ',"severity":"high"' ELSE '' END
+  || CASE WHEN faq_id % 5 = 0 THEN ',"question":""' WHEN faq_id % 5 = 1 THEN '' ELSE ',"question":"' || trim({d.rx_all('substr(question, 1, 50)', '[^A-Za-z0-9 ,.]', '')}) || '"' END || CASE WHEN faq_id % 2 = 0 THEN ',"underlying_category":"free_claim"' ELSE '' END || '}}]}}' AS raw
+FROM ({faqs(d)}) f"""

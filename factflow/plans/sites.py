@@ -11,10 +11,10 @@ from factflow.operators import graph as N
 from factflow.operators import pages as B
 from factflow.operators import snapshots as S
 from factflow.operators import state as M
-from factflow.plans.detection import _SCAN, RULES
-from factflow.plans.registry import Tables, o, query
+from factflow.plans.detection import _FOUND, _SCAN, claim_inventory, claims_found, stale_rules
+from factflow.plans.registry import ORACLES, Tables, o, query
 from factflow.plans.scalars import _MARKED, evidence_sql
-from factflow.plans.tables import _JOINED, _LATEST, _RANK, _VALUES, findings, findings_by_url, findings_union, recovered
+from factflow.plans.tables import _JOINED, _LATEST, _VALUES, findings, findings_by_url, recovered
 from factflow.sources import landed as A
 from factflow.sources.folders import scratch
 from factflow.streaming import sync as P
@@ -330,9 +330,23 @@ def features_load(t: Tables) -> DataFrame:
 
 
 # B: extraction
-@query("page_fields", "SELECT page_id, replace(replace(replace(h1, '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS h1 FROM (SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '\\s+', ' ', 'g')) AS h1 FROM pages)")
+_UNESC = "replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+_ONE = _UNESC.format("trim(regexp_replace(regexp_extract(html, '(?is)<{0}[^>]*>(.*?)</{0}>', 1), '\\s+', ' ', 'g'))")
+
+
+def _headed(t: Tables) -> DataFrame:
+    """The given pages with the head elements that they lack."""
+    k = F.col("page_id").cast("string")
+    head = F.concat(F.lit('<head><meta name="Description" content="  About\n'), k, F.lit('  "><META property="og:x" content="no"><link rel="stylesheet" href="s"><link rel="Canonical" href="https://c/'), k, F.lit('">'))
+    head = F.concat(head, F.when(F.col("page_id") % 3 == 0, '<meta name="robots" content="noindex"><meta name="robots" content="index">').otherwise(""))
+    body = F.replace("html", F.lit("</article>"), F.concat(F.lit("<h2>Part <b>"), k, F.lit("</b></h2><h2> </h2><h1>More</h1></article>")))
+    return t.pages.select("page_id", F.replace(body, F.lit("<head>"), head).alias("html"))
+
+
+@query("page_fields", f"SELECT page_id, {_ONE.format('title')} AS title, {_ONE.format('h1')} || CASE WHEN contains(html, '</article>') THEN '|More' ELSE '' END AS h1, CASE WHEN contains(html, '</article>') THEN 'Part ' || page_id ELSE '' END AS h2, 'About ' || page_id AS meta_description, 'https://c/' || page_id AS canonical, CASE WHEN page_id % 3 = 0 THEN 'noindex' END AS meta_robots FROM pages")
 def page_fields(t: Tables) -> DataFrame:
-    return B.extract(t.pages).select("page_id", F.coalesce(F.array_join("h1s", "|"), F.lit("")).alias("h1"))
+    found = B.extract(_headed(t))
+    return found.select("page_id", "title", F.array_join("h1s", "|").alias("h1"), F.array_join("h2s", "|").alias("h2"), "meta_description", "canonical", "meta_robots")
 
 
 @query("page_body")
@@ -340,6 +354,25 @@ def page_body(t: Tables) -> DataFrame:
     return B.extract(t.pages).select("page_id", "title", "body", "author", "canonical", "meta_robots", "meta_description")
 
 
+@query("page_main_text", "SELECT doc_id AS page_id, trim(regexp_replace(coalesce(text, ''), '[\\s\\x0B\\x1c-\\x1f\\x{85}\\p{Z}]+', ' ', 'g')) AS body FROM documents")
+def page_main_text(t: Tables) -> DataFrame:
+    """Each document as the main text of a page, in one of the five places where it is looked for, between parts that are none."""
+    k = F.col("doc_id") % 5
+    text = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    cut = F.floor(F.char_length(text) / 2).cast("int")
+    inner = F.when(k == 0, text).otherwise(F.concat(text, F.lit("<script>no()</script><nav>no</nav><svg><text>no</text></svg>")))
+    junk = F.lit("<nav><ul><li>no</li></ul></nav><header>no</header><style>no</style><form><input value='no'>no</form>")
+    place = (
+        F.when(k == 0, F.concat(F.lit("<article>other</article><main>"), inner, F.lit("</main><main>second</main>")))
+        .when(k == 1, F.concat(F.lit("<div>other</div><article>"), inner, F.lit("</article>")))
+        .when(k == 2, F.concat(F.lit("<div></div><section>"), inner, F.lit("</section>")))
+        .when(k == 3, F.concat(F.lit("<div><aside>no</aside><div>"), inner, F.lit("</div></div>")))
+        .otherwise(F.concat(F.lit("<p>"), inner, F.lit("</p>")))
+    )
+    page = F.concat(F.lit("<html><head><title>t</title></head><body>"), junk, place, F.lit("<footer>no</footer><iframe>no</iframe><noscript>no</noscript></body></html>"))
+    return B.extract(t.documents.select(F.col("doc_id").alias("page_id"), page.alias("html"))).select("page_id", "body")
+
+
 @query("body_hash_wordcount", "SELECT doc_id, sha256(b) AS content_hash, CASE WHEN b = '' THEN 0 ELSE len(string_split(b, ' ')) END::INT AS word_count FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[\\s\\x0B\\x1c-\\x1f\\x{85}\\p{Z}]+', ' ', 'g')) AS b FROM documents)")
 def body_hash_wordcount(t: Tables) -> DataFrame:
     b = X.normalize(F.col("text"))
@@ -347,34 +380,43 @@ def body_hash_wordcount(t: Tables) -> DataFrame:
 
 
 def _faq_pages(t: Tables, kind: str) -> DataFrame:
+    """Questions and answers in pages: as data with answers of every form, or as visible lists; each twice, so that repeats are met."""
     f = t.fx("faqs").withColumn("question", X.normalize(F.col("question"))).withColumn("answer", X.normalize(F.col("answer")))
     if kind == "jsonld":
-        one = F.struct(F.lit("Question").alias("@type"), F.col("question").alias("name"), F.struct(F.col("answer").alias("text")).alias("acceptedAnswer"))
-        rows = f.groupBy("url_id").agg(F.sort_array(F.collect_list(F.struct("faq_id", one.alias("q")))).alias("qs"))
-        html = F.concat(F.lit('<script type="application/ld+json">{"mainEntity":'), F.to_json(F.transform("qs", lambda x: x["q"])), F.lit("}</script>"))
+        text = lambda c: F.to_json(F.struct(F.col(c).alias("x")))
+        value = lambda c: F.regexp_extract(text(c), r'(?s)^\{"x":(.*)\}$', 1)
+        thing = F.concat(F.lit('{"@type":"Answer","text":'), value("answer"), F.lit("}"))
+        k = F.col("faq_id") % 3
+        answer = F.when(k == 0, F.concat(F.lit('"acceptedAnswer":'), thing)).when(k == 1, F.concat(F.lit('"acceptedAnswer":'), value("answer"))).otherwise(F.concat(F.lit('"suggestedAnswer":['), thing, F.lit(',{"text":"second"}]')))
+        name = F.concat(F.when(k == 2, '"question":').otherwise('"name":'), value("question"))
+        one = F.concat(F.when(k == 1, '{"@type":["Thing","Question"],').otherwise('{"@type":"Question",'), name, F.lit(","), answer, F.lit("}"))
+        rows = f.groupBy("url_id").agg(F.sort_array(F.collect_list(F.struct("faq_id", one.alias("h")))).alias("qs"))
+        listed = F.array_join(F.transform("qs", lambda x: x["h"]), ",")
+        html = F.concat(F.lit('<script type="application/ld+json">{"@graph":[{"hasPart":{"mainEntity":['), F.replace(listed, F.lit("</"), F.lit("<\\/")), F.lit("]}}]}</script>"))
     else:
         esc = {c: F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")) for c in ("question", "answer")}
         one = F.when(F.col("faq_id") % 4 == 0, F.concat(F.lit("<dl><dt>"), esc["question"], F.lit("</dt><dd>"), esc["answer"], F.lit("</dd></dl>"))).otherwise(F.concat(F.lit("<details><summary>"), esc["question"], F.lit("</summary><p>"), esc["answer"], F.lit("</p></details>")))
         rows = f.groupBy("url_id").agg(F.sort_array(F.collect_list(F.struct("faq_id", one.alias("h")))).alias("qs"))
         html = F.array_join(F.transform("qs", lambda x: x["h"]), "")
-    return rows.select(F.col("url_id").alias("page_id"), F.concat(F.lit("<html><body>"), html, html, F.lit("</body></html>")).alias("html"))
+    return rows.select(F.col("url_id").alias("page_id"), F.concat(F.lit("<html><body><script type='application/ld+json'>{broken</script>"), html, html, F.lit("</body></html>")).alias("html"))
 
 
 _NQ = "trim(regexp_replace({0}, '[\\s\\x0B\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+', ' ', 'g'))"
-_FAQ = f"SELECT url_id AS page_id, min(faq_id) % 1 AS zero, lower({_NQ.format('question')}) AS question FROM {_F} WHERE {_NQ.format('question')} <> '' AND {_NQ.format('answer')} <> '' GROUP BY 1, 3"
+_FAQ = f"SELECT url_id AS page_id, arg_min(q, %s) AS question, arg_min(a, %s) AS answer FROM (SELECT url_id, faq_id, {_NQ.format('question')} AS q, {_NQ.format('answer')} AS a FROM {_F}) WHERE q <> '' AND a <> '' GROUP BY url_id, lower(q)"
 
 
 def _read_faqs(t: Tables, kind: str) -> DataFrame:
     got = B.extract(_faq_pages(t, kind)).select("page_id", F.explode("faqs").alias("f")).where(F.col("f.source") == kind)
-    return got.select("page_id", F.lit(0).cast("long").alias("zero"), F.lower("f.question").alias("question"))
+    return got.select("page_id", "f.question", "f.answer")
 
 
-@query("faq_jsonld", _FAQ)
+@query("faq_jsonld", _FAQ.replace("%s", "faq_id"))
 def faq_jsonld(t: Tables) -> DataFrame:
     return _read_faqs(t, "jsonld")
 
 
-@query("faq_visible", _FAQ)
+# All details come before all lists.
+@query("faq_visible", _FAQ.replace("%s", "(faq_id % 4 = 0, faq_id)"))
 def faq_visible(t: Tables) -> DataFrame:
     return _read_faqs(t, "visible")
 
@@ -385,11 +427,31 @@ def faq_dedupe(t: Tables) -> DataFrame:
     return f.groupBy("url_id", F.lower("question").alias("q"), "source").agg(F.min("faq_id").alias("faq_id")).select("url_id", "faq_id")
 
 
-@query("author_extract")
+@query("author_extract", """SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'Ada ' || page_id || '; Bob' WHEN 1 THEN 'Eve ' || page_id WHEN 2 THEN 'Max ' || page_id WHEN 3 THEN 'Jane Doe'
+WHEN 4 THEN 'Lin ' || page_id WHEN 5 THEN 'Zoe' WHEN 6 THEN 'Kim' END AS author FROM pages WHERE page_id % 9 <> 8""")
 def author_extract(t: Tables) -> DataFrame:
-    html = F.concat(F.lit('<html><head><meta name="author" content="By Ada '), "page_id", F.lit(' | Staff"></head>'), "html", F.lit("</html>"))
-    got = B.extract(t.pages.select("page_id", html.alias("html")))
-    return got.select("page_id", X.clean_author(F.col("author")).alias("author"))
+    """Authors of blog and news pages, named in every way that is read; a way whose name is no name falls through to the next."""
+    n = F.col("page_id").cast("string")
+    ld = lambda *x: F.concat(F.lit('<script type="application/ld+json">'), *[F.lit(y) if isinstance(y, str) else y for y in x], F.lit("</script>"))
+    k = F.col("page_id") % 8
+    head = (
+        F.when(k == 0, F.concat(ld('{"@type":"Person","author":"Nobody"}'), ld('{"@graph":[{"@type":["X","NewsArticle"],"author":[{"name":"By Ada ', n, ', Editor"},"Bob",{"name":"ADA ', n, '"}]}]}'), F.lit('<meta name="author" content="Other">')))
+        .when(k == 1, F.concat(ld('{"@type":"Report","author":{"name":" "}}'), F.lit('<meta name="author" content="Late"><meta property="article:author" content="https://x/y"><meta property="og:article:author" content="Written by: Eve '), n, F.lit(' | Staff">')))
+        .when(k == 2, F.concat(F.lit('<meta property="article:author" content="/team/max"><meta name="author" content="Max '), n, F.lit(' on May 5">')))
+        .otherwise("")
+    )
+    long = F.lit("x" * 81)
+    body = (
+        F.when(k == 3, F.concat(F.lit('<p class="meta-byline">'), long, F.lit("</p><span rel='author'>By Jane Doe – Editor</span><p class='author'>Second</p>")))
+        .when(k == 4, F.concat(F.lit("<b itemprop='author'> posted by Lin "), n, F.lit("</b>")))
+        .when(k == 5, "<p class='lead writer'>Zoe</p>")
+        .when(k == 6, "<article><h1>x</h1> <p>Written by: Kim, today</p></article>")
+        .otherwise("<p>By the way</p>")
+    )
+    html = F.concat(F.lit("<html><head>"), head, F.lit("</head><body>"), body, F.lit("</body></html>"))
+    url = F.concat(F.lit("https://a.example.com/"), F.when(F.col("page_id") % 9 == 8, "about").when(F.col("page_id") % 2 == 0, "blog").otherwise("news"), F.lit("/p"), n)
+    dated = t.pages.select("page_id", html.alias("html"), U.content_type(F.split(url, "/"), "blog", "news").alias("kind")).where("kind IN ('blog', 'news')")
+    return B.extract(dated).select("page_id", "author")
 
 
 _ABS = "regexp_extract_all(html, 'href=\"(https?://[^\"#]+)', 1)"
@@ -407,48 +469,123 @@ def _round_trip(df: DataFrame, kind: str, **options) -> DataFrame:
     return df.sparkSession.read.options(**options).schema(df.schema).format(kind).load(path)
 
 
-_CSV = {"header": "true", "escape": '"', "nullValue": "", "emptyValue": "", "multiLine": "true"}
+_CSV = {"header": "true", "escape": '"', "nullValue": "", "emptyValue": "", "multiLine": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
+_COLUMNS = ["url", "locale", "content_type", "author", "product", "category", "severity", "status", "fact_rule", "evidence", "matched_value", "expected", "detection_method", "detected_at"]
+_EXT = ["domain", "external_url", "finding_type", "severity", "status", "evidence", "expected", "reason", "found_at"]
+_EXPORT = f"SELECT url, locale, content_type, author, product_name AS product, category, severity, status, title AS fact_rule, evidence, matched_value, expected, detection_method, detected_at FROM {_JOINED} WHERE deleted_at IS NULL"
 
 
-@query("export_findings", f"SELECT category, severity, url, title, coalesce(evidence, '') AS evidence, coalesce(product_name, '') AS product_name FROM {_JOINED} WHERE status = 'open' AND deleted_at IS NULL")
+def _filled(sql: str, columns: list[str]) -> str:
+    return "SELECT " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '') AS {c}" for c in columns) + f" FROM ({sql})"
+
+
+def _empty_for_null(df: DataFrame) -> DataFrame:
+    return df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns])
+
+
+def _exported(t: Tables) -> DataFrame:
+    """Findings that are not deleted, with the columns of every findings file."""
+    return findings(t).where("deleted_at IS NULL").withColumnsRenamed({"product_name": "product", "title": "fact_rule"}).select(_COLUMNS)
+
+
+@query("export_findings", _filled(_EXPORT + " AND status = 'open'", _COLUMNS))
 def export_findings(t: Tables) -> DataFrame:
-    rows = findings(t).where("status = 'open' AND deleted_at IS NULL").select("severity", "url", "title", "evidence", "product_name", "category")
+    """Open findings as CSV, one folder a category, empty categories having none."""
+    rows = _exported(t).where("status = 'open'")
     path = scratch(t.spark, "findings_csv")
     rows.write.partitionBy("category").options(**_CSV).csv(path)
-    back = t.spark.read.options(**_CSV).schema(rows.schema).csv(path)
-    return back.select("category", "severity", "url", "title", F.coalesce("evidence", F.lit("")).alias("evidence"), F.coalesce("product_name", F.lit("")).alias("product_name"))
+    return _empty_for_null(t.spark.read.options(**_CSV).schema(rows.schema).csv(path).select(_COLUMNS))
+
+
+@query("export_findings_all", _filled(_EXPORT, _COLUMNS))
+def export_findings_all(t: Tables) -> DataFrame:
+    return _empty_for_null(_round_trip(_exported(t), "csv", **_CSV))
 
 
-@query("export_external", f"SELECT external_url, coalesce(domain, '') AS domain, snippet, coalesce(verdict, '') AS verdict, status, severity FROM {_X} WHERE status = 'open'")
+_EXTERNAL = f"SELECT domain, external_url, finding_type, severity, status, snippet AS evidence, expected, reason, created_at AS found_at FROM {_X} WHERE kind = 'factcheck' AND deleted_at IS NULL AND status = 'open'"
+
+
+@query("export_external", _filled(_EXTERNAL, _EXT))
 def export_external(t: Tables) -> DataFrame:
-    rows = t.fx("external").where("status = 'open'").select("external_url", "domain", "snippet", "verdict", "status", "severity")
-    back = _round_trip(rows, "csv", **_CSV)
-    return back.select("external_url", F.coalesce("domain", F.lit("")).alias("domain"), "snippet", F.coalesce("verdict", F.lit("")).alias("verdict"), "status", "severity")
+    rows = t.fx("external").where("kind = 'factcheck' AND deleted_at IS NULL AND status = 'open'").withColumnsRenamed({"snippet": "evidence", "created_at": "found_at"}).select(_EXT)
+    return _empty_for_null(_round_trip(rows, "csv", **_CSV))
+
+
+@query("export_by_url", f"SELECT * FROM ({ORACLES['findings_by_url']})")
+def export_by_url(t: Tables) -> DataFrame:
+    rows = _round_trip(findings_by_url(t), "csv", **_CSV)
+    texts = [c for c in rows.columns if c not in ("issue_count", "locale", "author")]
+    return rows.withColumns({c: F.coalesce(c, F.lit("")) for c in texts})
+
+
+_SCOPED = ["scope", *_COLUMNS]
+
+
+@query("export_filtered", _filled(f"SELECT 'internal' AS scope, url, locale, content_type, author, product_name AS product, category, severity, status, title AS fact_rule, evidence, matched_value, expected, detection_method, last_checked_at AS detected_at FROM {_JOINED} WHERE status = 'open' AND deleted_at IS NULL UNION ALL SELECT 'external', external_url, NULL, NULL, NULL, NULL, finding_type, severity, status, NULL, snippet, NULL, expected, NULL, NULL FROM {_X} WHERE status = 'open' AND deleted_at IS NULL", _SCOPED))
+def export_filtered(t: Tables) -> DataFrame:
+    """Findings of both kinds in one file; the date column of this file is that of the last check."""
+    a = findings(t).where("status = 'open' AND deleted_at IS NULL").drop("detected_at").withColumnsRenamed({"product_name": "product", "title": "fact_rule", "last_checked_at": "detected_at"})
+    b = t.fx("external").where("status = 'open' AND deleted_at IS NULL").select(F.lit("external").alias("scope"), F.col("external_url").alias("url"), F.col("finding_type").alias("category"), "severity", "status", F.col("snippet").alias("evidence"), "expected")
+    rows = a.select(F.lit("internal").alias("scope"), *_COLUMNS).unionByName(b, allowMissingColumns=True)
+    return _empty_for_null(_round_trip(rows, "csv", **_CSV))
 
 
-@query("report_payload", f"SELECT category, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE status = 'open') AS BIGINT) AS open FROM {_I} GROUP BY category")
+@query("export_claims", ORACLES["claim_inventory"])
+def export_claims(t: Tables) -> DataFrame:
+    return _round_trip(claim_inventory(t), "csv", **_CSV)
+
+
+_JSON = "CAST(to_json(x) AS VARCHAR)"
+
+
+@query("report_payload", f"""SELECT 'summary' AS section, source_id, {_JSON} AS payload FROM (SELECT source_id, {{{{'category': category, 'n': count(*), 'open': count(*) FILTER (WHERE status = 'open')}}}} AS x FROM {_I} GROUP BY source_id, category)
+UNION ALL SELECT 'issues', source_id, {_JSON} FROM (SELECT source_id, {{{{'url': url, 'category': category, 'severity': severity, 'status': status, 'title': title, 'evidence': evidence}}}} AS x FROM {_JOINED} WHERE deleted_at IS NULL)
+UNION ALL SELECT 'inventory', source_id, {_JSON} FROM (SELECT source_id, {{{{'kind': kind, 'value': value, 'frequency': count(*)}}}} AS x FROM ({_FOUND}) GROUP BY source_id, kind, value)
+UNION ALL SELECT 'external', source_id, {_JSON} FROM (SELECT source_id, {{{{'kind': kind, 'external_url': external_url, 'domain': domain, 'snippet': snippet, 'verdict': verdict, 'reason': reason, 'expected': expected}}}} AS x FROM {_X})""".replace("{{", "{").replace("}}", "}"))
 def report_payload(t: Tables) -> DataFrame:
-    summary = t.fx("issues").groupBy("category").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "open").alias("open"))
-    return _round_trip(summary, "json")
+    """What a report shows, as JSON rows of four sections for each source, written and read again."""
+    i, claims = t.fx("issues"), claims_found(t).join(t.fx("claims").select("url_id", "source_id"), "url_id")
+    parts = {
+        "summary": i.groupBy("source_id", "category").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "open").alias("open")),
+        "issues": findings(t).where("deleted_at IS NULL").select("source_id", "url", "category", "severity", "status", "title", "evidence"),
+        "inventory": claims.groupBy("source_id", "kind", "value").agg(F.count("*").alias("frequency")),
+        "external": t.fx("external").select("source_id", "kind", "external_url", "domain", "snippet", "verdict", "reason", "expected"),
+    }
+    out = None
+    for name, rows in parts.items():
+        payload = F.to_json(F.struct(*[c for c in rows.columns if c != "source_id"]), {"ignoreNullFields": "false"})
+        one = rows.select(F.lit(name).alias("section"), "source_id", payload.alias("payload"))
+        out = one if out is None else out.unionByName(one)
+    return _round_trip(out, "json")
 
 
 # P: the stream
 def _landed(t: Tables) -> str:
     path = scratch(t.spark, "landing")
     pages = t.fx("claims").select("url_id", "locale", "body_text", F.lit(1).cast("long").alias("version"))
-    old = pages.withColumn("body_text", F.lit("old text of the page")).withColumn("version", F.lit(0).cast("long"))
+    old = pages.withColumn("body_text", F.when(F.col("url_id") % 6 != 0, "old text of the page")).withColumn("version", F.lit(0).cast("long"))
     old.unionByName(pages).repartition(4).write.parquet(path)
     return path
 
 
 @query("sync_stream", f"SELECT rule_id, slug, url_id, verdict FROM ({_SCAN})")
 def sync_stream(t: Tables) -> DataFrame:
-    return P.sync(t.spark, _landed(t), scratch(t.spark, "sync"), RULES).select("rule_id", "slug", "url_id", "verdict")
+    return P.sync(t.spark, _landed(t), scratch(t.spark, "sync"), stale_rules(t)).select("rule_id", "slug", "url_id", "verdict")
 
 
-@query("sync_metrics", "SELECT CAST(2 * count(*) AS BIGINT) AS pages, CAST(0 AS BIGINT) AS errors FROM documents")
+@query("sync_findings", f"SELECT url_id, slug || ':stale' AS title, category, severity, lower(matched) AS matched_value, 'open' AS status FROM ({_SCAN}) h WHERE verdict = 'issue'")
+def sync_findings(t: Tables) -> DataFrame:
+    """The findings table after a sync into an empty one: those of the newest version of each page."""
+    state = scratch(t.spark, "sync")
+    P.sync(t.spark, _landed(t), state, stale_rules(t))
+    return P.findings(t.spark, state).select("url_id", "title", "category", "severity", F.lower("matched_value").alias("matched_value"), "status")
+
+
+@query("sync_metrics", f"SELECT (SELECT CAST(2 * count(*) AS BIGINT) FROM documents) AS pages, (SELECT count(*) FROM documents WHERE doc_id % 6 = 0) AS errors, count(*) FILTER (WHERE verdict = 'issue') AS issue, count(*) FILTER (WHERE verdict = 'positive') AS positive FROM ({_SCAN})")
 def sync_metrics(t: Tables) -> DataFrame:
+    """Pages and errors of all batches, and the verdicts that stand after the last."""
     state = scratch(t.spark, "sync")
-    P.sync(t.spark, _landed(t), state, RULES[:1])
+    P.sync(t.spark, _landed(t), state, stale_rules(t))
     return P.metrics(t.spark, state)
-

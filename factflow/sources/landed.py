@@ -111,7 +111,7 @@ def robots_sitemaps(texts: DataFrame, column: str) -> DataFrame:
 
 def load_rules(rules: DataFrame, products: DataFrame, product_id: int | None = None, enabled_only: bool = True) -> DataFrame:
     """Rules with parsed patterns, defaults and product names; those of one product include the company-wide ones."""
-    lists = ("stale_patterns", "current_patterns", "allowed_patterns", "required_context")
+    lists = [c for c in ("stale_patterns", "current_patterns", "allowed_patterns", "required_context", "search_terms") if c in rules.columns]
     out = rules.where("enabled = 1") if enabled_only else rules
     if product_id is not None:
         out = out.where(F.col("product_id").isNull() | (F.col("product_id") == product_id))
