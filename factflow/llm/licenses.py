@@ -2,12 +2,14 @@
 
 Templates are word sequences with mandatory key phrases. Document frequencies of all
 template words are counted over the whole corpus; each template is then indexed under the
-word of highest IDF of its key phrases, with its position. A match must have that word in
-place, so each occurrence of it in a file gives a place where the template may start, and
-no other place can hold it. At every such start the template's words are compared in
-place and its key phrases must all stand there. Phrases that must be found everywhere are
-templates of their own whose words are all mandatory. No file's words are left out, so a
-file's labels depend neither on what else it holds nor on the rest of the corpus.
+words of highest IDF of its key phrases (``RARE`` of them), with their positions. A match
+must have those words in place, so the starts that a file's postings of all of them give
+are intersected, and no other place can hold the template. At every start that is left the
+template's words are compared in place and its key phrases must all stand there. Phrases
+that must be found everywhere are templates of their own whose words are all mandatory. No
+file's words are left out, so a file's labels depend neither on what else it holds nor on
+the rest of the corpus. Long licences are several templates, a paragraph each, for one word
+more or less would put all that follows out of place.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from factflow.llm import vectext as V
 from factflow.llm.shared import renamed
 
-LEAST_SHARE, BLOCK = 0.7, 1 << 16
+LEAST_SHARE, RARE, BLOCK = 0.7, 3, 1 << 16
 #: Everything but 0-9, letters and non-ASCII separates words.
 BETWEEN = np.zeros(256, bool)
 BETWEEN[:128] = True
@@ -41,6 +43,22 @@ TEMPLATES = [
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ("cc by nc",)),
     ("cc-by-sa-4.0", "licensed under cc by sa 4 0", ("cc by sa",)),
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
+    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", ("you may not use this file", "apache org licenses license 2 0")),
+    ("gpl-3.0", "it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", ("gnu general public license", "either version 3 of the license")),
+    ("gpl-2.0", "it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", ("gnu general public license", "either version 2 of the license")),
+    ("lgpl-2.1", "it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version", ("gnu lesser general public license", "either version 2 1 of the license")),
+    ("agpl-3.0", "it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version", ("gnu affero general public license", "either version 3 of the license")),
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so", ("to deal in the software without restriction", "sublicense and or sell copies")),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ("this permission notice shall be included", "substantial portions of the software")),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ("redistributions of source code must retain", "this list of conditions")),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ("redistributions in binary form must reproduce", "this list of conditions")),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("neither the name of", "may be used to endorse or promote products")),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ("permission to use copy modify", "this permission notice appear in all copies")),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions", ("permission is granted to anyone", "alter it and redistribute it freely")),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software", ("free and unencumbered software", "public domain")),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ("any person or organization", "accompanying documentation covered by this license")),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", ("source code form is subject", "copy of the mpl was not distributed")),
+    ("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ("to the extent possible under law", "related or neighboring rights")),
 ]
 
 
@@ -91,7 +109,7 @@ def document_frequencies(docs: DataFrame, words: list[str], text_col: str = "tex
 
 
 class Index:
-    """Each template under the rarest word of its key phrases and that word's position."""
+    """Each template under the rarest words of its key phrases and their positions."""
 
     def __init__(self, found: list[Template], df: dict[str, int]) -> None:
         self.templates, self.df, n = found, df, max(1, df.get("", 1))
@@ -99,14 +117,22 @@ class Index:
         self.anchors = []
         for t in found:
             idf = {w: float(np.log((n + 1) / (df.get(w, 0) + 1))) for w in t.words}
-            self.anchors.append(min((p for a, b in t.keys for p in range(a, b)), key=lambda p: (-idf[t.words[p]], t.words[p], p)))
+            self.anchors.append(sorted({p for a, b in t.keys for p in range(a, b)}, key=lambda p: (-idf[t.words[p]], t.words[p], p))[:RARE])
 
     def matches(self, words: np.ndarray, text: np.ndarray) -> Iterator[tuple[Template, np.ndarray, np.ndarray, np.ndarray]]:
         """(template, text numbers, starts, shares of the template's words in place) over the words of many texts."""
-        for t, h, anchor in zip(self.templates, self.hashes, self.anchors, strict=True):
-            found = np.flatnonzero(words == h[anchor])
-            for lo in range(0, len(found), BLOCK):
-                at = found[lo : lo + BLOCK]
+        order = np.argsort(words, kind="stable")
+        ranked = words[order]
+
+        def postings(h: np.uint64) -> np.ndarray:
+            return order[np.searchsorted(ranked, h, "left") : np.searchsorted(ranked, h, "right")]
+
+        for t, h, anchors in zip(self.templates, self.hashes, self.anchors, strict=True):
+            start, anchor = postings(h[anchors[0]]) - anchors[0], anchors[0]
+            for p in anchors[1:]:
+                start = np.intersect1d(start, postings(h[p]) - p, assume_unique=True) if len(start) else start
+            for lo in range(0, len(start), BLOCK):
+                at = start[lo : lo + BLOCK] + anchor
                 place = at[:, None] - anchor + np.arange(len(h))[None]
                 inside = np.clip(place, 0, len(words) - 1)
                 same = (place == inside) & (words[inside] == h[None]) & (text[inside] == text[at][:, None])
