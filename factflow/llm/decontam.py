@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factflow.llm import vectext as V
-from factflow.llm.shared import renamed
+from factflow.llm.shared import renamed, written
 
 WIDTH, SHORTEST, MOST_SLOTS, COVER, BROADCAST_ROWS = 8, 5, 3, 0.6, 500_000
 # Unit words.
@@ -182,7 +182,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     items = renamed(benchmark, id=item_col, text=item_text_col).where("text IS NOT NULL")
     kind = items.schema["id"].dataType.simpleString()
-    indexed = items.mapInArrow(_item_windows, f"id {kind}, w long, at long, slots array<long>, width long, size long, verbatim boolean").distinct().cache()
+    indexed = written(items.mapInArrow(_item_windows, f"id {kind}, w long, at long, slots array<long>, width long, size long, verbatim boolean").distinct())
     widths = sorted(r.width for r in indexed.select("width").distinct().collect())
     few = indexed.count() <= broadcast_rows
     known = np.unique(np.array([r.w for r in indexed.select("w").distinct().collect()], np.int64).view(np.uint64)) if few and widths else None

@@ -261,3 +261,74 @@ def test_verbatim_copies_are_found_in_any_case_and_place(spark, most):
     bench = spark.createDataFrame([(7, item), (8, short), (9, accents)], "item_id long, text string")
     got = decontam.contaminated(table(spark, docs), bench, broadcast_rows=most).collect()
     assert sorted((r.doc_id, r.item_id, r.n_covered == r.n_tokens) for r in got) == [(1, 7, True), (2, 7, True), (3, 8, True), (4, 9, True), (5, 9, True), (7, 7, True)]
+
+
+def brute_templates(docs, items):
+    """Contaminated pairs by plain dictionaries of windows, for ASCII texts."""
+    import re
+
+    def read(text):
+        out, last = [], 0
+        for m in re.finditer(r"[0-9A-Za-z]+(?:(?<=[0-9])[.,](?=[0-9])[0-9A-Za-z]+)*", text):
+            w = m[0]
+            opens = not out or any(c in '.!?\n:;"|' for c in text[last : m.start()])
+            kind = "N" if w[0].isdigit() else "U" if w.lower() in decontam.UNITS else "P" if not opens and re.match("[A-Z][a-z]", w) else None
+            out.append((w.lower(), kind))
+            last = m.end()
+        return out
+
+    def windows(tokens, width, verbatim):
+        for k in range(len(tokens) - width + 1):
+            part = tokens[k : k + width]
+            yield k, tuple(w if verbatim or not kind else (kind,) for w, kind in part), [w for w, kind in part if kind]
+
+    found = set()
+    for item_id, text in items:
+        item = read(text)
+        width = min(decontam.WIDTH, len(item))
+        if width < decontam.SHORTEST or all(kind for _, kind in item):
+            continue
+        asked = [(True, k, w, []) for k, w, _ in windows(item, width, True)] + [(False, k, w, s) for k, w, s in windows(item, width, False) if 0 < len(s) <= decontam.MOST_SLOTS]
+        for doc_id, body in docs:
+            tokens, shifts = read(body), {}
+            held = {v: {} for v in (True, False)}
+            for v in held:
+                for k, w, s in windows(tokens, width, v):
+                    held[v].setdefault(w, []).append((k, s))
+            for v, place, w, s in asked:
+                for at, theirs in held[v].get(w, ()):
+                    one = shifts.setdefault(at - place, (set(), set(), set()))
+                    one[0].update(range(place, place + width))
+                    one[1].update(range(place, place + width) if v else ())
+                    one[2].update(() if v else zip(s, theirs, strict=True))
+            # Verbatim windows bind the slots of the item to themselves.
+            for v, place, w, s in asked:
+                if v:
+                    own = [x for x, kind in item[place : place + width] if kind]
+                    for at, _ in held[True].get(w, ()):
+                        shifts[at - place][2].update((x, x) for x in own)
+            covered = set()
+            for every, equal, pairs in shifts.values():
+                covered |= every if len(pairs) == len({a for a, _ in pairs}) else equal
+            if covered and len(covered) >= decontam.COVER * len(item):
+                found.add((doc_id, item_id, len(covered)))
+    return found
+
+
+def test_templates_match_brute_force(spark):
+    d = pq.read_table(DOCS, columns=["doc_id", "text"]).to_pydict()
+    b = pq.read_table("/root/testdata/sf0.001/benchmark.parquet").to_pydict()
+    items = [(i, t) for i, t in zip(b["item_id"], b["text"], strict=True) if t.isascii()]
+    items += [(10**6, "A train leaves Paris at 9 km from the old station and meets Anna after 45 minutes of slow travel north"), (10**6 + 1, "If 3 boxes hold 12 pens how many pens are in 7 boxes"), (10**6 + 2, "1 2 3 4 5 6 7 8 9")]
+    docs = [(i, t) for i, t in zip(d["doc_id"], d["text"], strict=True) if t and t.isascii()]
+    rng, more = random.Random(4), []
+    for k, (_, text) in enumerate(items * 3):
+        changed = "".join(c if not c.isdigit() or rng.random() < 0.5 else rng.choice("0123456789") for c in text)
+        words = changed.split()
+        if k % 3 == 0 and len(words) > 6:
+            words[rng.randrange(len(words))] = "Other"
+        more.append((10**7 + k, f"some words first. {' '.join(words)} and more"))
+    docs += more
+    want = brute_templates(docs, items)
+    got = decontam.contaminated(table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.n_covered) for r in got} == want and len(want) > len(items)
