@@ -82,3 +82,98 @@ def test_pages_with_odd_markup(spark):
     assert (title, h1, body, faqs) == ("T", [], "longer text here", [("q", "a", "visible")])
     df = spark.createDataFrame([(1, None), (2, "")], "page_id long, html string")
     assert [r.body for r in pages.extract(df).collect()] == ["", ""]
+
+
+def test_a_thousand_rules_in_one_scan(spark):
+    """Patterns of words and real expressions, with contexts, against plain regular expressions."""
+    import random
+    import re
+
+    from factflow.operators import detect as K
+
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcde", k=3)) for _ in range(150)]
+    rules = []
+    for k in range(1000):
+        stale = [" ".join(rng.choices(words, k=rng.choice([1, 2])))] if k % 10 else [rf"{rng.choice(words)}\s+(?:x|{rng.choice(words)})"]
+        current = [rng.choice(words)] if k % 3 == 0 else []
+        rules.append(K.Rule(k, f"r{k}", stale, current, [rng.choice(words)] if k % 4 == 0 else [], [rng.choice(words)] if k % 5 == 0 else [], window=rng.choice([5, 30]), english_only=k % 7 == 0))
+    bodies = [(k, "en" if k % 2 else "de", " ".join(w.upper() if rng.random() < 0.2 else w for w in rng.choices(words, k=rng.choice([0, 20, 120])))) for k in range(30)]
+    want = {}
+    for url_id, locale, body in bodies:
+        for r in rules:
+            if r.english_only and locale != "en":
+                continue
+            hits = []
+            for kind, some in enumerate((r.stale, r.current)):
+                for place, p in enumerate(some):
+                    for m in re.finditer(p, body, re.I):
+                        seg = body[max(0, m.start() - r.window) : m.end() + r.window]
+                        if (not r.required or any(re.search(x, seg, re.I) for x in r.required)) and not any(re.search(x, seg, re.I) for x in r.allowed):
+                            hits.append((kind, place, m.start(), m.end(), m[0]))
+            if hits:
+                want[r.rule_id, url_id] = min(hits)
+    df = spark.createDataFrame(bodies, "url_id long, locale string, body_text string")
+    got = {(h.rule_id, h.url_id): (int(h.verdict == "positive"), h.start, h.end, h.value) for h in K.stale_scan(df, rules).collect()}
+    assert got == {k: (h[0], *h[2:]) for k, h in want.items()} and len(got) > 500
+    assert K.stale_scan(df, rules[:0]).count() == 0 and K.stale_scan(df.where("false"), rules).count() == 0
+
+
+def test_many_matches_of_one_text(spark):
+    import re
+
+    text = "ab12 c3 ddd4567 " * 500 + "9"
+    df = spark.createDataFrame([(text,), ("",), ("none",), (None,), ("7",)], "t string")
+    got = [r.m for r in df.select(X.regex_matches(F.col("t"), r"\d+").alias("m")).collect()]
+    assert [[(m.start, m.end, m.value) for m in g or []] for g in got] == [[(m.start(), m.end(), m[0]) for m in re.finditer(r"\d+", t or "")] for t in (text, "", "none", None, "7")]
+
+
+def test_batches_are_numbered_across_ranges(spark):
+    from factflow.operators import snapshots
+
+    rows = [(k % 3, u) for k in range(3) for u in range(k, 9000, 7)]
+    got = snapshots.batches(spark.createDataFrame(rows, "r int, u long"), "r", "u", 10, width=500).collect()
+    for r in range(3):
+        own = sorted(u for k, u in rows if k == r)
+        assert {(x.u, x.batch) for x in got if x.r == r} == {(u, k // 10) for k, u in enumerate(own)}
+
+
+def test_edits_keep_the_first_snapshot(spark):
+    rows = spark.createDataFrame([(1, "high", "faq", "x", None, False, None), (2, "low", "faq", None, None, None, None)], "issue_id long, severity string, category string, expected string, note string, edited boolean, original_snapshot string")
+    kept = ("severity", "category", "expected")
+    once = state.edit(rows, spark.createDataFrame([(1, "low"), (9, "low")], "issue_id long, severity string"), "issue_id", kept)
+    twice = state.edit(once, spark.createDataFrame([(1, "medium")], "issue_id long, severity string"), "issue_id", kept)
+    got = {r.issue_id: r for r in twice.collect()}
+    assert (got[1].severity, got[1].edited, got[1].original_snapshot) == ("medium", True, '{"severity":"high","category":"faq","expected":"x"}')
+    assert (got[2].severity, got[2].edited, got[2].original_snapshot) == ("low", False, None)
+
+
+def test_fetched_bytes_are_known_by_their_content(spark):
+    import gzip
+
+    docs = spark.createDataFrame([(1, bytearray(gzip.compress(b"<a/>"))), (2, bytearray(b"<b/>")), (3, None), (4, bytearray(b"\x1f\x8bbroken"))], "k int, xml binary")
+    assert [(r.k, r.xml) for r in landed.unpacked(docs, "xml").orderBy("k").collect()] == [(1, "<a/>"), (2, "<b/>"), (3, None), (4, None)]
+
+
+def test_authors_and_answers_of_every_form(spark):
+    html = [
+        '<script type="application/ld+json">{"@type":"Question","name":"q?","acceptedAnswer":"plain <b>text</b>"}</script><script type="application/ld+json">[{"@type":"BlogPosting","author":["By Ann, Editor",{"name":"Bo"},[{"name":"ANN"}]]}]</script>',
+        '<meta name="author" content="https://x"><div class="page-byline-x">Posted by: Cy | 3 May</div>',
+        "<article>Intro. By Dee O'Neil-Smith and others</article><details>no summary</details>",
+        '<script type="application/ld+json">{broken</script><meta name="author" content=" ">',
+    ]
+    got = pages.extract(spark.createDataFrame(list(enumerate(html)), "page_id long, html string")).orderBy("page_id").collect()
+    assert [r.author for r in got] == ["Ann; Bo", "Cy", "Dee O'Neil-Smith", None]
+    assert [tuple(f) for f in got[0].faqs] == [("q?", "plain text", "jsonld")] and not got[2].faqs
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from factflow.sources.folders import shared_folder
+
+    conf = {"spark.master": "spark://host:7077"}
+    with pytest.raises(ValueError):
+        shared_folder(SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d))))
