@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +23,11 @@ def cut(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, start + 1, F.greatest(end - start, F.lit(0)))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 _MATCH = "array<struct<start:int,end:int,value:string>>"
 _RUN = 64
 
@@ -37,13 +42,7 @@ def regex_matches(text: Column, pattern: str | Column, group: int = 0) -> Column
     """
     plain = F.translate(text, _OPEN + _CLOSE, "")
     whole = F.lit(f"({pattern})") if isinstance(pattern, str) else F.concat(F.lit("("), pattern, F.lit(")"))
-    parts = F.split(F.regexp_replace(plain, whole, F.lit(f"{_OPEN}$1{_CLOSE}")), _OPEN)
-    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 2) / _RUN).cast("int")), lambda k: F.slice(parts, k * _RUN + 2, F.lit(_RUN)))
-    begins = F.aggregate(
-        runs,
-        F.struct(F.char_length(F.element_at(parts, 1)).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda acc, run: F.struct((acc["at"] + F.char_length(F.array_join(run, "")) - F.size(run)).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")),
-    )["out"]
+    pieces = F.split(F.regexp_replace(plain, whole, F.lit(f"{_OPEN}$1{_CLOSE}")), _OPEN)
 
     def added(run: Column, begin: Column) -> Column:
         return F.aggregate(
@@ -58,7 +57,19 @@ def regex_matches(text: Column, pattern: str | Column, group: int = 0) -> Column
             ),
         )["found"]
 
-    found = F.when(F.size(parts) > 1, F.flatten(F.zip_with(runs, begins, added))).otherwise(F.array().cast(_MATCH))
+    def begins(runs: Column, first: Column) -> Column:
+        return F.aggregate(
+            runs,
+            F.struct(F.char_length(first).alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda acc, run: F.struct((acc["at"] + F.char_length(F.array_join(run, "")) - F.size(run)).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")),
+        )["out"]
+
+    def read(parts: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 2) / _RUN).cast("int")), lambda k: F.slice(parts, k * _RUN + 2, F.lit(_RUN)))
+        found = let(runs, lambda r: F.flatten(F.zip_with(r, begins(r, F.element_at(parts, 1)), added)))
+        return F.when(F.size(parts) > 1, found).otherwise(F.array().cast(_MATCH))
+
+    found = let(pieces, read)
     return found if group == 0 else F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.regexp_extract(m["value"], pattern, group).alias("value")))
 
 
