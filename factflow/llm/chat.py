@@ -96,13 +96,22 @@ def segments(turns: DataFrame, template: Template = INSTRUCT, conv_col: str = "c
 
 
 def formatted(conversations: DataFrame) -> DataFrame:
-    """Adds ``formatted``, the segments' texts on end."""
-    return conversations.withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
+    """Adds ``formatted``, the segments' texts on end, and ``loss_spans``, the (start, end) of those under the loss in it."""
+    length = lambda s: F.char_length(s["text"])
+    spans = F.aggregate(
+        "segments",
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out")),
+        lambda acc, s: F.struct(
+            (acc["at"] + length(s)).alias("at"),
+            F.when(s["loss"], F.array_append(acc["out"], F.struct(acc["at"].alias("start"), (acc["at"] + length(s)).alias("end")))).otherwise(acc["out"]).alias("out"),
+        ),
+    )["out"]
+    return conversations.withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), "")).withColumn("loss_spans", spans)
 
 
 def read_back(conversations: DataFrame, template: Template = INSTRUCT) -> DataFrame:
     """Adds ``turns_read``: (role, text) of each turn parsed from ``formatted`` alone, and
-    ``loss_texts``: the texts of the segments under the loss.
+    ``loss_texts``: what stands in ``formatted`` under ``loss_spans``.
 
     The text is cut at every turn start, the role found by its marker and both ends taken
     off; escaped texts hold no control string, so the cuts are exact.
@@ -121,7 +130,7 @@ def read_back(conversations: DataFrame, template: Template = INSTRUCT) -> DataFr
         body = F.substring(p, F.lit(len(head) + 1), F.char_length(p) - len(head) - len(tail))
         return out.otherwise(F.struct(unescape(F.substring_index(body, "[SEP]", 1)).alias("role"), unescape(F.substring_index(body, "[SEP]", -1)).alias("text")))
 
-    losses = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"]))
+    losses = F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["end"] - s["start"])))
     return conversations.withColumn("turns_read", F.transform(parts, turn)).withColumn("loss_texts", losses)
 
 
