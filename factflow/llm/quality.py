@@ -175,31 +175,38 @@ def train(sequences: list[tuple[np.ndarray, int]], rounds: int = 80, rate: float
     sequences = [(x, y) for x, y in sequences if len(x)]
     if len({y for _, y in sequences}) < 2:
         return None
-    n, most = len(sequences), max(len(x) for x, _ in sequences)
-    x = np.zeros((n, most, FEATURES))
-    for k, (f, _) in enumerate(sequences):
-        x[k, : len(f)] = f
+    sequences.sort(key=lambda s: -len(s[0]))  # so those that reach line t are the first ones
+    x = np.concatenate([f for f, _ in sequences]).astype(np.float64)
     length, label = np.array([len(f) for f, _ in sequences]), np.array([y for _, y in sequences])
-    inside = np.arange(most)[None] < length[:, None]
-    weight = 1 / (length * np.where(label == 1, (label == 1).sum(), (label == 0).sum()))
-    line = np.where(label[:, None] == 1, x[:, :, REPEATED] < 1.9, False).astype(np.int64)
-    truth = np.eye(2)[line] * inside[..., None]
+    first = np.cumsum(length) - length
+    live = [int(np.searchsorted(-length, -t, "left")) for t in range(int(length[0]) + 1)]
+    weight = np.repeat(1 / (length * np.where(label == 1, (label == 1).sum(), (label == 0).sum())), length)
+    line = np.where(np.repeat(label, length) == 1, x[:, REPEATED] < 1.9, False).astype(np.int64)
+    truth = np.eye(2)[line]
+    later = np.ones(len(x), bool)
+    later[first] = False
+    later = np.flatnonzero(later)
     e, a = np.zeros((FEATURES, 2)), np.zeros((2, 2))
     step_e, step_a = np.zeros_like(e), np.zeros_like(a)
-    pairs = (truth[:, :-1, :, None] * truth[:, 1:, None, :]).sum(axis=1)
+    pairs = (truth[later - 1] * weight[later, None]).T @ truth[later]
     for _ in range(rounds):
         score = x @ e
         forward, backward = score.copy(), np.zeros_like(score)
-        for t in range(1, most):
-            forward[:, t] += np.logaddexp.reduce(forward[:, t - 1, :, None] + a, axis=1)
-        for t in range(most - 2, -1, -1):
-            after = np.logaddexp.reduce((score[:, t + 1] + backward[:, t + 1])[:, None, :] + a, axis=2)
-            backward[:, t] = np.where(inside[:, t + 1, None], after, 0)
-        total = np.logaddexp.reduce(forward[np.arange(n), length - 1], axis=1)
-        node = np.exp(forward + backward - total[:, None, None]) * inside[..., None]
-        edge = np.exp(forward[:, :-1, :, None] + a + (score + backward)[:, 1:, None, :] - total[:, None, None, None]) * inside[:, 1:, None, None]
-        step_e = 0.9 * step_e + np.einsum("ntf,ntl,n->fl", x, truth - node, weight) - decay * e
-        step_a = 0.9 * step_a + np.einsum("nij,n->ij", pairs - edge.sum(axis=1), weight) - 0.2 * a  # documents of one kind would else forbid any change
+        for t in range(1, int(length[0])):
+            at = first[: live[t]] + t
+            before = forward[at - 1]
+            forward[at] += np.logaddexp(before[:, :1] + a[0], before[:, 1:] + a[1])
+        for t in range(int(length[0]) - 2, -1, -1):
+            at = first[: live[t + 1]] + t
+            after = score[at + 1] + backward[at + 1]
+            backward[at] = np.logaddexp(after[:, :1] + a[:, 0], after[:, 1:] + a[:, 1])
+        end = forward[first + length - 1]
+        total = np.repeat(np.logaddexp(end[:, 0], end[:, 1]), length)[:, None]
+        node = np.exp(forward + backward - total)
+        here = score + backward - total
+        edge = np.array([[weight[later] @ np.exp(forward[later - 1, p] + a[p, q] + here[later, q]) for q in (0, 1)] for p in (0, 1)])
+        step_e = 0.9 * step_e + x.T @ ((truth - node) * weight[:, None]) - decay * e
+        step_a = 0.9 * step_a + pairs - edge - 0.2 * a  # documents of one kind would else forbid any change
         e, a = e + rate * step_e, a + rate * step_a
     return Field(e, a)
 
