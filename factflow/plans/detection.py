@@ -242,7 +242,7 @@ def _run_fact(t: Tables) -> DataFrame:
     return K.with_answers(own, _answers(t))
 
 
-_TEXT = "left(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 2000) || CASE WHEN doc_id % 3 = 1 THEN ' for the Atlas Suite' WHEN doc_id % 7 = 2 THEN ' see the bcn' ELSE '' END"
+_TEXT = "regexp_replace(text, '[^A-Za-z ]', '', 'g') || CASE WHEN doc_id % 3 = 1 THEN ' for the Atlas Suite' WHEN doc_id % 7 = 2 THEN ' see the bcn' ELSE '' END"
 
 
 @query("interpret_normalize", f"""SELECT d.doc_id, CASE d.doc_id % 3 WHEN 0 THEN 'language_count' ELSE 'other_mismatch' END AS category, CASE d.doc_id % 4 WHEN 1 THEN '29' END AS correct_value, CASE d.doc_id % 2 WHEN 0 THEN 'a|b' ELSE t END AS terms, d.doc_id % 4 <> 1 AS vague,
@@ -250,7 +250,7 @@ _TEXT = "left(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 2000) || CASE WHEN do
 def interpret_normalize(t: Tables) -> DataFrame:
     """A reviewer's reading of a fact, cleaned, and the product that its text names."""
     k = F.col("doc_id")
-    text = F.concat(F.left(F.regexp_replace("text", "[^A-Za-z ]", ""), F.lit(2000)), F.when(k % 3 == 1, " for the Atlas Suite").when(k % 7 == 2, " see the bcn").otherwise(""))
+    text = F.concat(F.regexp_replace("text", "[^A-Za-z ]", ""), F.when(k % 3 == 1, " for the Atlas Suite").when(k % 7 == 2, " see the bcn").otherwise(""))
     fact = F.struct(
         F.when(k % 3 == 0, "language_count").otherwise("made up").alias("category"), F.when(k % 4 == 0, " null ").when(k % 4 == 1, "29").when(k % 4 == 2, "N/A").otherwise("").alias("correct_value"),
         F.when(k % 2 == 0, F.array(F.lit(" a "), F.lit(""), F.lit("b"))).otherwise(F.array().cast("array<string>")).alias("terms"), text.alias("text"),

@@ -117,11 +117,11 @@ def replace_faqs(t: Tables) -> DataFrame:
     return M.replace_for(f, f.where("url_id % 4 = 0 AND faq_id % 2 = 0").withColumn("answer", F.lit("fresh")), "url_id").select("faq_id", "answer")
 
 
-_RECHECK = f"(SELECT issue_id, CASE WHEN b IS NULL THEN 'unverifiable' WHEN core <> '' AND contains(lower(b), lower(core)) THEN 'open' ELSE 'fixed' END AS recheck FROM (SELECT issue_id, url_id, left(trim(coalesce(evidence, '')), 40) AS core FROM {_I}) i LEFT JOIN (SELECT url_id, body_text AS b FROM {_LATEST} WHERE coalesce(body_text, '') <> '') l USING (url_id))"
+_RECHECK = f"(SELECT issue_id, CASE WHEN b IS NULL THEN 'unverifiable' WHEN core <> '' AND contains(lower(b), lower(core)) THEN 'open' ELSE 'fixed' END AS recheck FROM (SELECT issue_id, url_id, left(trim(coalesce(evidence, '')), 80) AS core FROM {_I}) i LEFT JOIN (SELECT url_id, body_text AS b FROM {_LATEST} WHERE coalesce(body_text, '') <> '') l USING (url_id))"
 
 
 def _rechecked(t: Tables) -> DataFrame:
-    return M.recheck(t.fx("issues"), S.readable(t.fx("crawls")), X.evidence_core(F.left("evidence", F.lit(40)), 40)).select("issue_id", "recheck")
+    return M.recheck(t.fx("issues"), S.readable(t.fx("crawls")), X.evidence_core(F.col("evidence"))).select("issue_id", "recheck")
 
 
 @query("recheck_findings", f"SELECT issue_id, recheck FROM {_RECHECK}")
@@ -134,9 +134,9 @@ def recheck_tally(t: Tables) -> DataFrame:
     return _rechecked(t).groupBy("recheck").agg(F.count("*").alias("n"))
 
 
-@query("false_positive_learn", f"SELECT slug, list_sort(list_distinct(list(phrase))) AS learned FROM (SELECT {_RULE_OF} AS slug, left(evidence, 10) AS phrase FROM {_I} WHERE status = 'false_positive' AND evidence IS NOT NULL) JOIN (SELECT DISTINCT slug FROM {_R}) r USING (slug) GROUP BY slug".replace("list_sort(list_distinct(list(phrase)))", "array_to_string(list_sort(list_distinct(list(phrase))), '|')"))
+@query("false_positive_learn", f"SELECT slug, list_sort(list_distinct(list(phrase))) AS learned FROM (SELECT {_RULE_OF} AS slug, left(trim(evidence), 80) AS phrase FROM {_I} WHERE status = 'false_positive' AND evidence IS NOT NULL) JOIN (SELECT DISTINCT slug FROM {_R}) r USING (slug) GROUP BY slug".replace("list_sort(list_distinct(list(phrase)))", "array_to_string(list_sort(list_distinct(list(phrase))), '|')"))
 def false_positive_learn(t: Tables) -> DataFrame:
-    learned = t.fx("issues").where("status = 'false_positive' AND evidence IS NOT NULL").groupBy(X.fact_rule_of(F.col("title")).alias("slug")).agg(F.collect_set(F.left("evidence", F.lit(10))).alias("p"))
+    learned = t.fx("issues").where("status = 'false_positive' AND evidence IS NOT NULL").groupBy(X.fact_rule_of(F.col("title")).alias("slug")).agg(F.collect_set(X.evidence_core(F.col("evidence"))).alias("p"))
     rules = t.fx("rules").select("slug", F.array().cast("array<string>").alias("allowed"))
     return rules.join(learned, "slug").select("slug", F.array_join(F.array_sort(F.array_union("allowed", "p")), "|").alias("learned"))
 
