@@ -349,3 +349,71 @@ def test_language_counts_do_not_depend_on_segments(monkeypatch):
     monkeypatch.setattr(langid, "SEGMENT", 7)
     cut = langid.counts(texts)
     assert all((a[0] == b[0]).all() and (a[1] == b[1]).all() for a, b in zip(whole, cut, strict=True))
+
+
+def test_odd_tables_of_the_text_operators(spark):
+    """Empty tables, null columns, repeated rows and columns named like the operators' own."""
+    from factflow.llm import decontam, minhash
+
+    odd = spark.createDataFrame(
+        [(None, None, 1, "a", 0.5, True), (1, None, 2, "b", None, None), (1, "the cat sat", None, None, 1.0, False), (1, "the cat sat", None, None, 1.0, False), (2, "  ", 0, "", 0.0, True)],
+        "doc_id long, text string, id int, ids string, score double, kept boolean",
+    )
+    none = odd.where("false")
+    field = quality.Field(*_random_field())
+    for f in (None, field):
+        assert quality.judge(none, f).count() == 0 and quality.judge(odd, f).count() == 5
+        assert quality.kept_rows(odd, f).columns == odd.columns and quality.kept_rows(none, f).count() == 0
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (1, None)], "doc_id long, quality int")
+    assert quality.fit(none, labels) is None and quality.fit(odd, labels.where("false")) is None
+    assert langid.fit(none.withColumn("lang", F.lit("en"))) is None
+    model = langid.fit(odd.withColumn("lang", F.lit("en")))
+    assert langid.predict(none, model).count() == 0
+    got = sorted((str(r.doc_id), r.lang_pred) for r in langid.predict(odd, model).collect())
+    assert got == [("1", "en"), ("1", "en"), ("1", "und"), ("2", "und"), ("None", "und")]
+    assert licenses.scan_corpus(odd).count() == 5 and licenses.scan_corpus(none).count() == 0
+    twice = bpe.decode(bpe.encode(odd, BYTES), BYTES)
+    assert twice.columns.count("ids") == 1 and sorted(r.decoded for r in twice.collect()) == ["", "", "  ", "the cat sat", "the cat sat"]
+    kept = bpe.encode(odd, BYTES, ids_col="tokens")
+    assert {"ids", "tokens"} <= set(kept.columns) and kept.where("ids = 'a'").count() == 1
+    bench = spark.createDataFrame([(1, "the cat sat on the mat today")], "item_id long, text string")
+    assert decontam.contaminated(odd, bench).count() == 0
+    assert minhash.near_duplicates(odd).count() == 5
+
+
+def test_equal_scores_take_the_first_language():
+    import numpy as np
+    import pyarrow as pa
+
+    model = langid.Model(["de", "en"], np.zeros((langid.BUCKETS, 2), np.float32), np.zeros(2), 1.0, 0.0)
+    best, p = model.scores(pa.array(["abc", "", None]))
+    assert best.tolist() == [0, 0, 0] and np.allclose(p, 0.5)
+
+
+def test_segments_of_token_files_equal_the_library(monkeypatch):
+    """Whole texts, and texts cut in many parts, over everything that a chunk may hold; two hashes that clash too."""
+    import numpy as np
+    import pyarrow as pa
+
+    from factflow.llm import vectext as V
+
+    t = Tokenizer.from_file(WORDS)
+    rng = random.Random(11)
+    some = [*"abzAZ'.,!?;:#$%&*0 9-_/\n\t<≠", "é", "É", "ß", "ÿ", "Ÿ", "×", "÷", "µ", "é", "中", "🎉", "\xa0", " ", "İ", "Σ", "<|endoftext|>", "don't", "The", "über,"]
+    texts = [None, "", *("".join(rng.choices(some, k=rng.randint(1, 60))) for _ in range(600)), " ".join(rng.choices(["alpha", "Beta,", "über!", "x9", "…"], k=5000))]
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+    def ids(table):
+        parts = [(np.concatenate(([0], np.cumsum(n))), v) for n, v in table.encoded(pa.array(texts))]
+        return [[x for at, v in parts for x in v[at[k] : at[k + 1]].tolist()] for k in range(len(texts))]
+
+    table = tokenfiles.TokenTable(WORDS)
+    assert ids(table) == want and ids(table) == want
+    monkeypatch.setattr(V, "SEGMENT", 300)
+    assert ids(tokenfiles.TokenTable(WORDS)) == want
+    table = tokenfiles.TokenTable(WORDS)
+    ids(table)
+    table.rows = np.roll(table.rows, 1)  # every hash now leads to another segment
+    assert ids(table) == want
+    monkeypatch.setattr(tokenfiles, "CACHE", 10)
+    assert ids(tokenfiles.TokenTable(WORDS)) == want
