@@ -136,7 +136,8 @@ def recheck_tally(t: Tables) -> DataFrame:
 
 @query("false_positive_learn", f"SELECT slug, list_sort(list_distinct(list(phrase))) AS learned FROM (SELECT {_RULE_OF} AS slug, left(trim(evidence), 80) AS phrase FROM {_I} WHERE status = 'false_positive' AND evidence IS NOT NULL) JOIN (SELECT DISTINCT slug FROM {_R}) r USING (slug) GROUP BY slug".replace("list_sort(list_distinct(list(phrase)))", "array_to_string(list_sort(list_distinct(list(phrase))), '|')"))
 def false_positive_learn(t: Tables) -> DataFrame:
-    learned = t.fx("issues").where("status = 'false_positive' AND evidence IS NOT NULL").groupBy(X.fact_rule_of(F.col("title")).alias("slug")).agg(F.collect_set(X.evidence_core(F.col("evidence"))).alias("p"))
+    marked = X.staged(t.fx("issues").where("status = 'false_positive' AND evidence IS NOT NULL"), _title=F.col("title"), _core=X.evidence_core(F.col("evidence")))
+    learned = marked.groupBy(X.fact_rule_of(F.col("_title")).alias("slug")).agg(F.collect_set("_core").alias("p"))
     rules = t.fx("rules").select("slug", F.array().cast("array<string>").alias("allowed"))
     return rules.join(learned, "slug").select("slug", F.array_join(F.array_sort(F.array_union("allowed", "p")), "|").alias("learned"))
 

@@ -393,6 +393,13 @@ def rules_context(t: Tables) -> DataFrame:
     return A.rules_context(A.load_rules(t.fx("registry"), t.fx("catalog")))
 
 
+@query("features_context", f"SELECT s.source_id, coalesce(string_agg('- [f' || product_id || '] ' || name || ' — status=' || CASE product_id % 3 WHEN 0 THEN 'planned' ELSE 'available' END || '. ' || CASE WHEN product_id % 4 = 1 THEN '' ELSE 'About ' || name END || CASE product_id % 5 WHEN 0 THEN ' NOTE: note ' || product_id ELSE '' END, chr(10) ORDER BY product_id), '(none)') AS context FROM (SELECT DISTINCT source_id FROM {_J}) s LEFT JOIN {_CT} c USING (source_id) GROUP BY s.source_id")
+def features_context(t: Tables) -> DataFrame:
+    k = F.col("product_id")
+    features = t.fx("catalog").select("source_id", k.alias("feature_id"), F.concat(F.lit("f"), k).alias("slug"), "name", F.when(k % 3 == 0, "planned").otherwise("available").alias("status"), F.when(k % 4 != 1, F.concat(F.lit("About "), "name")).alias("description"), F.when(k % 5 == 0, F.concat(F.lit("note "), k)).alias("notes"))
+    return A.features_context(features, t.fx("jobs").select("source_id").distinct())
+
+
 # H, I: windows, order
 @query("match_last_write", f"SELECT rule_id, k, url_id, verdict FROM (SELECT *, url_id % 50 AS k FROM {_M}) QUALIFY row_number() OVER (PARTITION BY rule_id, k ORDER BY write_seq DESC) = 1")
 def match_last_write(t: Tables) -> DataFrame:

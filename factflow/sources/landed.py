@@ -130,3 +130,12 @@ def rules_context(rules: DataFrame) -> DataFrame:
     line = F.concat(F.lit("- ["), "slug", F.lit(" / "), F.coalesce("category", F.lit("")), F.lit(" / product: "), product, F.lit("]. Correct value: "), F.coalesce("correct_value", F.lit("TBD")), F.lit("."), allowed)
     lines = rules.groupBy(product.alias("product")).agg(F.sort_array(F.collect_list(F.struct("rule_id", line.alias("line")))).alias("l"))
     return lines.select("product", F.size("l").cast("long").alias("rules"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("context"))
+
+
+def features_context(features: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source_id, context): features as lines of text in id order; ``(none)`` for a source without any."""
+    note = F.when(F.coalesce("notes", F.lit("")) != "", F.concat(F.lit(" NOTE: "), "notes")).otherwise("")
+    line = F.concat(F.lit("- ["), "slug", F.lit("] "), "name", F.lit(" — status="), "status", F.lit(". "), F.coalesce("description", F.lit("")), note)
+    lines = features.groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("feature_id", line.alias("line")))).alias("l"))
+    text = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
+    return sources.select("source_id").join(lines, "source_id", "left").select("source_id", F.coalesce(text, F.lit("(none)")).alias("context"))
