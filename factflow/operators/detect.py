@@ -97,13 +97,13 @@ def _passes(segment: Column, required: Column, allowed: Column) -> Column:
     return ((F.size(required) == 0) | holds(required)) & ~holds(allowed)
 
 
-def stale_scan(bodies: DataFrame, rules: Rules) -> DataFrame:
+def stale_scan(bodies: DataFrame, rules: Rules, proof: bool = False) -> DataFrame:
     """The first passing hit of each rule on each page: (rule_id, slug, category, severity, url_id, verdict, start, end, value, evidence).
 
     Stale patterns come before current ones, patterns in their order, then offsets. Pages
     are scanned once for all patterns; a page then meets only the rules whose pattern it
     holds, in a join on the pattern that is as small as the rule table. Hits are cut out of
-    their text, with the sentence around them, before they are shuffled.
+    their text, with the sentence around them if ``proof`` is wanted, before they are shuffled.
     """
     table = rule_table(bodies.sparkSession, rules)
     kinds = [table.select("*", F.lit(k).alias("kind"), F.posexplode(c).alias("place", "pattern")).drop("stale_patterns", "current_patterns") for k, c in enumerate(("stale_patterns", "current_patterns"))]
@@ -114,15 +114,18 @@ def stale_scan(bodies: DataFrame, rules: Rules) -> DataFrame:
     rows = staged(rows, _m=every)
     passing = F.filter("_m", lambda m: _passes(context_window(F.col("body_text"), m["start"], m["end"], F.col("context_window")), F.coalesce("required_context", F.array().cast("array<string>")), F.coalesce("allowed_patterns", F.array().cast("array<string>"))))
     rows = staged(rows, _hit=F.get(passing, F.lit(0))).where("_hit IS NOT NULL")
-    shown = with_evidence(rows, "body_text", F.col("_hit.start"), F.col("_hit.end"))
+    if proof:
+        rows = with_evidence(rows, "body_text", F.col("_hit.start"), F.col("_hit.end"))
+    else:
+        rows = rows.withColumn("evidence", F.lit(None).cast("string"))
     hit = F.struct("kind", "place", "_hit.start", "_hit.end", "_hit.value", "evidence")
-    best = shown.groupBy("rule_id", "slug", "category", "severity", "url_id").agg(F.min(hit).alias("h"))
+    best = rows.groupBy("rule_id", "slug", "category", "severity", "url_id").agg(F.min(hit).alias("h"))
     verdict = F.when(F.col("h.kind") == 0, "issue").otherwise("positive")
     return best.select("rule_id", "slug", F.coalesce("category", F.lit("other_mismatch")).alias("category"), "severity", "url_id", verdict.alias("verdict"), "h.start", "h.end", "h.value", "h.evidence")
 
 
 def findings_of(hits: DataFrame) -> DataFrame:
-    """Stale facts as findings."""
+    """Stale facts, scanned with their proof, as findings."""
     return hits.withColumn("title", F.concat("slug", F.lit(":stale"))).withColumnRenamed("value", "matched_value")
 
 
@@ -326,7 +329,7 @@ def interpreted(facts: DataFrame, column: str, products: DataFrame) -> DataFrame
 
 def stale_findings(bodies: DataFrame, rules: Rules) -> DataFrame:
     """Findings of stale facts with the sentence that proves them."""
-    return findings_of(stale_scan(bodies, rules).where("verdict = 'issue'")).select("url_id", "title", "category", "severity", "matched_value", "evidence")
+    return findings_of(stale_scan(bodies, rules, proof=True).where("verdict = 'issue'")).select("url_id", "title", "category", "severity", "matched_value", "evidence")
 
 
 def first_of(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:

@@ -25,7 +25,7 @@ def sync(spark: SparkSession, landing: str, state: str, rules: Rules) -> DataFra
 
     def one(batch: DataFrame, batch_id: int) -> None:
         newest = latest(batch, ["url_id"], ["version"])
-        hits = stale_scan(newest.where("body_text IS NOT NULL"), rules).join(newest.select("url_id", "version"), "url_id")
+        hits = stale_scan(newest.where("body_text IS NOT NULL"), rules, proof=True).join(newest.select("url_id", "version"), "url_id")
         hits.write.mode("overwrite").parquet(f"{state}/hits/batch={batch_id}")
         hits = spark.read.parquet(f"{state}/hits/batch={batch_id}")
         hits.select("rule_id", "slug", "url_id", "verdict", "version").write.mode("overwrite").parquet(f"{state}/verdicts/batch={batch_id}")
