@@ -8,7 +8,7 @@ from importlib.util import find_spec
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factflow.llm import bpe, chat, decontam, langid, licenses, minhash, quality, rlz, suffix, tokenfiles
+from factflow.llm import audit, bpe, chat, decontam, langid, licenses, minhash, quality, rlz, runs, suffix, tokenfiles, topk
 
 
 def vocabulary_file(name: str) -> str:
@@ -70,6 +70,18 @@ def op10_relative_lz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz.digests(rlz.remove_repeats(_table(spark, sf_dir, "documents")))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.detect(runs.with_planted(_table(spark, sf_dir, "documents"))))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -81,6 +93,9 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_relative_lz_dedup": op10_relative_lz_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_top_k_search": op13_top_k_search,
 }
 
 _CONTROLS = ", ".join("'" + c + "'" for c in chat.INSTRUCT.controls)
@@ -105,4 +120,37 @@ SELECT conv_id, count(*) AS n_turns,
   bool_and(CASE role WHEN 'system' THEN before = '' AND NOT last WHEN 'user' THEN before IN ('', 'system', 'assistant') AND NOT last
            WHEN 'assistant' THEN before = 'user' ELSE false END) AS valid
 FROM sized GROUP BY conv_id""",
+    "op12_filter_audit": r"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), facts AS (
+  SELECT doc_id, part, CAST(len(ws) < 200 AS INT) + CAST(100 * len(list_distinct(ws)) < 50 * len(ws) AS INT) * 2
+    + CAST(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) AS INT) * 4 + CAST(regexp_matches(text, '[#$%&*|]') AS INT) * 8
+    + CAST(coalesce(min(doc_id) OVER (PARTITION BY text) < doc_id, false) AS INT) * 16 AS mask FROM w
+), tagged AS (
+  SELECT f.part, f.mask, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic FROM facts f
+  LEFT JOIN (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY 1) l USING (doc_id)
+), cells AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM tagged GROUP BY ALL
+), letters AS (SELECT k, substr('ABCDE', k + 1, 1) AS c FROM range(5) r(k)
+), orders AS (
+  SELECT [a.k, b.k, c.k, d.k, e.k] AS o, a.c || b.c || c.c || d.c || e.c AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5
+), steps AS (
+  SELECT filter_order, CAST(s AS INT) AS step, CAST(1 << o[s] AS INT) AS f, CAST(coalesce(list_sum(list_transform(o[1:s - 1], lambda k: 1 << k)), 0) AS INT) AS before FROM orders, range(1, 6) r(s)
+), counted AS (
+  SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (WHERE mask & (before | f) = 0), 0) AS kept, coalesce(sum(n) FILTER (WHERE mask & before = 0 AND mask & f <> 0), 0) AS removed,
+    coalesce(sum(n) FILTER (WHERE mask & before <> 0 AND mask & f <> 0), 0) AS redundant, coalesce(sum(n) FILTER (WHERE mask = f), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE mask & before = 0 AND mask & f <> 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (WHERE mask & before = 0 AND mask & f <> 0), 0) AS toxic_lost
+  FROM cells, steps GROUP BY ALL
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM counted""",
+    "op13_top_k_search": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM scored
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""",
 }
