@@ -147,16 +147,17 @@ def evidence_core(evidence: Column, length: int = 80) -> Column:
     return F.left(normalize(F.regexp_replace(bare, "^[… ]+|[… ]+$", "")), F.lit(length))
 
 
-def with_term_context(df: DataFrame, text: str, terms: Sequence[str], out: str = "snippet", most: int = 300) -> DataFrame:
-    """Adds evidence around the earliest of the terms (the first listed of equals), the term marked; null without one."""
-    low = F.lower(f"`{text}`")
-    places = F.array(*[F.struct(F.instr(low, t.lower()).alias("at"), F.lit(k).alias("k"), F.lit(len(t)).alias("n")) for k, t in enumerate(terms)])
-    df = staged(df, _f=F.array_min(F.filter(places, lambda p: p["at"] > 0)))
+def with_term_context(df: DataFrame, text: str, terms: Sequence[str] | Column, out: str = "snippet", most: int = 300) -> DataFrame:
+    """Adds evidence around the earliest of the terms (the first listed of equals), the term marked; null without one. The terms may be a column."""
+    some = terms if isinstance(terms, Column) else F.array(*map(F.lit, terms))
+    df = staged(df, _low=F.lower(f"`{text}`"), _terms=some)
+    places = F.transform("_terms", lambda t, k: F.struct(F.instr(F.col("_low"), F.lower(t)).alias("at"), k.alias("k"), F.char_length(t).alias("n")))
+    df = staged(df, _f=F.array_min(F.filter(places, lambda p: (p["at"] > 0) & (p["n"] > 0))))
     df = with_evidence(df, text, F.coalesce(F.col("_f.at") - 1, F.lit(0)), F.coalesce(F.col("_f.at") - 1 + F.col("_f.n"), F.lit(0)), "_ev", most)
-    term = F.element_at(F.array(*map(F.lit, terms)), F.col("_f.k") + 1)
+    term = F.get("_terms", F.col("_f.k"))
     at, ev, n = F.position(F.lower(term), F.lower("_ev")), F.col("_ev"), F.col("_f.n")
     marked = F.concat(F.left(ev, at - 1), F.lit("<mark>"), F.substring(ev, at, n), F.lit("</mark>"), F.substring(ev, at + n, F.char_length(ev)))
-    return df.withColumn(out, F.when(F.col("_f").isNotNull(), F.when(at > 0, marked).otherwise(ev))).drop("_f", "_ev")
+    return df.withColumn(out, F.when(F.col("_f").isNotNull(), F.when(at > 0, marked).otherwise(ev))).drop("_f", "_ev", "_low", "_terms")
 
 
 def fact_rule_of(title: Column) -> Column:

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factflow.functions.categories import at_least_medium
-from factflow.functions.text import context_window, cut, regex_matches, staged, with_evidence
-from factflow.operators.search import tokens
+from factflow.functions.text import context_window, cut, regex_matches, staged, with_evidence, with_term_context
+from factflow.operators.postings import Index, search_many
 from factflow.sources.folders import checkpointed
 
 # Generic numeric claims.
@@ -287,21 +287,31 @@ def fact_findings(rows: DataFrame, name: str, correct: str, category: str, sever
     return rows.where("verdict = 'mismatch'").select("url_id", title.alias("title"), F.lit(category).alias("category"), F.lit(severity).alias("severity"), value.alias("expected"), value.alias("matched_value"))
 
 
-def query_rules(bodies: DataFrame, rules: DataFrame, answers: DataFrame) -> DataFrame:
-    """Verdicts of saved query rules (rule_id, slug, category, severity, correct_value, search_terms), all in one scan.
+def query_rules(index: Index, bodies: DataFrame, rules: DataFrame, answers: DataFrame, k: int = 200) -> DataFrame:
+    """Verdicts of saved query rules on the best pages of every scope: (rule_id, slug, category, severity, product_id, scope, url_id, verdict, matched_value, evidence).
 
-    A page is asked about if it holds one of the rule's terms as a phrase, or its name where
-    it has none. ``answers`` are a reviewer's by rule and page: mismatch becomes issue,
-    matches positive, none unclear, and unrelated pages are dropped.
+    All rules (rule_id, slug, category, severity, correct_value, product_id, search_terms)
+    are searched in one pass, by their terms or, without any, their name; the ``k`` best
+    pages a rule and scope are asked about. ``answers`` are a reviewer's by rule and page:
+    mismatch becomes issue, matches positive, none unclear, and unrelated pages are
+    dropped. Evidence is the sentence of the first term, or how the text begins if no term
+    stands in it literally. Texts meet their hits after the k best are known.
     """
     terms = F.when(F.size("search_terms") > 0, F.col("search_terms")).otherwise(F.array("slug"))
-    wanted = rules.select("rule_id", "slug", F.coalesce("category", F.lit("other_mismatch")).alias("category"), "severity", "correct_value", F.explode(terms).alias("term"))
-    wanted = wanted.withColumn("pattern", F.concat(F.lit(" "), F.array_join(tokens(F.col("term")), " "), F.lit(" ")))
-    lines = bodies.select("url_id", F.concat(F.lit(" "), F.array_join(tokens(F.col("body_text")), " "), F.lit(" ")).alias("body_text"))
-    met = pattern_hits(lines, wanted).join(wanted, "pattern").select("rule_id", "slug", "category", "severity", "correct_value", "url_id").distinct()
+    wanted = rules.select("rule_id", "slug", F.coalesce("category", F.lit("other_mismatch")).alias("category"), "severity", "product_id", "correct_value", terms.alias("terms"))
+    best = search_many(index, wanted.select(F.col("rule_id").alias("search_id"), "terms"), k)
+    met = best.select(F.col("search_id").alias("rule_id"), "scope", "url_id").join(wanted, "rule_id")
     judged = met.join(answers, ["rule_id", "url_id"], "left").where("coalesce(answer, '') <> 'unrelated'")
     verdict = F.when(F.col("answer") == "mismatch", "issue").when(F.col("answer") == "matches", "positive").otherwise("unclear")
-    return judged.select("rule_id", "slug", "category", "severity", "url_id", verdict.alias("verdict"), F.when(F.col("answer").isNotNull() & (F.col("answer") != "unclear"), F.col("correct_value")).alias("matched_value"))
+    shown = with_term_context(judged.join(bodies.select("url_id", "body_text"), "url_id"), "body_text", F.col("terms"))
+    evidence = F.regexp_replace(F.coalesce("snippet", F.left("body_text", F.lit(240))), "</?mark>", "")
+    value = F.when(F.col("answer").isNotNull() & (F.col("answer") != "unclear"), F.col("correct_value"))
+    return shown.select("rule_id", "slug", "category", "severity", "product_id", "scope", "url_id", verdict.alias("verdict"), value.alias("matched_value"), evidence.alias("evidence"))
+
+
+def query_rule_findings(verdicts: DataFrame) -> DataFrame:
+    """(scope, url_id, title, category, severity, expected, product_id, evidence) of pages that contradict a saved rule."""
+    return verdicts.where("verdict = 'issue'").select("scope", "url_id", F.concat(F.lit("rule:"), "slug").alias("title"), "category", "severity", F.col("matched_value").alias("expected"), "product_id", "evidence")
 
 
 # What a reviewer writes for no value.

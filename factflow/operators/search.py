@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,12 +13,26 @@ from factflow.functions.text import staged
 from factflow.sources.folders import checkpointed
 
 K1, B = 1.2, 0.75
-# Accented letters and what they fold to.
-ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+#: Marks that stand behind their letter in decomposed texts.
+MARKS = "".join(map(chr, range(0x300, 0x370)))
+
+
+def _bases() -> dict[str, str]:
+    """Letters with marks and the letters they fold to, by the decompositions of Unicode."""
+    found = {}
+    for c in map(chr, range(0x80, 0x10000)):
+        parts = unicodedata.normalize("NFD", c)
+        if len(parts) > 1 and unicodedata.category(c).startswith("L") and all(map(unicodedata.combining, parts[1:])):
+            found[c] = parts[0]
+    return found
+
+
+BASES = _bases()
+ACCENTED, PLAIN = "".join(BASES) + MARKS, "".join(BASES.values())
 
 
 def tokens(text: Column) -> Column:
-    """Case and accents folded, cut at everything but letters and digits."""
+    """Case and marks folded, cut at everything but letters and digits."""
     folded = F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, PLAIN)
     return F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
@@ -49,10 +65,12 @@ def phrase_counts(pages: DataFrame, column: str, phrases: Sequence[str]) -> Data
     return rows.select("url_id", F.size("_ts").alias("size"), *counts)
 
 
-def fold(phrase: str) -> list[str]:
-    import re
+_FOLD = str.maketrans(ACCENTED[: len(PLAIN)], PLAIN, MARKS)
+
 
-    return [t for t in re.split(r"[\W_]+", phrase.lower().translate(str.maketrans(ACCENTED, PLAIN))) if t]
+def fold(phrase: str) -> list[str]:
+    """The same for a search term in a program."""
+    return [t for t in re.split(r"[\W_]+", phrase.lower().translate(_FOLD)) if t]
 
 
 def bm25(pages: DataFrame, column: str, phrases: Sequence[str], limit: int | None = 200) -> DataFrame:

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from factflow.functions.text import clean_term
 from factflow.operators import detect as K
+from factflow.operators import postings as P
 from factflow.operators import search as L
 from factflow.operators import state as M
 from factflow.plans.registry import Tables, o, query
+from factflow.plans.scalars import evidence_sql
 from factflow.sources import landed as A
+from factflow.sources.folders import scratch
 
 _B, _RULES = o("claims"), o("rules")
 
@@ -236,7 +239,7 @@ _MISS = "(SELECT url_id FROM {run} r JOIN {top} s USING (url_id) JOIN {urls} u U
 
 def _run_fact(t: Tables) -> DataFrame:
     """Search, classify by words, ask where words do not decide: verdicts on the 300 best pages."""
-    best = L.bm25(t.fx("claims"), "body_text", _FACT["terms"], 300).select("url_id")
+    best = P.search(body_index(t), t.spark, _FACT["terms"], 300).select("url_id")
     rows = t.fx("claims").join(best, "url_id", "left_semi")
     own = rows.select("url_id", "body_text", K.cheap_classify(F.col("body_text"), _FACT["correct"], _FACT["stale"], _FACT["allowed"]).alias("verdict"))
     return K.with_answers(own, _answers(t))
@@ -265,7 +268,7 @@ def rule_from_fact(t: Tables) -> DataFrame:
 
 
 # L: search
-_FOLD = f"regexp_replace(translate(lower(body_text), '{L.ACCENTED}', '{L.PLAIN}'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')"
+_FOLD = "regexp_replace(strip_accents(lower(body_text)), '[^\\p{L}\\p{N}]+', ' ', 'g')"
 _TOK = f"(SELECT url_id, list_filter(string_split({_FOLD}, ' '), lambda x: x <> '') AS ts FROM {_B})"
 
 
@@ -276,7 +279,7 @@ def fts_tokens(t: Tables) -> DataFrame:
 
 
 _FIELDS = f"(SELECT b.url_id, 'Page ' || b.url_id AS title, CASE WHEN b.url_id % 3 = 0 THEN 'About ' || b.url_id END AS meta, CASE WHEN b.url_id % 4 = 1 THEN 'Head One' ELSE '' END AS h1, coalesce(q.faqs, '') AS faqs, body_text AS body FROM {_B} b LEFT JOIN (SELECT url_id, string_agg(question || ' ' || answer, ' ' ORDER BY faq_id) AS faqs FROM {o('faqs')} GROUP BY 1) q USING (url_id) WHERE coalesce(body_text, '') <> '')"
-_FOLDED = f"regexp_replace(translate(lower(coalesce({{0}}, '')), '{L.ACCENTED}', '{L.PLAIN}'), '[^\\p{{{{L}}}}\\p{{{{N}}}}]+', ' ', 'g')"
+_FOLDED = "regexp_replace(strip_accents(lower(coalesce({0}, ''))), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')"
 
 
 def _indexed(t: Tables) -> DataFrame:
@@ -286,9 +289,25 @@ def _indexed(t: Tables) -> DataFrame:
     return L.documents(own, t.fx("faqs"))
 
 
+def body_index(t: Tables) -> P.Index:
+    """The bodies of all pages, by source, written once."""
+    return t.once("bodies", lambda: P.write_index(t.fx("claims").select("url_id", F.col("source_id").alias("scope"), "body_text"), ["body_text"], scratch(t.spark, "index")))
+
+
+def page_index(t: Tables) -> P.Index:
+    """All fields of all pages, by source, written once."""
+    pages = _indexed(t).join(t.fx("claims").select("url_id", F.col("source_id").alias("scope")), "url_id")
+    return t.once("pages", lambda: P.write_index(pages, L.FIELDS, scratch(t.spark, "index")))
+
+
 @query("fts_index", "SELECT field, token, count(*) AS n, count(DISTINCT url_id) AS df FROM (" + " UNION ALL ".join(f"SELECT url_id, '{f}' AS field, unnest(list_filter(string_split({_FOLDED.format(f)}, ' '), lambda x: x <> '')) AS token FROM {_FIELDS}" for f in ("title", "meta", "h1", "faqs", "body")) + ") GROUP BY field, token")
 def fts_index(t: Tables) -> DataFrame:
-    return L.index(_indexed(t), L.FIELDS).groupBy("field", "token").agg(F.count("*").alias("n"), F.count_distinct("url_id").alias("df"))
+    """What the written index holds of each token, by field."""
+    one = page_index(t).blocks(t.spark).select("token", F.explode("places").alias("at"))
+    field = F.transform("at", lambda x: F.floor(x / P.FIELD_GAP).cast("int"))
+    of = [F.struct(F.lit(f).alias("field"), (F.size(field) - F.size(F.array_remove(field, k))).alias("n")) for k, f in enumerate(L.FIELDS)]
+    each = one.select("token", F.explode(F.array(*of)).alias("o")).where("o.n > 0")
+    return each.groupBy("o.field", "token").agg(F.sum("o.n").alias("n"), F.count("*").alias("df"))
 
 
 def _places(phrase: str) -> str:
@@ -297,7 +316,7 @@ def _places(phrase: str) -> str:
 
 @query("fts_phrase", f"SELECT url_id, CAST({_places('of the')} AS INT) AS n FROM {_TOK} WHERE {_places('of the')} > 0")
 def fts_phrase(t: Tables) -> DataFrame:
-    return L.phrase_counts(t.fx("claims"), "body_text", ["of the"]).where("tf_0 > 0").select("url_id", F.col("tf_0").alias("n"))
+    return P.phrase_pages(body_index(t), t.spark, ["of the"]).select("url_id", F.col("tf_0").alias("n"))
 
 
 _PH = ["of the", "license", "la"]
@@ -309,8 +328,37 @@ _BM = f"(WITH c AS (SELECT url_id, len(ts) AS size, {_TF} FROM {_TOK}), s AS (SE
 @query("search_bm25", f"SELECT s.url_id, u.url, u.locale, s.score FROM {_BM} s JOIN {o('urls')} u USING (url_id) WHERE u.source_id = 1 ORDER BY score DESC, url_id LIMIT 200")
 def search_bm25(t: Tables) -> DataFrame:
     """The best pages of one source; frequencies are those of all pages."""
-    hits = L.bm25(t.fx("claims"), "body_text", _PH, None).join(t.fx("urls").where("source_id = 1").select("url_id", "url", "locale"), "url_id")
-    return hits.select("url_id", "url", "locale", "score").orderBy(F.desc("score"), "url_id").limit(200)
+    hits = P.search(body_index(t), t.spark, _PH, 200, scope=1).join(t.fx("urls").select("url_id", "url", "locale"), "url_id")
+    return hits.select("url_id", "url", "locale", "score")
+
+
+_ALL = ["the", "page", "head one", "of the"]
+_LINES = "(SELECT f.url_id, c.source_id, " + ", ".join(f"list_filter(string_split({_FOLDED.format(f)}, ' '), lambda x: x <> '') AS {f}" for f in L.FIELDS) + f" FROM {_FIELDS} f JOIN {_B} c USING (url_id))"
+_PTF = ", ".join("(" + " + ".join(f"(len(string_split(' ' || array_to_string({f}, '  ') || ' ', ' {p.replace(' ', '  ')} ')) - 1)" for f in L.FIELDS) + f") AS t{k}" for k, p in enumerate(_ALL))
+_PSC = " + ".join(f"greatest(ln((n - d{k} + 0.5) / (d{k} + 0.5)), 1e-6) * t{k} * 2.2 / (t{k} + 1.2 * (0.25 + 0.75 * size / mean))" for k in range(len(_ALL)))
+
+
+@query("search_pages", f"WITH c AS (SELECT url_id, source_id, {' + '.join(f'len({f})' for f in L.FIELDS)} AS size, {_PTF} FROM {_LINES}), s AS (SELECT count(*) AS n, avg(size) AS mean, {', '.join(f'count(*) FILTER (WHERE t{k} > 0) AS d{k}' for k in range(len(_ALL)))} FROM c) SELECT url_id, round({_PSC}, 6) AS score FROM c, s WHERE source_id = 2 AND ({' OR '.join(f't{k} > 0' for k in range(len(_ALL)))}) ORDER BY score DESC, url_id LIMIT 25")
+def search_pages(t: Tables) -> DataFrame:
+    """The best pages of one source over all fields; no phrase crosses two fields."""
+    return P.search(page_index(t), t.spark, _ALL, 25, scope=2)
+
+
+_ASKED = f"(SELECT url_id AS search_id, unnest([ts[4] || ' ' || ts[5], ts[8]]) AS term, unnest([0, 1]) AS no FROM {_TOK} WHERE url_id % 5 = 0 AND len(ts) >= 8)"
+# Occurrences may overlap, which only matters here for a word said twice.
+_MANY = """WITH tok AS (SELECT url_id, source_id, ts, len(ts) AS size, ' ' || array_to_string(ts, '  ') || ' ' AS line FROM {pages}), st AS (SELECT count(*) AS n, avg(size) AS mean FROM tok),
+asked AS (SELECT *, ' ' || replace(term, ' ', '  ') || ' ' AS needle FROM {asked}), ph AS (SELECT DISTINCT needle, split_part(term, ' ', 1) AS w, term = split_part(term, ' ', 1) || ' ' || split_part(term, ' ', 1) AS twice FROM asked),
+hit AS (SELECT needle, url_id, source_id, size, CASE WHEN twice THEN len(list_filter(range(1, len(ts)), lambda i: ts[i] = w AND ts[i + 1] = w)) ELSE len(string_split(line, needle)) - 1 END AS tf FROM ph JOIN tok ON contains(line, needle)), df AS (SELECT needle, count(*) AS df FROM hit GROUP BY 1),
+sc AS (SELECT search_id, source_id AS scope, url_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean)) ORDER BY no), 6) AS score FROM asked JOIN hit USING (needle) JOIN df USING (needle), st GROUP BY ALL),
+best AS (SELECT *, CAST(row_number() OVER (PARTITION BY search_id, scope ORDER BY score DESC, url_id) AS INT) AS rank FROM sc QUALIFY rank <= {k})"""
+
+
+@query("search_many", _MANY.format(pages=f"(SELECT t.*, b.source_id FROM {_TOK} t JOIN {_B} b USING (url_id))", asked=_ASKED, k=20) + " SELECT search_id, scope, rank, url_id, score FROM best")
+def search_many(t: Tables) -> DataFrame:
+    """A search for every fifth page, by its own words, all at once; the 20 best pages of each source."""
+    ts = L.tokens(F.col("body_text"))
+    asked = t.fx("claims").where("url_id % 5 = 0").select(F.col("url_id").alias("search_id"), ts.alias("ts")).where("size(ts) >= 8")
+    return P.search_many(body_index(t), asked.select("search_id", F.expr("array(concat(ts[3], ' ', ts[4]), ts[7])").alias("terms")), 20)
 
 
 @query("search_like", f"SELECT url_id, left(body_text, 240) AS snippet FROM {_B} WHERE body_text ILIKE '%rights%'")
@@ -349,27 +397,41 @@ def query_findings(t: Tables) -> DataFrame:
     return found.join(saved).select("url_id", "query_id", "title", "category", "severity", "expected")  # saved is one row
 
 
-# Saved query rules, all at once: pages by phrase, verdicts by rule and page.
-_QRULES = f"(SELECT rule_id, slug, coalesce(category, 'other_mismatch') AS category, coalesce(severity, 'medium') AS severity, correct_value, unnest(CASE WHEN len(tm) > 0 THEN tm ELSE [slug] END) AS term FROM (SELECT *, CAST(coalesce(try_cast(search_terms AS JSON), '[]') AS VARCHAR[]) AS tm FROM {_RULES} WHERE enabled = 1 AND rule_type = 'query' AND coalesce(correct_value, '') <> ''))"
+# Saved query rules, all at once: the best pages of each source, judged, with the sentence that holds a term.
+# Digits are letters here, for the checking SQL finds sentence ends by a simpler rule.
+_PLAIN = f"(SELECT url_id, source_id, regexp_replace(body_text, '\\p{{Nd}}', 'n', 'g') AS body_text FROM {_B})"
+_QTERMS = f"(SELECT *, CASE WHEN len(tm) > 0 THEN tm ELSE [slug] END AS terms FROM (SELECT rule_id, slug, coalesce(category, 'other_mismatch') AS category, coalesce(severity, 'medium') AS severity, product_id, correct_value, CAST(coalesce(try_cast(search_terms AS JSON), '[]') AS VARCHAR[]) AS tm FROM {_RULES} WHERE enabled = 1 AND rule_type = 'query' AND coalesce(correct_value, '') <> ''))"
 _QANS = "(SELECT doc_id AS url_id, 6 + 3 * (doc_id % 2) AS rule_id, CASE doc_id % 5 WHEN 0 THEN 'mismatch' WHEN 1 THEN 'matches' ELSE 'unrelated' END AS answer FROM documents WHERE doc_id % 5 < 3)"
-_QRUN = f"(SELECT q.rule_id, q.slug, q.category, q.severity, q.correct_value, q.url_id, coalesce(a.answer, 'unclear') AS answer FROM (SELECT DISTINCT r.* EXCLUDE (term), url_id FROM {_QRULES} r, (SELECT url_id, ' ' || array_to_string(ts, ' ') || ' ' AS line FROM {_TOK}) l WHERE contains(line, ' ' || lower(term) || ' ')) q LEFT JOIN {_QANS} a USING (rule_id, url_id))"
+_QBEST = _MANY.format(
+    pages=f"(SELECT *, list_filter(string_split({_FOLD}, ' '), lambda x: x <> '') AS ts FROM {_PLAIN})",
+    asked=f"(SELECT rule_id AS search_id, unnest(list_transform(terms, lambda x: trim(regexp_replace(strip_accents(lower(x)), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')))) AS term, unnest(range(len(terms))) AS no FROM {_QTERMS})", k=200,
+)
+_QENDS = "list_transform(range(1, len(q)), lambda k: CAST(length(array_to_string(q[1:k], '')) AS INT))"
+_QMARKED = "regexp_replace(regexp_replace(body_text, '([.!?…]+)( |$)', '\\1\x01\\2', 'g'), '([。！？।]+)', '\\1\x01', 'g')"
+_QSHOWN = f"(SELECT *, f.p - 1 AS at_, f.w AS w FROM (SELECT *, length(b) AS n, {_QENDS} AS ends, list_min(list_filter(list_transform(range(1, len(terms) + 1), lambda k: {{p: instr(lower(b), lower(terms[k])), k: k, w: length(terms[k])}}), lambda z: z.p > 0)) AS f FROM (SELECT t.*, m.scope, m.url_id, coalesce(a.answer, 'unclear') AS answer, d.body_text AS b, string_split({_QMARKED}, '\x01') AS q FROM best m JOIN {_QTERMS} t ON t.rule_id = m.search_id JOIN {_PLAIN} d USING (url_id) LEFT JOIN {_QANS} a ON a.rule_id = m.search_id AND a.url_id = m.url_id)) WHERE answer <> 'unrelated')"
+_QRUN = f"{_QBEST} SELECT * FROM ({evidence_sql(_QSHOWN, 'rule_id, slug, category, severity, product_id, correct_value, scope, url_id, answer, f, b AS body')})"
 
 
 def _query_run(t: Tables) -> DataFrame:
     rules = A.load_rules(t.fx("rules"), t.fx("products")).where("rule_type = 'query' AND coalesce(correct_value, '') <> ''")
     k = F.col("doc_id")
     answers = t.documents.where("doc_id % 5 < 3").select(k.alias("url_id"), (6 + 3 * (k % 2)).cast("int").alias("rule_id"), F.when(k % 5 == 0, "mismatch").when(k % 5 == 1, "matches").otherwise("unrelated").alias("answer"))
-    return K.query_rules(t.fx("claims"), rules, answers)
+    bodies = t.fx("claims").select("url_id", F.col("source_id").alias("scope"), F.regexp_replace("body_text", r"\p{Nd}", "n").alias("body_text"))
+    index = t.once("plain", lambda: P.write_index(bodies, ["body_text"], scratch(t.spark, "index")))
+    return K.query_rules(index, bodies, rules, answers)
+
+
+_QEV = "CASE WHEN f IS NULL THEN left(body, 240) ELSE evidence END AS evidence"
 
 
-@query("query_rules", f"SELECT rule_id, slug, url_id, CASE answer WHEN 'mismatch' THEN 'issue' WHEN 'matches' THEN 'positive' ELSE 'unclear' END AS verdict, CASE WHEN answer <> 'unclear' THEN correct_value END AS matched_value FROM {_QRUN} WHERE answer <> 'unrelated'")
+@query("query_rules", f"SELECT rule_id, slug, scope, url_id, CASE answer WHEN 'mismatch' THEN 'issue' WHEN 'matches' THEN 'positive' ELSE 'unclear' END AS verdict, CASE WHEN answer <> 'unclear' THEN correct_value END AS matched_value, {_QEV} FROM ({_QRUN})")
 def query_rules(t: Tables) -> DataFrame:
-    return _query_run(t).select("rule_id", "slug", "url_id", "verdict", "matched_value")
+    return _query_run(t).select("rule_id", "slug", "scope", "url_id", "verdict", "matched_value", "evidence")
 
 
-@query("query_rule_findings", f"SELECT url_id, 'rule:' || slug AS title, category, severity, correct_value AS expected FROM {_QRUN} WHERE answer = 'mismatch'")
+@query("query_rule_findings", f"SELECT scope, url_id, 'rule:' || slug AS title, category, severity, correct_value AS expected, product_id, {_QEV} FROM ({_QRUN}) WHERE answer = 'mismatch'")
 def query_rule_findings(t: Tables) -> DataFrame:
-    return _query_run(t).where("verdict = 'issue'").select("url_id", F.concat(F.lit("rule:"), "slug").alias("title"), "category", "severity", F.col("matched_value").alias("expected"))
+    return K.query_rule_findings(_query_run(t))
 
 
 # F5-F8: state of verdicts by detectors

@@ -11,6 +11,7 @@ from factflow.plans.dialect import Check, Spark
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+_MADE: dict[tuple, object] = {}
 
 
 class Tables:
@@ -25,6 +26,13 @@ class Tables:
     def fx(self, name: str) -> DataFrame:
         return self.spark.sql(getattr(fixtures, name)(Spark(self.sf_dir)))
 
+    def once(self, name: str, make: Callable[[], object]) -> object:
+        """What ``make`` writes, made once for these tables in this application."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _MADE:
+            _MADE[key] = make()
+        return _MADE[key]
+
 
 def o(name: str) -> str:
     """A derived table for the checking SQL."""
