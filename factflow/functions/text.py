@@ -41,8 +41,7 @@ def regex_matches(text: Column, pattern: str | Column, group: int = 0) -> Column
     texts with many matches copy little.
     """
     plain = F.translate(text, _OPEN + _CLOSE, "")
-    whole = F.lit(f"({pattern})") if isinstance(pattern, str) else F.concat(F.lit("("), pattern, F.lit(")"))
-    pieces = F.split(F.regexp_replace(plain, whole, F.lit(f"{_OPEN}$1{_CLOSE}")), _OPEN)
+    pieces = F.split(F.regexp_replace(plain, F.lit(pattern) if isinstance(pattern, str) else pattern, F.lit(f"{_OPEN}$0{_CLOSE}")), _OPEN)
 
     def added(run: Column, begin: Column) -> Column:
         return F.aggregate(

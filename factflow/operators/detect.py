@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factflow.functions.categories import at_least_medium
-from factflow.functions.text import context_window, cut, regex_matches, staged, with_evidence, with_term_context
+from factflow.functions.text import context_window, cut, let, regex_matches, staged, with_evidence, with_term_context
+from factflow.operators.patterns import holds, pattern_matches
 from factflow.operators.postings import Index, search_many
 from factflow.sources.folders import checkpointed
 
@@ -54,8 +55,6 @@ def passes_context(segment: Column, rule: Rule) -> Column:
 
 Rules = DataFrame | Sequence[Rule]
 RULE_COLUMNS = "rule_id int, slug string, category string, severity string, english_only boolean, context_window int, stale_patterns array<string>, current_patterns array<string>, required_context array<string>, allowed_patterns array<string>"
-_REGEX = r"[\\.^$*+?{}\[\]|()]"
-PER_SCAN = 2000
 
 
 def rule_table(spark: SparkSession, rules: Rules) -> DataFrame:
@@ -66,60 +65,37 @@ def rule_table(spark: SparkSession, rules: Rules) -> DataFrame:
     return spark.createDataFrame(rows, RULE_COLUMNS)
 
 
-def _folded(text: Column) -> Column:
-    """Letters as a case-insensitive pattern sees them."""
-    return F.lower(F.upper(text))
-
-
-def pattern_hits(bodies: DataFrame, patterns: DataFrame) -> DataFrame:
-    """``bodies`` with ``pattern``, a row for each of the different patterns that a text holds, in any case.
-
-    The patterns are configuration: they go to the driver and come back as one constant
-    array per scan of ``PER_SCAN`` patterns. Plain words are looked for in the folded text,
-    which costs one pass over its bytes each; only real expressions are run as such. No
-    page meets a rule whose pattern it lacks.
-    """
-    wanted = [r.pattern for r in patterns.select("pattern").where("pattern <> ''").distinct().orderBy("pattern").collect()]
-    low = staged(bodies, _low=_folded(F.col("body_text")))
-    out = None
-    for lo in range(0, max(1, len(wanted)), PER_SCAN):
-        part = wanted[lo : lo + PER_SCAN]
-        plain = F.lit([p for p in part if not re.search(_REGEX, p)]) if any(not re.search(_REGEX, p) for p in part) else F.array().cast("array<string>")
-        other = F.lit([p for p in part if re.search(_REGEX, p)]) if any(re.search(_REGEX, p) for p in part) else F.array().cast("array<string>")
-        held = F.concat(F.filter(plain, lambda p: F.contains(F.col("_low"), _folded(p))), F.filter(other, lambda p: F.rlike(F.col("body_text"), F.concat(F.lit("(?iu)"), p))))
-        one = low.withColumn("pattern", F.explode(held)).drop("_low")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def _passes(segment: Column, required: Column, allowed: Column) -> Column:
-    holds = lambda some: F.exists(some, lambda p: F.rlike(segment, F.concat(F.lit("(?iu)"), p)))
-    return ((F.size(required) == 0) | holds(required)) & ~holds(allowed)
-
-
 def stale_scan(bodies: DataFrame, rules: Rules, proof: bool = False) -> DataFrame:
     """The first passing hit of each rule on each page: (rule_id, slug, category, severity, url_id, verdict, start, end, value, evidence).
 
     Stale patterns come before current ones, patterns in their order, then offsets. Pages
-    are scanned once for all patterns; a page then meets only the rules whose pattern it
-    holds, in a join on the pattern that is as small as the rule table. Hits are cut out of
-    their text, with the sentence around them if ``proof`` is wanted, before they are shuffled.
+    are read once for all patterns, whatever their number; a page then meets only the rules
+    whose pattern it holds, in a join on the pattern that is as small as the rule table.
+    Hits bring the text around them along, the whole text only if ``proof`` (the sentence
+    that holds the hit) is wanted.
     """
     table = rule_table(bodies.sparkSession, rules)
-    kinds = [table.select("*", F.lit(k).alias("kind"), F.posexplode(c).alias("place", "pattern")).drop("stale_patterns", "current_patterns") for k, c in enumerate(("stale_patterns", "current_patterns"))]
+    lists = {c: F.coalesce(c, F.array().cast("array<string>")) for c in ("required_context", "allowed_patterns")}
+    kinds = [table.withColumns(lists).select("*", F.lit(k).alias("kind"), F.posexplode(c).alias("place", "pattern")).drop("stale_patterns", "current_patterns") for k, c in enumerate(("stale_patterns", "current_patterns"))]
     wanted = kinds[0].unionByName(kinds[1])
-    rows = pattern_hits(bodies.select("url_id", "locale", "body_text"), wanted).join(wanted, "pattern")
+    met = pattern_matches(bodies.select("url_id", "locale", "body_text"), wanted.select("pattern", F.col("context_window").alias("reach")))
+    rows = (met if proof else met.drop("body_text")).join(wanted, "pattern")
     rows = rows.where(~F.coalesce("english_only", F.lit(False)) | F.col("locale").isNull() | (F.col("locale") == "en"))
-    every = regex_matches(F.col("body_text"), F.concat(F.lit("(?iu:"), "pattern", F.lit(")")))
-    rows = staged(rows, _m=every)
-    passing = F.filter("_m", lambda m: _passes(context_window(F.col("body_text"), m["start"], m["end"], F.col("context_window")), F.coalesce("required_context", F.array().cast("array<string>")), F.coalesce("allowed_patterns", F.array().cast("array<string>"))))
-    rows = staged(rows, _hit=F.get(passing, F.lit(0))).where("_hit IS NOT NULL")
+
+    def passes(m: Column) -> Column:
+        begin = F.greatest(m["start"] - F.col("context_window"), F.lit(0)) - m["seg_start"]
+        near = cut(m["seg"], begin, m["end"] + F.col("context_window") - m["seg_start"])
+        return let(near, lambda seg: ((F.size("required_context") == 0) | holds(seg, F.col("required_context"))) & ~holds(seg, F.col("allowed_patterns")))
+
+    free = (F.size("required_context") == 0) & (F.size("allowed_patterns") == 0)
+    hit = F.when(free, F.get("matches", F.lit(0))).otherwise(F.get(F.filter("matches", passes), F.lit(0)))
+    rows = staged(rows, _hit=hit).drop("matches").where("_hit IS NOT NULL")
     if proof:
         rows = with_evidence(rows, "body_text", F.col("_hit.start"), F.col("_hit.end"))
     else:
         rows = rows.withColumn("evidence", F.lit(None).cast("string"))
-    hit = F.struct("kind", "place", "_hit.start", "_hit.end", "_hit.value", "evidence")
-    best = rows.groupBy("rule_id", "slug", "category", "severity", "url_id").agg(F.min(hit).alias("h"))
+    found = F.struct("kind", "place", "_hit.start", "_hit.end", "_hit.value", "evidence")
+    best = rows.groupBy("rule_id", "slug", "category", "severity", "url_id").agg(F.min(found).alias("h"))
     verdict = F.when(F.col("h.kind") == 0, "issue").otherwise("positive")
     return best.select("rule_id", "slug", F.coalesce("category", F.lit("other_mismatch")).alias("category"), "severity", "url_id", verdict.alias("verdict"), "h.start", "h.end", "h.value", "h.evidence")
 
@@ -136,7 +112,9 @@ def claims(bodies: DataFrame, patterns: Mapping[str, Sequence[tuple[str, int]]])
             value = F.regexp_replace(F.trim(m["value"]), "[.,]$", "")
             return F.struct(F.lit(kind).alias("kind"), F.lit(place).alias("pattern"), m["start"].alias("start"), m["end"].alias("end"), value.alias("value"), cut(F.col("body_text"), m["start"], m["end"]).alias("quote"))
 
-        return F.transform(regex_matches(F.col("body_text"), pattern, group), of)
+        # Most texts have none: a plain match is far cheaper than taking the text apart.
+        none = F.array().cast("array<struct<kind:string,pattern:int,start:int,end:int,value:string,quote:string>>")
+        return F.when(F.col("body_text").rlike(pattern), F.transform(regex_matches(F.col("body_text"), pattern, group), of)).otherwise(none)
 
     every = [named(kind, k, p, group) for kind, some in patterns.items() for k, (p, group) in enumerate(some)]
     return bodies.select("url_id", F.explode(F.concat(*every)).alias("m")).select("url_id", "m.*")

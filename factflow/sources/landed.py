@@ -120,7 +120,7 @@ def load_rules(rules: DataFrame, products: DataFrame, product_id: int | None = N
         "rule_type": F.coalesce("rule_type", F.lit("stale")), "context_window": F.coalesce("context_window", F.lit(120)), "severity": F.coalesce("severity", F.lit("medium")),
         "canonical_value": F.when(F.col("rule_type") == "inventory", F.col("correct_value")),
     })
-    return out.join(products.select("product_id", F.col("name").alias("product_name")), "product_id", "left").orderBy("category", "slug")
+    return out.join(products.select("product_id", F.col("name").alias("product_name")), "product_id", "left")
 
 
 def rules_context(rules: DataFrame) -> DataFrame:

@@ -119,6 +119,34 @@ def test_a_thousand_rules_in_one_scan(spark):
     assert K.stale_scan(df, rules[:0]).count() == 0 and K.stale_scan(df.where("false"), rules).count() == 0
 
 
+def test_patterns_match_as_expressions_do(spark, monkeypatch):
+    """Words in one automaton (or several), expressions in alternations, against one expression at a time."""
+    import random
+    import re
+
+    from factflow.operators import patterns
+
+    rng = random.Random(4)
+    words = ["aa", "a a", "ab", "bab", "b", "éa", "ΣΑ", "ß", "Straße", "i", "k", "ab ab", "x" * 30]
+    real = [r"(a)\1", r"b+a", r"a{3,}", r"[ab]é", r"a|xyz", r"\bk\b"]
+    texts = ["".join(rng.choices(["a", "b", " ", "A", "B", "é", "É", "σα", "ΣΑ", "ß", "STRASSE", "straße", "k", "\u212a", "i"], k=rng.randint(0, 40))) for _ in range(60)] + ["", None, "aaaa AAAA", "x" * 95]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, body_text string").repartition(3)
+    asked = spark.createDataFrame([(p, 3) for p in words + real] + [("ab", 1), ("", 9), (None, 2)], "pattern string, reach int")
+    want = {}
+    for k, t in enumerate(texts):
+        for p in words + real:
+            found = [(m.start(), m.end(), m[0], t[max(0, m.start() - 3) : m.end() + 3], max(0, m.start() - 3)) for m in re.finditer(p, t or "", re.I) if p]
+            if found:
+                want[k, p] = found
+    for most in (200_000, 4):
+        monkeypatch.setattr(patterns, "PER_AUTOMATON", most)
+        got = {(r.k, r.pattern): [tuple(m) for m in r.matches] for r in patterns.pattern_matches(df, asked).collect()}
+        assert got == want
+    assert patterns.pattern_matches(df, asked.where("false")).count() == 0 and patterns.pattern_matches(df.where("false"), asked).count() == 0
+    held = df.where("k = 62").select(*[patterns.holds(F.col("body_text"), F.array(F.lit(p))).alias(p) for p in ("AA a", "b", "a{4}", "é")]).first()
+    assert tuple(held) == (True, False, True, False)
+
+
 def test_many_matches_of_one_text(spark):
     import re
 
