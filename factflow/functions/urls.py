@@ -60,3 +60,48 @@ def slug(text: Column, length: int = 48, default: str = "rule") -> Column:
     """Lower case, every other character an underscore, none at the ends, cut; ``default`` if nothing is left."""
     flat = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", "_")
     return F.coalesce(F.nullif(F.left(F.regexp_replace(flat, "^_+|_+$", ""), F.lit(length)), F.lit("")), F.lit(default))
+
+
+#: The parts of a reference: scheme, what follows ``//``, path, query and fragment, each empty or with its mark.
+PARTS = r"^([A-Za-z][A-Za-z0-9+.\-]*:)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
+
+
+def _part(reference: Column, group: int) -> Column:
+    return F.regexp_extract(reference, "(?s)" + PARTS, group)
+
+
+def without_dots(path: Column) -> Column:
+    """A path without its ``.`` and ``..`` segments; ``..`` above the top is dropped."""
+    rooted, parts = path.startswith("/"), F.split(path, "/")
+    last = F.element_at(parts, -1)
+    inner = F.when(rooted, F.slice(parts, F.lit(2), F.size(parts))).otherwise(parts)
+    kept = F.aggregate(
+        inner,
+        F.array().cast("array<string>"),
+        lambda acc, s: F.when(s == ".", acc).when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, s)),
+    )
+    kept = F.when(last.isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept)
+    flat = F.concat(F.when(rooted, "/").otherwise(""), F.array_join(kept, "/"))
+    return F.when(path.rlike(r"(?:^|/)\.\.?(?:/|$)"), flat).otherwise(path)
+
+
+def resolve(base: Column, reference: Column) -> Column:
+    """A reference as it reads on the page ``base``, without its fragment (RFC 3986, section 5.2, not strict).
+
+    White space at the ends of the reference is ignored, and so are an empty query and the
+    page's own scheme before a path; an empty reference names the page itself. References
+    with a scheme or host of their own stay as they are, but for the scheme's case.
+    """
+    ref = F.regexp_replace(reference, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    b_scheme, b_host, b_path, b_query = F.lower(_part(base, 1)), *(_part(base, k) for k in (2, 3, 4))
+    host_, path, query = _part(ref, 2), _part(ref, 3), F.regexp_replace(_part(ref, 4), r"^\?$", "")
+    scheme = F.lower(_part(ref, 1))
+    scheme = F.when((scheme == b_scheme) & (host_ == ""), "").otherwise(scheme)
+    folder = F.when((b_host != "") & (b_path == ""), "/").otherwise(F.regexp_extract(b_path, "(?s)^(.*/)[^/]*$", 1))
+    merged = F.when(path.startswith("/"), path).otherwise(F.concat(folder, path))
+    return (
+        F.when(scheme != "", F.concat(scheme, host_, path, query))
+        .when(host_ != "", F.concat(b_scheme, host_, path, query))
+        .when(path == "", F.concat(b_scheme, b_host, b_path, F.when(query != "", query).otherwise(b_query)))
+        .otherwise(F.concat(b_scheme, b_host, without_dots(merged), query))
+    )

@@ -8,14 +8,15 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factflow.functions.text import clean_author, normalize
+from factflow.functions.text import clean_author, normalize, staged
+from factflow.functions.urls import host, host_excluded, registrable_domain, resolve
 
 # Elements without main text, elements without an end tag.
 DROPPED = {"script", "style", "noscript", "nav", "header", "footer", "form", "svg", "iframe", "aside"}
@@ -65,28 +66,66 @@ class _Node:
         return squeeze("".join(out))
 
 
+# Elements whose start ends an open paragraph, and what an end tag is not looked for behind.
+BLOCKS = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
+SCOPES = {"table", "td", "th", "caption", "template", "object"}
+# Elements that end an open one of their kind, and where the search for it stops.
+_ROWS = {"tbody", "thead", "tfoot"}
+ENDED = {
+    "li": ({"li"}, {"ul", "ol", "menu", "dl"} | SCOPES), "dt": ({"dt", "dd"}, {"dl", "ul", "ol"} | SCOPES), "dd": ({"dt", "dd"}, {"dl", "ul", "ol"} | SCOPES),
+    "option": ({"option"}, {"select", "datalist", "optgroup"}), "optgroup": ({"option", "optgroup"}, {"select"}),
+    "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "tr": ({"tr"}, {"table"} | _ROWS), **dict.fromkeys(_ROWS, (_ROWS | {"tr"}, {"table"})),
+    "rt": ({"rt", "rp"}, {"ruby"}), "rp": ({"rt", "rp"}, {"ruby"}),
+}
+
+
 class _Tree(HTMLParser):
-    """Unclosed elements end with their parent; a stray end tag is ignored."""
+    """Optional end tags are understood, other unclosed elements end with their parent; a stray end tag is ignored.
+
+    A block ends an open paragraph; an item, term, meaning, option, cell or row ends the one
+    before it, in its own list, selection or table.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = _Node("", {})
         self.open = [self.root]
 
+    def _end(self, tags: set[str], stops: set[str]) -> None:
+        """Ends the innermost open element of ``tags`` with all it holds, unless one of ``stops`` is further in; of several kinds the outermost in reach."""
+        found = 0
+        for k in range(len(self.open) - 1, 0, -1):
+            if self.open[k].tag in stops and self.open[k].tag not in tags:
+                break
+            if self.open[k].tag in tags:
+                found = k
+                if len(tags) == 1 or tags <= {"dt", "dd"} or tags <= {"td", "th"}:
+                    break
+        if found:
+            del self.open[found:]
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in BLOCKS:
+            self._end({"p"}, SCOPES | {"button"})
+        if tag in ENDED:
+            self._end(*ENDED[tag])
         node = _Node(tag, {k: v or "" for k, v in attrs})
         self.open[-1].parts.append(node)
         if tag not in VOID:
             self.open.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.open[-1].parts.append(_Node(tag, {k: v or "" for k, v in attrs}))
+        """A slash ends nothing but elements that have no end tag anyway."""
+        self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
+        table = tag in SCOPES or tag in _ROWS or tag == "tr"
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag == tag:
                 del self.open[k:]
                 break
+            if not table and self.open[k].tag in SCOPES:
+                break
 
     def handle_data(self, data: str) -> None:
         self.open[-1].parts.append(data)
@@ -190,6 +229,37 @@ def parts(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
     return pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).mapInPandas(run, SCHEMA)
 
 
+def links(pages: DataFrame, excluded: Sequence[str] = (), heed_base: bool = False, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(page_id, url, link): the different pages of its own domain that each page links to, none on an excluded host.
+
+    Every ``href`` of an ``a`` element counts, read relative to the page's URL, or with
+    ``heed_base`` to the page's ``base`` element; fragments are dropped. The parser gives
+    the attributes, resolution is Column work.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for i, u, h in zip(b["page_id"], b["url"], b["html"], strict=True):
+                tree = _Tree()
+                tree.feed(h or "")
+                tree.close()
+                every = list(tree.root.walk())
+                base = next((n.attrs["href"] for n in every if n.tag == "base" and n.attrs.get("href")), "")
+                rows.append((i, u, base, [n.attrs["href"] for n in every if n.tag == "a" and n.attrs.get("href")]))
+            yield pd.DataFrame(rows, columns=["page_id", "url", "base", "hrefs"])
+
+    kind = pages.schema[id_col].dataType.simpleString()
+    own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    found = own.mapInPandas(run, f"page_id {kind}, url string, base string, hrefs array<string>")
+    at = F.when(F.col("base") != "", resolve(F.col("url"), F.col("base"))).otherwise(F.col("url")) if heed_base else F.col("url")
+    rows = found.select("page_id", "url", at.alias("at"), F.explode("hrefs").alias("href"))
+    rows = rows.select("page_id", "url", resolve(F.col("at"), F.col("href")).alias("link"))
+    rows = staged(rows, _host=host(F.col("link")), _own=host(F.col("url")))
+    rows = rows.where((registrable_domain(F.col("_host")) == registrable_domain(F.col("_own"))) & ~host_excluded(F.col("_host"), excluded))
+    return rows.select("page_id", "url", "link").distinct()
+
+
 def _content(attr: str | None, key: str) -> Column:
     """The content of the first meta element of that name or property."""
     found = F.filter("meta", lambda m: (m["key"] == key) & (m["attr"] == attr if attr else F.lit(True)))

@@ -16,7 +16,7 @@ from factflow.plans.registry import ORACLES, Tables, o, query
 from factflow.plans.scalars import _MARKED, evidence_sql
 from factflow.plans.tables import _JOINED, _LATEST, _VALUES, findings, findings_by_url, recovered
 from factflow.sources import landed as A
-from factflow.sources.folders import scratch
+from factflow.sources.folders import checkpointed, scratch
 from factflow.streaming import sync as P
 
 _RG, _CT = o("registry"), o("catalog")
@@ -245,13 +245,10 @@ def ingest_stats(t: Tables) -> DataFrame:
     return A.ingest_stats(A.sitemap_texts(_sitemaps(t)), "example.com")
 
 
-_OUT = f"(SELECT p.page_id AS src, q.page_id AS dst, regexp_replace(q.url, '#.*$', '') AS node FROM pages p JOIN pages q ON q.page_id IN (2 * p.page_id + 1, 3 * p.page_id + 1) WHERE p.page_id % 7 <> 5 AND {_DOM.format('p.url')} = {_DOM.format('q.url')})"
-
-
-def _outlinks(pages: DataFrame) -> DataFrame:
-    """(page_id, url, link): absolute links to pages of the same domain."""
-    links = pages.select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('href="(https?://[^"#]+)'), F.lit(1))).alias("link"))
-    return links.where(U.registrable_domain(U.host(F.col("link"))) == U.registrable_domain(U.host(F.col("url"))))
+# Links that stand in the pages, all to paths of their own host, and links from page to page laid between them.
+_EXCLUDED = ["example.org"]
+_OWN = "(SELECT DISTINCT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+') || regexp_replace(h, '#.*$', '') AS link, url FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href=\"(/[^/\"][^\"]*)\"', 1)) AS h FROM pages))"
+_OUT = f"(SELECT p.page_id AS src, q.page_id AS dst, regexp_replace(q.url, '#.*$', '') AS node FROM pages p JOIN pages q ON q.page_id IN (2 * p.page_id + 1, 3 * p.page_id + 1) WHERE p.page_id % 7 <> 5 AND {_DOM.format('p.url')} = {_DOM.format('q.url')} UNION ALL SELECT page_id, NULL, link FROM {_OWN})"
 
 
 def _linked(t: Tables) -> DataFrame:
@@ -259,15 +256,18 @@ def _linked(t: Tables) -> DataFrame:
     p = t.pages.select("page_id", "url")
     to = p.where("page_id % 7 <> 5").select("page_id", F.explode(F.array(F.col("page_id") * 2 + 1, F.col("page_id") * 3 + 1)).alias("dst"))
     anchor = to.join(p.select(F.col("page_id").alias("dst"), F.col("url").alias("target")), "dst").select("page_id", F.concat(F.lit('<a href="'), "target", F.lit('">x</a>')).alias("a"))
-    return p.join(anchor.groupBy("page_id").agg(F.array_join(F.collect_list("a"), " ").alias("html")), "page_id", "left").select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    more = anchor.groupBy("page_id").agg(F.array_join(F.collect_list("a"), " ").alias("more"))  # two a page
+    return t.pages.select("page_id", "url", "html").join(more, "page_id", "left").select("page_id", "url", F.concat("html", F.coalesce("more", F.lit(""))).alias("html"))
 
 
-@query("link_bfs", f"WITH RECURSIVE r(id, node, depth) AS (SELECT page_id, regexp_replace(url, '#.*$', ''), 0 FROM pages WHERE page_id = 0 UNION SELECT l.dst, l.node, r.depth + 1 FROM r JOIN {_OUT} l ON l.src = r.id) SELECT node, min(depth) AS depth FROM r GROUP BY node ORDER BY depth, node LIMIT 500")
+@query("link_bfs", f"WITH RECURSIVE r(id, node, depth) AS (SELECT page_id, regexp_replace(url, '#.*$', ''), 0 FROM pages WHERE page_id IN (SELECT min(page_id) FROM pages GROUP BY {_DOM.format('url')}) UNION SELECT l.dst, l.node, r.depth + 1 FROM r JOIN {_OUT} l ON l.src = r.id) SELECT node, min(depth) AS depth FROM r GROUP BY node ORDER BY depth, node LIMIT 500")
 def link_bfs(t: Tables) -> DataFrame:
+    """A crawl of every site, from its first page."""
     pages = _linked(t)
     own = F.regexp_replace("url", "#.*$", "")
-    links = _outlinks(pages).select(own.alias("src"), F.col("link").alias("dst"))
-    return N.discover(links, pages.where("page_id = 0").select(own.alias("node")), 500)
+    links = checkpointed(B.links(pages).select(own.alias("src"), F.col("link").alias("dst")))  # pages are parsed once, not at each depth
+    first = t.pages.groupBy(U.registrable_domain(U.host(F.col("url"))).alias("site")).agg(F.min_by(own, "page_id").alias("node"))
+    return N.discover(links, first.select("node"), 500)
 
 
 _KIDS = "(SELECT p.page_id AS src, q.page_id AS dst FROM pages p JOIN pages q ON q.page_id IN (2 * p.page_id + 1, 3 * p.page_id + 1) WHERE p.page_id % 7 <> 5)"
@@ -455,12 +455,9 @@ def author_extract(t: Tables) -> DataFrame:
     return B.extract(dated).select("page_id", "author")
 
 
-_ABS = "regexp_extract_all(html, 'href=\"(https?://[^\"#]+)', 1)"
-
-
-@query("page_links", f"SELECT DISTINCT page_id, h AS link FROM (SELECT page_id, url, unnest({_ABS}) AS h FROM pages) WHERE {_DOM.format('h')} = {_DOM.format('url')}")
+@query("page_links", f"SELECT page_id, link FROM {_OWN} WHERE NOT regexp_matches(link, '://([^/?#]*[.])?example[.]org([:/?#]|$)')")
 def page_links(t: Tables) -> DataFrame:
-    return _outlinks(t.pages).select("page_id", "link").distinct()
+    return B.links(t.pages, _EXCLUDED).select("page_id", "link")
 
 
 # O: sinks, each written and read again

@@ -84,6 +84,55 @@ def test_pages_with_odd_markup(spark):
     assert [r.body for r in pages.extract(df).collect()] == ["", ""]
 
 
+def test_optional_end_tags():
+    def pairs(html):
+        return [p[:2] for p in pages.page(html)[-1]]
+
+    assert pairs("<dl><dt>Q1<dd>A1<dt>Q2<dd>A2</dl>") == [("Q1", "A1"), ("Q2", "A2")]
+    tree = lambda html: shape(parsed(html).root)
+
+    def parsed(html):
+        t = pages._Tree()
+        t.feed(html)
+        t.close()
+        return t
+
+    def shape(node):
+        inside = "".join(p if isinstance(p, str) else shape(p) for p in node.parts)
+        return f"{node.tag}({inside})" if node.tag else inside
+
+    assert tree("<p>a<p>b<div>c</div>d") == "p(a)p(b)div(c)d"
+    assert tree("<p>a<span>b<ul><li>c<li>d<ul><li>e</ul>f<li>g</ul>h") == "p(aspan(b))ul(li(c)li(dul(li(e))f)li(g))h"
+    assert tree("<table><tr><td>1<td>2<tr><th>3<td><table><tr><td>x</table>4<tbody><tr><td>5</table>6") == "table(tr(td(1)td(2))tr(th(3)td(table(tr(td(x)))4))tbody(tr(td(5))))6"
+    assert tree("<select><option>a<option>b<optgroup><option>c<optgroup><option>d</select>e") == "select(option(a)option(b)optgroup(option(c))optgroup(option(d)))e"
+    assert tree("<div><table><tr><td>a</div>b</table>c</div>d") == "div(table(tr(td(ab)))c)d"
+    assert tree("<button><p>a<div>b</button>c") == "button(p(a)div(b))c"
+    assert tree("<dl><div><dt>a<dd>b</div><dt>c</dl>") == "dl(div(dt(a)dd(b))dt(c))"
+    assert tree("a<br/>b<div/>c</div>d") == "abr()bdiv(c)d"
+
+
+def test_links_resolve_as_browsers_do(spark):
+    from urllib.parse import urljoin
+
+    from factflow.functions.urls import resolve
+
+    bases = ["http://a/b/c/d;p?q", "https://www.x.com", "https://www.x.com/", "https://x.com/a/b/?k=1#f", "http://x.com/a?b/c"]
+    refs = "g:h g ./g g/ /g //g ?y g?y #s g#s g?y#s ;x g;x . ./ .. ../ ../g ../.. ../../ ../../g ../../../g /./g /../g g. .g g.. ..g ./../g ./g/. g/./h g/../h g;x=1/../y g?y/../x g#s/./x http://g/../a //h.com/../x/. mailto:a@b.c tel:1 ? /%C3%A9/é/.. HTTP://B/x http:g http:/g/.. https:?z".split() + ["", "  /sp ace ", "a b"]
+    rows = spark.createDataFrame([(b, r) for b in bases for r in refs], "b string, r string")
+    for x in rows.select("b", "r", resolve(F.col("b"), F.col("r")).alias("x")).collect():
+        assert x.x == urljoin(x.b, x.r.strip()).split("#")[0], (x.b, x.r)
+
+
+def test_links_of_pages(spark):
+    html = """<base href="/deep/er/"><!-- <a href="/no"> --><script>"<a href='/no'>"</script><a href='x?a=1&amp;b=2#f'>1</a><A HREF=../y>2</A><a name=n>3</a><a href="">4</a>
+    <a href="//sub.site.com/z">5</a><a href="https://other.com/">6</a><a href="mailto:a@site.com">7</a><a href="https://admin.site.com/p">8</a><a href="../y#q">9</a>"""
+    df = spark.createDataFrame([(1, "https://www.site.com/a/b", html), (2, "https://site.com/", None), (3, None, html)], "page_id long, url string, html string")
+    top, deep = "https://www.site.com/a/", "https://www.site.com/deep/"
+    assert {tuple(r)[::2] for r in pages.links(df, ["admin.site.com"]).collect()} == {(1, top + "x?a=1&b=2"), (1, "https://www.site.com/y"), (1, "https://sub.site.com/z")}
+    assert {r.link for r in pages.links(df, ["ADMIN.site.com"], heed_base=True).collect()} == {deep + "er/x?a=1&b=2", deep + "y", "https://sub.site.com/z"}
+    assert pages.links(df.where("false")).count() == 0
+
+
 def test_a_thousand_rules_in_one_scan(spark):
     """Patterns of words and real expressions, with contexts, against plain regular expressions."""
     import random
