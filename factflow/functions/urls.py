@@ -90,13 +90,13 @@ def resolve(base: Column, reference: Column) -> Column:
 
     White space at the ends of the reference is ignored, and so are an empty query and the
     page's own scheme before a path; an empty reference names the page itself. References
-    with a scheme or host of their own stay as they are, but for the scheme's case.
+    with a scheme or host of their own stay as they are.
     """
     ref = F.regexp_replace(reference, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
     b_scheme, b_host, b_path, b_query = F.lower(_part(base, 1)), *(_part(base, k) for k in (2, 3, 4))
     host_, path, query = _part(ref, 2), _part(ref, 3), F.regexp_replace(_part(ref, 4), r"^\?$", "")
-    scheme = F.lower(_part(ref, 1))
-    scheme = F.when((scheme == b_scheme) & (host_ == ""), "").otherwise(scheme)
+    own = F.lower(_part(ref, 1)) == b_scheme
+    scheme = F.when(own & (host_ == ""), "").when(own, b_scheme).otherwise(_part(ref, 1))
     folder = F.when((b_host != "") & (b_path == ""), "/").otherwise(F.regexp_extract(b_path, "(?s)^(.*/)[^/]*$", 1))
     merged = F.when(path.startswith("/"), path).otherwise(F.concat(folder, path))
     return (

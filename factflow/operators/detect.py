@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factflow.functions.categories import at_least_medium
-from factflow.functions.text import context_window, cut, let, regex_matches, staged, with_evidence, with_term_context
+from factflow.functions.text import context_snippet, context_window, cut, let, regex_matches, staged, with_evidence, with_term_context
 from factflow.operators.patterns import holds, pattern_matches
 from factflow.operators.postings import Index, search_many
 from factflow.sources.folders import checkpointed
@@ -320,6 +320,26 @@ def stale_findings(bodies: DataFrame, rules: Rules) -> DataFrame:
     return findings_of(stale_scan(bodies, rules, proof=True).where("verdict = 'issue'")).select("url_id", "title", "category", "severity", "matched_value", "evidence")
 
 
+def finding_context(findings: DataFrame, bodies: DataFrame, radius: int = 400) -> DataFrame:
+    """``findings`` (issue_id, url_id, matched_value, evidence) with the text around them and what was found there.
+
+    Looked for on the page are the matched value, then the first 60 characters of the
+    evidence without its ellipses. Where neither stands there, the context is the evidence;
+    without a page text there is none.
+    """
+    needle = F.trim(F.coalesce("matched_value", F.lit("")))
+    probe = F.left(F.trim(F.regexp_replace(F.coalesce("evidence", F.lit("")), "^…+|…+$", "")), F.lit(60))
+    rows = findings.join(bodies.select("url_id", F.col("body_text").alias("_b")), "url_id", "left")
+    rows = staged(rows, _needle=needle, _probe=probe)
+    rows = staged(rows, _m=F.when(F.col("_needle") != "", F.instr("_b", F.col("_needle"))).otherwise(0), _e=F.when(F.col("_probe") != "", F.instr("_b", F.col("_probe"))).otherwise(0))
+    valued = F.col("_m") > 0
+    rows = staged(rows, _at=F.when(valued, F.col("_m")).otherwise(F.col("_e")) - 1, _n=F.char_length(F.when(valued, F.col("_needle")).otherwise(F.col("_probe"))))
+    near = context_snippet(F.col("_b"), F.col("_at"), F.col("_at") + F.col("_n"), radius)
+    context = F.when(F.col("_b").isNull(), None).when(F.col("_at") < 0, F.col("evidence")).otherwise(near)
+    matched = F.when(valued, F.col("_needle")).when(F.col("_e") > 0, F.col("_probe"))
+    return rows.select(*findings.columns, context.alias("context"), matched.alias("matched"))
+
+
 def first_of(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
     """The first ``n`` rows of each key."""
     return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_k") <= n).drop("_k")

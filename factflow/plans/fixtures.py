@@ -177,3 +177,23 @@ def faq_responses(d) -> str:
 SELECT url_id, '{{"items":[{{"quote":"' || CASE WHEN faq_id % 4 = 3 THEN 'never ' ELSE '' END || {quote} || '"' || CASE faq_id % 3 WHEN 0 THEN ',"severity":"low"' WHEN 1 THEN ',"severity":"high"' ELSE '' END
   || CASE WHEN faq_id % 5 = 0 THEN ',"question":""' WHEN faq_id % 5 = 1 THEN '' ELSE ',"question":"' || trim({d.rx_all('substr(question, 1, 50)', '[^A-Za-z0-9 ,.]', '')}) || '"' END || CASE WHEN faq_id % 2 = 0 THEN ',"underlying_category":"free_claim"' ELSE '' END || '}}]}}' AS raw
 FROM ({faqs(d)}) f"""
+
+
+def external_pages(d) -> str:
+    return f"SELECT page_id, CAST(page_id % 3 + 1 AS INT) AS source_id, url FROM {d.t('pages')}"
+
+
+def snippets(d) -> str:
+    return f"SELECT page_id * 10 + k AS snippet_id, page_id, CAST(page_id % 3 + 1 AS INT) AS source_id FROM {d.t('pages')} CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2) n WHERE page_id % 4 <> k"
+
+
+def queries(d) -> str:
+    return f"SELECT doc_id AS query_id, CAST(doc_id % 4 AS INT) AS source_id, 'query ' || source AS query_text FROM {d.t('documents')} WHERE doc_id % 9 = 4"
+
+
+def profiles(d) -> str:
+    return f"SELECT CAST(source_id AS INT) AS source_id, min(url_id) AS profile_id FROM ({urls(d)}) u GROUP BY source_id"
+
+
+def schedules(d) -> str:
+    return f"SELECT user_id AS schedule_id, CAST(user_id % 4 + 1 AS INT) AS source_id, count(*) AS runs FROM {d.t('events')} GROUP BY user_id"

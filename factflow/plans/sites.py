@@ -157,14 +157,6 @@ def apply_actions(t: Tables) -> DataFrame:
     return M.apply_actions(t.fx("issues"), actions, "issue_id").select("issue_id", "status", "deleted_at")
 
 
-@query("delete_project", f"SELECT 'urls' AS part, count(*) AS n FROM {_U} WHERE source_id <> 2 UNION ALL SELECT 'issues', count(*) FROM {_I} WHERE url_id IN (SELECT url_id FROM {_U} WHERE source_id <> 2) UNION ALL SELECT 'matches', count(*) FROM {_M} WHERE url_id IN (SELECT url_id FROM {_U} WHERE source_id <> 2) UNION ALL SELECT 'rules', count(*) FROM {_R} WHERE product_id IS NULL OR product_id IN (SELECT product_id FROM {_P} WHERE source_id <> 2)")
-def delete_project(t: Tables) -> DataFrame:
-    gone, products = t.fx("urls").where("source_id = 2").select("url_id"), t.fx("products").where("source_id = 2").select("product_id")
-    left = {"urls": t.fx("urls").where("source_id <> 2"), "issues": t.fx("issues").join(gone, "url_id", "left_anti"), "matches": t.fx("matches").join(gone, "url_id", "left_anti"), "rules": t.fx("rules").join(products, "product_id", "left_anti")}
-    one = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("part"), "n") for k, df in left.items()]
-    return one[0].unionByName(one[1]).unionByName(one[2]).unionByName(one[3])
-
-
 @query("merge_external_pages", "SELECT source_id, url FROM (SELECT page_id % 3 AS source_id, regexp_replace(url, '[?#].*$', '') AS url FROM pages) GROUP BY ALL")
 def merge_external_pages(t: Tables) -> DataFrame:
     rows = t.pages.select("page_id", (F.col("page_id") % 3).alias("source_id"), F.regexp_replace("url", "[?#].*$", "").alias("url"))
@@ -289,11 +281,26 @@ def sitemap_index_expand(t: Tables) -> DataFrame:
     return A.expanded(docs, docs.where("sitemap = 'sm0'")).select("sitemap", "loc")
 
 
-@query("url_list_scan", "SELECT CASE page_id % 4 WHEN 0 THEN upper(left(url, 4)) || substr(url, 5) ELSE url END AS url FROM pages WHERE page_id % 4 <> 3 AND page_id % 5 <> 0")
+@query("url_list_scan", "SELECT CASE page_id % 4 WHEN 0 THEN upper(left(url, 4)) || substr(url, 5) ELSE url END AS url FROM pages WHERE page_id % 4 <> 3")
 def url_list_scan(t: Tables) -> DataFrame:
+    """A list of lines; every fourth one is a comment."""
     k = F.col("page_id")
-    line = F.when(k % 4 == 0, F.concat(F.lit("  "), F.upper(F.left("url", F.lit(4))), F.substring("url", 5, 10000), F.lit("  "))).when(k % 4 == 3, F.concat(F.lit("# "), "url")).otherwise(F.col("url"))
-    return A.url_list(t.pages.where("page_id % 5 <> 0").select(line.alias("value")))
+    line = F.when(k % 4 == 0, F.concat(F.lit("  "), F.upper(F.left("url", F.lit(4))), F.expr("substring(url, 5)"), F.lit("  "))).when(k % 4 == 3, F.concat(F.lit("# "), "url")).otherwise(F.col("url"))
+    return A.url_list(t.pages.select(line.alias("value")))
+
+
+@query("url_list_csv", "SELECT CASE page_id % 5 WHEN 1 THEN url || ',x' WHEN 2 THEN url || '\"q\"' ELSE url END AS url FROM pages WHERE page_id % 5 <> 4")
+def url_list_csv(t: Tables) -> DataFrame:
+    """The first cells of comma-separated lines, some quoted, with commas and doubled quotes inside."""
+    k, q = F.col("page_id") % 5, F.lit('"')
+    line = (
+        F.when(k == 0, F.concat(q, F.lit(" "), "url", q, F.lit(',"other, cell"')))
+        .when(k == 1, F.concat(q, "url", F.lit(',x",1,2')))
+        .when(k == 2, F.concat(q, "url", F.lit('""q"""')))
+        .when(k == 3, F.concat("url", F.lit(",,")))
+        .otherwise(F.concat(F.lit("name,"), "url"))
+    )
+    return A.url_list(t.pages.select(line.alias("value")), csv=True)
 
 
 @query("robots_sitemaps", "SELECT page_id, url || '.xml' AS sitemap FROM pages WHERE page_id % 2 = 0")

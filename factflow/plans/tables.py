@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factflow.functions.categories import INTERNAL, severity_rank
+from factflow.operators import cascade as D
+from factflow.operators import detect as K
 from factflow.operators import filters as E
 from factflow.operators import snapshots as S
 from factflow.operators.detect import first_of
@@ -79,9 +81,9 @@ def ranked(rows: DataFrame, n: int) -> DataFrame:
     return rows.orderBy(severity_rank(F.col("severity")), "url", "issue_id").limit(n)
 
 
-@query("findings_model", f"SELECT issue_id, url, severity FROM {_JOINED} WHERE deleted_at IS NULL AND status = 'open' AND (category = 'faq' OR category = 'positioning') ORDER BY {_RANK}, url, issue_id LIMIT 50")
+@query("findings_model", f"SELECT issue_id, url, severity FROM {_JOINED} WHERE deleted_at IS NULL AND status = 'open' AND (category = 'free_claim' OR category = 'database_size') ORDER BY {_RANK}, url, issue_id LIMIT 50")
 def findings_model(t: Tables) -> DataFrame:
-    model = {"groups": [{"mode": "any", "field": "category", "values": ["faq", "positioning"]}]}
+    model = {"groups": [{"mode": "any", "field": "category", "values": ["free_claim", "database_size"]}]}
     return ranked(findings(t).where(F.col("deleted_at").isNull() & (F.col("status") == "open") & E.compile_model(model, E.FINDINGS)), 50).select("issue_id", "url", "severity")
 
 
@@ -197,12 +199,19 @@ def faq_groups(t: Tables) -> DataFrame:
     return g.select("url_id", F.size("q").cast("long").alias("n"), F.md5(F.array_join(F.transform("q", lambda x: F.concat(x["question"], F.lit("="), x["answer"])), "|").cast("binary")).alias("h"))
 
 
-@query("finding_context", f"""SELECT issue_id, CASE WHEN p > 0 THEN 'at ' || p ELSE evidence END AS context FROM (SELECT issue_id, evidence, coalesce(nullif(instr(b, matched_value), 0), nullif(instr(b, left(evidence, 60)), 0), 0) AS p
-FROM {_I} i LEFT JOIN (SELECT url_id, body_text AS b FROM {_LATEST} WHERE coalesce(body_text, '') <> '') l USING (url_id) WHERE deleted_at IS NULL)""")
+# The text around a finding: its value, or how its evidence begins, on the page's newest text.
+_FOUND_AT = f"""(SELECT *, CASE WHEN m > 0 THEN m - 1 ELSE e - 1 END AS at_, CASE WHEN m > 0 THEN length(needle) ELSE length(probe) END AS w, length(b) AS n FROM (
+SELECT *, CASE WHEN needle = '' THEN 0 ELSE instr(b, needle) END AS m, CASE WHEN probe = '' THEN 0 ELSE instr(b, probe) END AS e FROM (
+SELECT issue_id, evidence, b, coalesce(trim(matched_value), '') AS needle, left(trim(trim(coalesce(evidence, ''), '…')), 60) AS probe FROM {_I} i LEFT JOIN (SELECT url_id, body_text AS b FROM {_LATEST} WHERE coalesce(body_text, '') <> '') l USING (url_id) WHERE deleted_at IS NULL) f0) f1)"""
+_AROUND_400 = f"(SELECT *, substr(b, lo + 1, hi - lo) AS s FROM (SELECT *, greatest(at_ - 400, 0) AS lo, least(at_ + w + 400, n) AS hi FROM {_FOUND_AT}) f2)"
+
+
+@query("finding_context", f"""SELECT issue_id, CASE WHEN b IS NULL THEN NULL WHEN m = 0 AND e = 0 THEN evidence ELSE trim((CASE WHEN lo > 0 THEN '…' ELSE '' END)
+|| regexp_replace(CASE WHEN lo > 0 THEN regexp_replace(s, '^[^ ]* ', '') ELSE s END, CASE WHEN hi < n THEN ' [^ ]*$' ELSE '$' END, '') || (CASE WHEN hi < n THEN '…' ELSE '' END)) END AS context,
+CASE WHEN m > 0 THEN needle WHEN e > 0 THEN probe END AS matched FROM {_AROUND_400}""")
 def finding_context(t: Tables) -> DataFrame:
-    b = S.readable(t.fx("crawls")).select("url_id", F.col("body_text").alias("b"))
-    at = F.coalesce(*[F.nullif(F.expr(x), F.lit(0)) for x in ("instr(b, matched_value)", "instr(b, left(evidence, 60))")], F.lit(0))
-    return t.fx("issues").where("deleted_at IS NULL").join(b, "url_id", "left").withColumn("p", at).select("issue_id", F.when(F.col("p") > 0, F.concat(F.lit("at "), "p")).otherwise(F.col("evidence")).alias("context"))
+    own = t.fx("issues").where("deleted_at IS NULL").select("issue_id", "url_id", "matched_value", "evidence")
+    return K.finding_context(own, S.readable(t.fx("crawls")).select("url_id", "body_text")).select("issue_id", "context", "matched")
 
 
 _VALUES = f"(SELECT url_id, coalesce(evidence, '') AS e, min(matched_value) AS v FROM {_M} WHERE matched_value <> '' GROUP BY 1, 2)"
@@ -347,13 +356,47 @@ def verdict_counts(t: Tables) -> DataFrame:
     return t.fx("external").groupBy(F.coalesce("verdict", F.lit("unclear")).alias("verdict")).agg(F.count("*").alias("n"))
 
 
-@query("delete_summary", f"SELECT 'urls' AS part, count(*) AS n FROM {_U} WHERE source_id = 1 UNION ALL SELECT 'issues', count(*) FROM {_I} WHERE source_id = 1 UNION ALL SELECT 'external', count(*) FROM {_X} WHERE source_id = 1 UNION ALL SELECT 'matches', count(*) FROM {_M} JOIN {_U} u USING (url_id) WHERE u.source_id = 1")
+# A project and all that hangs on it.
+PROJECT_ROWS = {"sources": "source_id", "products": "product_id", "urls": "url_id", "rules": "rule_id", "matches": "write_seq", "faqs": "faq_id", "crawls": "crawl_id", "issues": "issue_id", "external": "finding_id", "snippets": "snippet_id", "external_pages": "page_id", "profiles": "profile_id", "queries": "query_id", "jobs": "job_id", "schedules": "schedule_id"}
+
+
+def project_tables(t: Tables) -> dict[str, DataFrame]:
+    return {"sources": sources(t), **{n: t.fx(n) for n in PROJECT_ROWS if n != "sources"}}
+
+
+def project_sql(gone: int) -> tuple[dict[str, str], dict[str, str]]:
+    """(what stays, what goes) of each table, in the checking SQL's own way."""
+    of = {n: o(n) for n in PROJECT_ROWS if n != "sources"} | {"sources": f"(SELECT * FROM {_SRC})"}
+    hit = {n: f"source_id = {gone}" for n in PROJECT_ROWS}
+    hit["rules"] = f"product_id IN (SELECT product_id FROM {of['products']} WHERE source_id = {gone})"
+    pages = f"url_id IN (SELECT url_id FROM {of['urls']} WHERE source_id = {gone})"
+    hit |= {"faqs": pages, "crawls": pages, "matches": f"({pages} OR rule_id IN (SELECT rule_id FROM {of['rules']} WHERE {hit['rules']}))"}
+    return ({n: f"(SELECT * FROM {of[n]} WHERE NOT coalesce({hit[n]}, false))" for n in PROJECT_ROWS}, {n: f"(SELECT * FROM {of[n]} WHERE {hit[n]})" for n in PROJECT_ROWS})
+
+
+_, _GONE = project_sql(1)
+_KEPT, _ = project_sql(2)
+
+
+@query("delete_summary", f"""SELECT (SELECT brand FROM {_SRC} WHERE source_id = 1) AS name, (SELECT count(*) FROM {_GONE['urls']}) AS pages, (SELECT count(*) FROM {_M} JOIN {_U} u USING (url_id) WHERE u.source_id = 1) AS matches,
+(SELECT count(*) FROM {_GONE['issues']}) + (SELECT count(*) FROM {_GONE['external']}) AS findings, (SELECT count(*) FROM {_GONE['rules']}) AS rules, (SELECT count(*) FROM {_GONE['external_pages']}) AS external, (SELECT count(*) FROM {_GONE['jobs']}) AS jobs, (SELECT count(*) FROM {_GONE['schedules']}) AS schedules""")
 def delete_summary(t: Tables) -> DataFrame:
-    u = t.fx("urls").where("source_id = 1")
-    parts = {"urls": u, "issues": t.fx("issues").where("source_id = 1"), "external": t.fx("external").where("source_id = 1"), "matches": t.fx("matches").join(u.select("url_id"), "url_id", "left_semi")}
+    """What the deletion of a project would take, as it is shown before: verdicts count by page alone."""
+    _, gone = D.delete(project_tables(t), "sources", F.col("source_id") == 1)
+    paged = t.fx("matches").join(gone["urls"].select("url_id"), "url_id", "left_semi")
+    n = D.counts({"pages": gone["urls"], "matches": paged, "issues": gone["issues"], "found": gone["external"], "rules": gone["rules"], "external": gone["external_pages"], "jobs": gone["jobs"], "schedules": gone["schedules"]})
+    part = lambda p: F.max(F.when(F.col("part") == p, F.col("n")))
+    row = n.agg(*[part(p).alias(p) for p in ("pages", "matches")], (part("issues") + part("found")).alias("findings"), *[part(p).alias(p) for p in ("rules", "external", "jobs", "schedules")])
+    return sources(t).where("source_id = 1").select(F.coalesce("brand", "location").alias("name")).join(row)  # two single rows
+
+
+@query("delete_project", " UNION ALL ".join(f"SELECT '{n}' AS part, CAST({k} AS BIGINT) AS id FROM {_KEPT[n]}" for n, k in PROJECT_ROWS.items()))
+def delete_project(t: Tables) -> DataFrame:
+    """The rows of every table that stay when a project goes."""
+    left, _ = D.delete(project_tables(t), "sources", F.col("source_id") == 2)
     out = None
-    for name, df in parts.items():
-        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
+    for n, k in PROJECT_ROWS.items():
+        one = left[n].select(F.lit(n).alias("part"), F.col(k).cast("long").alias("id"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -368,11 +411,11 @@ def external_by_domain(t: Tables) -> DataFrame:
     return t.fx("external").where("status = 'open' AND deleted_at IS NULL").groupBy(F.coalesce("domain", F.lit("?")).alias("domain")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "domain")
 
 
-@query("orphan_check", f"SELECT 'matches' AS part, count(*) AS n FROM {_M} WHERE url_id NOT IN (SELECT url_id FROM {_U} WHERE source_id <> 1) UNION ALL SELECT 'issues', count(*) FROM {_I} WHERE url_id NOT IN (SELECT url_id FROM {_U} WHERE source_id <> 1)")
+@query("orphan_check", " UNION ALL ".join(f"SELECT '{k.child}.{k.column}' AS part, count(*) AS n FROM {_KEPT[k.child]} WHERE {k.column} IS NOT NULL AND {k.column} NOT IN (SELECT {k.parent_column} FROM {_KEPT[k.parent]})" for k in D.KEYS))
 def orphan_check(t: Tables) -> DataFrame:
-    left = t.fx("urls").where("source_id <> 1").select("url_id")
-    one = [t.fx(n).join(left, "url_id", "left_anti").agg(F.count("*").alias("n")).select(F.lit(n).alias("part"), "n") for n in ("matches", "issues")]
-    return one[0].unionByName(one[1])
+    """After a project went: rows of every key that name a parent that is not there. Some of these tables name sources that never were."""
+    left, _ = D.delete(project_tables(t), "sources", F.col("source_id") == 2)
+    return D.orphans(left)
 
 
 @query("usage_cost", "SELECT model, count(*) AS calls, sum(n_chars) AS tokens, round(sum(n_chars * price), 6) AS spend FROM (SELECT n_chars, CASE doc_id % 2 WHEN 0 THEN 'fast' ELSE 'deep' END AS model FROM documents) d JOIN (VALUES ('fast', CAST(0.000001 AS DOUBLE)), ('deep', CAST(0.00001 AS DOUBLE))) p(model, price) USING (model) GROUP BY model")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factflow.functions.text import json_strings
+from factflow.functions.text import SPACE, json_strings
 from factflow.functions.urls import host, registrable_domain
 from factflow.operators import graph
 
@@ -99,9 +99,9 @@ def expanded(docs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def url_list(lines: DataFrame, column: str = "value", csv: bool = False) -> DataFrame:
-    """URLs of a list: the first cell, or the whole line, that starts with http; comments and blanks are skipped."""
-    cell = F.trim(F.split(column, ",")[0]) if csv else F.trim(column)
-    return lines.select(F.trim(F.regexp_replace(cell, '^"|"$', "")).alias("url")).where(F.lower("url").startswith("http"))
+    """URLs of a list: of each line, or with ``csv`` of its first cell (quotes understood), what starts with http; comments and blanks are skipped."""
+    first = F.from_csv(F.col(column), F.lit("url string"), {"escape": '"', "mode": "PERMISSIVE"})["url"] if csv else F.col(column)
+    return lines.select(F.regexp_replace(first, rf"^{SPACE}+|{SPACE}+$", "").alias("url")).where(F.lower("url").startswith("http"))
 
 
 def robots_sitemaps(texts: DataFrame, column: str) -> DataFrame:

@@ -72,8 +72,9 @@ def test_sitemaps_and_lists(spark, tmp_path):
     assert [tuple(r) for r in landed.sitemap_files(spark, str(tmp_path)).collect()] == [("http://a/", None, ["http://b/"])]
     texts = spark.createDataFrame([(1, xml), (2, "<broken"), (3, None)], "k int, xml string")
     assert [tuple(r) for r in landed.sitemap_texts(texts).collect()] == [(1, "http://a/", None, ["http://b/"])]
-    lines = spark.createDataFrame([("# http://c",), (" HTTP://d ",), ('"http://e",1',), ("",)], "value string")
-    assert [r.url for r in landed.url_list(lines, csv=True).collect()] == ["HTTP://d", "http://e"]
+    lines = spark.createDataFrame([("# http://c",), (" HTTP://d ",), ('"http://e",1',), ("",), (None,), ('" http://f,""g"" ",x,y',), ("x,http://h",)], "value string")
+    assert [r.url for r in landed.url_list(lines, csv=True).collect()] == ["HTTP://d", "http://e", 'http://f,"g"']
+    assert [r.url for r in landed.url_list(lines).collect()] == ["HTTP://d"]
 
 
 def test_pages_with_odd_markup(spark):
@@ -84,6 +85,30 @@ def test_pages_with_odd_markup(spark):
     assert [r.body for r in pages.extract(df).collect()] == ["", ""]
 
 
+def test_deletion_takes_all_that_hangs_on_a_row(spark):
+    import pytest as pt
+
+    from factflow.operators import cascade as D
+
+    keys = (D.Key("page", "site", "site", "id"), D.Key("rule", "site", "site", "id"), D.Key("hit", "page", "page", "id"), D.Key("hit", "rule", "rule", "id"), D.Key("note", "hit", "hit", "id"))
+    assert D.parents_first(keys) == ["site", "page", "rule", "hit", "note"]
+    with pt.raises(ValueError):
+        D.parents_first([D.Key("a", "b", "b", "id"), D.Key("b", "a", "a", "id")])
+    make = lambda rows, cols: spark.createDataFrame(rows, cols)
+    tables = {
+        "site": make([(1, "x"), (2, "y"), (None, "z")], "id int, name string"), "page": make([(10, 1), (11, 2), (12, None), (13, 9)], "id int, site int"), "rule": make([(20, 1), (21, None)], "id int, site int"),
+        "hit": make([(30, 10, 20), (31, 11, 20), (32, 11, 21), (33, 12, None), (34, 10, 21), (35, 99, None)], "id int, page int, rule int"), "note": make([(40, 30), (41, 31), (42, 32), (43, None), (44, 34)], "id int, hit int"), "other": make([(1,)], "id int"),
+    }
+    left, gone = D.delete(tables, "site", F.col("id") == 1, keys)
+    ids = lambda some: {n: sorted(r.id for r in df.collect() if r.id is not None) for n, df in some.items()}
+    assert ids(gone) == {"site": [1], "page": [10], "rule": [20], "hit": [30, 31, 34], "note": [40, 41, 44]}
+    assert ids(left) == {"site": [2], "page": [11, 12, 13], "rule": [21], "hit": [32, 33, 35], "note": [42, 43]}
+    assert left["site"].count() == 2
+    assert {r.part: r.n for r in D.orphans(left, keys).collect()} == {"page.site": 1, "rule.site": 0, "hit.page": 1, "hit.rule": 0, "note.hit": 0}
+    same, none = D.delete(tables, "site", F.col("id") == 7, keys)
+    assert not any(ids(none).values()) and {n: len(v) for n, v in ids(same).items()} == {"site": 2, "page": 4, "rule": 2, "hit": 6, "note": 5}
+
+
 def test_optional_end_tags():
     def pairs(html):
         return [p[:2] for p in pages.page(html)[-1]]
