@@ -52,7 +52,7 @@ def merge_findings(old: DataFrame, new: DataFrame) -> DataFrame:
     keep = o.isNotNull() & (n.isNull() | F.col("o.status").isin(*KEPT_STATUSES) | (deleted & F.coalesce(same, F.lit(False))))
     status = F.when(keep, F.col("o.status")).otherwise(F.col("n.status"))
     lifted = F.when(n.isNotNull() & F.coalesce(~same, F.lit(False)), F.lit(None)).otherwise(F.col("o.deleted_at"))
-    fresh = {c: F.when(n.isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")) for c in ("severity", "detail", "evidence", "expected", "matched_value", "last_checked_at")}
+    fresh = {c: F.when(n.isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")) for c in ("severity", "detail", "evidence", "expected", "matched_value", "last_checked_at", "detected_at", "detection_method", "product_id") if c in old.columns and c in last.columns}
     return merge(old, last, FINDING_KEY, {"status": status, "deleted_at": lifted, **fresh})
 
 

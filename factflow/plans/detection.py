@@ -54,6 +54,7 @@ def stale_findings(t: Tables) -> DataFrame:
 
 # Counts of languages, regulations and countries as they are claimed.
 _LANG, _REG, _COUNTRY = r"(\d{1,3})\s*(?:\+\s*)?(?:different\s+)?languages\b", r"(\d{1,3})\s*(?:\+\s*)?regulations\b", r"(\d{1,3})\s*countries\b"
+CLAIMED = {"languages": [(_LANG, 1)], "countries": [(_COUNTRY, 1)], "regulations": [(_REG, 1)]}
 _WORDS = (("languages", "languages"), ("countries", "countries"), ("regulations", "regulations"))
 _FOUND = " UNION ALL ".join(
     f"SELECT url_id, '{kind}' AS kind, source_id, unnest(regexp_extract_all(body_text, '([0-9]{{1,3}}) {word}', 1)) AS value, unnest(regexp_extract_all(body_text, '[0-9]{{1,3}} {word}')) AS quote, generate_subscripts(regexp_extract_all(body_text, '([0-9]{{1,3}}) {word}', 1), 1) AS nth FROM {_B}"
@@ -62,7 +63,7 @@ _FOUND = " UNION ALL ".join(
 
 
 def claims_found(t: Tables) -> DataFrame:
-    return K.claims(t.fx("claims"), {"languages": [(_LANG, 1)], "countries": [(_COUNTRY, 1)], "regulations": [(_REG, 1)]})
+    return K.claims(t.fx("claims"), CLAIMED)
 
 
 @query("claim_inventory", f"SELECT kind, value, count(*) AS frequency, count(DISTINCT url_id) AS pages, min(url_id) AS example_url_id, arg_min(quote, url_id * 1000 + nth) AS example_quote FROM ({_FOUND}) GROUP BY kind, value")
@@ -112,6 +113,8 @@ def consistency_findings(t: Tables) -> DataFrame:
 
 
 _DOC, _PLAT = r"(?i)\bdocument", r"(?i)\bplatform\b"
+LANGUAGE_CONTEXTS = (("product", "(?i)atlas", "", "12"), ("documents", _DOC, _PLAT, "31"), ("platform", _PLAT, _DOC, "29"))
+REGULATION_CONTEXTS = (("platform", _PLAT, "", "102"), ("any", "", "", "91"))
 
 
 def _judged(word: str, radius: int, cases: str) -> str:
@@ -131,12 +134,12 @@ _RSQL = _judged(" regulations", 160, f"CASE WHEN {_HASPLAT} THEN 'platform' ELSE
 
 @query("context_counts", _LSQL)
 def context_counts(t: Tables) -> DataFrame:
-    return K.context_counts(t.fx("claims"), _LANG, 1, [("product", "(?i)atlas", "", "12"), ("documents", _DOC, _PLAT, "31"), ("platform", _PLAT, _DOC, "29")])
+    return K.context_counts(t.fx("claims"), _LANG, 1, LANGUAGE_CONTEXTS)
 
 
 @query("context_counts_2", _RSQL)
 def context_counts_2(t: Tables) -> DataFrame:
-    return K.context_counts(t.fx("claims"), _REG, 1, [("platform", _PLAT, "", "102"), ("any", "", "", "91")])
+    return K.context_counts(t.fx("claims"), _REG, 1, REGULATION_CONTEXTS)
 
 
 def _count_findings(sql: str, prefix: str) -> str:

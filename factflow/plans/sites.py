@@ -11,12 +11,14 @@ from factflow.operators import graph as N
 from factflow.operators import pages as B
 from factflow.operators import snapshots as S
 from factflow.operators import state as M
+from factflow.plans import detection as T
 from factflow.plans.detection import _FOUND, _SCAN, claim_inventory, claims_found, stale_rules
 from factflow.plans.registry import ORACLES, Tables, o, query
 from factflow.plans.scalars import _MARKED, evidence_sql
 from factflow.plans.tables import _JOINED, _LATEST, _VALUES, findings, findings_by_url, recovered
 from factflow.sources import landed as A
 from factflow.sources.folders import checkpointed, scratch
+from factflow.streaming import site as Y
 from factflow.streaming import sync as P
 
 _RG, _CT = o("registry"), o("catalog")
@@ -594,3 +596,57 @@ def sync_metrics(t: Tables) -> DataFrame:
     state = scratch(t.spark, "sync")
     P.sync(t.spark, _landed(t), state, stale_rules(t))
     return P.metrics(t.spark, state)
+
+
+# The whole sync: raw pages in two versions, all detectors, findings of an earlier run.
+def _raw(t: Tables) -> str:
+    path = scratch(t.spark, "landing")
+    shown = F.replace(F.replace("body_text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    own = t.fx("claims").select("url_id", "locale", F.concat(F.lit("<title>t</title><nav>of the license</nav><main><p>"), shown, F.lit("<script>of the</script></main>")).alias("html"), F.lit(1).cast("long").alias("version"))
+    old = own.withColumn("html", F.when(F.col("url_id") % 6 != 0, "<p>a list of the 30 languages and of the 95 regulations")).withColumn("version", F.lit(0).cast("long"))
+    old.unionByName(own).repartition(4).write.parquet(path)
+    return path
+
+
+def _detectors(t: Tables) -> Y.Detectors:
+    rules = A.load_rules(t.fx("rules"), t.fx("products")).where("canonical_value IS NOT NULL")
+    canonical = rules.select(F.col("slug").alias("kind"), "rule_id", F.col("canonical_value").alias("canonical"), "category")
+    counts = (Y.Counts(4, "lang", "language_count", T._LANG, 1, T.LANGUAGE_CONTEXTS), Y.Counts(102, "reg", "regulation_count", T._REG, 1, T.REGULATION_CONTEXTS))
+    return Y.Detectors(stale_rules(t), T.CLAIMED, canonical, counts, [("closed:regulations", "feature_claim", "(?i)atlas")])
+
+
+def _earlier(t: Tables) -> DataFrame:
+    """Findings of an earlier run, some of which a person ignored."""
+    k = F.col("doc_id")
+    null = lambda kind="string": F.lit(None).cast(kind)
+    return t.documents.where("doc_id % 10 IN (3, 4)").select(k.alias("url_id"), F.lit("other_mismatch").alias("category"), F.lit("of_the:stale").alias("title"), F.lit(0).cast("long").alias("related_url_id"), F.lit("low").alias("severity"), null().alias("detail"), F.lit("old").alias("evidence"), null().alias("expected"), F.lit("old").alias("matched_value"), F.lit("regex").alias("detection_method"), F.lit("2024-01-01").alias("detected_at"), F.when(k % 4 == 0, "ignored").otherwise("open").alias("status"), null().alias("last_checked_at"), null().alias("deleted_at"))
+
+
+def _synced(t: Tables) -> tuple[DataFrame, DataFrame]:
+    state, detectors = scratch(t.spark, "site"), _detectors(t)
+    Y.ingest(t.spark, _raw(t), state, detectors, files=2)
+    return Y.finish(t.spark, state, detectors, "2024-06-01", _earlier(t))
+
+
+_KIND_RULES = "(VALUES ('languages', 4, 'language_count'), ('countries', 5, 'other_mismatch')) kr(kind, rule_id, category)"
+
+
+@query("site_verdicts", f"""SELECT rule_id, url_id, verdict, matched_value FROM (
+SELECT rule_id, url_id, verdict, lower(matched) AS matched_value, 0 AS rank, 0 AS seq FROM ({_SCAN}) UNION ALL SELECT rule_id, url_id, verdict, value, 1, 0 FROM ({T._CONSISTENT}) JOIN {_KIND_RULES} USING (kind)
+UNION ALL SELECT 4, url_id, verdict, number, 2, start FROM ({T._LSQL}) UNION ALL SELECT 102, url_id, verdict, number, 2, start FROM ({T._RSQL})) QUALIFY row_number() OVER (PARTITION BY rule_id, url_id ORDER BY rank DESC, seq DESC) = 1""")
+def site_verdicts(t: Tables) -> DataFrame:
+    """Verdicts of all detectors after a sync of raw pages, the last write of each rule and page."""
+    return _synced(t)[0].select("rule_id", "url_id", "verdict", F.lower("matched_value").alias("matched_value"))
+
+
+_WRITTEN = f"""(SELECT url_id, slug || ':stale' AS title, category, severity, 'open' AS status, lower(matched) AS matched_value FROM ({_SCAN}) WHERE verdict = 'issue'
+UNION ALL SELECT url_id, kind || ':inconsistent', category, 'high', 'open', value FROM ({T._CONSISTENT}) JOIN {_KIND_RULES} USING (kind) WHERE verdict = 'issue'
+UNION ALL SELECT url_id, title, 'language_count', severity, status, matched_value FROM ({T._count_findings(T._LSQL, 'lang')}) UNION ALL SELECT url_id, title, 'regulation_count', severity, status, matched_value FROM ({T._count_findings(T._RSQL, 'reg')})
+UNION ALL SELECT url_id, 'closed:regulations', 'feature_claim', 'high', 'open', lower(arg_max(matched_value, start)) FROM ({ORACLES['forbidden_claims']}) GROUP BY url_id)"""
+
+
+@query("site_findings", f"""SELECT url_id, title, category, coalesce(n.severity, o.severity) AS severity, CASE WHEN o.status = 'ignored' THEN 'ignored' WHEN n.url_id IS NULL THEN 'fixed' ELSE n.status END AS status, coalesce(n.matched_value, o.matched_value) AS matched_value
+FROM {_WRITTEN} n FULL JOIN (SELECT doc_id AS url_id, 'other_mismatch' AS category, 'of_the:stale' AS title, 'low' AS severity, CASE WHEN doc_id % 4 = 0 THEN 'ignored' ELSE 'open' END AS status, 'old' AS matched_value FROM documents WHERE doc_id % 10 IN (3, 4)) o USING (url_id, title, category)""")
+def site_findings(t: Tables) -> DataFrame:
+    """The findings table after the sync: written again, new, fixed, or left as a person decided."""
+    return _synced(t)[1].select("url_id", "title", "category", "severity", "status", F.lower("matched_value").alias("matched_value"))
