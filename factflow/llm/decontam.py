@@ -4,12 +4,15 @@ Texts are cut into tokens. Numbers, names (capitalised inside a sentence) and un
 typed placeholders, everything else is lower-cased; punctuation and spacing do not count.
 Windows of ``WIDTH`` tokens of the benchmark are hash-joined with those of the documents
 under two keys: the lower-cased words themselves, so that a verbatim copy is found whatever
-its case, its place in a sentence and its number of slots, and the template, for windows of
-1 to ``MOST_SLOTS`` slots. Matches of one document, one item and one shift form an
+its case, its place in a sentence and its number of slots, and the template, for windows
+with slots and at least one word. Matches of one document, one item and one shift form an
 instance. An instance is consistent if equal slot values of the item stand for equal values
 in the document, so a question asked with other numbers or names is found, and a chance
 mixture is not; of an inconsistent one only the verbatim windows count. A document is
 contaminated by an item if its instances cover at least ``COVER`` of the item's tokens.
+
+Items of 2 to ``SHORTEST`` - 1 tokens, and items of nothing but slots, say too little for
+that. They are found where they stand word for word from end to end, and marked as short.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from factflow.llm import vectext as V
 from factflow.llm.shared import renamed, written
 
-WIDTH, SHORTEST, MOST_SLOTS, COVER, BROADCAST_ROWS = 8, 5, 3, 0.6, 500_000
+WIDTH, SHORTEST, COVER, BROADCAST_ROWS = 8, 5, 0.6, 500_000
 # Unit words.
 UNITS = (
     "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ounce ounces pound pounds ton tons ml l litre litres liter liters "
@@ -132,25 +135,25 @@ def _rows(ids: pa.Array, of: np.ndarray, at: np.ndarray, w: np.ndarray, first: n
 
 
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of items: of ``WIDTH`` tokens, or the whole of a shorter item; by template only with 1 to ``MOST_SLOTS`` slots."""
+    """Windows of items: of ``WIDTH`` tokens, or the whole of a shorter item; by template only with slots and words, and only of items that are not short."""
     for b in batches:
         bounds, template, plain, slot = tokens(b.column("text"))
         size = np.diff(bounds)
         text = np.repeat(np.arange(len(size)), size)
         many = np.concatenate(([0], np.cumsum(slot)))
-        worded = many[bounds[1:]] - many[bounds[:-1]] < size
-        for width in range(SHORTEST, WIDTH + 1):
+        short = (size < SHORTEST) | (many[bounds[1:]] - many[bounds[:-1]] == size)
+        for width in range(2, WIDTH + 1):
             for verbatim in (True, False):
                 first, w = _windows(width, plain if verbatim else template, text, verbatim)
                 of = text[first]
-                ok = worded[of] & ((size[of] >= WIDTH) if width == WIDTH else (size[of] == width))
+                ok = (size[of] >= WIDTH) if width == WIDTH else (size[of] == width)
                 if not verbatim:
                     held = many[first + width] - many[first]
-                    ok &= (held > 0) & (held <= MOST_SLOTS)
+                    ok &= (held > 0) & (held < width) & ~short[of]
                 of, first, w = of[ok], first[ok], w[ok]
                 rows = _rows(b.column("id"), of, first - bounds[of], w, first, width, plain, slot)
-                more = [pa.array(np.full(len(of), width)), pa.array(size[of]), pa.array(np.full(len(of), verbatim))]
-                yield pa.RecordBatch.from_arrays([*rows.columns, *more], names=[*rows.schema.names, "width", "size", "verbatim"])
+                more = [pa.array(np.full(len(of), width)), pa.array(size[of]), pa.array(np.full(len(of), verbatim)), pa.array(short[of])]
+                yield pa.RecordBatch.from_arrays([*rows.columns, *more], names=[*rows.schema.names, "width", "size", "verbatim", "short"])
 
 
 def _document_windows(widths: list[int], known: np.ndarray | None):
@@ -172,17 +175,18 @@ def _document_windows(widths: list[int], known: np.ndarray | None):
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", cover: float = COVER, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """One row per contaminated pair: id, item_id, n_tokens (of the item), n_covered, changed (slot values differ somewhere).
+    """One row per contaminated pair: id, item_id, n_tokens (of the item), n_covered, changed (slot values differ somewhere), short.
 
-    Items of fewer than ``SHORTEST`` tokens, and items of nothing but slots (such as a row of
-    numbers), are not looked for. Null texts hold nothing; rows
-    that repeat a document id are one document, and rows without an id give pairs without
+    Short items (fewer than ``SHORTEST`` tokens, or nothing but slots, such as a row of
+    numbers) count only as whole verbatim copies. An item of one token is not looked for:
+    that would be a search for a word. Null texts hold nothing, an empty table gives no
+    rows, other columns are ignored, equal items of two ids give a pair each; rows that repeat a document id are one document, and rows without an id give pairs without
     one. Item windows are counted first: up to ``broadcast_rows`` they travel to the tasks
     and documents send only windows that hit; beyond it all windows meet in a shuffle.
     """
     items = renamed(benchmark, id=item_col, text=item_text_col).where("text IS NOT NULL")
     kind = items.schema["id"].dataType.simpleString()
-    indexed = written(items.mapInArrow(_item_windows, f"id {kind}, w long, at long, slots array<long>, width long, size long, verbatim boolean").distinct())
+    indexed = written(items.mapInArrow(_item_windows, f"id {kind}, w long, at long, slots array<long>, width long, size long, verbatim boolean, short boolean").distinct())
     widths = sorted(r.width for r in indexed.select("width").distinct().collect())
     few = indexed.count() <= broadcast_rows
     known = np.unique(np.array([r.w for r in indexed.select("w").distinct().collect()], np.int64).view(np.uint64)) if few and widths else None
@@ -190,7 +194,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     own = renamed(docs, id=id_col, text=text_col).where("text IS NOT NULL")
     dkind = own.schema["id"].dataType.simpleString()
     hits = own.mapInArrow(_document_windows(widths, known), f"id {dkind}, w long, at long, slots array<long>")
-    wanted = indexed.select(F.col("id").alias("item"), "w", F.col("at").alias("place"), F.col("slots").alias("asked"), "width", "size", "verbatim")
+    wanted = indexed.select(F.col("id").alias("item"), "w", F.col("at").alias("place"), F.col("slots").alias("asked"), "width", "size", "verbatim", "short")
     met = hits.join(F.broadcast(wanted) if few else wanted, "w")
 
     # The words of a verbatim match are equal, also where the document's case makes other slots of them.
@@ -200,11 +204,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     def united(column: Column) -> Column:
         return F.array_distinct(F.flatten(F.collect_set(column)))
 
-    shifted = met.groupBy("id", "item", "size", (F.col("at") - F.col("place")).alias("shift")).agg(
+    shifted = met.groupBy("id", "item", "size", "short", (F.col("at") - F.col("place")).alias("shift")).agg(
         united(pairs).alias("pairs"), united(places).alias("every"), united(F.when(F.col("verbatim"), places)).alias("equal")
     )
     consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"])))
     changed = consistent & F.exists("pairs", lambda p: p["a"] != p["s"])
-    shifted = shifted.select("id", "item", "size", F.when(consistent, F.col("every")).otherwise(F.col("equal")).alias("places"), changed.alias("changed"))
-    found = shifted.where("size(places) > 0").groupBy("id", "item", "size").agg(F.size(united(F.col("places"))).cast("long").alias("n_covered"), F.min("changed").alias("changed"))
-    return found.where(F.col("n_covered") >= cover * F.col("size")).select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("size").alias("n_tokens"), "n_covered", "changed")
+    whole = F.size("equal") == F.col("size")
+    shifted = shifted.select("id", "item", "size", "short", whole.alias("whole"), F.when(consistent, F.col("every")).otherwise(F.col("equal")).alias("places"), changed.alias("changed"))
+    found = shifted.where("size(places) > 0").groupBy("id", "item", "size", "short").agg(F.size(united(F.col("places"))).cast("long").alias("n_covered"), F.min("changed").alias("changed"), F.max("whole").alias("whole"))
+    enough = F.when(F.col("short"), F.col("whole")).otherwise(F.col("n_covered") >= cover * F.col("size"))
+    return found.where(enough).select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("size").alias("n_tokens"), "n_covered", "changed", "short")

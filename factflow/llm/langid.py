@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factflow.llm import vectext as V
@@ -147,18 +147,21 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> Model | None:
-    """A model from about ``per_lang`` documents of each language, drawn by a hash of the id.
+    """A model from at most ``per_lang`` documents of each language, those with the smallest hashes of id and text.
 
-    Rows with a null language or text are not learned from. What reaches the driver is the
-    sample's hashed counts, at most ``BUCKETS`` numbers a document.
+    Rows with a null language or text are not learned from; rows equal in all three are one.
+    What reaches the driver is the sample's hashed counts, at most ``BUCKETS`` numbers a
+    document. Rows are drawn by their hash first, twice as many as are wanted, and cut then.
     """
     own = renamed(docs, id=id_col, text=text_col, lang=lang_col).where("lang IS NOT NULL AND text IS NOT NULL")
     sizes = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}
-    draw = F.pmod(F.xxhash64("id", F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
     if not sizes:
         return None
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, per_lang / n))])
-    rows = own.where(draw < share[F.col("lang")]).select("lang", "text").mapInArrow(_counted, "lang string, b binary, c binary").collect()
+    place = F.pmod(F.xxhash64("id", "text", F.lit("langid")), F.lit(1 << 60))
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1 << 60, int((1 << 60) * 2 * per_lang / n)))])
+    drawn = own.withColumn("place", place).where(F.col("place") < share[F.col("lang")]).dropDuplicates(["lang", "place"])
+    few = drawn.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("place"))).where(F.col("k") <= per_lang)
+    rows = few.select("lang", "text").mapInArrow(_counted, "lang string, b binary, c binary").collect()
     rows.sort(key=lambda r: (r.lang, bytes(r.b), bytes(r.c)))
     return train([(np.frombuffer(r.b, np.int32), np.frombuffer(r.c, np.int32), r.lang) for r in rows])
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factflow.llm import vectext as V
-from factflow.llm.shared import renamed, small_batches
+from factflow.llm.shared import renamed, small_batches, written
 
 SAMPLE, LINES, SHARE = 600, 200, 0.5
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -221,13 +221,18 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Field | None:
-    """A field from at most ``sample`` documents of each label (0 bad, 1 good), the smallest by a hash of the id."""
-    marked = renamed(labels, id=id_col, y=label_col).where("id IS NOT NULL AND y IN (0, 1)")
+    """A field from at most ``sample`` documents of each label (0 bad, 1 good), the smallest by a hash of the id.
+
+    An id with both labels counts as bad. Of rows that share an id the text with the
+    smallest hash is learned from, so no more than ``2 * sample`` rows reach the driver.
+    """
+    marked = renamed(labels, id=id_col, y=label_col).where("id IS NOT NULL AND y IN (0, 1)").groupBy("id").agg(F.min("y").alias("y"))
     few = [marked.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample) for y in (0, 1)]
-    chosen = few[0].unionByName(few[1])  # at most 2 * sample rows, so it may be broadcast
-    own = renamed(docs, id=id_col, text=text_col).join(F.broadcast(chosen.select("id").distinct()), "id", "left_semi")
+    chosen = written(few[0].unionByName(few[1]))  # at most 2 * sample rows, so it may be broadcast
+    own = renamed(docs, id=id_col, text=text_col).join(F.broadcast(chosen.select("id")), "id", "left_semi")
+    one = own.withColumn("text", F.coalesce("text", F.lit(""))).groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     of = {r.id: r.y for r in chosen.collect()}
-    rows = own.mapInArrow(_lines, f"id {own.schema['id'].dataType.simpleString()}, features binary").collect()
+    rows = one.mapInArrow(_lines, f"id {own.schema['id'].dataType.simpleString()}, features binary").collect()
     rows.sort(key=lambda r: (r.id, bytes(r.features)))
     return train([(np.frombuffer(r.features, np.float32).reshape(-1, FEATURES), of[r.id]) for r in rows])
 

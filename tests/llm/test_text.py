@@ -417,3 +417,26 @@ def test_segments_of_token_files_equal_the_library(monkeypatch):
     assert ids(table) == want
     monkeypatch.setattr(tokenfiles, "CACHE", 10)
     assert ids(tokenfiles.TokenTable(WORDS)) == want
+
+
+def test_fits_are_bounded_by_rows(spark, monkeypatch):
+    """A repeated id, an id with both labels and repeated rows do not grow what reaches the driver; order does not matter."""
+    good, bad = "A plain sentence of many words stands here.\nAnother line goes on with it.", "Buy | now | $$$\nBuy | now | $$$"
+    rows = [(1, good + f" {k}") for k in range(400)] + [(2, bad)] * 30 + [(k, (good if k % 2 else bad) + f" {k}") for k in range(3, 60)] + [(None, good), (70, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (2, 0), (None, 1), (70, 1)] + [(k, k % 2) for k in range(3, 60)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda some: seen.append(sorted((y, f.tobytes()) for f, y in some)))
+    for d, l in ((docs, labels), (docs.repartition(7), labels.repartition(5))):
+        quality.fit(d, l, sample=20)
+    assert seen[0] == seen[1] and len(seen[0]) <= 40
+    seen.clear()
+    quality.fit(docs, labels)
+    assert len(seen[0]) == 60  # ids 1 to 59 and 70, one row each
+
+    seen.clear()
+    monkeypatch.setattr(langid, "train", lambda some: seen.append(sorted((lang, b.tobytes(), c.tobytes()) for b, c, lang in some)))
+    spoken = docs.withColumn("lang", F.when(F.col("text").startswith("Buy"), "xx").otherwise("en"))
+    for d in (spoken, spoken.repartition(7)):
+        langid.fit(d, per_lang=25)
+    assert seen[0] == seen[1] and max(sum(x[0] == k for x in seen[0]) for k in ("en", "xx")) <= 25 and sum(x[0] == "en" for x in seen[0]) == 25
