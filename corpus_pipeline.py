@@ -54,9 +54,9 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go, each row judged on its own text."""
+    """Documents that hold a benchmark item go, each row judged on its own text; a short item (see ``decontam``) is too little to reject a document."""
     keyed = _keyed(docs)
-    found = decontam.contaminated(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=ROW).select(ROW).distinct()
+    found = decontam.contaminated(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=ROW).where("NOT short").select(ROW).distinct()
     return keyed.join(found.hint("merge"), ROW, "left_anti").select(docs.columns)
 
 
