@@ -8,12 +8,16 @@ groups are skipped.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
+
+from factflow.functions.text import staged
 
 #: field -> (column, kind) of findings, of external findings and of pages to crawl.
 FINDINGS = {
@@ -87,3 +91,67 @@ def resolve_locales(mode: str, detected: Sequence[str], preset: Sequence[str], c
 def preset_locales(mode: str, preset: Sequence[str], custom: Sequence[str] = ()) -> list[str] | None:
     """As ``resolve_locales`` without asking the pages: a preset locale that no page has selects nothing anyway."""
     return resolve_locales(mode, preset, preset, custom)
+
+
+MOST_FILTERS = 10_000
+
+
+def saved_models(filters: DataFrame) -> list[tuple[int, Mapping[str, Any]]]:
+    """(filter_id, model) of saved filters (filter_id, model as JSON); one whose model is no JSON object selects nothing and is left out.
+
+    Saved filters are configuration and go to the driver, ``MOST_FILTERS`` at most.
+    """
+    rows = filters.select("filter_id", "model").limit(MOST_FILTERS + 1).collect()
+    if len(rows) > MOST_FILTERS:
+        raise ValueError(f"more than {MOST_FILTERS} saved filters")
+    out = []
+    for r in sorted(rows):
+        try:
+            model = json.loads(r.model or "{}")
+        except ValueError:
+            continue
+        if isinstance(model, dict):
+            out.append((r.filter_id, model))
+    return out
+
+
+def with_saved_filters(rows: DataFrame, filters: DataFrame, fields: Mapping[str, tuple[str, str]], out: str = "filter_ids") -> DataFrame:
+    """``rows`` with the ids of all saved filters that select them, in one scan.
+
+    Conditions that filters share are looked at once a row; each filter then only combines
+    their truth values, as ``compile_model`` does.
+    """
+    atoms: dict[tuple[str, str], int] = {}
+    conditions: list[Column] = []
+
+    def place(field: str, value: str) -> int | None:
+        if (field, value) not in atoms:
+            column, kind = fields[field]
+            c = condition(kind, column, value)
+            if c is None:
+                return None
+            atoms[field, value] = len(conditions)
+            conditions.append(c)
+        return atoms[field, value]
+
+    chosen = []
+    for filter_id, model in saved_models(filters):
+        whole = None
+        for group in model.get("groups", ()):
+            places = [k for v in group.get("values", ()) if group.get("field") in fields and (k := place(group["field"], str(v))) is not None]
+            if not places:
+                continue
+            mode = group.get("mode", "any")
+            one = reduce((lambda a, b: a & b) if mode == "all" else (lambda a, b: a | b), [F.get("_atoms", F.lit(k)) for k in places])
+            one = ~one if mode == "none" else one
+            whole = one if whole is None else (whole | one if mode == "any" else whole & one)
+        chosen.append(F.lit(filter_id) if whole is None else F.when(whole, F.lit(filter_id)))
+    kind = filters.schema["filter_id"].dataType
+    rows = staged(rows, _atoms=F.array(*conditions).cast("array<boolean>"))
+    return rows.withColumn(out, F.array_compact(F.array(*chosen)).cast(ArrayType(kind)) if chosen else F.array().cast(ArrayType(kind))).drop("_atoms")
+
+
+def saved_filter_counts(rows: DataFrame, filters: DataFrame, fields: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """(filter_id, n) of every saved filter, zeros included, from one scan of ``rows``."""
+    hits = with_saved_filters(rows, filters, fields).select(F.explode("filter_ids").alias("filter_id")).groupBy("filter_id").agg(F.count("*").alias("n"))
+    return filters.select("filter_id").join(hits, "filter_id", "left").select("filter_id", F.coalesce("n", F.lit(0)).alias("n"))

@@ -118,3 +118,39 @@ def finish_runs(runs: DataFrame, ended: DataFrame) -> DataFrame:
 def last_runs(runs: DataFrame) -> DataFrame:
     """(source_id, last_run_at): the last start of each source, whether it ended or not."""
     return runs.groupBy("source_id").agg(F.max("started_at").alias("last_run_at"))
+
+
+def _taken(columns: Sequence[str]) -> dict[str, Column]:
+    """Merge rules: the new row's value where there is a new row, null or not."""
+    return {c: F.when(F.col("n").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")) for c in columns}
+
+
+def save_filters(filters: DataFrame, new: DataFrame) -> DataFrame:
+    """Saved filters (filter_id, source_id, context, name, model, ...) by source, context and name: a known one takes the new model and keeps the rest."""
+    return merge(filters, new, ("source_id", "context", "name"), _taken(["model"]))
+
+
+#: What saving a rule or importing a file changes of a rule that is there; it stays enabled or not, and keeps its window.
+SAVED = ("rule_type", "category", "correct_value", "search_terms", "stale_patterns", "allowed_patterns", "required_context", "severity", "product_id")
+IMPORTED = ("correct_value", "stale_patterns")
+
+
+def save_rules(rules: DataFrame, new: DataFrame, columns: Sequence[str] = SAVED) -> DataFrame:
+    """Rules by slug: known ones take ``columns`` of the new row, new ones are added as they are."""
+    return merge(rules, new, ("slug",), _taken([c for c in columns if c in rules.columns and c in new.columns]))
+
+
+def toggle(rules: DataFrame, slugs: DataFrame) -> DataFrame:
+    """Rules named by ``slugs`` (slug) are switched from enabled to not, or back; named twice counts once."""
+    named = slugs.select("slug").distinct().withColumn("_named", F.lit(1))
+    switched = F.when(F.col("_named") == 1, 1 - F.col("enabled")).otherwise(F.col("enabled"))
+    return rules.join(named, "slug", "left").withColumn("enabled", switched).select(rules.columns)
+
+
+def approve(pages: DataFrame, source_id: int, ids: DataFrame | None = None) -> DataFrame:
+    """Pages of a source become ok: those of ``ids`` (page_id), or without it all its candidates."""
+    own = F.col("source_id") == source_id
+    if ids is None:
+        return pages.withColumn("fetch_status", F.when(own & (F.col("fetch_status") == "candidate"), "ok").otherwise(F.col("fetch_status")))
+    named = ids.select("page_id").distinct().withColumn("_named", F.lit(1))
+    return pages.join(named, "page_id", "left").withColumn("fetch_status", F.when(own & (F.col("_named") == 1), "ok").otherwise(F.col("fetch_status"))).select(pages.columns)

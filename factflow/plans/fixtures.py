@@ -197,3 +197,18 @@ def profiles(d) -> str:
 
 def schedules(d) -> str:
     return f"SELECT user_id AS schedule_id, CAST(user_id % 4 + 1 AS INT) AS source_id, count(*) AS runs FROM {d.t('events')} GROUP BY user_id"
+
+
+def candidates(d) -> str:
+    """External pages as they are found, some not approved yet."""
+    return f"SELECT page_id, CAST(page_id % 3 + 1 AS INT) AS source_id, CASE page_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'error' ELSE 'candidate' END AS fetch_status FROM {d.t('pages')}"
+
+
+def saved_filters(d) -> str:
+    """A saved filter for every tenth document; parts of its model are columns, the model itself is JSON."""
+    return f"""
+SELECT *, '{{"scopes":{{}},"groups":[{{"mode":"any","field":"category","values":["' || cat || '","free_claim"]}},{{"mode":"none","field":"severity","values":["' || sev || '"]}},{{"mode":"any","field":"url","values":["p' || frag || '"]}},'
+  || '{{"mode":"all","field":"unknown","values":["x"]}},{{"mode":"all","field":"detected_at","values":["2024-02|2024-08"]}}]}}' AS model
+FROM (SELECT doc_id AS filter_id, CAST(doc_id % 3 + 1 AS INT) AS source_id, CASE WHEN doc_id % 20 = 0 THEN 'findings' ELSE 'crawl' END AS context, 'filter ' || (doc_id % 70) AS name,
+  {_PICK.format(k=f"({d.div('doc_id', 10)}) % 10")} AS cat, CASE doc_id % 4 WHEN 0 THEN 'critical' ELSE 'low' END AS sev, CAST({d.div('doc_id', 10)} % 10 AS STRING) AS frag
+  FROM {d.t('documents')} WHERE doc_id % 10 = 0) f"""

@@ -113,6 +113,51 @@ def merge_features(t: Tables) -> DataFrame:
     return merged.join(rows.groupBy("name").agg(F.min("product_id").alias("feature_id")), "name")
 
 
+_SFK = "source_id, context, name"
+
+
+@query("merge_filters", f"""WITH o AS (SELECT * FROM {o('saved_filters')} WHERE filter_id % 30 <> 0 QUALIFY row_number() OVER (PARTITION BY {_SFK} ORDER BY filter_id) = 1), n AS (SELECT * FROM {o('saved_filters')} WHERE filter_id % 30 = 0 QUALIFY row_number() OVER (PARTITION BY {_SFK} ORDER BY filter_id DESC) = 1)
+SELECT {_SFK}, coalesce(o.filter_id, n.filter_id) AS filter_id, CASE WHEN n.filter_id IS NULL THEN o.model ELSE n.model END AS model FROM o FULL JOIN n USING ({_SFK})""")
+def merge_filters(t: Tables) -> DataFrame:
+    """Saved filters by source, context and name: a known one takes the model it is saved with again."""
+    rows, key = t.fx("saved_filters").select("filter_id", "source_id", "context", "name", "model"), ["source_id", "context", "name"]
+    new = S.latest(rows.where("filter_id % 30 = 0"), key, ["filter_id"])
+    old = rows.where("filter_id % 30 <> 0").groupBy(*key).agg(F.min(F.struct("filter_id", "model")).alias("f")).select("f.filter_id", *key, "f.model")
+    return M.save_filters(old, new).select(*key, "filter_id", "model")
+
+
+@query("save_rules", f"SELECT slug, CASE WHEN rule_id % 2 = 0 THEN 'low' ELSE severity END AS severity, coalesce(CASE WHEN rule_id % 2 = 0 THEN NULLIF('saved', CASE WHEN rule_id % 4 = 0 THEN 'saved' END) ELSE correct_value END, '-') AS correct_value, CASE WHEN rule_id % 2 = 0 THEN '[\"new\"]' ELSE stale_patterns END AS stale_patterns, enabled FROM {_RG}")
+def save_rules(t: Tables) -> DataFrame:
+    """Rules that are saved again by hand take the new values, also empty ones; whether they are enabled stays."""
+    r = t.fx("registry").select("slug", "severity", "correct_value", "stale_patterns", "enabled", "rule_id")
+    new = r.where("rule_id % 2 = 0").select("slug", F.lit("low").alias("severity"), F.when(F.col("rule_id") % 4 != 0, "saved").alias("correct_value"), F.lit('["new"]').alias("stale_patterns"), F.lit(1).alias("enabled"))
+    return M.save_rules(r.drop("rule_id"), new).selectExpr("slug", "severity", "coalesce(correct_value, '-') AS correct_value", "stale_patterns", "enabled")
+
+
+@query("import_rules", f"SELECT slug, severity, coalesce(CASE WHEN rule_id % 2 = 0 THEN 'imported' ELSE correct_value END, '-') AS correct_value, CASE WHEN rule_id % 2 = 0 THEN '[\"new\"]' ELSE stale_patterns END AS stale_patterns, enabled FROM {_RG} UNION ALL SELECT 'brand_new', 'low', 'imported', '[\"new\"]', 1")
+def import_rules(t: Tables) -> DataFrame:
+    """Rules of an imported file change two columns of known rules, and are added where they are new."""
+    r = t.fx("registry").select("slug", "severity", "correct_value", "stale_patterns", "enabled")
+    named = t.fx("registry").where("rule_id % 2 = 0").select("slug").unionByName(t.spark.createDataFrame([("brand_new",)], "slug string"))
+    new = named.select("slug", F.lit("low").alias("severity"), F.lit("imported").alias("correct_value"), F.lit('["new"]').alias("stale_patterns"), F.lit(1).alias("enabled"))
+    return M.save_rules(r, new, M.IMPORTED).selectExpr("slug", "severity", "coalesce(correct_value, '-') AS correct_value", "stale_patterns", "enabled")
+
+
+@query("toggle_rules", f"SELECT slug, CASE WHEN rule_id % 3 = 1 THEN 1 - enabled ELSE enabled END AS enabled FROM {_RG}")
+def toggle_rules(t: Tables) -> DataFrame:
+    return M.toggle(t.fx("registry"), t.fx("registry").where("rule_id % 3 = 1")).select("slug", "enabled")
+
+
+_CAND = o("candidates")
+
+
+@query("approve_pages", f"SELECT page_id, CASE WHEN source_id = 2 AND fetch_status = 'candidate' OR source_id = 1 AND page_id % 6 = 0 THEN 'ok' ELSE fetch_status END AS fetch_status FROM {_CAND}")
+def approve_pages(t: Tables) -> DataFrame:
+    """All candidates of one source, and named pages of another; pages of a third that are named too stay as they are."""
+    named = t.fx("candidates").where("page_id % 6 IN (0, 5)").select("page_id")
+    return M.approve(M.approve(t.fx("candidates"), 2), 1, named).select("page_id", "fetch_status")
+
+
 @query("replace_faqs", f"SELECT faq_id, answer FROM {_F} WHERE url_id % 4 <> 0 UNION ALL SELECT faq_id, 'fresh' FROM {_F} WHERE url_id % 4 = 0 AND faq_id % 2 = 0 UNION ALL SELECT faq_id, answer FROM {_F} f WHERE url_id % 4 = 0 AND NOT EXISTS (SELECT 1 FROM {_F} g WHERE g.url_id = f.url_id AND g.faq_id % 2 = 0)")
 def replace_faqs(t: Tables) -> DataFrame:
     f = t.fx("faqs").select("faq_id", "url_id", "answer")

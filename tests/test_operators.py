@@ -109,6 +109,34 @@ def test_deletion_takes_all_that_hangs_on_a_row(spark):
     assert not any(ids(none).values()) and {n: len(v) for n, v in ids(same).items()} == {"site": 2, "page": 4, "rule": 2, "hit": 6, "note": 5}
 
 
+def test_saved_filters_select_as_single_ones_do(spark, monkeypatch):
+    import json
+    import random
+
+    import pytest as pt
+
+    rng = random.Random(3)
+    value = {"category": lambda: rng.choice("abc"), "url": lambda: rng.choice(["x", "y1", "%"]), "not_url": lambda: rng.choice(["x", "2"]), "detected_at": lambda: rng.choice(["2024-02|", "|2024-05", "|", "2024-03|2024-04"]), "unknown": lambda: "q"}
+    models = {k: {"groups": [{"mode": rng.choice(["all", "any", "none"]), "field": (f := rng.choice(list(value))), "values": [value[f]() for _ in range(rng.randint(0, 3))]} for _ in range(rng.randint(0, 4))]} for k in range(60)}
+    saved = [(k, json.dumps(m)) for k, m in models.items()] + [(100, "broken"), (101, None), (102, "[1]"), (103, '{"groups": []}')]
+    rows = [(k, rng.choice(["a", "b", None]), rng.choice(["x/y1", "y2", None]), rng.choice([None, "2024-01-05", "2024-03-09", "2024-05-31T10:00:00"])) for k in range(40)]
+    df = spark.createDataFrame(rows, "k int, category string, url string, detected_at string")
+    table = spark.createDataFrame(saved, "filter_id int, model string")
+    got = {r.k: set(r.filter_ids) for r in filters.with_saved_filters(df, table, filters.FINDINGS).collect()}
+    want = {k: set() for k in range(40)}
+    for i, m in [*models.items(), (101, {}), (103, {})]:
+        for r in df.where(filters.compile_model(m, filters.FINDINGS)).collect():
+            want[r.k].add(i)
+    assert got == want
+    counts = {r.filter_id: r.n for r in filters.saved_filter_counts(df, table, filters.FINDINGS).collect()}
+    assert counts == {i: sum(i in w for w in want.values()) for i, _ in saved} and 0 < sum(counts.values())
+    assert {tuple(r) for r in filters.saved_filter_counts(df.where("false"), table, filters.FINDINGS).collect()} == {(i, 0) for i, _ in saved}
+    assert filters.saved_filter_counts(df, table.where("false"), filters.FINDINGS).count() == 0
+    monkeypatch.setattr(filters, "MOST_FILTERS", 5)
+    with pt.raises(ValueError):
+        filters.saved_models(table)
+
+
 def test_optional_end_tags():
     def pairs(html):
         return [p[:2] for p in pages.page(html)[-1]]
