@@ -174,11 +174,11 @@ def _document_windows(widths: list[int], known: np.ndarray | None):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", cover: float = COVER, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", cover: float = COVER, broadcast_rows: int = BROADCAST_ROWS, short_items: bool = False) -> DataFrame:
     """One row per contaminated pair: id, item_id, n_tokens (of the item), n_covered, changed (slot values differ somewhere), short.
 
     Short items (fewer than ``SHORTEST`` tokens, or nothing but slots, such as a row of
-    numbers) count only as whole verbatim copies. An item of one token is not looked for:
+    numbers) count only as whole verbatim copies, and are reported with ``short_items`` alone. An item of one token is not looked for:
     that would be a search for a word. Null texts hold nothing, an empty table gives no
     rows, other columns are ignored, equal items of two ids give a pair each; rows that repeat a document id are one document, and rows without an id give pairs without
     one. Item windows are counted first: up to ``broadcast_rows`` they travel to the tasks
@@ -213,4 +213,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     shifted = shifted.select("id", "item", "size", "short", whole.alias("whole"), F.when(consistent, F.col("every")).otherwise(F.col("equal")).alias("places"), changed.alias("changed"))
     found = shifted.where("size(places) > 0").groupBy("id", "item", "size", "short").agg(F.size(united(F.col("places"))).cast("long").alias("n_covered"), F.min("changed").alias("changed"), F.max("whole").alias("whole"))
     enough = F.when(F.col("short"), F.col("whole")).otherwise(F.col("n_covered") >= cover * F.col("size"))
-    return found.where(enough).select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("size").alias("n_tokens"), "n_covered", "changed", "short")
+    found = found.where(enough) if short_items else found.where(enough & ~F.col("short"))
+    return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("size").alias("n_tokens"), "n_covered", "changed", "short")

@@ -226,8 +226,7 @@ def test_leaks_are_found_with_other_numbers_and_clean_text_is_not(spark):
     for rows in (10**6, 0):
         got = decontam.contaminated(table(spark, docs), bench, broadcast_rows=rows).collect()
         assert {(r.doc_id, r.item_id) for r in got} >= {(1, 7), (3, 7), (None, 7)}
-        assert not {r.doc_id for r in got} & {4, 5, 6}
-        assert {(r.doc_id, r.item_id) for r in got if r.short} == {(8, 9)}  # a row of numbers, word for word
+        assert not {r.doc_id for r in got} & {4, 5, 6, 8}
         assert {r.doc_id: r.changed for r in got}[3] and not {r.doc_id: r.changed for r in got}[1]
     assert decontam.contaminated(table(spark, []).where("false"), bench).count() == 0
     assert decontam.contaminated(table(spark, docs), bench.where("false")).count() == 0
@@ -251,7 +250,8 @@ def test_items_full_of_slots_and_short_ones(spark, most):
         (7, "they ask: what is 2 + 2?"), (8, "what is 2 + 3"), (9, "numbers 5 6 7 8 9 10 11 12 13 14"), (10, "4 5 6 7 8 9 10 11 12"), (11, "Compute 1 + 1 * 1 - 1 for x = 1"), (12, "Solve 3 x + 3 y = 3 and 9 x - 3 y = 1"), (13, "2 + 2 is what"),
     ]
     bench = spark.createDataFrame([(1, item), (2, longer), (3, equations), (4, "What is 2 + 2"), (5, "5 6 7 8 9 10 11 12 13"), (6, "x"), (7, ""), (8, None)], "item_id long, text string")
-    got = decontam.contaminated(table(spark, docs), bench, broadcast_rows=most).collect()
+    got = decontam.contaminated(table(spark, docs), bench, broadcast_rows=most, short_items=True).collect()
+    assert {(r.doc_id, r.item_id) for r in got if not r.short} == {(r.doc_id, r.item_id) for r in decontam.contaminated(table(spark, docs), bench, broadcast_rows=most).collect()}
     # Document 12 asks with the same letters but not with a value for each value, document 11 with one value for several.
     assert sorted((r.doc_id, r.item_id, r.n_covered == r.n_tokens, r.changed, r.short) for r in got) == [
         (1, 1, True, False, False), (2, 1, True, True, False), (3, 2, True, False, False), (6, 3, True, True, False), (7, 4, True, False, True), (9, 5, True, False, True), (11, 1, True, True, False), (12, 3, True, True, False),
@@ -294,10 +294,9 @@ def brute_templates(docs, items):
     for item_id, text in items:
         item = read(text)
         width = min(decontam.WIDTH, len(item))
-        if width < 2:
+        if width < decontam.SHORTEST or all(kind for _, kind in item):
             continue
-        short = len(item) < decontam.SHORTEST or all(kind for _, kind in item)
-        asked = [(True, k, w, []) for k, w, _ in windows(item, width, True)] + [(False, k, w, s) for k, w, s in windows(item, width, False) if 0 < len(s) < width and not short]
+        asked = [(True, k, w, []) for k, w, _ in windows(item, width, True)] + [(False, k, w, s) for k, w, s in windows(item, width, False) if 0 < len(s) < width]
         for doc_id, body in docs:
             tokens, shifts = read(body), {}
             held = {v: {} for v in (True, False)}
@@ -319,8 +318,7 @@ def brute_templates(docs, items):
             covered = set()
             for every, equal, pairs in shifts.values():
                 covered |= every if len(pairs) == len({a for a, _ in pairs}) else equal
-            whole = any(len(equal) == len(item) for _, equal, _ in shifts.values())
-            if whole if short else covered and len(covered) >= decontam.COVER * len(item):
+            if covered and len(covered) >= decontam.COVER * len(item):
                 found.add((doc_id, item_id, len(covered)))
     return found
 
