@@ -6,7 +6,6 @@ author) is DataFrame work on the arrays that come back.
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
@@ -15,26 +14,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factflow.functions import jsonld
 from factflow.functions.text import clean_author, normalize, staged
 from factflow.functions.urls import host, host_excluded, registrable_domain, resolve
 
 # Elements without main text, elements without an end tag.
 DROPPED = {"script", "style", "noscript", "nav", "header", "footer", "form", "svg", "iframe", "aside"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
-# Schema.org types and properties that are read.
-ARTICLES = {"Article", "NewsArticle", "BlogPosting", "Report", "TechArticle"}
-CONTAINERS = ("mainEntity", "@graph", "itemListElement", "hasPart")
-QUESTION, ANSWER = ("name", "question"), ("acceptedAnswer", "suggestedAnswer")
 # Where an author is named, in order of trust.
 AUTHOR_META = (("property", "article:author"), ("property", "og:article:author"), ("name", "author"), ("property", "author"))
 BYLINE_CLASSES = {"author", "byline", "post-author", "article-author", "entry-author", "author-name", "writer"}
+# Fixed value: how a text line names its author.
 LEAD = re.compile(r"\b(?:By|Written by|Author)\b[:\s]+([A-Z][\w.'-]+(?:\s+[A-Z][\w.'-]+){0,3})")
 
 SCHEMA = (
     "page_id long, title string, h1s array<string>, h2s array<string>, meta array<struct<attr:string,key:string,content:string>>, canonical string, lead string, "
-    "body string, names struct<data:array<array<string>>,bylines:array<string>>, pairs array<struct<question:string,answer:string,source:string>>"
+    "body string, bylines array<string>, documents array<string>, visible array<struct<question:string,answer:string,source:string>>"
 )
-COLUMNS = ["page_id", "title", "h1s", "h2s", "meta", "canonical", "lead", "body", "names", "pairs"]
+COLUMNS = ["page_id", "title", "h1s", "h2s", "meta", "canonical", "lead", "body", "bylines", "documents", "visible"]
 _SPACES = re.compile(r"\s+")
 
 
@@ -131,48 +128,6 @@ class _Tree(HTMLParser):
         self.open[-1].parts.append(data)
 
 
-def _things(data: object) -> Iterator[dict]:
-    """The objects of a JSON-LD document, containers before what they hold."""
-    todo = [data]
-    while todo:
-        x = todo.pop()
-        if isinstance(x, list):
-            todo += x[::-1]
-        elif isinstance(x, dict):
-            yield x
-            todo += [x[k] for k in CONTAINERS[::-1] if k in x]
-
-
-def _is(thing: dict, kinds: set[str]) -> bool:
-    own = thing.get("@type")
-    return any(k in kinds for k in (own if isinstance(own, list) else [own]) if isinstance(k, str))
-
-
-def _read(thing: dict, names: tuple[str, ...]) -> object:
-    return next((thing[n] for n in names if thing.get(n)), "")
-
-
-def _texts(value: object, prop: str) -> Iterator[str]:
-    """Texts of a value: itself, an object's property, or those of a list's members."""
-    if isinstance(value, list):
-        for v in value:
-            yield from _texts(v, prop)
-    elif isinstance(value, dict):
-        yield str(value.get(prop) or "")
-    elif value is not None:
-        yield str(value)
-
-
-def _bare(text: str) -> str:
-    return squeeze(re.sub(r"<[^>]+>", " ", text))
-
-
-def _question(thing: dict) -> tuple[str, str, str]:
-    answer = _read(thing, ANSWER)
-    answer = answer[:1] if isinstance(answer, list) else answer
-    return _bare(str(_read(thing, QUESTION))), _bare(next(_texts(answer, "text"), "")), "jsonld"
-
-
 def _is_byline(node: _Node) -> bool:
     kind = node.attrs.get("class", "")
     return node.attrs.get("rel") == "author" or node.attrs.get("itemprop") == "author" or bool(BYLINE_CLASSES & set(kind.split())) or "author" in kind or "byline" in kind
@@ -193,14 +148,8 @@ def page(html: str) -> tuple:
         blocks = [(len(n.text(DROPPED)), -k, n) for k, n in enumerate(every) if n.tag in ("div", "section")]
         size, _, block = max(blocks, default=(0, 0, None), key=lambda b: b[:2])
         main = block if size else by.get("body", [tree.root])[0]
-    documents = []
-    for script in by.get("script", ()):
-        if script.attrs.get("type", "").lower() == "application/ld+json":
-            try:
-                documents.append(json.loads("".join(p for p in script.parts if isinstance(p, str))))
-            except ValueError:
-                continue
-    pairs = [_question(x) for d in documents for x in _things(d) if _is(x, {"Question"})]
+    documents = ["".join(p for p in script.parts if isinstance(p, str)) for script in by.get("script", ()) if script.attrs.get("type", "").lower() == "application/ld+json"]
+    pairs = []
     for d in by.get("details", ()):
         summary = next((n for n in d.walk() if n.tag == "summary"), None)
         if summary is not None:
@@ -208,25 +157,36 @@ def page(html: str) -> tuple:
     for d in by.get("dl", ()):
         terms, meanings = ([n.text() for n in d.walk() if n.tag == t] for t in ("dt", "dd"))
         pairs += [(q, a, "visible") for q, a in zip(terms, meanings, strict=False)]
-    written = [[n for x in _things(d) if _is(x, ARTICLES) for n in _texts(x.get("author"), "name")] for d in documents]
     meta = [(a, m.attrs[a].lower(), m.attrs.get("content", "")) for m in by.get("meta", ()) for a in ("name", "property") if a in m.attrs]
     said = next((by[t][0] for t in ("article", "main") if by.get(t)), None)
     lead = LEAD.search(said.text()) if said is not None else None
     title = by["title"][0].text() if by.get("title") else None
     heads = [[x for n in by.get(t, ()) if (x := n.text())] for t in ("h1", "h2")]
     canonical = next((n.attrs.get("href") or None for n in by.get("link", ()) if n.attrs.get("rel", "").lower() == "canonical"), None)
-    names = {"data": written, "bylines": [n.text() for n in every if _is_byline(n)]}
-    return title or None, *heads, meta, canonical, lead[1] if lead else None, main.text(DROPPED), names, pairs
+    bylines = [n.text() for n in every if _is_byline(n)]
+    return title or None, *heads, meta, canonical, lead[1] if lead else None, main.text(DROPPED), bylines, documents, pairs
 
 
 def parts(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """One row a page with what the parser found; a null page has no parts."""
+    """One row a page with what the parser found, and what its JSON-LD says; a null page has no parts.
+
+    JSON-LD is read as variant values. Keys that an object has twice are allowed in the
+    session from then on (the last counts), for parsers of pages do so.
+    """
+    pages.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame([(i, *page(h)) for i, h in zip(b["page_id"], b["html"], strict=True)], columns=COLUMNS)
 
-    return pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).mapInPandas(run, SCHEMA)
+    found = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).mapInPandas(run, SCHEMA)
+    found = staged(found, read=F.expr("filter(transform(documents, d -> named_struct('d', d, 'v', try_parse_json(d))), d -> d.v IS NOT NULL)"))
+    found = staged(found, things=F.expr(jsonld.THINGS))
+    found = staged(found, names=F.struct(F.expr(jsonld.AUTHORS).alias("data"), F.col("bylines")), asked=F.expr(jsonld.PAIRS))
+    bare = lambda text: normalize(F.regexp_replace(text, "<[^>]+>", " "))
+    pairs = F.transform("asked", lambda p: F.struct(bare(p["question"]).alias("question"), bare(p["answer"]).alias("answer"), F.lit("jsonld").alias("source")))
+    found = staged(found, pairs=F.concat(pairs, "visible"))
+    return found.drop("read", "things", "asked", "bylines", "documents", "visible")
 
 
 def links(pages: DataFrame, excluded: Sequence[str] = (), heed_base: bool = False, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
