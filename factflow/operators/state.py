@@ -56,6 +56,11 @@ def merge_findings(old: DataFrame, new: DataFrame) -> DataFrame:
     return merge(old, last, FINDING_KEY, {"status": status, "deleted_at": lifted, **fresh})
 
 
+def merge_verdicts(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Verdicts by rule and page; where a run wrote one, it counts as a whole. ``new`` has one row a key."""
+    return merge(old, new, ("rule_id", "url_id"), _taken([c for c in old.columns if c not in ("rule_id", "url_id")]))
+
+
 def reconcile(findings: DataFrame, run_start: str, categories: Sequence[str], methods: Sequence[str]) -> DataFrame:
     """Open findings that detectors which ran did not write again become fixed."""
     gone = (F.col("status") == "open") & F.col("category").isin(*categories) & F.col("detection_method").isin(*methods) & (F.col("detected_at") < run_start)

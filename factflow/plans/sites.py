@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factflow.functions import text as X
 from factflow.functions import urls as U
+from factflow.operators import detect as K
 from factflow.operators import graph as N
 from factflow.operators import pages as B
 from factflow.operators import snapshots as S
 from factflow.operators import state as M
+from factflow.operators.stored import Stored
 from factflow.plans import detection as T
 from factflow.plans.detection import _FOUND, _SCAN, claim_inventory, claims_found, stale_rules
 from factflow.plans.registry import ORACLES, Tables, o, query
@@ -41,6 +45,29 @@ def merge_findings(t: Tables) -> DataFrame:
     return M.merge_findings(_old_findings(t), new).select("url_id", "category", "title", "related_url_id", "severity", "evidence", "status", "deleted_at")
 
 
+def _stored(t: Tables, old: DataFrame, new: DataFrame, keys: Sequence[str], how) -> DataFrame:
+    """A merge into a table that is kept in buckets: version 0 is the table as it was, version 1 what comes of it."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in old.schema)
+    table = Stored(scratch(t.spark, "stored"), schema, keys, 8)
+    table.write(table.placed(old), 0)
+    return table.change(t.spark, 0, new, how)
+
+
+def _run_findings(t: Tables) -> DataFrame:
+    return t.fx("issues").where("issue_id % 3 = 0").withColumns({"severity": F.lit("high"), "status": F.lit("open"), "evidence": F.when(F.col("issue_id") % 4 == 0, "other words").otherwise(F.col("evidence")), "write_seq": F.col("issue_id")})
+
+
+@query("merge_findings_stored", ORACLES["merge_findings"])
+def merge_findings_stored(t: Tables) -> DataFrame:
+    return _stored(t, _old_findings(t), _run_findings(t), M.FINDING_KEY, M.merge_findings).select("url_id", "category", "title", "related_url_id", "severity", "evidence", "status", "deleted_at")
+
+
+@query("merge_matches_stored", ORACLES["merge_matches"])
+def merge_matches_stored(t: Tables) -> DataFrame:
+    new = K.stale_scan(t.fx("claims"), stale_rules(t)).select("rule_id", "url_id", "verdict")
+    return _stored(t, t.fx("matches").select("rule_id", "url_id", "verdict"), new, ["rule_id", "url_id"], M.merge_verdicts)
+
+
 @query("clear_matches", f"SELECT rule_id, url_id FROM {_M} WHERE url_id NOT IN (SELECT url_id FROM {_U} WHERE source_id = 1)")
 def clear_matches(t: Tables) -> DataFrame:
     return t.fx("matches").join(t.fx("urls").where("source_id = 1").select("url_id"), "url_id", "left_anti").select("rule_id", "url_id")
@@ -81,6 +108,13 @@ def merge_urls(t: Tables) -> DataFrame:
     return M.merge(u.where("url_id % 2 = 0").select("url_id", "first_seen", "lastmod"), new, ["url_id"], new_first=["lastmod"])
 
 
+@query("merge_urls_stored", ORACLES["merge_urls"])
+def merge_urls_stored(t: Tables) -> DataFrame:
+    u = t.fx("urls")
+    new = u.where("url_id % 3 = 0").select("url_id", F.lit("2024-12-01").alias("first_seen"), F.lit("2024-11-11").alias("lastmod"))
+    return _stored(t, u.where("url_id % 2 = 0").select("url_id", "first_seen", "lastmod"), new, ["url_id"], lambda a, b: M.merge(a, b, ["url_id"], new_first=["lastmod"]))
+
+
 @query("rules_import_merge", f"SELECT slug, severity, coalesce(correct_value, '-') AS correct_value FROM (SELECT slug, CASE WHEN rule_id % 2 = 0 THEN 'low' ELSE severity END AS severity, CASE WHEN rule_id % 2 = 0 THEN 'imported' ELSE correct_value END AS correct_value FROM {_RG} UNION ALL SELECT 'brand_new', 'low', 'imported')")
 def rules_import_merge(t: Tables) -> DataFrame:
     r = t.fx("registry").select("slug", "severity", "correct_value")

@@ -36,6 +36,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a folder that is not read any more; a missing one is no error."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

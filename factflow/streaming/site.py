@@ -3,8 +3,9 @@
 Each micro-batch parses the pages that arrive and runs the detectors that look at one page
 at a time. What they find are small rows; texts are written once, by batch, and never
 read again by later batches. The state is one row a page (its newest version) and the rows
-found on it, written as version k by batch k from version k - 1: a batch that is tried
-again writes the same, and a batch reads one version, however many ran before.
+found on it, in buckets by page, written as version k by batch k from version k - 1: a
+batch that is tried again writes the same, reads one version, however many ran before, and
+shuffles its own rows only.
 
 Verdicts that depend on the whole site (which value was seen first, which detector wrote
 last) are drawn from the state's rows when a run ends, and so is what became fixed.
@@ -23,7 +24,7 @@ from factflow.operators import detect as K
 from factflow.operators import pages as B
 from factflow.operators.snapshots import latest
 from factflow.operators.state import merge_findings
-from factflow.sources.folders import removed
+from factflow.operators.stored import Stored
 
 RAW = "url_id long, locale string, html string, version long"
 PAGES = "url_id long, version long"
@@ -78,38 +79,48 @@ def looked_at(pages: DataFrame, detectors: Detectors) -> DataFrame:
     return out
 
 
-def _read(spark: SparkSession, state: str, table: str, schema: str, version: int) -> DataFrame:
-    return spark.read.schema(schema).parquet(f"{state}/{table}/v={version}") if version >= 0 else spark.createDataFrame([], schema)
+#: Buckets of the state; see ``Stored``.
+BUCKETS = 16
 
 
-def ingest(spark: SparkSession, landing: str, state: str, detectors: Detectors, files: int = 16) -> None:
+def _tables(state: str, buckets: int) -> tuple[Stored, Stored]:
+    return Stored(f"{state}/pages", PAGES, ["url_id"], buckets), Stored(f"{state}/found", FOUND, ["url_id"], buckets)
+
+
+def ingest(spark: SparkSession, landing: str, state: str, detectors: Detectors, files: int = 16, buckets: int = BUCKETS) -> None:
     """Takes in all files of raw pages waiting in ``landing``; of a page the newest version counts, also across batches and runs."""
+    pages, found = _tables(state, buckets)
+
+    def without(old: DataFrame, new: DataFrame) -> DataFrame:
+        """The old rows of pages that the batch does not bring; never broadcast, for a batch may be a whole site."""
+        return old.join(pages.placed(new.select("url_id")).hint("merge"), "url_id", "left_anti")
 
     def one(batch: DataFrame, k: int) -> None:
         newest = latest(batch, ["url_id"], ["version"])
-        known = _read(spark, state, "pages", PAGES, k - 1)
-        fresh = newest.join(known.select("url_id", F.col("version").alias("known")), "url_id", "left").where("known IS NULL OR version >= known").drop("known")
+        known = pages.read(spark, k - 1)
+        newest = pages.placed(newest).join(known.select("url_id", F.col("version").alias("known")).hint("merge"), "url_id", "left")
+        fresh = newest.where("known IS NULL OR version >= known").drop("known")
         body = B.extract(fresh.where("html IS NOT NULL"), "url_id").select(F.col("page_id").alias("url_id"), normalize(F.col("body")).alias("body_text"))
         fresh.select("url_id", "locale", "version").join(body, "url_id", "left").write.mode("overwrite").parquet(f"{state}/texts/batch={k}")
         texts = spark.read.parquet(f"{state}/texts/batch={k}")
         own = texts.select("url_id", "version")
-        known.join(own, "url_id", "left_anti").unionByName(own).write.mode("overwrite").parquet(f"{state}/pages/v={k}")
-        found = looked_at(texts.where("coalesce(body_text, '') <> ''"), detectors)
-        old = _read(spark, state, "found", FOUND, k - 1)
-        old.join(own.select("url_id"), "url_id", "left_anti").unionByName(found).write.mode("overwrite").parquet(f"{state}/found/v={k}")
+        pages.write(without(known, own).unionByName(pages.placed(own)), k)
+        looked = looked_at(texts.where("coalesce(body_text, '') <> ''"), detectors)
+        found.write(without(found.read(spark, k - 1), own).unionByName(found.placed(looked)), k)
         texts.agg(F.count("*").alias("pages"), F.count_if(F.coalesce("body_text", F.lit("")) == "").alias("unreadable")).write.mode("overwrite").parquet(f"{state}/batches/batch={k}")
-        for table in ("pages", "found"):  # version k - 1 is needed if this batch is tried again
-            removed(spark, f"{state}/{table}/v={k - 2}")
+        for table in (pages, found):  # version k - 1 is needed if this batch is tried again
+            table.drop(spark, k - 2)
 
     stream = spark.readStream.schema(RAW).option("maxFilesPerTrigger", files).parquet(landing)
     query = stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{state}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def current(spark: SparkSession, state: str) -> tuple[DataFrame, DataFrame]:
+def current(spark: SparkSession, state: str, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
     """(pages, what is found on them) after the last batch."""
     last = spark.read.parquet(f"{state}/batches").agg(F.max("batch")).first()[0]
-    return _read(spark, state, "pages", PAGES, last), _read(spark, state, "found", FOUND, last)
+    pages, found = _tables(state, buckets)
+    return pages.read(spark, last), found.read(spark, last)
 
 
 def texts(spark: SparkSession, state: str) -> DataFrame:
