@@ -29,9 +29,9 @@ LEAD = re.compile(r"\b(?:By|Written by|Author)\b[:\s]+([A-Z][\w.'-]+(?:\s+[A-Z][
 
 SCHEMA = (
     "page_id long, title string, h1s array<string>, h2s array<string>, meta array<struct<attr:string,key:string,content:string>>, canonical string, lead string, "
-    "body string, bylines array<string>, documents array<string>, visible array<struct<question:string,answer:string,source:string>>"
+    "body string, told struct<bylines:array<string>,documents:array<string>>, visible array<struct<question:string,answer:string,source:string>>"
 )
-COLUMNS = ["page_id", "title", "h1s", "h2s", "meta", "canonical", "lead", "body", "bylines", "documents", "visible"]
+COLUMNS = ["page_id", "title", "h1s", "h2s", "meta", "canonical", "lead", "body", "told", "visible"]
 _SPACES = re.compile(r"\s+")
 
 
@@ -163,8 +163,8 @@ def page(html: str) -> tuple:
     title = by["title"][0].text() if by.get("title") else None
     heads = [[x for n in by.get(t, ()) if (x := n.text())] for t in ("h1", "h2")]
     canonical = next((n.attrs.get("href") or None for n in by.get("link", ()) if n.attrs.get("rel", "").lower() == "canonical"), None)
-    bylines = [n.text() for n in every if _is_byline(n)]
-    return title or None, *heads, meta, canonical, lead[1] if lead else None, main.text(DROPPED), bylines, documents, pairs
+    told = {"bylines": [n.text() for n in every if _is_byline(n)], "documents": documents}
+    return title or None, *heads, meta, canonical, lead[1] if lead else None, main.text(DROPPED), told, pairs
 
 
 def parts(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -180,13 +180,13 @@ def parts(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
             yield pd.DataFrame([(i, *page(h)) for i, h in zip(b["page_id"], b["html"], strict=True)], columns=COLUMNS)
 
     found = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).mapInPandas(run, SCHEMA)
-    found = staged(found, read=F.expr("filter(transform(documents, d -> named_struct('d', d, 'v', try_parse_json(d))), d -> d.v IS NOT NULL)"))
+    found = staged(found, read=F.expr("filter(transform(told.documents, d -> named_struct('d', d, 'v', try_parse_json(d))), d -> d.v IS NOT NULL)"))
     found = staged(found, things=F.expr(jsonld.THINGS))
-    found = staged(found, names=F.struct(F.expr(jsonld.AUTHORS).alias("data"), F.col("bylines")), asked=F.expr(jsonld.PAIRS))
+    found = staged(found, names=F.struct(F.expr(jsonld.AUTHORS).alias("data"), F.col("told.bylines").alias("bylines")), asked=F.expr(jsonld.PAIRS))
     bare = lambda text: normalize(F.regexp_replace(text, "<[^>]+>", " "))
     pairs = F.transform("asked", lambda p: F.struct(bare(p["question"]).alias("question"), bare(p["answer"]).alias("answer"), F.lit("jsonld").alias("source")))
     found = staged(found, pairs=F.concat(pairs, "visible"))
-    return found.drop("read", "things", "asked", "bylines", "documents", "visible")
+    return found.drop("read", "things", "asked", "told", "visible")
 
 
 def links(pages: DataFrame, excluded: Sequence[str] = (), heed_base: bool = False, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
