@@ -11,10 +11,14 @@ sizes, and links are confirmed on the full sets. A pair at similarity 0.80 fails
 meet with a probability below 3e-5, one at 0.85 below 1e-6.
 
 Equal sets are one class from the start. Inside a key, rows are first linked to
-their neighbour in signature order and to the key's first row; only rows that are
-then still in different components are compared with each other, in pairs of blocks
-of about ``BLOCK`` rows, each pair at the first key it shares; what is linked there
-counts as one component at once, so no group gives more links than rows.
+their neighbour in signature order and to a first row; a key's rows may lie in many
+tasks for that. Only rows that are then still in different components are compared
+with each other. In keys of up to ``BLOCK`` rows that is done pair by pair, each pair at
+the first key it shares; what is linked there counts as one component at once, so no
+group gives more links than rows. Larger keys are cut by their rows' rarest shingles: of
+two sets of similarity t, each holds a shingle of the other among its
+``n - ceil(t * n) + 1`` rarest, so rows meet again only under such a shingle. Rows that
+share a common part alone, however large it is, never meet there.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factflow.llm import vectext as V
@@ -141,33 +145,60 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def _chained(percent: int):
-    """Each row against the row before it in its key and against its key's first row."""
+    """Each row against the row before it in its key and against the first row of its key in this task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = head = None
         for b in batches:
             if not b.num_rows:
                 continue
-            key, i, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id", "n"))
+            key, i, n, c = (b.column(x).to_numpy(zero_copy_only=False) for x in ("key", "id", "n", "root"))
             s = _matrix(b.column("sig"))
             if before is not None:
-                key, i, n, s = (np.concatenate((x[None] if x.ndim < y.ndim else x, y)) for x, y in zip(before, (key, i, n, s), strict=True))
+                key, i, n, c, s = (np.concatenate(both) for both in zip(before, (key, i, n, c, s), strict=True))
             fresh = np.concatenate(([True], key[1:] != key[:-1]))
             first = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))
-            hi, hn, hs = i[first], n[first], s[first]
+            hi, hn, hc, hs = i[first], n[first], c[first], s[first]
             if head is not None and key[0] == head[0]:
                 same = first == 0
-                hi, hn, hs = np.where(same, head[1], hi), np.where(same, head[2], hn), np.where(same[:, None], head[3], hs)
+                hi, hn, hc, hs = np.where(same, head[1], hi), np.where(same, head[2], hn), np.where(same, head[3], hc), np.where(same[:, None], head[4], hs)
             k = np.flatnonzero(~fresh)
-            for oi, on, os_ in ((i[k - 1], n[k - 1], s[k - 1]), (hi[k], hn[k], hs[k])):
-                ok = (oi != i[k]) & _near(on, n[k], os_, s[k], percent)
+            for oi, on, oc, os_ in ((i[k - 1], n[k - 1], c[k - 1], s[k - 1]), (hi[k], hn[k], hc[k], hs[k])):
+                ok = (oc != c[k]) & _near(on, n[k], os_, s[k], percent)
                 yield _pairs(oi[ok], i[k][ok])
-            before = key[-1:], i[-1:], n[-1:], s[-1:]
-            head = key[-1], hi[-1], hn[-1], hs[-1]
+            before = key[-1:], i[-1:], n[-1:], c[-1:], s[-1:]
+            head = key[-1], hi[-1], hn[-1], hc[-1], hs[-1]
 
     return run
 
 
+def _headed(percent: int):
+    """Each row against the first row of its key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                i, n, c, hi, hn, hc = (b.column(x).to_numpy() for x in ("id", "n", "root", "hi", "hn", "hc"))
+                ok = (hc != c) & _near(hn, n, _matrix(b.column("hs")), _matrix(b.column("sig")), percent)
+                yield _pairs(hi[ok], i[ok])
+
+    return run
+
+
+def _neighbours(met: DataFrame, percent: int) -> DataFrame:
+    """Near pairs of rows (key, rows, id, n, root, sig) next to each other in signature order, or with a first row.
+
+    Rows are dealt by ranges of key and signature, so a key's rows may lie in many tasks;
+    in keys beyond ``BLOCK`` each is also compared with the first row of all.
+    """
+    dealt = met.repartitionByRange("key", "sig", "id").sortWithinPartitions("key", "sig", "id")
+    large = met.where(F.col("rows") > BLOCK)
+    heads = large.groupBy("key").agg(F.min(F.struct("sig", "id", "n", "root")).alias("h"))
+    headed = large.join(heads.select("key", *[F.col(f"h.{x}").alias(y) for x, y in (("id", "hi"), ("n", "hn"), ("root", "hc"), ("sig", "hs"))]), "key")
+    pairs = dealt.mapInArrow(_chained(percent), "a long, b long").unionByName(headed.mapInArrow(_headed(percent), "a long, b long"))
+    return pairs.where("a <> b").distinct()
+
+
 def _crossed(percent: int):
     """Links between rows in different components, each pair tried at the first key it shares.
 
@@ -176,17 +207,17 @@ def _crossed(percent: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, ["key", "x", "y"]):
-            key, x, y, block, no, i, n = (t.column(k).to_numpy() for k in ("key", "x", "y", "block", "no", "id", "n"))
+        for t in _groups(batches, ["key"]):
+            key, no, i, n = (t.column(k).to_numpy() for k in ("key", "no", "id", "n"))
             c, s = t.column("root").to_numpy().copy(), _matrix(t.column("sig"))
             places = t.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, KEYED)
             values, at = t.column("s").combine_chunks().flatten().to_numpy().view(np.uint64), np.concatenate(([0], np.cumsum(n)))
-            cut = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]), [True])))
+            cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
             a, b = [], []
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
                 for k in range(lo, hi):
                     j = np.arange(k + 1, hi)
-                    j = j[(c[j] != c[k]) & ((block[j] != block[k]) | (x[k] == y[k]))]
+                    j = j[c[j] != c[k]]
                     j = j[_near(n[j], n[k], s[j], s[k][None], percent)] if len(j) else j
                     j = j[(places[j] == places[k]).argmax(axis=1) == no[k]] if len(j) else j
                     if not len(j):
@@ -204,6 +235,25 @@ def _crossed(percent: int):
     return run
 
 
+def _apart(percent: int):
+    """Near pairs of rows in different components, of groups dealt in pairs of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, ["key", "x", "y"]):
+            key, x, y, block, i, n, c = (t.column(k).to_numpy() for k in ("key", "x", "y", "block", "id", "n", "root"))
+            s = _matrix(t.column("sig"))
+            end = np.flatnonzero(np.concatenate(((key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]), [True]))) + 1
+            for lo, hi in zip(np.concatenate(([0], end[:-1])), end, strict=True):
+                for k in range(lo, hi - 1):
+                    j = np.arange(k + 1, hi)
+                    j = j[(c[j] != c[k]) & ((block[j] != block[k]) | (x[k] == y[k]))]
+                    j = j[_near(n[j], n[k], s[j], s[k][None], percent)] if len(j) else j
+                    if len(j):
+                        yield _pairs(np.full(len(j), i[k]), i[j])
+
+    return run
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in V.slices(whole, "text"):
@@ -220,6 +270,39 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return right.join(sets.withColumnRenamed("id", "a"), "a").where(100 * both >= percent * (F.size("s") + F.size("sb") - both)).select("a", "b")
 
 
+def _rarest(hot: DataFrame, percent: int) -> DataFrame:
+    """(key, id): shared shingles among the rarest of each row of ``hot`` (id, n, s).
+
+    Sets of similarity ``percent`` or more share at least ``ceil(percent * n / 100)`` of
+    either's n shingles, hence one of the ``n - ceil(...) + 1`` that come first in any order
+    that holds for all rows; here the rarest come first.
+    """
+    shingles = hot.select("id", "n", F.xxhash64("s").alias("own"), F.explode("s").alias("key"))  # a repeated id has several sets
+    counts = written(shingles.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"))
+    nth = F.row_number().over(Window.partitionBy("id", "own").orderBy(F.coalesce("df", F.lit(1)), "key"))
+    first = shingles.join(counts, "key", "left").withColumn("nth", nth).where(F.expr(f"nth <= n - ({percent} * n + 99) DIV 100 + 1"))
+    return written(first.where("df IS NOT NULL").select("key", "id").distinct())
+
+
+def _open(keyed: DataFrame, roots: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows (key, rows, id, n, root, sig) of the keys whose rows are in different components."""
+    placed = keyed.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    several = placed.groupBy("key").agg(F.count("*").alias("rows"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key", "rows")
+    return written(placed.join(several, "key").join(rows, "id").select("key", "rows", "id", "n", "root", "sig"))
+
+
+def _in_large_keys(hot: DataFrame, links: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the rows of ``hot`` (id, n, sig, s) that ``roots`` holds apart, over their rarest shingles."""
+    rare, rows = _rarest(hot, percent), hot.select("id", "n", "sig").distinct()
+    more = written(_confirmed(_neighbours(_open(rare, roots, rows), percent), sets, percent))
+    left = _open(rare, components(links.unionByName(more)), rows)
+    wide = F.ceil(F.col("rows") / BLOCK).cast("int")
+    left = left.withColumn("block", F.pmod(F.xxhash64("id"), wide).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), wide - 1)))
+    left = left.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "n", "root", "sig")
+    near = left.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_apart(percent), "a long, b long").distinct()
+    return more.unionByName(_confirmed(near, sets, percent))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id reachable over links), kept.
 
@@ -239,7 +322,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = keyed.join(shared, "key").select("key", "no", "rows", "id")
     met = written(met.join(rows.drop("keys"), "id"))
 
-    chained = met.repartition("key").sortWithinPartitions("key", "sig", "id").mapInArrow(_chained(percent), "a long, b long").distinct()
+    chained = _neighbours(met.withColumn("root", F.col("id")), percent)
     seen = met.select("id").distinct()
     needed = own.join(seen.hint("merge"), "id", "left_semi").where("text IS NOT NULL")
     sets = written(needed.mapInArrow(_sets, "id long, s array<long>").where("size(s) > 0"))
@@ -248,12 +331,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links)
     placed = met.select("key", "no", "rows", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     open_keys = placed.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key")
-    wide = F.ceil(F.col("rows") / BLOCK).cast("int")
-    left = placed.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("id"), wide).cast("int"))
-    left = left.join(rows, "id").join(sets, "id").where("size(s) = n")
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), wide - 1))).select("*", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    crossed = left.select("key", "x", "y", "block", "no", "id", "n", "root", "sig", "keys", "s").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_crossed(percent), "a long, b long").distinct()
-    roots = components(links.unionByName(crossed))
+    left = placed.join(open_keys, "key")
+    small = left.where(F.col("rows") <= BLOCK).join(rows, "id").join(sets, "id").where("size(s) = n")
+    crossed = small.select("key", "no", "id", "n", "root", "sig", "keys", "s").repartition("key").sortWithinPartitions("key").mapInArrow(_crossed(percent), "a long, b long").distinct()
+    found = links.unionByName(crossed)
+    hot = written(left.where(F.col("rows") > BLOCK).select("id").distinct().join(rows.drop("keys"), "id").join(sets, "id").where("size(s) = n"))
+    if not hot.isEmpty():
+        found = found.unionByName(_in_large_keys(hot, links, roots, sets, percent))
+    roots = components(found)
 
     by_class = classes.select("f1", "f2", "c").join(roots.withColumnRenamed("node", "c"), "c", "left").select("f1", "f2", F.coalesce("root", "c").alias("root"))
     out = sig.join(by_class, ["f1", "f2"], "left")

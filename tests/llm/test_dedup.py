@@ -82,6 +82,36 @@ def test_a_key_far_over_the_block_size(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_a_large_key_of_texts_with_a_common_part(spark, monkeypatch):
+    """Texts that share seven tenths meet in a key, but not under their rarest shingles; copies among them are linked."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    rng, near = random.Random(6), []
+    common, rows = [f"c{k}" for k in range(140)], []
+    for k in range(150):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        rows.append((1000 - k, " ".join(common + own)))
+        if k % 5 == 0:
+            for at in (3, 30, 57)[: 1 + k % 3]:
+                rows.append((2000 + len(rows), " ".join(common + own[:at] + ["edited"] + own[at + 1 :])))
+    rows += [(1, "a b c d e f"), (1, rows[0][1]), (None, rows[0][1]), (3, None)]
+    whole = minhash._in_large_keys
+
+    def seen(hot, links, roots, sets, percent):
+        rare = minhash._rarest(hot, percent)
+        near.append((hot.count(), rare.groupBy("key").count().agg(F.max("count")).first()[0]))
+        return whole(hot, links, roots, sets, percent)
+
+    monkeypatch.setattr(minhash, "_in_large_keys", seen)
+    got = {}
+    for r in minhash.near_duplicates(table(spark, rows)).where("doc_id IS NOT NULL AND doc_id <> 1").collect():
+        got[r.doc_id] = (r.n_shingles, r.component_id)
+    want = brute_components([r for r in rows if r[0] not in (1, None)])
+    one = want[1000][1]
+    want = {i: (n, 1 if c == one else c) for i, (n, c) in want.items()}  # document 1 repeats the text of 1000 in one of its rows
+    assert got == want
+    assert near and near[0][0] > 150 and near[0][1] < 16, near
+
+
 def test_pigeonhole_guarantee():
     """Any two signatures at distance of at most 2 * CHUNKS - 1 share a key."""
     rng = np.random.default_rng(0)
