@@ -291,11 +291,16 @@ def _open(keyed: DataFrame, roots: DataFrame, rows: DataFrame) -> DataFrame:
     return written(placed.join(several, "key").join(rows, "id").select("key", "rows", "id", "n", "root", "sig"))
 
 
-def _in_large_keys(hot: DataFrame, links: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _stars(roots: DataFrame) -> DataFrame:
+    """What is known of components as links of each row to its root: far fewer steps follow than from the links found."""
+    return roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
+def _in_large_keys(hot: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between the rows of ``hot`` (id, n, sig, s) that ``roots`` holds apart, over their rarest shingles."""
     rare, rows = _rarest(hot, percent), hot.select("id", "n", "sig").distinct()
     more = written(_confirmed(_neighbours(_open(rare, roots, rows), percent), sets, percent))
-    left = _open(rare, components(links.unionByName(more)), rows)
+    left = _open(rare, components(_stars(roots).unionByName(more)), rows)
     wide = F.ceil(F.col("rows") / BLOCK).cast("int")
     left = left.withColumn("block", F.pmod(F.xxhash64("id"), wide).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), wide - 1)))
     left = left.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "n", "root", "sig")
@@ -334,10 +339,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = placed.join(open_keys, "key")
     small = left.where(F.col("rows") <= BLOCK).join(rows, "id").join(sets, "id").where("size(s) = n")
     crossed = small.select("key", "no", "id", "n", "root", "sig", "keys", "s").repartition("key").sortWithinPartitions("key").mapInArrow(_crossed(percent), "a long, b long").distinct()
-    found = links.unionByName(crossed)
+    found = _stars(roots).unionByName(crossed)
     hot = written(left.where(F.col("rows") > BLOCK).select("id").distinct().join(rows.drop("keys"), "id").join(sets, "id").where("size(s) = n"))
     if not hot.isEmpty():
-        found = found.unionByName(_in_large_keys(hot, links, roots, sets, percent))
+        found = found.unionByName(_in_large_keys(hot, roots, sets, percent))
     roots = components(found)
 
     by_class = classes.select("f1", "f2", "c").join(roots.withColumnRenamed("node", "c"), "c", "left").select("f1", "f2", F.coalesce("root", "c").alias("root"))

@@ -96,10 +96,10 @@ def test_a_large_key_of_texts_with_a_common_part(spark, monkeypatch):
     rows += [(1, "a b c d e f"), (1, rows[0][1]), (None, rows[0][1]), (3, None)]
     whole = minhash._in_large_keys
 
-    def seen(hot, links, roots, sets, percent):
+    def seen(hot, roots, sets, percent):
         rare = minhash._rarest(hot, percent)
         near.append((hot.count(), rare.groupBy("key").count().agg(F.max("count")).first()[0]))
-        return whole(hot, links, roots, sets, percent)
+        return whole(hot, roots, sets, percent)
 
     monkeypatch.setattr(minhash, "_in_large_keys", seen)
     got = {}
