@@ -440,3 +440,34 @@ def test_fits_are_bounded_by_rows(spark, monkeypatch):
     for d in (spoken, spoken.repartition(7)):
         langid.fit(d, per_lang=25)
     assert seen[0] == seen[1] and max(sum(x[0] == k for x in seen[0]) for k in ("en", "xx")) <= 25 and sum(x[0] == "en" for x in seen[0]) == 25
+
+
+def test_language_scores_match_a_count_by_hand(spark):
+    """Mean of the subwords' rows, bias, temperature and softmax, worked out subword by subword."""
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    langs, table_, bias, heat, least = ["aa", "bb", "cc"], rng.normal(0, 3, (langid.BUCKETS, 3)).astype(np.float32), np.array([0.1, -0.2, 0.05]), 0.7, 0.5
+    model = langid.Model(langs, table_, bias, heat, least)
+    texts = [*ODD, "ÀÉ", "Żółć ő ş", "x", "12 a", "A", *fuzz(120), *[t[:300] for t in given()[:40]]]
+    got = {r.doc_id: r for r in langid.predict(table(spark, texts), model).collect()}
+    assert len(got) == len(texts)
+    for k, t in enumerate(texts):
+        if not any(c.isalpha() for c in t or ""):
+            assert (got[k].lang_pred, got[k].score, got[k].rejected) == ("und", 0.0, True)
+            continue
+        codes = [c + 32 if 65 <= c <= 90 else 32 if c < 128 and not 97 <= c <= 122 else c for c in t.encode()]
+        total, n = [0.0] * 3, 0
+        for size in (1, 2, 3, 4):
+            for at in range(len(codes) - size + 1):
+                gram = codes[at : at + size]
+                if gram[0] != 32 or gram[-1] != 32:
+                    bucket = (int.from_bytes(bytes(gram), "big") + size) * 0x9E3779B97F4A7C15 % 2**64 >> 49
+                    total = [x + float(y) for x, y in zip(total, table_[bucket], strict=True)]
+                    n += 1
+        z = [(x / n + b) / heat for x, b in zip(total, bias, strict=True)]
+        e = [math.exp(x - max(z)) for x in z]
+        p = max(e) / sum(e)
+        assert got[k].lang_pred == langs[e.index(max(e))] and abs(got[k].score - p) < 1e-9 and got[k].rejected == (p < least), k
