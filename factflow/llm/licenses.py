@@ -149,7 +149,8 @@ def scan(docs: DataFrame, index: Index, base: dict[str, str] = BASE, id_col: str
     n_base counts all places of the base phrases, first_word and last_word are their
     smallest and largest (null without one). Labels are distinct, sorted and joined by
     commas. score is the largest share of a template found in place, 1 for a base phrase.
-    Null and empty texts have no words.
+    Null and empty texts have no words. Ids may be null or repeat, other columns are
+    ignored, an empty table gives no rows.
     """
     phrases = Index(templates([(label, p, (p,)) for p, label in base.items()]), index.df)
 
@@ -185,7 +186,7 @@ def scan(docs: DataFrame, index: Index, base: dict[str, str] = BASE, id_col: str
 
 
 def scan_corpus(docs: DataFrame, found: list[Template] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``scan`` with an index weighted by this corpus's own document frequencies."""
+    """``scan`` with an index weighted by this corpus's own document frequencies; of an empty table all are 0 and no rows come out."""
     found = templates() if found is None else found
     words = sorted({w for t in found for w in t.words} | {w for p in BASE for w in p.split()})
     return scan(docs, Index(found, document_frequencies(docs, words, text_col)), id_col=id_col, text_col=text_col)

@@ -253,7 +253,8 @@ def judge(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col
     """id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, content_share, kept; one row per row.
 
     Null and blank texts have zero counts and fail. Without a field (no labels of both
-    kinds to learn from) the base rules decide alone. Ids may be null or repeat.
+    kinds to learn from) the base rules decide alone. Ids may be null or repeat, other
+    columns are ignored, an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +270,7 @@ def judge(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col
 
 
 def kept_rows(docs: DataFrame, field: Field | None, text_col: str = "text", share: float = SHARE) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text is kept; nothing is shuffled."""
+    """The rows of ``docs``, with all their columns, whose text is kept, null and blank ones never; equal rows share a fate, an empty table stays empty, nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

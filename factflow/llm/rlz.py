@@ -94,7 +94,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A word goes if a ``WINDOW``-word sequence that covers it starts anywhere else too, in
     the same text or another; sequences are judged on the input and never cross texts. All
-    places lose it, the first one too. Null texts have no words; ids may be null or repeat.
+    places lose it, the first one too. Null texts have no words; ids may be null or repeat;
+    equal rows each lose the same words. Other columns are ignored, an empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     out = R.covered(docs, SCHEME, repeated_windows, id_col, text_col, hot)

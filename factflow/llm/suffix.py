@@ -229,6 +229,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the same text or another; strings are judged on the input and never cross texts. All
     places lose it, the first one too. Null texts are empty; ids may be null or repeat.
     Equal rows each lose the same bytes. Other columns are ignored, whatever their names.
+    An empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     out = R.covered(docs, scheme_of(window), repeated_windows, id_col, text_col, hot)
@@ -243,6 +244,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``docs`` with all columns and repeated passages gone from the text; a character that lost a byte goes whole.
 
     Rows stay, also those whose text is null (it becomes empty) or repeated from end to end.
+    An empty table stays empty.
     """
     whole = docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]))
     out = R.covered(whole, scheme_of(window), repeated_windows, id_col, text_col, hot, carry="_row")
