@@ -96,6 +96,37 @@ def test_many_searches_equal_single_ones(spark, built):
         assert sorted(r for r, _, _ in some) == list(range(1, len(some) + 1))
 
 
+def test_equal_searches_are_one_until_the_end(spark, built, monkeypatch):
+    rows, index = built
+    given = []
+
+    def counted(scores, *args):
+        given.append(scores.count())
+        return best.best_of(scores, *args)
+
+    monkeypatch.setattr(postings, "best_of", counted)
+    asked = spark.createDataFrame([(k, ["the", "w7"]) for k in range(50)], "search_id int, terms array<string>")
+    got = {}
+    for r in postings.search_many(index, asked, 4).collect():
+        got.setdefault((r.search_id, r.scope), []).append((r.rank, r.url_id, r.score))
+    assert max(given) <= len(rows)
+    for scope in range(3):
+        for k in (0, 49):
+            same([(i, s) for _, i, s in sorted(got[k, scope])], brute(rows, ["the", "w7"], 4, scope))
+
+
+def test_texts_are_not_shuffled_for_the_best_pages(spark):
+    from factflow.plans import QUERIES
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = QUERIES["run_fact_counts"](spark, "/root/testdata/sf0.001")
+        plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert re.search(r"BroadcastHashJoin .*LeftSemi", plan) and not re.search(r"SortMergeJoin .*LeftSemi", plan)
+
+
 def test_empty_index(spark):
     none = spark.createDataFrame([], "url_id long, scope int, body string")
     index = postings.write_index(none, ["body"], scratch(spark, "index"))
