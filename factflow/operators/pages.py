@@ -33,6 +33,7 @@ SCHEMA = (
 )
 COLUMNS = ["page_id", "title", "h1s", "h2s", "meta", "canonical", "lead", "body", "told", "visible"]
 _SPACES = re.compile(r"\s+")
+STEP = 128  # pages whose parts are held at once
 
 
 def squeeze(text: str) -> str:
@@ -167,6 +168,14 @@ def page(html: str) -> tuple:
     return title or None, *heads, meta, canonical, lead[1] if lead else None, main.text(DROPPED), told, pairs
 
 
+def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The parts of pages (page_id, html), a few pages at a time, however large a batch is."""
+    for b in batches:
+        for k in range(0, len(b), STEP):
+            some = b.iloc[k : k + STEP]
+            yield pd.DataFrame([(i, *page(h)) for i, h in zip(some["page_id"], some["html"], strict=True)], columns=COLUMNS)
+
+
 def parts(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """One row a page with what the parser found, and what its JSON-LD says; a null page has no parts.
 
@@ -175,11 +184,7 @@ def parts(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
     """
     pages.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame([(i, *page(h)) for i, h in zip(b["page_id"], b["html"], strict=True)], columns=COLUMNS)
-
-    found = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).mapInPandas(run, SCHEMA)
+    found = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).mapInPandas(parsed, SCHEMA)
     found = staged(found, read=F.expr("filter(transform(told.documents, d -> named_struct('d', d, 'v', try_parse_json(d))), d -> d.v IS NOT NULL)"))
     found = staged(found, things=F.expr(jsonld.THINGS))
     found = staged(found, names=F.struct(F.expr(jsonld.AUTHORS).alias("data"), F.col("told.bylines").alias("bylines")), asked=F.expr(jsonld.PAIRS))
