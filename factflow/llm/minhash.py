@@ -18,12 +18,14 @@ the first key it shares; what is linked there counts as one component at once, s
 group gives more links than rows. Larger keys are cut by their rows' rarest shingles: of
 two sets of similarity t, each holds a shingle of the other among its
 ``n - ceil(t * n) + 1`` rarest, so rows meet again only under such a shingle. Rows that
-share a common part alone, however large it is, never meet there.
+share a common part alone, however large it is, never meet there. Rows that do meet are
+compared in blocks by how they differ from what most rows of the block have, and what is
+linked counts as one component at once: links leave a block, not pairs that may be links.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,7 @@ from factflow.llm.components import components
 from factflow.llm.shared import renamed, written
 
 SHINGLE, CHUNKS, WIDTH, LONG, BLOCK = 5, 8, 5, 128, 1024
+BLOCK_SHINGLES = 1 << 22
 KEYED = CHUNKS * WIDTH
 _RNG = np.random.default_rng(7)
 _TURN = _RNG.integers(1, 1 << 63, LONG, dtype=np.uint64) | np.uint64(1)
@@ -235,21 +238,67 @@ def _crossed(percent: int):
     return run
 
 
+def _linked(values: np.ndarray, n: np.ndarray, c: np.ndarray, maybe: Callable[[int], np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """Links between rows of one group (their sets one after another in ``values``); ``c``, their components, becomes what they are then.
+
+    Rows are held as their differences from the shingles that most rows of the group have.
+    Two rows differ by ``d1 + d2 - 2 * shared`` shingles, d being the sizes of these
+    differences, so no two whole sets are compared. Where d1 + d2 is little enough the rows
+    are linked whatever they share; the row closest to the middle has links to all of those.
+    """
+    m, row = len(n), np.repeat(np.arange(len(n)), n)
+    _, code, df = np.unique(values, return_inverse=True, return_counts=True)
+    most = np.flatnonzero(2 * df > m)
+    place = np.full(len(df), -1)
+    place[most] = np.arange(len(most))
+    lacks, usual = np.ones((m, len(most)), bool), place[code] >= 0
+    lacks[row[usual], place[code[usual]]] = False
+    gone, which = np.nonzero(lacks)
+    row, code = np.concatenate((row[~usual], gone)), np.concatenate((code[~usual], most[which]))
+    d = np.bincount(row, minlength=m)
+    rest = (100 + percent) * d - (100 - percent) * n
+    h = int(rest.argmin())
+    for j in np.flatnonzero((rest + rest[h] <= 0) & (c != c[h])).tolist():
+        if c[j] != c[h]:
+            yield h, j
+            c[c == c[j]] = c[h]
+
+    by = np.lexsort((row, code))
+    starts = np.concatenate(([0], np.cumsum(np.bincount(code, minlength=len(df)))))
+    having, by_row = row[by], code[np.lexsort((code, row))]
+    ends = np.concatenate(([0], np.cumsum(d)))
+    for k in range(m):
+        j = maybe(k)
+        j = j[c[j] != c[k]]
+        if not len(j):
+            continue
+        lo, size = starts[by_row[ends[k] : ends[k + 1]]], np.diff(starts)[by_row[ends[k] : ends[k + 1]]]
+        at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        shared = np.bincount(having[at], minlength=m)[j]
+        for o in j[(100 + percent) * (d[k] + d[j] - 2 * shared) <= (100 - percent) * (n[k] + n[j])].tolist():
+            if c[o] != c[k]:
+                yield k, o
+                c[c == c[o]] = c[k]
+
+
 def _apart(percent: int):
-    """Near pairs of rows in different components, of groups dealt in pairs of blocks."""
+    """Links between rows in different components, of groups dealt in pairs of blocks, confirmed on their full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, ["key", "x", "y"]):
             key, x, y, block, i, n, c = (t.column(k).to_numpy() for k in ("key", "x", "y", "block", "id", "n", "root"))
-            s = _matrix(t.column("sig"))
+            s, values, at = _matrix(t.column("sig")), t.column("s").combine_chunks().flatten().to_numpy(), np.concatenate(([0], np.cumsum(n)))
             end = np.flatnonzero(np.concatenate(((key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]), [True]))) + 1
             for lo, hi in zip(np.concatenate(([0], end[:-1])), end, strict=True):
-                for k in range(lo, hi - 1):
-                    j = np.arange(k + 1, hi)
-                    j = j[(c[j] != c[k]) & ((block[j] != block[k]) | (x[k] == y[k]))]
-                    j = j[_near(n[j], n[k], s[j], s[k][None], percent)] if len(j) else j
-                    if len(j):
-                        yield _pairs(np.full(len(j), i[k]), i[j])
+                gn, gc, gs, gb, both = n[lo:hi], c[lo:hi].copy(), s[lo:hi], block[lo:hi], x[lo] != y[lo]
+
+                def maybe(k: int, gn=gn, gc=gc, gs=gs, gb=gb, both=both) -> np.ndarray:
+                    j = np.arange(k + 1, len(gn))
+                    j = j[(gc[j] != gc[k]) & ((gb[j] != gb[k]) | ~both)]
+                    return j[_near(gn[j], gn[k], gs[j], gs[k][None], percent)] if len(j) else j
+
+                links = np.array(list(_linked(values[at[lo] : at[hi]], gn, gc, maybe, percent)), np.int64).reshape(-1, 2) + lo
+                yield _pairs(i[links[:, 0]], i[links[:, 1]])
 
     return run
 
@@ -301,11 +350,12 @@ def _in_large_keys(hot: DataFrame, roots: DataFrame, sets: DataFrame, percent: i
     rare, rows = _rarest(hot, percent), hot.select("id", "n", "sig").distinct()
     more = written(_confirmed(_neighbours(_open(rare, roots, rows), percent), sets, percent))
     left = _open(rare, components(_stars(roots).unionByName(more)), rows)
-    wide = F.ceil(F.col("rows") / BLOCK).cast("int")
-    left = left.withColumn("block", F.pmod(F.xxhash64("id"), wide).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), wide - 1)))
+    wide = left.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("wide"))
+    left = left.join(wide, "key").withColumn("block", F.pmod(F.xxhash64("id"), "wide").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("wide") - 1)))
     left = left.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "n", "root", "sig")
-    near = left.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_apart(percent), "a long, b long").distinct()
-    return more.unionByName(_confirmed(near, sets, percent))
+    left = left.join(hot.select("id", "n", "sig", "s").distinct(), ["id", "n", "sig"])
+    found = left.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_apart(percent), "a long, b long")
+    return more.unionByName(written(found.where("a <> b").distinct()))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:

@@ -114,6 +114,41 @@ def test_a_large_key_of_texts_with_a_common_part(spark, monkeypatch):
     assert near and near[0][0] > 150 and near[0][1] < 16, near
 
 
+def test_a_large_key_of_texts_just_below_the_threshold(spark, monkeypatch):
+    """Copies of one text with an edit each are not linked unless their edits meet; those pairs are not joined with their sets."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    rng, pairs = random.Random(3), []
+    words, rows = [f"c{k}" for k in range(120)], []
+    for k in range(150):
+        at = rng.randrange(5, 115)
+        rows.append((k, " ".join([*words[:at], f"e{k}", *words[at + 1 :]])))
+    whole = minhash._confirmed
+
+    def seen(near, sets, percent):
+        pairs.append(near.count())
+        return whole(near, sets, percent)
+
+    monkeypatch.setattr(minhash, "_confirmed", seen)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(table(spark, rows)).collect()}
+    assert got == brute_components(rows)
+    assert max(pairs) < 16 * len(rows), pairs
+
+
+def test_links_of_a_group_are_those_of_its_pairs():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        middle = rng.choice(10**6, rng.integers(5, 60), replace=False)
+        sets = [np.unique(np.concatenate((rng.permutation(middle)[: rng.integers(1, len(middle) + 1)], rng.integers(0, 40, rng.integers(0, 6))))) for _ in range(rng.integers(2, 40))]
+        n, c = np.array([len(s) for s in sets]), np.arange(len(sets))
+        for a, b in minhash._linked(np.concatenate(sets), n, c, lambda k, m=len(sets): np.arange(k + 1, m), 85):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            assert 100 * both >= 85 * (n[a] + n[b] - both)
+        for a in range(len(sets)):
+            for b in range(a):
+                both = len(np.intersect1d(sets[a], sets[b]))
+                assert c[a] == c[b] or 100 * both < 85 * (n[a] + n[b] - both)
+
+
 def test_pigeonhole_guarantee():
     """Any two signatures at distance of at most 2 * CHUNKS - 1 share a key."""
     rng = np.random.default_rng(0)
