@@ -348,3 +348,15 @@ def test_a_cluster_without_a_shared_folder_is_an_error():
     conf = {"spark.master": "spark://host:7077"}
     with pytest.raises(ValueError):
         shared_folder(SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d))))
+
+
+def test_texts_that_come_with_their_responses_are_not_shuffled(spark):
+    from factflow.operators import detect as K
+
+    said = lambda q: '{"items":[{"quote":"' + q + '","is_real_issue":true,"category":"positioning"}]}'
+    rows = [(1, said("of the"), "end of the day"), (2, said("of the"), None), (3, said("never"), "end of the day"), (4, said(""), "x"), (5, said("."), "a. b"), (6, None, "y")]
+    responses = spark.createDataFrame(rows, "url_id long, raw string, body_text string")
+    got = K.reviewed(responses)
+    joined = K.reviewed(responses.select("url_id", "raw"), responses.select("url_id", "body_text"))
+    assert sorted(got.collect()) == sorted(joined.collect()) and sorted(r.url_id for r in got.collect()) == [1, 5]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
