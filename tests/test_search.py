@@ -135,6 +135,34 @@ def test_empty_index(spark):
     assert index.pages == 1
 
 
+def test_an_index_of_many_parts_moves_texts_once_and_broadcasts_few_kinds(spark, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    plans, write = [], DataFrameWriter.parquet
+
+    def seen(self, path, *args, **kind):
+        if path.endswith("/postings"):
+            plans.append(spark.sparkContext._jvm.PythonSQLUtils.explainString(self._df._jdf.queryExecution(), "simple"))
+        return write(self, path, *args, **kind)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", seen)
+    rows = corpus(seed=2)
+    pages = spark.createDataFrame(rows, "url_id long, scope int, body string, title string").repartition(3)
+    for part, kinds in ((100, 1 << 16), (100, 0)):  # many parts, many files a bucket; kinds joined by a shuffle
+        monkeypatch.setattr(postings, "PART_TOKENS", part)
+        monkeypatch.setattr(postings, "KINDS", kinds)
+        index = postings.write_index(pages, ["body", "title"], scratch(spark, "index"), buckets=2, chunk=4)
+        same([tuple(r) for r in postings.search(index, spark, ["license", "of the", "w5"], 9).collect()], brute(rows, ["license", "of the", "w5"], 9))
+        want = {}
+        for _, _, *texts in rows:
+            for field, ts in zip(("body", "title"), map(toks, texts), strict=True):
+                for t in set(ts):
+                    n, df = want.get((field, t), (0, 0))
+                    want[field, t] = n + ts.count(t), df + 1
+        assert {(r.field, r.token): (r.n, r.df) for r in postings.field_counts(index.blocks(spark), ["body", "title"]).collect()} == want
+    assert len(re.findall(r"Exchange hashpartitioning|Exchange rangepartitioning", plans[0])) == 1 and "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
+
+
 def test_folding_equals_decomposition():
     for c in map(chr, range(0x80, 0x10000)):
         parts = unicodedata.normalize("NFD", c)
@@ -143,6 +171,13 @@ def test_folding_equals_decomposition():
     assert search.fold("Ő ş Ž ấ é Ünder_score") == ["o", "s", "z", "a", "e", "under", "score"]
 
 
+def test_lines_hold_the_tokens(spark):
+    texts = [None, "", " .", "A b-C_9", "  The END. ", "Ő ş Ž Tiếng Việt é Ünder_score ΆΣ 中文 x2", "½ ² İx ẞ ŉ \u0301a", "a\u00a0b\u2003c"]
+    low = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").withColumn("low", search.lowered(F.col("t")))
+    for r in low.select("t", search.line(F.col("low")).alias("line"), search.tokens(F.col("t")).alias("ts")).withColumn("n", search.words_of(F.col("line"))).collect():
+        assert r.line == " ".join(r.ts) and r.n == len(r.ts)
+
+
 def test_tokens_fold_marks(spark):
     text = "Ő ş Ž Tiếng Việt é Ünder_score ΆΣ 中文 x2"
     assert spark.createDataFrame([(text,)], "t string").select(search.tokens(F.col("t"))).first()[0] == search.fold(text)
