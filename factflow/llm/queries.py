@@ -37,7 +37,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.digests(suffix.remove_repeats(_table(spark, sf_dir, "documents")))
+    return suffix.digests(suffix.remove_repeats(_table(spark, sf_dir, "documents"), passage=suffix.PASSAGE))
 
 
 def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,41 +36,51 @@ from factflow.llm import vectext as V
 from factflow.llm.shared import renamed, written
 
 _PLACE = np.uint64((1 << 21) - 1)
-PIECE = 1 << 19
+_BYTES = V.mix(V._CODES[False])
+PIECE, SPAN = 1 << 19, 1 << 17
 CHUNK_ROWS = 2048
 HOT_CORES = 1 << 20
 
 
 def byte_units(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, text bounds, first byte, end byte) of every byte as a unit."""
+    """(mixed hash, text bounds, first byte, end byte) of every byte as a unit."""
     at = np.arange(len(raw))
-    return V._CODES[False][raw], offsets, at, at + 1
+    return _BYTES[raw], offsets, at, at + 1
 
 
 def word_units(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The same for words between white space."""
     start, end, text, h = V.words_of(raw, offsets)
-    return h, V.runs(len(offsets) - 1, text), start, end
+    return V.mix(h), V.runs(len(offsets) - 1, text), start, end
 
 
 @dataclass(frozen=True)
 class Scheme:
-    """What the units are, how many make a window, and how many an anchor's core."""
+    """What the units are, how many make a window, and how many an anchor's core.
+
+    A second, longer window may be looked for in the same pass. It belongs to the anchor of
+    the ``window`` units it begins with, so equal ones meet there too, at one offset.
+    """
 
     units: Callable
     window: int
     core: int
+    longer: int | None = None
 
     @property
     def spread(self) -> int:
         return self.window - self.core + 1
 
+    @property
+    def windows(self) -> list[int]:
+        return [self.window, *([self.longer] if self.longer else [])]
+
 
 def hashed_runs(u: np.ndarray, width: int) -> np.ndarray:
     """A hash of every run of ``width`` units."""
     up, down = V._power_tables(len(u) + 1)
     with np.errstate(over="ignore"):
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(V.mix(u) * up[: len(u)])))
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(u * up[: len(u)])))
         return V.mix((total[width:] - total[: max(0, len(u) + 1 - width)]) * down[: max(0, len(u) - width + 1)])
 
 
@@ -78,18 +88,16 @@ def _runs(u: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A hash of each run [start, end) of units."""
     up, down = V._power_tables(len(u) + 1)
     with np.errstate(over="ignore"):
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(V.mix(u) * up[: len(u)])))
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(u * up[: len(u)])))
         return V.mix((total[end] - total[start]) * down[start])
 
 
 def _sliding_least(v: np.ndarray, width: int) -> np.ndarray:
-    n = len(v)
-    padded = np.full(-(-n // width) * width, np.iinfo(np.uint64).max, np.uint64)
-    padded[:n] = v
-    rows = padded.reshape(-1, width)
-    ahead = np.minimum.accumulate(rows, axis=1).reshape(-1)
-    behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
+    n, size = len(v) - width + 1, 1
+    while 2 * size <= width:
+        v = np.minimum(v[:-size], v[size:])
+        size *= 2
+    return np.minimum(v[:n], v[width - size : width - size + n])
 
 
 def anchors(u: np.ndarray, bounds: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, ...]:
@@ -101,21 +109,26 @@ def anchors(u: np.ndarray, bounds: np.ndarray, scheme: Scheme) -> tuple[np.ndarr
         part = u[lo:hi]
         g = hashed_runs(part, scheme.core)
         least = _sliding_least((g & ~_PLACE) | (_PLACE - np.arange(len(g), dtype=np.uint64)), scheme.spread)
-        at = (_PLACE - (least & _PLACE)).astype(np.int64)
-        start = np.arange(len(at))
-        own = np.searchsorted(bounds, lo + start, "right") - 1 if t is None else np.full(len(at), t)
+        # A run of windows begins where the anchor changes or a text begins, and ends with the last window that its text holds.
+        head = np.concatenate(([True], least[1:] != least[:-1]))
+        if t is None:
+            ends = bounds[np.searchsorted(bounds, lo) : np.searchsorted(bounds, hi, "right")] - lo
+            ends = np.concatenate((ends, ends - scheme.window + 1))
+            head[ends[(ends >= 0) & (ends < len(head))]] = True
+        start = np.flatnonzero(head)
+        stop = np.concatenate((start[1:], [len(head)])) - 1
+        own = np.searchsorted(bounds, lo + start, "right") - 1 if t is None else np.full(len(start), t)
         ok = lo + start + scheme.window <= bounds[own + 1]
-        start, at, own = start[ok], at[ok], own[ok]
+        start, stop, own = start[ok], stop[ok], own[ok]
         if not len(start):
             continue
-        head = np.concatenate(([True], (at[1:] != at[:-1]) | (own[1:] != own[:-1])))
-        tail = np.concatenate((head[1:], [True]))
-        base = lo - bounds[own[head]]
-        text.append(own[head])
-        place.append(at[head] + base)
-        first.append(start[head] + base)
-        last.append(start[tail] + base)
-        core.append(g[at[head]])
+        at = (_PLACE - (least[start] & _PLACE)).astype(np.int64)
+        base = lo - bounds[own]
+        text.append(own)
+        place.append(at + base)
+        first.append(start + base)
+        last.append(stop + base)
+        core.append(g[at])
     if not text:
         none = np.zeros(0, np.int64)
         return none, none, none, none, np.zeros(0, np.uint64)
@@ -123,15 +136,15 @@ def anchors(u: np.ndarray, bounds: np.ndarray, scheme: Scheme) -> tuple[np.ndarr
 
 
 def _pieces(bounds: np.ndarray, window: int) -> Iterator[tuple[int, int, int | None]]:
-    """Runs of whole texts of at most ``PIECE`` units; a longer text comes in pieces that share window - 1 units."""
-    k, n = 0, len(bounds) - 1
+    """Runs of whole texts of at most ``SPAN`` units, which a processor's cache holds; a longer text comes in pieces that share window - 1 units."""
+    k, n, most = 0, len(bounds) - 1, min(PIECE, max(SPAN, 8 * window))
     while k < n:
-        stop = max(k + 1, int(np.searchsorted(bounds, bounds[k] + PIECE, "right")) - 1)
-        if bounds[stop] - bounds[k] <= PIECE:
+        stop = max(k + 1, int(np.searchsorted(bounds, bounds[k] + most, "right")) - 1)
+        if bounds[stop] - bounds[k] <= most:
             yield int(bounds[k]), int(bounds[stop]), None
         else:
-            for lo in range(int(bounds[k]), int(bounds[stop]), PIECE - window + 1):
-                yield lo, min(lo + PIECE, int(bounds[stop])), k
+            for lo in range(int(bounds[k]), int(bounds[stop]), most - window + 1):
+                yield lo, min(lo + most, int(bounds[stop])), k
         k = stop
 
 
@@ -148,7 +161,7 @@ def _anchored(scheme: Scheme):
 
 
 def _stretched(scheme: Scheme):
-    """Each wanted anchor with the text around it: from its first window's start to a window's length after the anchor."""
+    """Each wanted anchor with the text around it: from its first window's start to the end of its last, longest window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -159,9 +172,9 @@ def _stretched(scheme: Scheme):
                 rows = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
                 flat = lists.flatten()
                 core, spot, copies = (flat.field(k).to_numpy() for k in range(3))
-                place, before = spot >> 20, (spot >> 10) & 1023
+                place, before, least = spot >> 20, (spot >> 10) & 1023, spot & 1023
                 lo = start[bounds[rows] + place - before]
-                hi = end[np.minimum(bounds[rows] + place + scheme.window, bounds[rows + 1]) - 1]
+                hi = end[np.minimum(bounds[rows] + place - least + max(scheme.windows), bounds[rows + 1]) - 1]
                 whole_text = raw.tobytes()
                 around = pa.array([whole_text[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary())
                 at = pa.array(rows)
@@ -215,18 +228,22 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _resolved(scheme: Scheme, method: Callable[[Groups, Scheme], tuple[np.ndarray, np.ndarray, np.ndarray]]):
-    """Spans of repeated windows; the method gives them by stretch and relative to the anchor, each row takes them over."""
+def _resolved(scheme: Scheme, method: Callable[[Groups, Scheme], tuple[np.ndarray, ...]]):
+    """Spans of repeated windows; the method gives them by stretch and relative to the anchor, each row takes them over.
+
+    With two windows it says fourth which of them a span is for.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _chunks(batches):
             g, of, place = _gathered(t)
-            stretch, lo, hi = method(g, scheme)
+            stretch, lo, hi, *width = method(g, scheme)
+            width = width[0] if width else np.full(len(stretch), scheme.window)
             rows, n = np.argsort(of, kind="stable"), np.bincount(of, minlength=len(g.core))
             start, times = np.cumsum(n) - n, n[stretch]
             row = rows[np.repeat(start[stretch] - (np.cumsum(times) - times), times) + np.arange(times.sum())]
             at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([t.column("id").combine_chunks().take(at), t.column("fp").combine_chunks().take(at), pa.array(place[row] + np.repeat(lo, times)), pa.array(place[row] + np.repeat(hi, times))], names=["id", "fp", "a", "b"])
+            yield pa.RecordBatch.from_arrays([t.column("id").combine_chunks().take(at), t.column("fp").combine_chunks().take(at), pa.array(place[row] + np.repeat(lo, times)), pa.array(place[row] + np.repeat(hi, times)), pa.array(np.repeat(width, times).astype(np.int32))], names=["id", "fp", "a", "b", "width"])
             del t, g
             pa.default_memory_pool().release_unused()
 
@@ -245,7 +262,7 @@ def _hot_stretches(scheme: Scheme, cores: np.ndarray):
                 hot = cores[np.minimum(np.searchsorted(cores, core), len(cores) - 1)] == core
                 text, place, first, last, core = (x[hot] for x in (text, place, first, last, core))
                 lo = start[bounds[text] + first]
-                hi = end[np.minimum(bounds[text] + place + scheme.window, bounds[text + 1]) - 1]
+                hi = end[np.minimum(bounds[text] + last + max(scheme.windows), bounds[text + 1]) - 1]
                 data = raw.tobytes() if len(text) else b""
                 for k in range(0, len(text), CHUNK_ROWS):
                     part = slice(k, k + CHUNK_ROWS)
@@ -259,7 +276,7 @@ def _hot_stretches(scheme: Scheme, cores: np.ndarray):
 
 
 def _finer(scheme: Scheme):
-    """Stretches of hot groups cut at finer anchors, whose core is nearly a window long.
+    """Stretches (for ``scheme.window`` alone) of hot groups cut at finer anchors, whose core is nearly a window long.
 
     Each piece stands for the few windows that select its anchor: ``a`` is the start of the
     first, ``ws`` their hashes, ``piece`` a hash of all their text, ``shape`` where the
@@ -293,7 +310,7 @@ def _finer(scheme: Scheme):
 
 
 def _hot_spans(near: DataFrame, scheme: Scheme, key: str) -> DataFrame:
-    """(id, fp, a, b) of hot groups: pieces are counted, and only windows of pieces that occur once are looked at one by one.
+    """(id, fp, a, b, width) of hot groups: pieces are counted, and only windows of pieces that occur once are looked at one by one.
 
     What thousands of texts share is the same piece in all of them and counts as one row
     from the first aggregate on; most of what surrounds it has a core of its own and is
@@ -308,16 +325,16 @@ def _hot_spans(near: DataFrame, scheme: Scheme, key: str) -> DataFrame:
     pieces = written(met.groupBy(*same).agg(F.sum("copies").alias("n"), F.min(F.struct("id", "fp", "a")).alias("who"), F.first("ws").alias("ws")))
     twice = written(pieces.select(F.explode("ws").alias("w"), "n").groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").select("w"))
     several = written(pieces.where("n > 1").select(*same))
-    end = F.col("a") + F.col("shape").bitwiseAND(1023) - 1 + scheme.window
-    out = fine.join(several.hint("merge"), same, "left_semi").select("id", "fp", "a", end.alias("b"))
+    end, width = F.col("a") + F.col("shape").bitwiseAND(1023) - 1 + scheme.window, F.lit(scheme.window).alias("width")
+    out = fine.join(several.hint("merge"), same, "left_semi").select("id", "fp", "a", end.alias("b"), width)
     single = pieces.where("n = 1").select("who.*", F.posexplode("ws").alias("k", "w")).join(twice.hint("merge"), "w", "left_semi")
-    return out.unionByName(single.select("id", "fp", (F.col("a") + F.col("k")).alias("a"), (F.col("a") + F.col("k") + scheme.window).alias("b")))
+    return out.unionByName(single.select("id", "fp", (F.col("a") + F.col("k")).alias("a"), (F.col("a") + F.col("k") + scheme.window).alias("b"), width))
 
 
 def covered(docs: DataFrame, scheme: Scheme, method: Callable, id_col: str, text_col: str, hot: int, carry: str | None = None) -> DataFrame:
-    """(id, text, spans[, carried]): every input row with the sorted spans of units that a repeated window covers.
+    """(id, text, spans[, carried]): every input row with the sorted spans (a, b, width) of units that a repeated window covers.
 
-    Spans may overlap; the last one of a text with copies reaches past its end. Rows are
+    ``width`` is the window's. Spans may overlap; the last one of a text with copies reaches past its end. Rows are
     told apart by id and text, so ids may be null or repeat; a null text has no units.
     """
     own = renamed(docs, id=id_col, text=text_col, **({"carried": carry} if carry else {}))
@@ -325,7 +342,8 @@ def covered(docs: DataFrame, scheme: Scheme, method: Callable, id_col: str, text
     kind = own.schema["id"].dataType.simpleString()
     key = f"id {kind}, fp long"
     rows = own.select("id", "text", "fp").mapInArrow(_anchored(scheme), f"{key}, core long, spot long")
-    rows = written(rows.groupBy("core", "spot", "fp").agg(F.min(F.struct("id")).alias("who"), F.count("*").alias("copies")))
+    rows = rows.groupBy("core", "spot", "fp").agg(F.min(F.struct("id")).alias("who"), F.count("*").alias("copies"))
+    rows = written(rows.sortWithinPartitions("fp", "spot"))  # ids and hashes of a text stand together and take less disk
     often = written(rows.groupBy("core").agg(F.sum("copies").alias("times"), F.count("*").alias("rows")).where("times > 1"))
     hot_cores = often.where(F.col("rows") > hot).select("core")
     n_hot = hot_cores.count()
@@ -343,29 +361,32 @@ def covered(docs: DataFrame, scheme: Scheme, method: Callable, id_col: str, text
         return part.mapInArrow(_stretched(scheme), schema)
 
     small = around(lambda w: w["rows"] <= hot).repartition("core").sortWithinPartitions("core")
-    spans = small.mapInArrow(_resolved(scheme, method), f"{key}, a long, b long")
+    spans = small.mapInArrow(_resolved(scheme, method), f"{key}, a long, b long, width int")
     if n_hot:
         # Their texts need no shuffle of their own: the few hot cores are looked for in the texts where they are.
         large = around(lambda w: w["rows"] > hot)
         if n_hot <= HOT_CORES:
             cores = np.array([r.core for r in hot_cores.collect()], np.int64).view(np.uint64)
             large = own.select("id", "text", "fp").mapInArrow(_hot_stretches(scheme, np.sort(cores)), schema)
-        spans = spans.unionByName(_hot_spans(large, scheme, key))
+        if scheme.longer:
+            large = written(large)
+        for window in scheme.windows:
+            spans = spans.unionByName(_hot_spans(large, Scheme(scheme.units, window, scheme.core), key))
     copied = own.where(F.octet_length("text") >= scheme.window).select("id", "fp", F.unhex(F.sha2("text", 256)).alias("digest"))
     again = written(copied.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"))
-    spans = spans.unionByName(copied.join(again.hint("merge"), "digest", "left_semi").select("id", "fp", F.lit(0).cast("long").alias("a"), F.lit(1 << 60).alias("b")))
-    listed = spans.groupBy("id", "fp").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))
+    spans = spans.unionByName(copied.join(again.hint("merge"), "digest", "left_semi").select("id", "fp", F.lit(0).cast("long").alias("a"), F.lit(1 << 60).alias("b"), F.explode(F.lit(scheme.windows).cast("array<int>")).alias("width")))
+    listed = spans.groupBy("id", "fp").agg(F.sort_array(F.collect_set(F.struct("a", "b", "width"))).alias("spans"))
     same = own["id"].eqNullSafe(listed["id"]) & (own["fp"] == listed["fp"])
-    return own.join(listed.hint("merge"), same, "left").select(own["id"], "text", *(["carried"] if carry else []), F.coalesce("spans", F.array().cast("array<struct<a:bigint,b:bigint>>")).alias("spans"))
+    return own.join(listed.hint("merge"), same, "left").select(own["id"], "text", *(["carried"] if carry else []), F.coalesce("spans", F.array().cast("array<struct<a:bigint,b:bigint,width:int>>")).alias("spans"))
 
 
 def removal_mask(spans: pa.ListArray, bounds: np.ndarray, window: int) -> np.ndarray:
-    """Which units of all texts the spans cover; texts shorter than a window have none."""
+    """Which units of all texts the spans of a window cover; texts shorter than it have none."""
     flat = spans.flatten()
     row = np.repeat(np.arange(len(spans)), spans.value_lengths().to_numpy(zero_copy_only=False))
     size = np.diff(bounds)[row]
     a, b = flat.field(0).to_numpy(), np.minimum(flat.field(1).to_numpy(), size)
-    ok = size >= window
+    ok = (size >= window) & (flat.field(2).to_numpy() == window)
     change = np.zeros(int(bounds[-1]) + 1, np.int64)
     np.add.at(change, bounds[row][ok] + a[ok], 1)
     np.add.at(change, bounds[row][ok] + b[ok], -1)

@@ -33,7 +33,8 @@ from pyspark.sql import types as T
 from factflow.llm import repeats as R
 from factflow.llm import vectext as V
 
-WINDOW, CORE, BLOCK, HOT = 400, 64, 32, 20_000
+# 51 words of four letters with a space between them have 254 bytes.
+WINDOW, PASSAGE, CORE, BLOCK, HOT = 400, 254, 64, 32, 20_000
 SCHEME = R.Scheme(R.byte_units, WINDOW, CORE)
 CELLS, STEP = 1 << 18, 1 << 10
 
@@ -112,7 +113,7 @@ def _sides(g: R.Groups, scheme: R.Scheme) -> tuple[np.ndarray, np.ndarray, np.nd
     """The bytes from each anchor on, and those before it in reverse, one row a stretch; and how many there are."""
     size, before = np.diff(g.offsets), g.before
     right = size - before
-    wide = scheme.window + (-(scheme.window - scheme.core) % BLOCK)
+    wide = max(scheme.windows) + (-(max(scheme.windows) - scheme.core) % BLOCK)
     deep = scheme.spread - 1 + (-(scheme.spread - 1) % BLOCK)
     ahead, behind = np.zeros((len(size), wide), np.uint8), np.zeros((len(size), deep), np.uint8)
     for lo in range(0, len(size), STEP):
@@ -145,13 +146,14 @@ def _common(text: np.ndarray, size: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return lcp
 
 
-def repeated_windows(g: R.Groups, scheme: R.Scheme) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(stretch, start, end) of the spans, relative to the anchor, that the windows found more than once cover.
+def repeated_windows(g: R.Groups, scheme: R.Scheme) -> tuple[np.ndarray, ...]:
+    """(stretch, start, end[, window]) of the spans, relative to the anchor, that the windows found more than once cover.
 
-    All windows of a stretch hold its anchor, so what they cover is one span. Memory is a
-    few hundred bytes a stretch beside the texts.
+    All windows of one length of a stretch hold its anchor, so what they cover is one span.
+    The fourth column is there if the scheme has two windows. Memory is a few hundred bytes
+    a stretch beside the texts.
     """
-    n, window, core = len(g.core), scheme.window, scheme.core
+    n, core = len(g.core), scheme.core
     ahead, right, behind, before = _sides(g, scheme)
     blocks = [_blocks(ahead[:, core:], right - core), _blocks(behind, before)]
     shape = [b.shape[:2] for b in blocks]
@@ -185,24 +187,29 @@ def repeated_windows(g: R.Groups, scheme: R.Scheme) -> tuple[np.ndarray, np.ndar
     spot = np.empty(n, np.int64)
     spot[by_left] = np.arange(n)
     spot = spot[by_right]
-    least, most, copies = g.least[by_right], before[by_right], g.copies[by_right]
-    low, high = np.full(n, window), np.full(n, -1)
+    least, most, copies, reach = g.least[by_right], before[by_right], g.copies[by_right], right[by_right]
+    ends = [(window, np.full(n, window), np.full(n, -1)) for window in scheme.windows]
     step = max(1, CELLS // max(1, n))
-    for lo in range(int(least.min(initial=window)), int(most.max(initial=-1)) + 1, step):
+    for lo in range(int(least.min(initial=scheme.window)), int(most.max(initial=-1)) + 1, step):
         e = np.arange(lo, min(lo + step, int(most.max()) + 1))
-        same_right = np.cumsum(lcp[:, None] < (window - e)[None], axis=0)
         same_left = np.cumsum(lcs[:, None] < e[None], axis=0)[spot]
-        k, c = np.nonzero((least[:, None] <= e[None]) & (e[None] <= most[:, None]))
-        key = (c * (n + 1) + same_right[k, c]) * (n + 1) + same_left[k, c]
-        _, which = np.unique(key, return_inverse=True)
-        many = np.bincount(which, copies[k])[which] > 1
-        np.minimum.at(low, k[many], e[c[many]])
-        np.maximum.at(high, k[many], e[c[many]])
-    hit = np.flatnonzero(high >= 0)
-    return by_right[hit], -high[hit], window - low[hit]
-
-
-def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+        own = (least[:, None] <= e[None]) & (e[None] <= most[:, None])
+        for window, low, high in ends:
+            k, c = np.nonzero(own & (window - e[None] <= reach[:, None]))  # a longer window may not fit into the text
+            same_right = np.cumsum(lcp[:, None] < (window - e)[None], axis=0)
+            key = (c * (n + 1) + same_right[k, c]) * (n + 1) + same_left[k, c]
+            _, which = np.unique(key, return_inverse=True)
+            many = np.bincount(which, copies[k])[which] > 1
+            np.minimum.at(low, k[many], e[c[many]])
+            np.maximum.at(high, k[many], e[c[many]])
+    found = []
+    for window, low, high in ends:
+        hit = np.flatnonzero(high >= 0)
+        found.append((by_right[hit], -high[hit], window - low[hit], np.full(len(hit), window)))
+    return tuple(map(np.concatenate, zip(*found, strict=True)))[: 4 if scheme.longer else 3]
+
+
+def _cut(batches: Iterator[pa.RecordBatch], window: int, passage: int | None = None) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in V.slices(whole, "text", R.PIECE):
             raw, offsets = V.buffer_of(b.column("text"))
@@ -214,7 +221,11 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBa
             starts[inner] = gone[inner]
             runs = np.concatenate(([0], np.cumsum(starts)))
             kept = [raw[x:y][~gone[x:y]].tobytes() for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.diff(offsets)), pa.array(np.diff(total[offsets])), pa.array(np.diff(runs[offsets])), pa.array(kept, pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "kept"])
+            columns = {"id": b.column("id"), "n_bytes": np.diff(offsets), "n_removed": np.diff(total[offsets]), "n_spans": np.diff(runs[offsets]), "kept": pa.array(kept, pa.binary())}
+            if passage:
+                within = np.concatenate(([0], np.cumsum(R.removal_mask(b.column("spans"), offsets, passage))))
+                columns["n_in_passages"] = np.diff(within[offsets])
+            yield pa.RecordBatch.from_pydict(columns)
 
 
 def scheme_of(window: int) -> R.Scheme:
@@ -222,22 +233,31 @@ def scheme_of(window: int) -> R.Scheme:
     return R.Scheme(R.byte_units, window, CORE)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, window: int = WINDOW) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept (the remaining bytes), one row per input row.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, window: int = WINDOW, passage: int | None = None) -> DataFrame:
+    """id, n_bytes, n_removed, n_spans, kept (the remaining bytes)[, n_in_passages], one row per input row.
 
     A byte goes if a ``window``-byte string that covers it starts anywhere else too, in
     the same text or another; strings are judged on the input and never cross texts. All
     places lose it, the first one too. Null texts are empty; ids may be null or repeat.
     Equal rows each lose the same bytes. Other columns are ignored, whatever their names.
     An empty table gives no rows.
+
+    With ``passage``, a number of bytes below ``window``, ``n_in_passages`` counts in the same
+    pass the bytes that repeated strings of that length cover; they are only removed where a
+    ``window`` covers them too.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    out = R.covered(docs, scheme_of(window), repeated_windows, id_col, text_col, hot)
-    return out.mapInArrow(lambda batches: _cut(batches, window), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("id", id_col)
+    if passage and not 2 * CORE <= passage < window:
+        raise ValueError(f"a passage has {2 * CORE} to {window - 1} bytes")
+    scheme = R.Scheme(R.byte_units, passage, CORE, window) if passage else scheme_of(window)
+    out = R.covered(docs, scheme, repeated_windows, id_col, text_col, hot)
+    schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary" + (", n_in_passages long" if passage else "")
+    return out.mapInArrow(lambda batches: _cut(batches, window, passage), schema).withColumnRenamed("id", id_col)
 
 
 def digests(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    return rows.select(id_col, "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    more = [c for c in ("n_in_passages",) if c in rows.columns and c != id_col]
+    return rows.select(id_col, "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), *more)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, window: int = WINDOW) -> DataFrame:

@@ -228,6 +228,25 @@ def test_spans_of_any_window_match_brute_force(spark, window, hot):
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(want)
 
 
+@pytest.mark.parametrize(("window", "passage", "hot"), [(400, 254, 10**6), (400, 254, 1), (300, 130, 20)])
+def test_passages_beside_windows_match_brute_force(spark, window, passage, hot):
+    """One pass for two lengths: a passage of 51 short words is found, and removed only under a whole window."""
+    rng = random.Random(passage)
+    planted = " ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(51))
+    long = "".join(rng.choices("abc ", k=1100))
+    rows = [*passages(), (70, "one " + planted + " two"), (71, "x" * 90 + planted), (72, long), (73, "y" + long[200:610]), (74, long[300:600]), (75, long[300:600]), (76, "é" * 450), (77, long[-401:]), (78, planted[:-1]), (79, "p" * 50 + long[500 : 490 + window]), (80, "q" * 60 + long[500 : 490 + window])]
+    end = "".join(rng.choices("defg", k=window - 1))  # texts that end alike, too short for a window
+    rows += [(81, "r" * 99 + end), (82, "s" * 70 + end)]
+    units = lambda t: list((t or "").encode())
+    want = []
+    for (i, t), g, p in zip(rows, brute_repeats(rows, units, window), brute_repeats(rows, units, passage), strict=True):
+        kept = bytes(b for b, x in zip(units(t), g, strict=True) if not x)
+        want.append((str(i), len(g), sum(g), sum(x and not y for x, y in zip(g, [False, *g], strict=False)), hashlib.sha256(kept).hexdigest(), sum(p)))
+    got = suffix.digests(suffix.remove_repeats(table(spark, rows), hot=hot, window=window, passage=passage)).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_in_passages) for r in got) == sorted(want)
+    assert all(r.n_in_passages >= len(planted) and r.n_removed == 0 for r in got if r.doc_id in (70, 71))
+
+
 def test_hot_groups_of_many_cores_match_brute_force(spark, monkeypatch):
     """More hot cores than are looked for in place: the texts are shuffled for them."""
     monkeypatch.setattr(repeats, "HOT_CORES", 0)
