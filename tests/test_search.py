@@ -115,6 +115,40 @@ def test_equal_searches_are_one_until_the_end(spark, built, monkeypatch):
             same([(i, s) for _, i, s in sorted(got[k, scope])], brute(rows, ["the", "w7"], 4, scope))
 
 
+def shuffled(spark):
+    """Rows written to shuffles by all stages so far."""
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+@pytest.mark.parametrize("part", [1 << 21, 500, 1])  # one part a file, some, one a page
+def test_many_searches_in_many_parts(spark, built, monkeypatch, part):
+    monkeypatch.setattr(postings, "PART_TOKENS", part)
+    rows, index = built
+    rng = random.Random(part)
+    words = ["the", "of", "la", "license", "of the", "the of the", "Größe", "la la", *[f"w{k}" for k in range(30)]]
+    asked = [(k, rng.choices(words, k=rng.choice([1, 2, 2, 3]))) for k in range(60)]
+    got = {}
+    for r in postings.search_many(index, spark.createDataFrame(asked, "search_id int, terms array<string>"), 3).collect():
+        got.setdefault((r.search_id, r.scope), []).append((r.rank, r.url_id, r.score))
+    want = {(k, scope): found for k, terms in asked for scope in range(3) if (found := brute(rows, terms, 3, scope))}
+    assert got.keys() == want.keys()
+    for key, some in got.items():
+        same([(i, s) for _, i, s in sorted(some)], want[key])
+
+
+def test_pairs_of_searches_and_pages_are_not_shuffled(spark):
+    rng = random.Random(3)
+    words = [f"c{k}" for k in range(26)]
+    pages = spark.createDataFrame([(k, 0, " ".join(rng.sample(words, 22))) for k in range(400)], "url_id long, scope int, body string").coalesce(2)
+    index = postings.write_index(pages, ["body"], scratch(spark, "index"))
+    asked = spark.createDataFrame([(26 * i + j, [words[i], words[j]]) for i in range(26) for j in range(i)], "search_id int, terms array<string>")
+    before = shuffled(spark)
+    assert postings.search_many(index, asked, 2).count() == 325 * 2
+    assert shuffled(spark) - before < 20_000  # 325 searches meet more than 90,000 pages
+
+
 def test_texts_are_not_shuffled_for_the_best_pages(spark):
     from factflow.plans import QUERIES
 
