@@ -149,6 +149,31 @@ def test_pairs_of_searches_and_pages_are_not_shuffled(spark):
     assert shuffled(spark) - before < 20_000  # 325 searches meet more than 90,000 pages
 
 
+def test_query_rules_do_not_shuffle_the_places_of_their_terms(spark):
+    from factflow.operators.detect import query_rule_findings, query_rules
+
+    pages = spark.createDataFrame([(k, 0, f"All rights reserved by w{k} of the firm. More.") for k in range(3000)], "url_id long, scope int, body_text string").coalesce(2)
+    index = postings.write_index(pages, ["body_text"], scratch(spark, "index"))
+    rules = spark.createDataFrame([(1, "r", None, "high", "MIT", 7, ["rights reserved", "of the"])], "rule_id int, slug string, category string, severity string, correct_value string, product_id int, search_terms array<string>")
+    answers = spark.createDataFrame([(1, k, "mismatch") for k in range(4)], "rule_id int, url_id long, answer string")
+    before = shuffled(spark)
+    found = query_rule_findings(query_rules(index, pages, rules, answers, 3)).collect()
+    assert sorted((r.url_id, r.title, r.expected, r.evidence) for r in found) == [(k, "rule:r", "MIT", f"All rights reserved by w{k} of the firm. More.") for k in range(3)]
+    assert shuffled(spark) - before < 1000
+
+
+def test_texts_alone_are_enough_for_many_searches(spark):
+    rows = corpus(seed=4, n=60)
+    pages = spark.createDataFrame(rows, "url_id long, scope int, body string, title string")
+    index = postings.write_texts(pages, ["body", "title"], scratch(spark, "index"))
+    asked = spark.createDataFrame([(0, ["la la", "the"])], "search_id int, terms array<string>")
+    got = postings.search_many(index, asked, 5).collect()
+    for scope in range(3):
+        same([(r.url_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.scope == scope], brute(rows, ["la la", "the"], 5, scope))
+    full = postings.write_blocks(index, spark)
+    same([tuple(r) for r in postings.search(full, spark, ["la la", "the"], 5, 1).collect()], brute(rows, ["la la", "the"], 5, 1))
+
+
 def test_texts_are_not_shuffled_for_the_best_pages(spark):
     from factflow.plans import QUERIES
 
